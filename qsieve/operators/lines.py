@@ -83,7 +83,7 @@ def match_column() -> Column:
     case-insensitive flag, carried on the broadcast rule dimension).  One
     small expression instead of a per-rule CASE over every literal pattern,
     which would push the generated method past the JVM's 64 KB limit."""
-    return F.expr("element_at(filter(transform(rx_list, p -> regexp_instr(line, p)), "
+    return F.expr("try_element_at(filter(transform(rx_list, p -> regexp_instr(line, p)), "
                   "x -> x > 0), 1)").cast("int")
 
 

@@ -25,7 +25,9 @@ def values(rows: list[tuple], cols: list[str], alias: str = "t") -> str:
             return "NULL"
         if isinstance(v, bool):
             return "TRUE" if v else "FALSE"
-        if isinstance(v, (int, float)):
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        if isinstance(v, int):
             return repr(v)
         if isinstance(v, list):
             return "[" + ", ".join(lit(x) for x in v) + "]::VARCHAR[]" if v else "[]::VARCHAR[]"
@@ -186,3 +188,110 @@ FULL OUTER JOIN (SELECT repo, CAST(count(*) AS BIGINT) AS findings_total, {sev},
 def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
     body = ",\n".join(f"{name} AS ({sql})" for name, sql in ctes)
     return f"WITH {body}\n{final}"
+
+
+# ---------------------------------------------------------------- usage branch
+
+def _unq(q: str) -> str:
+    return f"substr({q}, 2, length({q}) - 2)"
+
+
+def usage_findings_sql(readable: str = "readable") -> str:
+    """DuckDB twin of operators/usage.py (RE2 tokeniser and site regexes)."""
+    from ..operators import usage as U
+    K = U.LOOKAHEAD_LINES
+    mask = (f"array_to_string(list_transform(regexp_extract_all(content, {S(U.TOKEN_RE2)}, 0), "
+            f"lambda t: CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') "
+            f"THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')")
+    langs = ", ".join(S(x) for x in U.USAGE_LANGUAGES)
+    lines = f"""
+SELECT repo, path, s.line_no AS line_no, s.line AS line, s.masked AS masked, s.ctx AS ctx FROM (
+  SELECT repo, path, unnest(list_filter(list_transform(ml, lambda m, i: {{'line_no': i, 'line': ol[i],
+      'masked': m, 'ctx': CASE WHEN regexp_matches(m, {S(U.HEAD_MULTI)})
+        THEN array_to_string(list_slice(ml, i, i + {K}), chr(10))
+        WHEN regexp_matches(m, {S(U.HEAD_ANY)}) THEN m END}}), lambda s: s.ctx IS NOT NULL)) AS s
+  FROM (SELECT repo, path, string_split(content, chr(10)) AS ol, string_split({mask}, chr(10)) AS ml
+        FROM {readable} WHERE language IN ({langs})))"""
+
+    def sites(body: str, groups: dict, src: str) -> str:
+        anchored = S("^" + body)
+        names = {k: v for k, v in groups.items() if k != "pre"}
+        grp = lambda g: f"coalesce(regexp_extract(w_[j], {anchored}, {g}), '')"
+        off = " + ".join(["coalesce(list_sum(list_transform(range(1, j), "
+                          "lambda k: length(g_[k]) + length(w_[k]))), 0)", "length(g_[j])"]
+                         + [f"length({grp(g)})" for g in groups["pre"]])
+        fields = ", ".join([f"'soff': {off}", "'idx': j"] + [f"'{k}': {grp(v)}" for k in names
+                                                             for v in [names[k]]])
+        return f"""
+SELECT repo, path, line_no, line, list_filter(list_transform(range(1, len(w_) + 1), lambda j: {{{fields}}}),
+       lambda s: s.soff < line_len) AS sites
+FROM (SELECT repo, path, line_no, line, length(masked) AS line_len,
+             regexp_extract_all({src}, {S(body)}, 0) AS w_, string_split_regex({src}, {S(body)}) AS g_
+      FROM u_lines)"""
+
+    imports = values([(p, i, rid, conf) for i, (pkgs, rid, conf) in enumerate(C.IMPORT_PATTERNS)
+                      for p in pkgs], ["pkg", "pattern_ord", "rule_id", "confidence"], "ip")
+    calls = values([(m, i, [a.lower() for a in args], rid, conf)
+                    for i, (m, args, rid, conf) in enumerate(C.CALL_PATTERNS)],
+                   ["method", "pattern_ord", "args", "rule_id", "confidence"], "cp")
+    opts = values([(o, m, i, prop, list(vals), rid, conf)
+                   for i, (o, m, prop, vals, rid, conf) in enumerate(C.OPTION_PATTERNS)],
+                  ["object", "method", "pattern_ord", "prop", "vals", "rule_id", "confidence"], "op")
+    root = ("CASE WHEN starts_with(package, '@') THEN regexp_extract(package, '^(@[^/]*/[^/]*|@[^/]*)', 1) "
+            "ELSE regexp_extract(package, '^([^/]*)', 1) END")
+    qstr = S(r"""("[^"\n]*"|'[^'\n]*'|`[^`\n]*`)""")
+    pair = S(U.PAIR_RE)
+    return f"""
+WITH u_lines AS ({lines}),
+u_imp AS (SELECT repo, path, line_no, line, s.soff AS soff, {_unq('s.source')} AS package
+          FROM (SELECT repo, path, line_no, line, unnest(sites) AS s FROM ({sites(U.IMPORT_BODY, U.IMPORT_GROUPS, 'ctx')}))),
+u_call0 AS (SELECT repo, path, line_no, line, sites FROM ({sites(U.CALL_BODY, U.CALL_GROUPS, 'masked')})),
+u_call AS (
+  SELECT repo, path, line_no, line, s.idx AS idx, s.soff AS soff, s.chain AS chain, s.method AS method,
+         s.arg AS arg, s.chained AS chained FROM (
+    SELECT repo, path, line_no, line, unnest(list_transform(sites, lambda x, i: {{
+      'idx': x.idx,
+      'soff': CASE WHEN regexp_matches(x.delim, '^[)\\]]')
+                THEN coalesce(list_filter(list_slice(sites, 1, i - 1),
+                     lambda y: NOT regexp_matches(y.delim, '^[)\\]]'))[-1].soff, x.soff)
+                ELSE x.soff END,
+      'chain': x.chain, 'method': x.method, 'arg': x.arg,
+      'chained': regexp_matches(x.delim, '^[)\\]]')}})) AS s FROM u_call0)),
+u_opt AS (SELECT repo, path, line_no, line, s.idx AS idx, s.soff AS soff, s.obj AS obj, s.method AS method,
+                 s.args AS args
+          FROM (SELECT repo, path, line_no, line, unnest(sites) AS s FROM ({sites(U.OPTION_BODY, U.OPTION_GROUPS, 'ctx')}))),
+u_pkg AS (
+  SELECT repo, path, line_no, line, soff, package FROM u_imp
+  UNION ALL
+  SELECT repo, path, line_no, line, soff, {_unq('arg')} FROM u_call
+  WHERE method = 'require' AND chain = '' AND NOT chained AND arg <> ''),
+u_hits AS (
+  SELECT repo, path, line_no, line, soff, ip.rule_id, ip.confidence
+  FROM u_pkg JOIN {imports} ON ({root}) = ip.pkg
+  UNION ALL
+  SELECT repo, path, line_no, line, soff, rule_id, confidence FROM (
+    SELECT c.repo, c.path, c.line_no, c.line, c.soff, cp.rule_id, cp.confidence,
+           row_number() OVER (PARTITION BY c.repo, c.path, c.line_no, c.idx ORDER BY cp.pattern_ord) AS rn
+    FROM (SELECT *, CASE WHEN arg <> '' THEN lower({_unq('arg')}) END AS argv FROM u_call
+          WHERE method <> 'require') c
+    JOIN {calls} ON c.method = cp.method
+    WHERE len(cp.args) = 0 OR (c.argv IS NOT NULL AND len(list_filter(cp.args, lambda a: starts_with(c.argv, a))) > 0))
+  WHERE rn = 1
+  UNION ALL
+  SELECT repo, path, line_no, line, soff, rule_id, confidence FROM (
+    SELECT o.repo, o.path, o.line_no, o.line, o.soff, op.rule_id, op.confidence,
+           row_number() OVER (PARTITION BY o.repo, o.path, o.line_no, o.idx ORDER BY op.pattern_ord) AS rn
+    FROM (SELECT *, list_transform(range(1, len(ks) + 1), lambda j: {{'k': ks[j],
+            'vs': CASE WHEN starts_with(vs[j], '[')
+                  THEN list_transform(regexp_extract_all(vs[j], {qstr}, 1), lambda q: {_unq('q')})
+                  ELSE [{_unq('vs[j]')}] END}}) AS pairs
+          FROM (SELECT *, regexp_extract_all(args, {pair}, 1) AS ks, regexp_extract_all(args, {pair}, 2) AS vs
+                FROM u_opt)) o
+    JOIN {opts} ON o.obj = op.object AND o.method = op.method
+    WHERE len(list_filter(o.pairs, lambda kv: kv.k = op.prop AND list_has_any(kv.vs, op.vals))) > 0)
+  WHERE rn = 1)
+SELECT h.repo, r.rule_id, r.description, r.severity, r.category, r.algorithm, r.replacement, r.effort,
+       h.path AS file, CAST(h.line_no AS INTEGER) AS line, CAST(h.soff + 1 AS INTEGER) AS "column",
+       {snippet_sql('h.line')} AS snippet, 'ast' AS detection_method, h.confidence AS confidence,
+       {C.PHASE_USAGE} AS phase, 0 AS rule_ord
+FROM u_hits h JOIN {rules_values('r')} ON h.rule_id = r.rule_id"""

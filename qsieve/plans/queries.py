@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as FD
 from ..operators import summary as SM
 from ..operators.lines import regex_findings
+from ..operators.usage import usage_findings
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -88,4 +89,41 @@ def q_regex_readiness(spark, sf_dir):
     return SM.summary(found, disc)
 
 
-FLAGSHIP = "regex_readiness"
+def code_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regex and usage branches over the planted corpus."""
+    text = readable(discovered_files(spark, sf_dir))
+    return FD.union_findings(regex_findings(text), usage_findings(text))
+
+
+_RAW_USAGE = ("raw_usage", O.usage_findings_sql())
+_RAW_CODE = ("raw_code", "SELECT * FROM raw_regex UNION ALL SELECT * FROM raw_usage")
+_CODE_FOUND = [_FILES, _DISC, _READ, _RAW_REGEX, _RAW_USAGE, _RAW_CODE,
+               ("filtered", O.filtered_sql("raw_code")), ("deduped", O.dedupe_sql("filtered"))]
+
+
+@register("usage_findings", O.with_ctes([_FILES, _DISC, _READ, _RAW_USAGE],
+                                        _finding_out_sql("raw_usage")))
+def q_usage_findings(spark, sf_dir):
+    """U1–U7 + J2–J5: import/require/call/option sites of JS/TS files."""
+    text = readable(discovered_files(spark, sf_dir))
+    return _bigint(usage_findings(text).select(*FINDING_OUT), ["line", "column", "phase"])
+
+
+@register("findings", O.with_ctes(_CODE_FOUND, _finding_out_sql("deduped", ", occurrences")))
+def q_findings(spark, sf_dir):
+    """X1 + P11/P12 + W1/A1: filtered, de-duplicated findings (usage beats regex)."""
+    found = FD.dedupe(FD.filter_findings(code_raw(spark, sf_dir)))
+    return _bigint(found.select(*FINDING_OUT, "occurrences"), ["line", "column", "phase"])
+
+
+@register("readiness", O.with_ctes(_CODE_FOUND, O.summary_sql("deduped", "discovered")))
+def q_readiness(spark, sf_dir):
+    """Flagship: readiness per repository over regex + usage findings."""
+    disc = discovered_files(spark, sf_dir)
+    text = readable(disc)
+    found = FD.dedupe(FD.filter_findings(
+        FD.union_findings(regex_findings(text), usage_findings(text))))
+    return SM.summary(found, disc)
+
+
+FLAGSHIP = "readiness"

@@ -21,7 +21,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _norm(v):
     if v is None:
-        return None
+        return "\x00NULL"
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
