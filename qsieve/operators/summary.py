@@ -87,10 +87,9 @@ def density(findings: DataFrame, discovered: DataFrame) -> DataFrame:
            .join(findings.groupBy("repo").agg(F.count(F.lit(1)).cast("long").alias("findings")),
                  "repo", "left").na.fill(0, ["findings"])
            .withColumn("density", F.round(F.col("findings") / F.col("files_scanned"), 4)))
-    top = per.agg(F.max_by("repo", F.struct("density", F.col("repo"))).alias("densest"))
-    return (per.crossJoin(F.broadcast(top))  # one-row side
-            .select("repo", "files_scanned", "findings", "density",
-                    (F.col("repo") == F.col("densest")).alias("is_densest")))
+    densest = per.agg(F.max_by("repo", F.struct("density", F.col("repo")))).scalar()
+    return per.select("repo", "files_scanned", "findings", "density",
+                      (F.col("repo") == densest).alias("is_densest"))
 
 
 PATH_GROUP_RE = [

@@ -205,3 +205,75 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full planted corpus: documents and pages."""
     return document_files(spark, sf_dir).unionByName(page_files(spark, sf_dir))
+
+
+# Root manifests per supplier repository: file name → variants (chosen by
+# s_suppkey % len(variants)); %NAME% is replaced by the supplier name.
+MANIFEST_VARIANTS = {
+    "package.json": [
+        '{\n  "name": "%NAME%",\n  "dependencies": { "node-rsa": "1.1.1", "express": "4" },\n'
+        '  "devDependencies": { "node-rsa": "2.0.0" }\n}\n',
+        '{"name": "%NAME%", "dependencies": {"@noble/ed25519": "^2.0.0", "jsonwebtoken": "9.0.2",'
+        ' "@noble/post-quantum": "0.2.0"}}',
+        '{"name": "%NAME%", "dependencies": {"ethers": "6.9.0"',
+        '{"name": "%NAME%", "devDependencies": {"web3": "4.0.0", "tweetnacl": "1.0.3",'
+        ' "lodash": "4.17.21"}}',
+    ],
+    "Cargo.toml": [
+        '[package]\nname = "%NAME%"\n\n[dependencies]\nrsa = "0.9"\nring = { version = "0.17" }\n'
+        'p256.workspace = true\n',
+        '[dependencies]\ned25519-dalek = { version = "2.1", features = ["rand_core"] }\n'
+        'x25519-dalek = "2"\npqcrypto = "0.17"\n# %NAME%\n',
+        '[package]\nname = "%NAME%"\n[dependencies.rsa]\nversion = "0.9"\n',
+    ],
+    "go.mod": [
+        'module example.com/%NAME%\n\ngo 1.21\n\nrequire (\n\tgolang.org/x/crypto v0.14.0\n'
+        '\tgithub.com/cloudflare/circl/v2 v2.0.0\n)\n\nrequire filippo.io/edwards25519 v1.0.0\n',
+        'module example.com/%NAME%\n\nrequire (\n\tgithub.com/btcsuite/btcd v0.24.0\n'
+        '\tgo.dedis.ch/kyber/v3 v3.1.0\n)\n',
+    ],
+    "requirements.txt": [
+        'cryptography>=41\n# rsa\nPyNaCl\nparamiko[all]==3\n',
+        '# %NAME%\nrequests==2.31\nrsa == 4.9\necdsa~=0.18\n  pycryptodome>=3.19  \n',
+    ],
+    "pyproject.toml": [
+        '[project]\nname = "%NAME%"\ndependencies = [\n  "cryptography>=42",\n  "ecdsa==0.18",\n]\n',
+        '[project]\nname = "%NAME%"\ndependencies = ["liboqs-python>=0.9", "RSA>=4", "pqcrypto"]\n',
+    ],
+    "build.gradle": [
+        "dependencies {\n    implementation 'org.bouncycastle:bcprov-jdk18on:1.77'\n"
+        '    api("com.google.crypto.tink:tink-android:1.0")\n}\n',
+        'dependencies {\n  compileOnly "org.bouncycastle:bcpkix-jdk18on:1.78"\n'
+        '  runtimeOnly("com.google.crypto.tink:tink:1.12.0")\n}\n',
+    ],
+    "build.gradle.kts": [
+        'dependencies {\n    implementation("org.bouncycastle:bcprov-jdk18on:1.78")\n'
+        '    implementation("org.bouncycastle:bcpqc-jdk18on:1.78")\n}\n',
+        '',
+    ],
+    "pom.xml": [
+        '<project><name>%NAME%</name><dependencies>\n<dependency>\n'
+        '  <groupId>org.bouncycastle</groupId>\n  <artifactId>bcprov-jdk18on</artifactId>\n'
+        '  <version>1.78</version>\n</dependency>\n<dependency>\n'
+        '  <groupId>com.google.crypto.tink</groupId>\n  <artifactId>tink-android</artifactId>\n'
+        '</dependency>\n</dependencies></project>\n',
+        '<project><dependencies><dependency><groupId> org.bouncycastle </groupId>'
+        '<artifactId>bcpkix-jdk18on</artifactId><version>1.77</version></dependency>'
+        '</dependencies></project>',
+    ],
+}
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier → one repository per supplier with the eight root manifests."""
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = [(name, i, body) for name, vs in MANIFEST_VARIANTS.items() for i, body in enumerate(vs)]
+    var = spark.createDataFrame(rows, "path string, k long, body string")
+    picks = F.array(*[F.struct(F.lit(n).alias("path"), (F.col("s_suppkey") % len(v)).alias("k"))
+                      for n, v in MANIFEST_VARIANTS.items()])
+    return (sup.select("s_suppkey", "s_name", F.explode(picks).alias("p"))
+            .select("s_suppkey", "s_name", "p.path", "p.k")
+            .join(F.broadcast(var), ["path", "k"])
+            .select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string")).alias("repo"),
+                    "path", F.replace(F.col("body"), F.lit("%NAME%"), F.col("s_name"))
+                    .alias("content")))

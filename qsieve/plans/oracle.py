@@ -295,3 +295,137 @@ SELECT h.repo, r.rule_id, r.description, r.severity, r.category, r.algorithm, r.
        {snippet_sql('h.line')} AS snippet, 'ast' AS detection_method, h.confidence AS confidence,
        {C.PHASE_USAGE} AS phase, 0 AS rule_ord
 FROM u_hits h JOIN {rules_values('r')} ON h.rule_id = r.rule_id"""
+
+
+# ------------------------------------------------------------ dependencies
+
+def manifests_sql() -> str:
+    rows = [(n, i, b) for n, vs in CP.MANIFEST_VARIANTS.items() for i, b in enumerate(vs)]
+    var = values(rows, ["path", "k", "body"], "mv")
+    picks = " UNION ALL ".join(
+        f"SELECT s_suppkey, s_name, {S(n)} AS path, s_suppkey % {len(v)} AS k FROM supplier"
+        for n, v in CP.MANIFEST_VARIANTS.items())
+    return (f"SELECT 'supp' || CAST(p.s_suppkey AS VARCHAR) AS repo, p.path, "
+            f"replace(mv.body, '%NAME%', p.s_name) AS content "
+            f"FROM ({picks}) p JOIN {var} ON p.path = mv.path AND p.k = mv.k")
+
+
+def _known(rows, alias) -> str:
+    return values([tuple(r) for r in rows], ["name", "algorithm", "severity", "category",
+                                              "description", "replacement"], alias)
+
+
+def _rid(prefix: str, name: str) -> str:
+    return f"upper({S(prefix)} || regexp_replace({name}, '[^a-zA-Z0-9]', '_', 'g'))"
+
+
+def _dep_row(phase: int, rule_id: str, snippet: str, src: str) -> str:
+    return (f"SELECT repo, {rule_id} AS rule_id, k.description, k.severity, k.category, k.algorithm, "
+            f"k.replacement, 'complex' AS effort, path AS file, CAST(NULL AS INTEGER) AS line, "
+            f"CAST(NULL AS INTEGER) AS \"column\", {snippet} AS snippet, 'dependency' AS detection_method, "
+            f"CAST({C.CONF_DEPENDENCY} AS DOUBLE) AS confidence, {phase} AS phase, CAST(pos AS INTEGER) AS rule_ord "
+            f"FROM {src}")
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, {S(_TRIM_RE2)}, '', 'g')"
+
+
+def _esc(name: str) -> str:
+    from ..sources.manifests import js_escape
+    return js_escape(name)
+
+
+def npm_sql(files: str = "mfiles") -> str:
+    m = (f"map_concat(coalesce(TRY_CAST(json_extract(content, '$.dependencies') AS MAP(VARCHAR, VARCHAR)), MAP {{}}), "
+         f"coalesce(TRY_CAST(json_extract(content, '$.devDependencies') AS MAP(VARCHAR, VARCHAR)), MAP {{}}))")
+    deps = (f"SELECT repo, path, unnest(map_keys(m)) AS name, unnest(map_values(m)) AS version, 0 AS pos FROM "
+            f"(SELECT repo, path, {m} AS m FROM {files} WHERE path = 'package.json' AND json_valid(content))")
+    src = f"({deps}) d JOIN {_known(C.NPM_PACKAGES, 'k')} ON d.name = k.name"
+    return _dep_row(C.PHASE_NPM, _rid("DEP_", "d.name"), "'\"' || d.name || '\": \"' || d.version || '\"'", src)
+
+
+def cargo_sql(files: str = "mfiles") -> str:
+    parts = []
+    for i, (crate, *_r) in enumerate(C.CARGO_CRATES):
+        rx = S(r"(?m)^\s*" + _esc(crate) + r"\s*=\s*(.+)")
+        parts.append(f"SELECT repo, path, {i} AS pos, {S(crate)} AS name, {_trim(f'regexp_extract(content, {rx}, 1)')} AS rest "
+                     f"FROM {files} WHERE path = 'Cargo.toml' AND regexp_matches(content, {rx})")
+    lead, kv = S(r'^"([^"]*)"'), S(r'version\s*=\s*"([^"]*)"')
+    ver = (f"CASE WHEN regexp_matches(rest, {lead}) THEN regexp_extract(rest, {lead}, 1) "
+           f"WHEN regexp_matches(rest, {kv}) THEN regexp_extract(rest, {kv}, 1) ELSE 'unknown' END")
+    deps = f"SELECT repo, path, pos, name, {ver} AS version FROM ({' UNION ALL '.join(parts)})"
+    src = f"({deps}) d JOIN {_known(C.CARGO_CRATES, 'k')} ON d.name = k.name"
+    return _dep_row(C.PHASE_CARGO, _rid("DEP_CRATE_", "d.name"), "d.name || ' = \"' || d.version || '\"'", src)
+
+
+def go_sql(files: str = "mfiles") -> str:
+    parts = []
+    for i, (mod, *_r) in enumerate(C.GO_MODULES):
+        rx = S(r"(?m)^\s*" + _esc(mod) + r"(?:/\S*)?\s+(v\S+)")
+        parts.append(f"SELECT repo, path, {i} AS pos, {S(mod)} AS name, regexp_extract(content, {rx}, 1) AS version "
+                     f"FROM {files} WHERE path = 'go.mod' AND regexp_matches(content, {rx})")
+    src = f"({' UNION ALL '.join(parts)}) d JOIN {_known(C.GO_MODULES, 'k')} ON d.name = k.name"
+    return _dep_row(C.PHASE_GO, _rid("DEP_GO_", "d.name"), "d.name || ' ' || d.version", src)
+
+
+def pip_sql(files: str = "mfiles") -> str:
+    m = S(r"^([a-zA-Z0-9_-]+)\s*(?:[><=!~]+\s*(\S+))?")
+    req = (f"SELECT repo, path, pos, lower(regexp_extract(t, {m}, 1)) AS name, "
+           f"coalesce(nullif(regexp_extract(t, {m}, 2), ''), 'unknown') AS version FROM ("
+           f"SELECT repo, path, pos, {_trim('raw')} AS t FROM (SELECT repo, path, "
+           f"unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos "
+           f"FROM {files} WHERE path = 'requirements.txt')) "
+           f"WHERE t <> '' AND NOT starts_with(t, '#') AND regexp_matches(t, '^[a-zA-Z0-9_-]+')")
+    parts = []
+    for i, (pkg, *_r) in enumerate(C.PIP_PACKAGES):
+        rx = S(r"(?i)[\"']" + _esc(pkg) + r"\s*(?:[><=!~]+\s*([^\"']+))?[\"']")
+        parts.append(f"SELECT repo, path, {i} + 1000000 AS pos, {S(pkg)} AS name, "
+                     f"coalesce(nullif({_trim(f'regexp_extract(content, {rx}, 1)')}, ''), 'unknown') AS version "
+                     f"FROM {files} WHERE path = 'pyproject.toml' AND regexp_matches(content, {rx})")
+    k = _known(C.PIP_PACKAGES, "k")
+    req_rows = _dep_row(C.PHASE_PIP, _rid("DEP_PIP_", "d.name"), "d.name || '==' || d.version",
+                        f"({req}) d JOIN {k} ON d.name = k.name")
+    pyp_rows = _dep_row(C.PHASE_PIP, _rid("DEP_PIP_", "d.name"), "d.name || '>=' || d.version",
+                        f"({' UNION ALL '.join(parts)}) d JOIN {k} ON d.name = k.name")
+    return (f"SELECT * FROM ({req_rows}) UNION ALL SELECT * FROM ({pyp_rows}) p "
+            f"WHERE NOT EXISTS (SELECT 1 FROM ({req_rows}) r WHERE r.repo = p.repo AND r.rule_id = p.rule_id)")
+
+
+def java_sql(files: str = "mfiles") -> str:
+    confs = "|".join(C.GRADLE_CONFIGURATIONS)
+    parts = []
+    for fi, name in enumerate(["build.gradle", "build.gradle.kts"]):
+        for ki, (group, art_rx, *_r) in enumerate(C.JAVA_PACKAGES):
+            rx = S(r"(?:" + confs + r")\s*[(\"']+" + _esc(group) + ":(" + art_rx + r"):([^\"')]+)[\"')]")
+            parts.append(
+                f"SELECT repo, path, {fi * 1_000_000 + ki * 10_000} + j - 1 AS pos, {ki} AS known_ord, "
+                f"{S(group)} AS group_id, a[j] AS artifact, v[j] AS version FROM ("
+                f"SELECT repo, path, a, v, unnest(range(1, len(a) + 1)) AS j FROM ("
+                f"SELECT repo, path, regexp_extract_all(content, {rx}, 1) AS a, regexp_extract_all(content, {rx}, 2) AS v "
+                f"FROM {files} WHERE path = {S(name)}))")
+    dim = values([(i, g, rx, a, sev, cat, d, r) for i, (g, rx, a, sev, cat, d, r) in enumerate(C.JAVA_PACKAGES)],
+                 ["known_ord", "group_id", "artifact_rx", "algorithm", "severity", "category", "description",
+                  "replacement"], "k")
+    prx = S(r"<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>(?:\s*<version>([^<]+)</version>)?")
+    pom = (f"SELECT repo, path, j - 1 AS pos0, {_trim('coalesce(g[j], %s)' % S(''))} AS group_id, "
+           f"{_trim('coalesce(a[j], %s)' % S(''))} AS artifact, "
+           f"coalesce(nullif({_trim('coalesce(v[j], %s)' % S(''))}, ''), 'unknown') AS version FROM ("
+           f"SELECT repo, path, g, a, v, unnest(range(1, len(g) + 1)) AS j FROM ("
+           f"SELECT repo, path, regexp_extract_all(content, {prx}, 1) AS g, regexp_extract_all(content, {prx}, 2) AS a, "
+           f"regexp_extract_all(content, {prx}, 3) AS v FROM {files} WHERE path = 'pom.xml'))")
+    hits = (f"SELECT d.repo, d.path, d.pos, d.group_id, d.artifact, d.version, k.algorithm, k.severity, k.category, "
+            f"k.description, k.replacement FROM ({' UNION ALL '.join(parts)}) d JOIN {dim} ON d.known_ord = k.known_ord "
+            f"UNION ALL "
+            f"SELECT p.repo, p.path, 2000000 + p.pos0 * 100 + k.known_ord, p.group_id, p.artifact, p.version, k.algorithm, "
+            f"k.severity, k.category, k.description, k.replacement FROM ({pom}) p JOIN {dim} ON p.group_id = k.group_id "
+            f"WHERE regexp_matches(p.artifact, k.artifact_rx)")
+    rid = ("upper('DEP_MAVEN_' || regexp_replace(group_id, '[^a-zA-Z0-9]', '_', 'g') || '_' || "
+           "regexp_replace(artifact, '[^a-zA-Z0-9]', '_', 'g'))")
+    first = (f"SELECT * FROM (SELECT *, {rid} AS rid, row_number() OVER (PARTITION BY repo, {rid} ORDER BY pos) AS rn "
+             f"FROM ({hits})) WHERE rn = 1")
+    return (f"SELECT repo, rid AS rule_id, description, severity, category, algorithm, replacement, 'complex' AS effort, "
+            f"path AS file, CAST(NULL AS INTEGER) AS line, CAST(NULL AS INTEGER) AS \"column\", "
+            f"group_id || ':' || artifact || ':' || version AS snippet, 'dependency' AS detection_method, "
+            f"CAST({C.CONF_DEPENDENCY} AS DOUBLE) AS confidence, {C.PHASE_JAVA} AS phase, CAST(pos AS INTEGER) AS rule_ord "
+            f"FROM ({first})")

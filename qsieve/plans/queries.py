@@ -16,6 +16,7 @@ from ..operators import findings as FD
 from ..operators import summary as SM
 from ..operators.lines import regex_findings
 from ..operators.usage import usage_findings
+from ..operators import dependencies as DP
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -126,4 +127,32 @@ def q_readiness(spark, sf_dir):
     return SM.summary(found, disc)
 
 
+# ------------------------------------------------------------ dependencies
+
+_MFILES = ("mfiles", O.manifests_sql())
+DEP_OUT = ["repo", "rule_id", "severity", "category", "algorithm", "file", "snippet",
+           "detection_method", "confidence", "phase"]
+
+
+def _dep_out_sql(src: str) -> str:
+    return f"SELECT repo, rule_id, severity, category, algorithm, file, snippet, detection_method, " \
+           f"confidence, CAST(phase AS BIGINT) AS phase FROM ({src})"
+
+
+def _dep_query(name: str, fn, sql_fn, doc: str):
+    def q(spark, sf_dir):
+        return _bigint(fn(CP.manifest_files(spark, sf_dir)).select(*DEP_OUT), ["phase"])
+    q.__doc__ = doc
+    register(name, O.with_ctes([_MFILES], _dep_out_sql(sql_fn())))(q)
+
+
+_dep_query("deps_npm", DP.npm_findings, O.npm_sql, "S13 + J6: package.json ⋈ known npm packages.")
+_dep_query("deps_cargo", DP.cargo_findings, O.cargo_sql, "S14 + J7: Cargo.toml ⋈ known crates.")
+_dep_query("deps_go", DP.go_findings, O.go_sql, "S15 + J8: go.mod ⋈ known modules (prefix).")
+_dep_query("deps_pip", DP.pip_findings, O.pip_sql,
+           "S16/S17 + J9/J10: requirements ⋈ known; pyproject ▷ requirements.")
+_dep_query("deps_java", DP.java_findings, O.java_sql,
+           "S18/S19 + J11/J12: Gradle/Maven ⋈ known artifacts; first source per rule id.")
+
+
 FLAGSHIP = "readiness"
