@@ -277,3 +277,49 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.concat(F.lit("supp"), F.col("s_suppkey").cast("string")).alias("repo"),
                     "path", F.replace(F.col("body"), F.lit("%NAME%"), F.col("s_name"))
                     .alias("content")))
+
+
+# Endpoint observation variants, chosen by event_id % len: (protocol,
+# tls_version, cipher, has_subject, asn1_curve, pubkey_len, banner).
+OBS_VARIANTS = [
+    ("tls", "TLSv1.3", "TLS_AES_256_GCM_SHA384", True, None, 294, None),
+    ("tls", "TLSv1.2", "ECDHE-RSA-AES128-GCM-SHA256", True, "prime256v1", 65, None),
+    ("tls", "TLSv1.2", "AES128-SHA", True, None, 128, None),
+    ("tls", "TLSv1.2", "AES128-GCM-SHA256", False, None, None, None),
+    ("ssh", None, None, False, None, None, "SSH-2.0-OpenSSH_9.6\r\nKEXINIT"),
+    ("ssh", None, None, False, None, None, "HTTP/1.1 400 Bad Request\r\n"),
+    ("tls", "TLSv1.1", "TLS_RSA_WITH_AES_128_CBC_SHA", True, "secp384r1", 97, None),
+    ("tls", None, None, True, "brainpoolP256r1", 65, None),
+    ("tls", "TLSv1.3", "TLS_CHACHA20_POLY1305_SHA256", True, None, 100, None),
+    ("tls", "TLSv1.2", "ECDHE-ECDSA-AES256-GCM-SHA384", True, "P-521", 133, None),
+    ("ssh", None, None, False, None, None, "  SSH-1.99-Cisco-1.25  "),
+]
+N_NET_REPOS = 4
+
+
+def endpoint_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events → endpoint_obs: one observation per event; host from user_id."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    var = spark.createDataFrame([(i,) + v for i, v in enumerate(OBS_VARIANTS)],
+                                "k long, protocol string, tls_version string, cipher string, "
+                                "has_subject boolean, asn1_curve string, pubkey_len int, banner string")
+    port = F.when(F.col("protocol") == "ssh", F.lit(22)) \
+        .otherwise(F.when(F.col("event_id") % 2 == 0, F.lit(443)).otherwise(F.lit(8443)))
+    return (ev.join(F.broadcast(var), (F.col("event_id") % len(OBS_VARIANTS)) == F.col("k"))
+            .select(F.concat(F.lit("net"), (F.col("user_id") % N_NET_REPOS).cast("string")).alias("repo"),
+                    F.concat(F.lit("host"), F.col("user_id").cast("string")).alias("host"),
+                    port.cast("int").alias("port"), "protocol", "tls_version", "cipher",
+                    "has_subject", "asn1_curve", "pubkey_len", "banner"))
+
+
+SPEC_FORMS = ["ssh://host{u}", "tls://host{u}:8443", "host{u}:22", "host{u}", "tls://host{u}:22",
+              "ssh://host{u}:2222", "host{u}:abc", "host{u}:443:extra"]
+
+
+def endpoint_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events → endpoint spec strings (S20 input), form by event_id % len."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    forms = spark.createDataFrame([(i, f.split("{u}")[0], f.split("{u}")[1])
+                                   for i, f in enumerate(SPEC_FORMS)], "k long, pre string, post string")
+    return (ev.join(F.broadcast(forms), (F.col("event_id") % len(SPEC_FORMS)) == F.col("k"))
+            .select("event_id", F.concat("pre", F.col("user_id").cast("string"), "post").alias("spec")))

@@ -429,3 +429,74 @@ def java_sql(files: str = "mfiles") -> str:
             f"group_id || ':' || artifact || ':' || version AS snippet, 'dependency' AS detection_method, "
             f"CAST({C.CONF_DEPENDENCY} AS DOUBLE) AS confidence, {C.PHASE_JAVA} AS phase, CAST(pos AS INTEGER) AS rule_ord "
             f"FROM ({first})")
+
+
+# --------------------------------------------------------------- endpoints
+
+def observations_sql() -> str:
+    var = values([(i,) + v for i, v in enumerate(CP.OBS_VARIANTS)],
+                 ["k", "protocol", "tls_version", "cipher", "has_subject", "asn1_curve", "pubkey_len",
+                  "banner"], "ov")
+    return (f"SELECT 'net' || CAST(user_id % {CP.N_NET_REPOS} AS VARCHAR) AS repo, "
+            f"'host' || CAST(user_id AS VARCHAR) AS host, "
+            f"CAST(CASE WHEN protocol = 'ssh' THEN 22 WHEN event_id % 2 = 0 THEN 443 ELSE 8443 END AS INTEGER) AS port, "
+            f"protocol, tls_version, cipher, has_subject, asn1_curve, CAST(pubkey_len AS INTEGER) AS pubkey_len, banner "
+            f"FROM events JOIN {var} ON events.event_id % {len(CP.OBS_VARIANTS)} = ov.k")
+
+
+def endpoint_findings_sql(obs: str = "obs") -> str:
+    proto = "coalesce(tls_version, 'unknown')"
+    vuln = f"({proto} <> 'TLSv1.3')"
+    snip = f"CASE WHEN cipher IS NOT NULL THEN {proto} || ' ' || cipher ELSE {proto} END"
+    ep = "protocol || '://' || host || ':' || CAST(port AS VARCHAR)"
+    n1 = (f"SELECT repo, {ep} AS file, 'NET_TLS_PROTOCOL' AS rule_id, "
+          f"{proto} || CASE WHEN {vuln} THEN ' negotiated — key exchange is quantum-vulnerable' "
+          f"ELSE ' negotiated — uses ephemeral key exchange' END AS description, "
+          f"CASE WHEN {vuln} THEN 'critical' ELSE 'safe' END AS severity, 'protocol' AS category, {proto} AS algorithm, "
+          f"CASE WHEN {vuln} THEN {S(C.NET_REPLACEMENT_TLS)} END AS replacement, 'moderate' AS effort, {snip} AS snippet, "
+          f"CAST({C.CONF_TLS} AS DOUBLE) AS confidence, 0 AS rule_ord FROM {obs} WHERE protocol = 'tls'")
+    is_rsa = "(starts_with(cipher, 'TLS_RSA_') OR regexp_matches(cipher, '^AES[0-9]+-SHA'))"
+    is_ecdh = "(regexp_matches(cipher, 'ECDHE|X25519') OR regexp_matches(cipher, '^TLS_.*_WITH_'))"
+    n2 = (f"SELECT repo, {ep} AS file, 'NET_TLS_KEX' AS rule_id, "
+          f"CASE WHEN {is_rsa} THEN {S(C.NET_KEX_RSA[0])} ELSE {S(C.NET_KEX_ECDH[0])} END, 'critical', 'kem', "
+          f"CASE WHEN {is_rsa} THEN 'RSA' ELSE 'ECDH' END, "
+          f"CASE WHEN {is_rsa} THEN {S(C.NET_KEX_RSA[1])} ELSE {S(C.NET_KEX_ECDH[1])} END, 'moderate', "
+          f"{proto} || ' ' || cipher, CAST({C.CONF_TLS} AS DOUBLE), 1 FROM {obs} "
+          f"WHERE protocol = 'tls' AND cipher IS NOT NULL AND ({is_rsa} OR {is_ecdh})")
+    has_curve = "(asn1_curve IS NOT NULL AND asn1_curve <> '')"
+    alg = (f"CASE WHEN {has_curve} THEN 'ECDSA' WHEN pubkey_len >= 128 THEN 'RSA' "
+           f"WHEN pubkey_len <= 65 THEN 'ECDSA' ELSE 'RSA' END")
+    bits = (f"CASE WHEN {has_curve} THEN (CASE WHEN asn1_curve IN ('prime256v1', 'P-256') THEN 256 "
+            f"WHEN asn1_curve IN ('secp384r1', 'P-384') THEN 384 WHEN asn1_curve IN ('secp521r1', 'P-521') THEN 521 END) "
+            f"WHEN pubkey_len >= 128 THEN pubkey_len * 8 WHEN pubkey_len <= 65 THEN NULL ELSE pubkey_len * 8 END")
+    n4 = (f"SELECT repo, file, 'NET_TLS_CERT_KEY', 'Certificate uses ' || alg || ' ' || "
+          f"coalesce(CAST(bits AS VARCHAR) || '-bit ', '') || 'key — vulnerable to Shor''s algorithm', 'critical', "
+          f"'signature', alg, {S(C.NET_CERT_REPLACEMENT)}, 'complex', "
+          f"alg || coalesce(' ' || CAST(bits AS VARCHAR) || '-bit', '') || ' key, ' || proto, "
+          f"CAST({C.CONF_TLS} AS DOUBLE), 2 FROM (SELECT repo, {ep} AS file, {alg} AS alg, {bits} AS bits, "
+          f"{proto} AS proto FROM {obs} WHERE protocol = 'tls' AND has_subject AND pubkey_len IS NOT NULL)")
+    first = f"{_trim(chr(39) + chr(39) + ' || split_part(coalesce(banner, ' + chr(39) + chr(39) + '), chr(10), 1)')}"
+    n5 = (f"SELECT repo, file, 'NET_SSH_SERVER', {S(C.NET_SSH[0])}, 'high', 'protocol', 'SSH', {S(C.NET_SSH[1])}, "
+          f"'moderate', b, CAST({C.CONF_SSH} AS DOUBLE), 0 FROM (SELECT repo, {ep} AS file, {first} AS b FROM {obs} "
+          f"WHERE protocol <> 'tls') WHERE starts_with(b, 'SSH-')")
+    return (f"SELECT repo, rule_id, description, severity, category, algorithm, replacement, effort, file, "
+            f"CAST(NULL AS INTEGER) AS line, CAST(NULL AS INTEGER) AS \"column\", snippet, 'network' AS detection_method, "
+            f"confidence, {C.PHASE_NETWORK} AS phase, rule_ord FROM ({n1} UNION ALL {n2} UNION ALL {n4} UNION ALL {n5})")
+
+
+def endpoint_specs_sql() -> str:
+    forms = values([(i, f.split("{u}")[0], f.split("{u}")[1]) for i, f in enumerate(CP.SPEC_FORMS)],
+                   ["k", "pre", "post"], "sf")
+    specs = (f"SELECT event_id, pre || CAST(user_id AS VARCHAR) || post AS spec FROM events "
+             f"JOIN {forms} ON events.event_id % {len(CP.SPEC_FORMS)} = sf.k")
+    return f"""
+SELECT event_id, spec, host, port, CASE WHEN is_ssh OR (port = 22 AND NOT starts_with(spec, 'tls://'))
+       THEN 'ssh' ELSE 'tls' END AS protocol FROM (
+  SELECT event_id, spec, is_ssh, split_part(addr, ':', 1) AS host,
+         CASE WHEN len(string_split(addr, ':')) < 2 OR string_split(addr, ':')[2] = ''
+              THEN CASE WHEN is_ssh THEN 22 ELSE 443 END
+              ELSE TRY_CAST(nullif(regexp_extract(string_split(addr, ':')[2], '^\\s*([+-]?[0-9]+)', 1), '') AS INTEGER)
+         END AS port
+  FROM (SELECT event_id, spec, starts_with(spec, 'ssh://') AS is_ssh,
+               CASE WHEN starts_with(spec, 'ssh://') OR starts_with(spec, 'tls://') THEN substr(spec, 7) ELSE spec END AS addr
+        FROM ({specs})))"""

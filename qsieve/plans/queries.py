@@ -17,6 +17,8 @@ from ..operators import summary as SM
 from ..operators.lines import regex_findings
 from ..operators.usage import usage_findings
 from ..operators import dependencies as DP
+from ..operators.network import endpoint_findings
+from ..sources.endpoints import parse_endpoint_spec
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -155,4 +157,23 @@ _dep_query("deps_java", DP.java_findings, O.java_sql,
            "S18/S19 + J11/J12: Gradle/Maven ⋈ known artifacts; first source per rule id.")
 
 
+# --------------------------------------------------------------- endpoints
+
+@register("endpoint_findings", O.with_ctes([("obs", O.observations_sql())],
+                                           _finding_out_sql("(" + O.endpoint_findings_sql() + ")")))
+def q_endpoint_findings(spark, sf_dir):
+    """S21 + N1–N6: TLS/SSH observations classified into findings."""
+    f = endpoint_findings(CP.endpoint_observations(spark, sf_dir))
+    return _bigint(f.select(*FINDING_OUT), ["line", "column", "phase"])
+
+
+@register("endpoint_specs", O.endpoint_specs_sql())
+def q_endpoint_specs(spark, sf_dir):
+    """`[tls://|ssh://]host[:port]` specs → host, port, protocol."""
+    s = CP.endpoint_specs(spark, sf_dir)
+    p = parse_endpoint_spec(F.col("spec"))
+    return s.select("event_id", "spec", p["host"].alias("host"), p["port"].alias("port"),
+                    p["protocol"].alias("protocol"))
+
+
 FLAGSHIP = "readiness"
