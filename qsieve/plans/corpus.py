@@ -323,3 +323,23 @@ def endpoint_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    for i, f in enumerate(SPEC_FORMS)], "k long, pre string, post string")
     return (ev.join(F.broadcast(forms), (F.col("event_id") % len(SPEC_FORMS)) == F.col("k"))
             .select("event_id", F.concat("pre", F.col("user_id").cast("string"), "post").alias("spec")))
+
+
+# Policy table used by the policy queries (configuration, not data) and the
+# evaluation instant that makes deadlines deterministic.
+POLICIES = [
+    dict(id="no-rsa", description="No RSA after 2025", algorithm="RSA", action="block",
+         deadline="2025-01-01", message="RSA is deprecated — migrate to ML-KEM/ML-DSA"),
+    dict(id="no-weak-hashes", description="MD5 and SHA-1 are forbidden",
+         algorithm=["MD5", "SHA-1"], action="block"),
+    dict(id="require-pqc-signing", description="Signing should use ML-DSA by 2028",
+         category="signature", severity=["critical", "high"], action="warn",
+         deadline="2028-06-01", message="All signing operations should migrate to ML-DSA"),
+    dict(id="ecc-high-confidence", algorithm=["ecdsa", "ed25519", "ECDH"], min_confidence=0.9,
+         action="warn", deadline="2026-06-30"),
+    dict(id="tls-config", category=["protocol"], severity="high", action="block",
+         deadline="not a date"),
+    dict(id="never", algorithm=[], action="block"),
+    dict(id="all-vulnerable", min_confidence=0.95, action="warn"),
+]
+POLICY_NOW = "2026-12-01 00:00:00"

@@ -500,3 +500,36 @@ SELECT event_id, spec, host, port, CASE WHEN is_ssh OR (port = 22 AND NOT starts
   FROM (SELECT event_id, spec, starts_with(spec, 'ssh://') AS is_ssh,
                CASE WHEN starts_with(spec, 'ssh://') OR starts_with(spec, 'tls://') THEN substr(spec, 7) ELSE spec END AS addr
         FROM ({specs})))"""
+
+
+# ----------------------------------------------------------------- policies
+
+def policies_values(alias: str = "p") -> str:
+    from ..sources.policies import policy_rows
+    return values(policy_rows(CP.POLICIES), ["policy_ord", "id", "description", "algorithm", "category",
+                                             "severity", "min_confidence", "action", "deadline", "message"], alias)
+
+
+def violations_sql(findings: str) -> str:
+    now = f"TIMESTAMP '{CP.POLICY_NOW}'"
+    return f"""
+SELECT f.repo, p.id AS policy_id, coalesce(p.description, p.id) AS description, p.action,
+       coalesce(p.message, 'Violates policy "' || p.id || '"') AS message, p.deadline, f.rule_id, f.severity,
+       f.category, f.algorithm, f.file, f.line, f.confidence, p.policy_ord
+FROM (SELECT * FROM {findings} WHERE severity <> 'safe') f, {policies_values('p')}
+WHERE (p.deadline IS NULL OR p.deadline = '' OR TRY_CAST(p.deadline AS TIMESTAMP) IS NULL
+       OR {now} >= TRY_CAST(p.deadline AS TIMESTAMP))
+  AND (p.min_confidence IS NULL OR f.confidence >= p.min_confidence)
+  AND (p.algorithm IS NULL OR list_bool_or(list_transform(p.algorithm,
+        lambda a: contains(lower(f.algorithm), lower(a)))) IS TRUE)
+  AND (p.category IS NULL OR list_contains(p.category, f.category))
+  AND (p.severity IS NULL OR list_contains(p.severity, f.severity))"""
+
+
+def gate_sql(summary: str, violations: str) -> str:
+    return f"""
+SELECT s.repo, s.critical, s.high, coalesce(b.has_block, FALSE) AS has_block,
+       CAST(CASE WHEN coalesce(b.has_block, FALSE) THEN 2 WHEN s.critical + s.high > 0 THEN 1 ELSE 0 END AS BIGINT)
+       AS exit_code
+FROM {summary} s LEFT JOIN (SELECT repo, bool_or(action = 'block') AS has_block FROM {violations} GROUP BY repo) b
+ON s.repo = b.repo"""

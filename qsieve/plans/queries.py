@@ -19,6 +19,8 @@ from ..operators.usage import usage_findings
 from ..operators import dependencies as DP
 from ..operators.network import endpoint_findings
 from ..sources.endpoints import parse_endpoint_spec
+from ..sources.policies import policies_frame
+from ..operators import policy as PL
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -176,4 +178,46 @@ def q_endpoint_specs(spark, sf_dir):
                     p["protocol"].alias("protocol"))
 
 
+# ----------------------------------------------------------------- policies
+
+def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered, de-duplicated findings of the planted corpus (regex + usage)."""
+    return FD.dedupe(FD.filter_findings(code_raw(spark, sf_dir)))
+
+
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pol = policies_frame(spark, CP.POLICIES)
+    return PL.evaluate_policies(code_findings(spark, sf_dir), pol, CP.POLICY_NOW)
+
+
+_VIOL = ("violations", O.violations_sql("deduped"))
+VIOL_OUT = ["repo", "policy_id", "description", "action", "message", "deadline", "rule_id",
+            "severity", "category", "algorithm", "file", "line", "confidence"]
+
+
+@register("policy_violations", O.with_ctes(_CODE_FOUND + [_VIOL], f"""
+SELECT {', '.join(VIOL_OUT[:-2])}, CAST(line AS BIGINT) AS line, confidence FROM violations"""))
+def q_policy_violations(spark, sf_dir):
+    """S9 + J13: findings ⋈ policies (theta; deadlines at a fixed instant)."""
+    return _bigint(violations(spark, sf_dir).select(*VIOL_OUT), ["line"])
+
+
+@register("violation_counts", O.with_ctes(_CODE_FOUND + [_VIOL], """
+SELECT repo, policy_id, action, CAST(count(*) AS BIGINT) AS violations FROM violations
+GROUP BY repo, policy_id, action"""))
+def q_violation_counts(spark, sf_dir):
+    """Violations per repository, policy and action."""
+    return PL.violation_counts(violations(spark, sf_dir))
+
+
+@register("gate", O.with_ctes(_CODE_FOUND + [_VIOL, ("summary", O.summary_sql("deduped", "discovered"))],
+                              O.gate_sql("summary", "violations")))
+def q_gate(spark, sf_dir):
+    """A10: CI exit code per repository (2 block violation, 1 critical/high, 0)."""
+    disc = discovered_files(spark, sf_dir)
+    found = code_findings(spark, sf_dir)
+    viol = PL.evaluate_policies(found, policies_frame(spark, CP.POLICIES), CP.POLICY_NOW)
+    return PL.gate(SM.summary(found, disc), viol)
+
+
 FLAGSHIP = "readiness"
