@@ -343,3 +343,41 @@ POLICIES = [
     dict(id="all-vulnerable", min_confidence=0.95, action="warn"),
 ]
 POLICY_NOW = "2026-12-01 00:00:00"
+
+
+# SBOM component variants by p_partkey % len: (name, version, purl); None
+# name → the part's own name and size.  Every third part is an SPDX package.
+COMPONENT_VARIANTS = [
+    ("node-rsa", "1.1.1", "pkg:npm/node-rsa@1.1.1"),
+    ("express", "4.18.0", "pkg:npm/express@4.18.0"),
+    ("@noble/ed25519", "2.0.0", "pkg:npm/%40noble/ed25519@2.0.0"),
+    (None, None, None),
+    ("elliptic", "6.5.4", "pkg:npm/elliptic@6.5.4"),
+    ("secp256k1", "5.0.0", "pkg:npm/secp256k1@5.0.0"),
+    ("openssl", "3.0.13", None),
+    ("md5", "2.3.0", "pkg:npm/md5@2.3.0"),
+]
+N_SBOM_REPOS = 20
+
+
+def sbom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part → one small SBOM document per part (CycloneDX, or SPDX for every
+    third part), owned by repository src<p_partkey % 20>."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    var = spark.createDataFrame([(i,) + v for i, v in enumerate(COMPONENT_VARIANTS)],
+                                "k long, v_name string, v_version string, v_purl string")
+    j = part.join(F.broadcast(var), (F.col("p_partkey") % len(COMPONENT_VARIANTS)) == F.col("k"))
+    name = F.coalesce("v_name", "p_name")
+    version = F.coalesce(F.col("v_version"), F.col("p_size").cast("string"))
+    cdx = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"),
+                             F.array(F.struct(F.lit("library").alias("type"), name.alias("name"),
+                                              version.alias("version"),
+                                              F.col("v_purl").alias("purl"))).alias("components")))
+    refs = F.when(F.col("v_purl").isNotNull(), F.array(F.struct(
+        F.lit("purl").alias("referenceType"), F.col("v_purl").alias("referenceLocator"))))
+    spdx = F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"),
+                              F.array(F.struct(name.alias("name"), version.alias("versionInfo"),
+                                               refs.alias("externalRefs"))).alias("packages")))
+    return j.select(F.concat(F.lit("src"), (F.col("p_partkey") % N_SBOM_REPOS).cast("string")).alias("sbom_id"),
+                    F.col("p_partkey").alias("doc_ord"),
+                    F.when(F.col("p_partkey") % 3 == 2, spdx).otherwise(cdx).alias("content"))

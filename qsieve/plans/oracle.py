@@ -163,10 +163,14 @@ def filtered_sql(raw: str, min_confidence: float = C.DEFAULT_MIN_CONFIDENCE,
 def dedupe_sql(filtered: str) -> str:
     order = (f"confidence DESC, {sev_rank()} ASC, file ASC, phase ASC NULLS FIRST, "
              f"rule_ord ASC NULLS FIRST, line ASC NULLS FIRST, \"column\" ASC NULLS FIRST")
+    first = ("PARTITION BY repo, rule_id, file ORDER BY phase ASC NULLS FIRST, rule_ord ASC NULLS FIRST, "
+             "line ASC NULLS FIRST, \"column\" ASC NULLS FIRST")
+    fp = ", ".join(f"first_value({c}) OVER ({first}) AS fp_{n}"
+                   for c, n in [("phase", "phase"), ("rule_ord", "rule"), ("line", "line"), ('"column"', "col")])
     return f"""
 SELECT * EXCLUDE (rn, n), CASE WHEN n > 1 THEN n END AS occurrences FROM (
   SELECT *, row_number() OVER (PARTITION BY repo, rule_id, file ORDER BY {order}) AS rn,
-         CAST(count(*) OVER (PARTITION BY repo, rule_id, file) AS BIGINT) AS n
+         CAST(count(*) OVER (PARTITION BY repo, rule_id, file) AS BIGINT) AS n, {fp}
   FROM {filtered}) WHERE rn = 1"""
 
 
@@ -533,3 +537,99 @@ SELECT s.repo, s.critical, s.high, coalesce(b.has_block, FALSE) AS has_block,
        AS exit_code
 FROM {summary} s LEFT JOIN (SELECT repo, bool_or(action = 'block') AS has_block FROM {violations} GROUP BY repo) b
 ON s.repo = b.repo"""
+
+
+# --------------------------------------------------------------------- SBOM
+
+def sbom_components_sql() -> str:
+    var = values([(i,) + v for i, v in enumerate(CP.COMPONENT_VARIANTS)],
+                 ["k", "v_name", "v_version", "v_purl"], "cv")
+    return (f"SELECT 'src' || CAST(p_partkey % {CP.N_SBOM_REPOS} AS VARCHAR) AS sbom_id, "
+            f"CAST(p_partkey * 1000000 AS BIGINT) AS comp_ord, "
+            f"CASE WHEN p_partkey % 3 = 2 THEN 'spdx' ELSE 'cyclonedx' END AS format, "
+            f"coalesce(v_name, p_name) AS name, coalesce(v_version, CAST(p_size AS VARCHAR)) AS version, "
+            f"v_purl AS purl, 'library' AS type "
+            f"FROM part JOIN {var} ON part.p_partkey % {len(CP.COMPONENT_VARIANTS)} = cv.k")
+
+
+def _purl_match(purl: str, alg: str) -> str:
+    p, a = f"lower({purl})", f"lower({alg})"
+    return (f"(contains({p}, {a}) OR ({a} = 'rsa' AND contains({p}, 'rsa')) OR "
+            f"(contains({a}, 'ecdsa') AND (contains({p}, 'ecdsa') OR contains({p}, 'secp256'))) OR "
+            f"(contains({a}, 'ed25519') AND contains({p}, 'ed25519')))")
+
+
+def _ordered(findings: str) -> str:
+    """Findings with their O1 order as comparable columns."""
+    return (f"SELECT *, {sev_rank()} AS o_sev, fp_phase AS o_phase, fp_rule AS o_rule, fp_line AS o_line, "
+            f"fp_col AS o_col FROM {findings}")
+
+
+_ORD = "o_sev, file, o_phase NULLS FIRST, o_rule NULLS FIRST, o_line NULLS FIRST, o_col NULLS FIRST, rule_id"
+
+
+def sbom_cyclonedx_sql(findings: str, comps: str) -> str:
+    rel = "(contains(lower(l), lower(x)) OR contains(lower(x), lower(l)))"
+    match = (f"((c.purl IS NOT NULL AND c.purl <> '' AND {_purl_match('c.purl', 'a.algorithm')}) OR "
+             f"contains(lower(c.name), lower(a.algorithm)) OR contains(lower(a.algorithm), lower(c.name)))")
+    return f"""
+WITH fo AS ({_ordered(findings)}),
+fr AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORD}) AS frank FROM fo),
+algos AS (SELECT repo AS sbom_id, algorithm, min(frank) AS first_rank FROM fr GROUP BY repo, algorithm),
+cdx AS (SELECT * FROM {comps} WHERE format = 'cyclonedx'),
+hit AS (SELECT a.sbom_id, a.algorithm, min(c.comp_ord) AS comp_ord FROM algos a JOIN cdx c
+        ON a.sbom_id = c.sbom_id WHERE {match} GROUP BY a.sbom_id, a.algorithm),
+tg AS (SELECT a.*, h.comp_ord FROM algos a LEFT JOIN hit h ON a.sbom_id = h.sbom_id AND a.algorithm = h.algorithm),
+un AS (SELECT sbom_id, algorithm, row_number() OVER (PARTITION BY sbom_id ORDER BY first_rank) AS rn
+       FROM tg WHERE comp_ord IS NULL),
+lead AS (
+  WITH RECURSIVE r(sbom_id, rn, leaders) AS (
+    SELECT sbom_id, rn, [algorithm] FROM un WHERE rn = 1
+    UNION ALL
+    SELECT r.sbom_id, u.rn, CASE WHEN len(list_filter(r.leaders, lambda l: {rel.replace('x', 'u.algorithm')})) > 0
+                                 THEN r.leaders ELSE list_append(r.leaders, u.algorithm) END
+    FROM r JOIN un u ON u.sbom_id = r.sbom_id AND u.rn = r.rn + 1)
+  SELECT sbom_id, leaders FROM (SELECT *, row_number() OVER (PARTITION BY sbom_id ORDER BY rn DESC) AS k FROM r)
+  WHERE k = 1),
+ta AS (SELECT t.sbom_id, t.algorithm,
+              coalesce(t.comp_ord, {O_NEW} + list_position(l.leaders,
+                 list_filter(l.leaders, lambda l: {rel.replace('x', 't.algorithm')})[1])) AS target
+       FROM tg t LEFT JOIN lead l ON t.sbom_id = l.sbom_id),
+fa AS (SELECT f.*, ta.target FROM fr f JOIN ta ON f.repo = ta.sbom_id AND f.algorithm = ta.algorithm),
+per AS (SELECT repo AS sbom_id, target AS comp_ord, CAST(count(*) AS BIGINT) AS n_findings,
+               arg_max(algorithm, frank) AS last_algorithm, arg_min(algorithm, frank) AS c_alg,
+               arg_min(category, frank) AS c_cat FROM fa GROUP BY repo, target)
+SELECT c.sbom_id, c.comp_ord, 'original' AS origin, c.name, c.type, c.purl,
+       CASE WHEN p.n_findings IS NOT NULL THEN 'algorithm' END AS asset_type, p.last_algorithm AS variant,
+       CAST(coalesce(p.n_findings, 0) AS BIGINT) AS n_findings,
+       CAST(coalesce(p.n_findings, 0) * 4 AS BIGINT) AS n_added_properties
+FROM cdx c LEFT JOIN per p ON c.sbom_id = p.sbom_id AND c.comp_ord = p.comp_ord
+UNION ALL
+SELECT sbom_id, comp_ord, 'new', c_alg, 'crypto-asset', NULL,
+       CASE WHEN n_findings > 1 THEN 'algorithm' WHEN c_cat = 'protocol' THEN 'protocol' ELSE 'algorithm' END,
+       last_algorithm, n_findings, n_findings * 4
+FROM per WHERE comp_ord >= {O_NEW}"""
+
+
+O_NEW = 1_000_000_000_000
+
+
+def sbom_spdx_sql(findings: str, comps: str) -> str:
+    return f"""
+WITH sp AS (SELECT * FROM {comps} WHERE format = 'spdx'),
+algos AS (SELECT DISTINCT repo AS sbom_id, algorithm FROM {findings}),
+hit AS (SELECT a.sbom_id, a.algorithm, min(c.comp_ord) AS comp_ord FROM algos a JOIN sp c ON a.sbom_id = c.sbom_id
+        WHERE c.purl IS NOT NULL AND {_purl_match('c.purl', 'a.algorithm')} GROUP BY a.sbom_id, a.algorithm),
+fa AS (SELECT f.*, h.comp_ord FROM {findings} f LEFT JOIN hit h ON f.repo = h.sbom_id AND f.algorithm = h.algorithm),
+per AS (SELECT repo AS sbom_id, comp_ord, CAST(count(*) AS BIGINT) AS n FROM fa WHERE comp_ord IS NOT NULL
+        GROUP BY repo, comp_ord)
+SELECT s.sbom_id, 'original' AS origin, 'pkg-' || CAST(s.comp_ord AS VARCHAR) AS spdx_id, s.name,
+       coalesce(s.version, '') AS version_info, s.purl, CAST(coalesce(p.n, 0) AS BIGINT) AS n_annotations,
+       CAST(NULL AS VARCHAR) AS comment
+FROM sp s LEFT JOIN per p ON s.sbom_id = p.sbom_id AND s.comp_ord = p.comp_ord
+UNION ALL
+SELECT repo, 'new', 'SPDXRef-pqaudit-' || rule_id || '-' || regexp_replace(file, '[^A-Za-z0-9.]', '-', 'g'),
+       'crypto:' || algorithm, '', NULL, 0,
+       'Severity: ' || severity || '. Confidence: ' || CAST(confidence AS VARCHAR) || '. Replace with: ' ||
+       coalesce(replacement, 'N/A')
+FROM fa WHERE comp_ord IS NULL"""

@@ -21,6 +21,8 @@ from ..operators.network import endpoint_findings
 from ..sources.endpoints import parse_endpoint_spec
 from ..sources.policies import policies_frame
 from ..operators import policy as PL
+from ..operators import enrich as EN
+from ..sources import sbom as SB
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -220,4 +222,33 @@ def q_gate(spark, sf_dir):
     return PL.gate(SM.summary(found, disc), viol)
 
 
+# --------------------------------------------------------------------- SBOM
+
+def sbom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SB.components(CP.sbom_documents(spark, sf_dir))
+
+
+_COMPS = ("comps", O.sbom_components_sql())
+
+
+@register("sbom_components", O.sbom_components_sql())
+def q_sbom_components(spark, sf_dir):
+    """SBOM documents → format detection → component/package rows."""
+    return sbom_components(spark, sf_dir).select("sbom_id", "comp_ord", "format", "name", "version",
+                                                  "purl", "type")
+
+
+@register("sbom_cyclonedx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_cyclonedx_sql("deduped", "comps") + ")"))
+def q_sbom_cyclonedx(spark, sf_dir):
+    """J14/J16/J17 + A18 + K6: enriched CycloneDX components (original + new)."""
+    return EN.enrich_cyclonedx(sbom_components(spark, sf_dir), code_findings(spark, sf_dir))
+
+
+@register("sbom_spdx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_spdx_sql("deduped", "comps") + ")"))
+def q_sbom_spdx(spark, sf_dir):
+    """J15/J16 + A18 + K7: annotated SPDX packages plus one new package per
+    unmatched finding."""
+    return EN.enrich_spdx(sbom_components(spark, sf_dir), code_findings(spark, sf_dir))
+
+
 FLAGSHIP = "readiness"
