@@ -381,3 +381,21 @@ def sbom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.concat(F.lit("src"), (F.col("p_partkey") % N_SBOM_REPOS).cast("string")).alias("sbom_id"),
                     F.col("p_partkey").alias("doc_ord"),
                     F.when(F.col("p_partkey") % 3 == 2, spdx).otherwise(cdx).alias("content"))
+
+
+# A user rule table (E1) for the join-form query: a duplicated id (P8) and a
+# language-restricted rule.
+USER_RULES = [
+    dict(id="CUSTOM_RSA", description="Any RSA mention", severity="critical", category="kem",
+         algorithm="RSA", replacement="ML-KEM-768", effort="complex", languages=[],
+         patterns=[r"rsa\b", r"RSA_sign"]),
+    dict(id="CUSTOM_RSA", description="RSA key generation", severity="high", category="kem",
+         algorithm="RSA", replacement="ML-KEM-768", effort="complex", languages=[],
+         patterns=[r"generateKeyPair\s*\(", r"keypairgenerator"]),
+    dict(id="CONFIG_TLS_FILES", description="TLS key material in config", severity="high",
+         category="protocol", algorithm="TLS", replacement=None, effort="moderate",
+         languages=["config"], patterns=[r"tls\.(crt|key)", r"secretName:"]),
+    dict(id="SAFE_HASH", description="SHA-2 family", severity="safe", category="hash",
+         algorithm="SHA-2", replacement=None, effort="trivial", languages=[],
+         patterns=[r"sha-?(256|384|512)"]),
+]

@@ -633,3 +633,152 @@ SELECT repo, 'new', 'SPDXRef-pqaudit-' || rule_id || '-' || regexp_replace(file,
        'Severity: ' || severity || '. Confidence: ' || CAST(confidence AS VARCHAR) || '. Replace with: ' ||
        coalesce(replacement, 'N/A')
 FROM fa WHERE comp_ord IS NULL"""
+
+
+# ----------------------------------------------------------- reports/rollups
+
+_LVL = lambda x: case_map(x, C.SARIF_LEVEL)
+
+
+def sarif_rules_sql(findings: str) -> str:
+    return f"""
+SELECT repo, rule_id, algorithm AS short_description, description AS full_description, {_LVL('severity')} AS level,
+       CASE WHEN replacement IS NOT NULL AND replacement <> '' THEN 'Replace with: ' || replacement
+            ELSE 'No migration needed' END AS help_text
+FROM (SELECT *, row_number() OVER (PARTITION BY repo, rule_id ORDER BY {_ORD}) AS rn FROM ({_ordered(findings)}))
+WHERE rn = 1"""
+
+
+def sarif_results_sql(findings: str) -> str:
+    return f"""
+SELECT repo, rule_id, {_LVL('severity')} AS level,
+       algorithm || ': ' || description || CASE WHEN replacement IS NOT NULL AND replacement <> ''
+            THEN '. Replace with: ' || replacement ELSE '' END AS message,
+       file AS uri, CAST(coalesce(line, 1) AS BIGINT) AS start_line, CAST(coalesce("column", 1) AS BIGINT) AS start_column,
+       confidence, effort
+FROM {findings} WHERE severity <> 'safe'"""
+
+
+def _jsnum(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+def cbom_sql(findings: str) -> str:
+    p = C.PROPERTY_PREFIX
+    has = "(replacement IS NOT NULL AND replacement <> '')"
+    props = (f"concat_ws(';', '{p}severity=' || severity, '{p}confidence=' || {_jsnum('confidence')}, "
+             f"'{p}effort=' || effort, '{p}detectionMethod=' || detection_method, "
+             f"CASE WHEN {has} THEN '{p}replacement=' || replacement END)")
+    return f"""
+SELECT repo, 'crypto-' || rule_id || '-' || regexp_replace(file, '[^a-zA-Z0-9]', '-', 'g') || '-' ||
+       CAST(coalesce(line, 0) AS VARCHAR) AS bom_ref, 'crypto-asset' AS type, algorithm AS name, description,
+       {case_map('category', C.ASSET_TYPE)} AS asset_type, {case_map('category', C.PRIMITIVE)} AS primitive,
+       algorithm AS variant, {case_map('category', C.CRYPTO_FUNCTION)} AS crypto_function,
+       CAST({case_map('severity', C.CLASSICAL_LEVEL)} AS BIGINT) AS classical_security_level,
+       CAST({case_map('severity', C.NIST_QUANTUM_LEVEL)} AS BIGINT) AS nist_quantum_security_level,
+       file AS location, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "offset", snippet AS symbol,
+       CASE WHEN {has} THEN 'Recommended replacement: ' || replacement END AS additional_context,
+       {props} AS properties
+FROM {findings}"""
+
+
+def report_rows_sql(findings: str) -> str:
+    from ..operators.reports import SEVERITY_ICONS
+    loc = "CASE WHEN line IS NOT NULL AND line <> 0 THEN file || ':' || CAST(line AS VARCHAR) ELSE file END"
+    occ = ("CASE WHEN coalesce(occurrences, 1) > 1 THEN ' (' || CAST(occurrences AS VARCHAR) || ' occurrences)' "
+           "ELSE '' END")
+    return f"""
+SELECT f.repo, f.severity, CAST({sev_rank('f.severity')} AS BIGINT) AS severity_rank,
+       '--- ' || upper(f.severity) || ' (' || CAST(g.group_size AS VARCHAR) || ') ---' AS group_header,
+       '[' || {case_map('f.severity', SEVERITY_ICONS)} || '] ' || algorithm || ' — ' || description || {occ} AS label,
+       {loc} AS location, snippet, replacement AS fix,
+       CAST(CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' AS confidence_pct, effort,
+       detection_method AS via, coalesce({case_map('category', C.CATEGORY_LABELS)}, category) AS category_label,
+       rule_id, file
+FROM {findings} f JOIN (SELECT repo, severity, CAST(count(*) AS BIGINT) AS group_size FROM {findings}
+                        GROUP BY repo, severity) g ON f.repo = g.repo AND f.severity = g.severity"""
+
+
+def dashboard_sql(summary: str) -> str:
+    cols = ", ".join(f'"{c}"' for c in C.SEVERITIES + C.CATEGORIES)
+    return f"""
+SELECT repo, {cols}, files_scanned, findings_total, pqc_score,
+       CASE WHEN pqc_score >= 80 THEN 'good' WHEN pqc_score >= 50 THEN 'fair' ELSE 'poor' END AS score_band,
+       CASE WHEN pqc_ready THEN 'PQC READY' ELSE 'NOT PQC READY' END AS status
+FROM {summary}"""
+
+
+def portfolio_sql(findings: str, discovered: str) -> str:
+    return f"""
+SELECT coalesce(f.repo, c.repo) AS repo, coalesce(f.files_scanned, 0) AS files_scanned,
+       coalesce(c.critical, 0) AS critical, coalesce(c.high, 0) AS high, coalesce(c.safe, 0) AS safe,
+       (coalesce(c.critical, 0) + coalesce(c.high, 0) = 0) AS pqc_ready,
+       coalesce(c.vulnerable_algorithms, '') AS vulnerable_algorithms
+FROM (SELECT repo, CAST(count(DISTINCT path) AS BIGINT) AS files_scanned FROM {discovered} GROUP BY repo) f
+FULL OUTER JOIN (
+  SELECT repo, CAST(count_if(severity = 'critical') AS BIGINT) AS critical,
+         CAST(count_if(severity = 'high') AS BIGINT) AS high, CAST(count_if(severity = 'safe') AS BIGINT) AS safe,
+         array_to_string(list_sort(list_distinct(list(algorithm) FILTER (WHERE severity IN ('critical', 'high')))), ', ')
+           AS vulnerable_algorithms
+  FROM {findings} GROUP BY repo) c ON f.repo = c.repo"""
+
+
+def rollup_sql(portfolio: str) -> str:
+    return f"""
+SELECT repo, CAST(sum(files_scanned) AS BIGINT) AS files_scanned, CAST(sum(critical) AS BIGINT) AS critical,
+       CAST(sum(high) AS BIGINT) AS high, CAST(sum(safe) AS BIGINT) AS safe,
+       CAST(count(*) AS BIGINT) AS repositories, CAST(count_if(NOT pqc_ready) AS BIGINT) AS not_ready,
+       CAST(grouping(repo) AS BIGINT) AS is_total
+FROM {portfolio} GROUP BY ROLLUP (repo)"""
+
+
+def density_sql(findings: str, discovered: str) -> str:
+    return f"""SELECT * FROM (
+WITH per AS (SELECT f.repo, f.files_scanned, coalesce(c.n, 0) AS findings,
+                    round(coalesce(c.n, 0) / f.files_scanned, 4) AS density
+             FROM (SELECT repo, CAST(count(DISTINCT path) AS BIGINT) AS files_scanned FROM {discovered} GROUP BY repo) f
+             LEFT JOIN (SELECT repo, CAST(count(*) AS BIGINT) AS n FROM {findings} GROUP BY repo) c ON f.repo = c.repo)
+SELECT repo, files_scanned, findings, density,
+       repo = (SELECT repo FROM per ORDER BY density DESC, repo DESC LIMIT 1) AS is_densest
+FROM per)"""
+
+
+def path_groups_sql(findings: str) -> str:
+    from ..operators.summary import PATH_GROUP_RE
+    g = " ".join(f"WHEN regexp_matches(file, {S(rx)}) THEN {S(n)}" for n, rx in PATH_GROUP_RE)
+    return f"""
+SELECT repo, path_group, CAST(count(*) AS BIGINT) AS findings,
+       CAST(count_if(severity IN ('critical', 'high')) AS BIGINT) AS vulnerable
+FROM (SELECT *, CASE {g} ELSE 'core' END AS path_group FROM {findings}) GROUP BY repo, path_group"""
+
+
+def occurrences_sql(findings: str) -> str:
+    return f"""
+SELECT repo, algorithm, CAST(sum(coalesce(occurrences, 1)) AS BIGINT) AS occurrences,
+       CAST(count(*) AS BIGINT) AS findings FROM {findings} GROUP BY repo, algorithm"""
+
+
+def user_rules_sql(readable: str = "readable") -> str:
+    from ..sources.rules import rule_rows as rr
+    rows = rr(CP.USER_RULES)
+    rv = values([(r["rule_ord"], r["rule_id"], r["description"], r["severity"], r["category"], r["algorithm"],
+                  r["replacement"], r["effort"], r["languages"], r["patterns"]) for r in rows],
+                ["rule_ord", "rule_id", "description", "severity", "category", "algorithm", "replacement",
+                 "effort", "languages", "patterns"], "ur")
+    return f"""
+SELECT repo, rule_id, severity, category, algorithm, file, CAST(line AS BIGINT) AS line,
+       CAST("column" AS BIGINT) AS "column", snippet, detection_method, confidence, CAST(phase AS BIGINT) AS phase
+FROM (
+  SELECT h.repo, ur.rule_id, ur.severity, ur.category, ur.algorithm, h.path AS file, h.line_no AS line,
+         list_filter(list_transform(ur.patterns, lambda p: CASE WHEN regexp_matches(h.line, '(?i)' || p)
+              THEN length(regexp_extract(h.line, '(?i)^(.*?)(?:' || p || ')', 1)) + 1 END), lambda x: x IS NOT NULL)[1]
+           AS "column",
+         {snippet_sql('h.line')} AS snippet, 'regex' AS detection_method,
+         {confidence_sql('h.line', 'h.language', 'ur.severity')} AS confidence, 0 AS phase,
+         row_number() OVER (PARTITION BY h.repo, h.path, ur.rule_id, h.line_no ORDER BY ur.rule_ord) AS rn
+  FROM (SELECT repo, path, language, unnest(string_split(content, chr(10))) AS line,
+               generate_subscripts(string_split(content, chr(10)), 1) AS line_no
+        FROM {readable} WHERE length(content) <= {C.MAX_REGEX_CHARS}) h, {rv}
+  WHERE (len(ur.languages) = 0 OR h.language IS NULL OR list_contains(ur.languages, h.language))
+    AND regexp_matches(h.line, '(?i)' || array_to_string(list_transform(ur.patterns, lambda p: '(?:' || p || ')'), '|')))
+WHERE rn = 1"""

@@ -23,6 +23,9 @@ from ..sources.policies import policies_frame
 from ..operators import policy as PL
 from ..operators import enrich as EN
 from ..sources import sbom as SB
+from ..sources.rules import rules_frame
+from ..operators import reports as RP
+from ..operators.lines import regex_findings_join
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -251,4 +254,90 @@ def q_sbom_spdx(spark, sf_dir):
     return EN.enrich_spdx(sbom_components(spark, sf_dir), code_findings(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ reports
+
+_SUMMARY = ("summary", O.summary_sql("deduped", "discovered"))
+
+
+@register("sarif_rules", O.with_ctes(_CODE_FOUND, O.sarif_rules_sql("deduped")))
+def q_sarif_rules(spark, sf_dir):
+    """A8 + K3: distinct rules with their first finding (safe included)."""
+    return RP.sarif_rules(code_findings(spark, sf_dir))
+
+
+@register("sarif_results", O.with_ctes(_CODE_FOUND, O.sarif_results_sql("deduped")))
+def q_sarif_results(spark, sf_dir):
+    """P16 + F2 + F13 + K3: SARIF results for non-safe findings."""
+    return RP.sarif_results(code_findings(spark, sf_dir))
+
+
+@register("cbom_components", O.with_ctes(_CODE_FOUND, O.cbom_sql("deduped")))
+def q_cbom_components(spark, sf_dir):
+    """K2 + F3–F7 + F9: CycloneDX crypto-asset component per finding."""
+    return RP.cbom_components(code_findings(spark, sf_dir))
+
+
+@register("report_rows", O.with_ctes(_CODE_FOUND, O.report_rows_sql("deduped")))
+def q_report_rows(spark, sf_dir):
+    """K4 + A9 + F8/F10–F12: text/table report rows with severity groups."""
+    return RP.report_rows(code_findings(spark, sf_dir))
+
+
+@register("dashboard", O.with_ctes(_CODE_FOUND + [_SUMMARY], O.dashboard_sql("summary")))
+def q_dashboard(spark, sf_dir):
+    """K5 + A7: dashboard dataset per repository."""
+    disc = discovered_files(spark, sf_dir)
+    return RP.dashboard(SM.summary(code_findings(spark, sf_dir), disc))
+
+
+@register("json_findings")
+def q_json_findings(spark, sf_dir):
+    """K1: JSON-lines result (one object per finding, fixed timestamp)."""
+    return RP.json_findings(code_findings(spark, sf_dir), CP.POLICY_NOW)
+
+
+# ------------------------------------------------------------------ rollups
+
+@register("portfolio", O.with_ctes(_CODE_FOUND, O.portfolio_sql("deduped", "discovered")))
+def q_portfolio(spark, sf_dir):
+    """Per repository files, critical/high/safe, readiness, vulnerable algorithms."""
+    return SM.portfolio(code_findings(spark, sf_dir), discovered_files(spark, sf_dir))
+
+
+@register("portfolio_rollup", O.with_ctes(
+    _CODE_FOUND + [("portfolio", O.portfolio_sql("deduped", "discovered"))], O.rollup_sql("portfolio")))
+def q_portfolio_rollup(spark, sf_dir):
+    """ROLLUP over repositories (grand total row has repo null)."""
+    return SM.portfolio_rollup(SM.portfolio(code_findings(spark, sf_dir), discovered_files(spark, sf_dir)))
+
+
+@register("finding_density", O.with_ctes(_CODE_FOUND, O.density_sql("deduped", "discovered")))
+def q_finding_density(spark, sf_dir):
+    """Findings per file and the densest repository."""
+    return SM.density(code_findings(spark, sf_dir), discovered_files(spark, sf_dir))
+
+
+@register("path_groups", O.with_ctes(_CODE_FOUND, O.path_groups_sql("deduped")))
+def q_path_groups(spark, sf_dir):
+    """Findings by path group (vendor / compiled / test / core)."""
+    return SM.by_path_group(code_findings(spark, sf_dir))
+
+
+@register("algorithm_occurrences", O.with_ctes(_CODE_FOUND, O.occurrences_sql("deduped")))
+def q_algorithm_occurrences(spark, sf_dir):
+    """Occurrences before de-duplication per algorithm (Σ occurrences)."""
+    return SM.occurrences_by_algorithm(code_findings(spark, sf_dir))
+
+
+# -------------------------------------------------------------- user rules
+
+@register("user_rules_join", O.with_ctes([_FILES, _DISC, _READ], O.user_rules_sql()))
+def q_user_rules_join(spark, sf_dir):
+    """E1 + J1 join form + P8: a user rule table through the broadcast
+    nested-loop join (same-line duplicate ids suppressed)."""
+    text = readable(discovered_files(spark, sf_dir))
+    rules = rules_frame(spark, CP.USER_RULES)
+    return _bigint(regex_findings_join(text, rules).select(*FINDING_OUT), ["line", "column", "phase"])
+
+
 FLAGSHIP = "readiness"
