@@ -54,3 +54,42 @@ def js_word_boundary_java(pattern: str) -> str:
 def sql_str(s: str) -> str:
     """Single-quoted SQL literal (standard doubling; no backslash escapes)."""
     return "'" + s.replace("'", "''") + "'"
+
+
+_META = set(".^$*+?()[]{}|\\")
+
+
+def literal_of(pattern: str) -> str | None:
+    """The literal text a pattern matches, if it is a plain literal (escaped
+    punctuation allowed); None for any real regex construct."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            if i + 1 < len(pattern) and not pattern[i + 1].isalnum():
+                out.append(pattern[i + 1])
+                i += 2
+                continue
+            return None
+        if ch in _META:
+            return None
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def effective_patterns(patterns: list[str]) -> list[str]:
+    """Drop a pattern that is a plain literal L when an earlier pattern
+    (without anchors or look-around) matches inside L: wherever the later
+    pattern matches, the earlier one does too, so it is never the first
+    matching pattern (P5) and never changes the union (P4).  Exact."""
+    import re
+    kept: list[str] = []
+    for p in patterns:
+        lit = literal_of(p)
+        if lit is not None and any(
+                not any(t in q for t in ("^", "$", "(?", r"\b")) and re.search(q, lit, re.I)
+                for q in kept):
+            continue
+        kept.append(p)
+    return kept

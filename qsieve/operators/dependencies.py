@@ -24,7 +24,8 @@ _DIM = "name string, algorithm string, severity string, category string, descrip
 
 
 def known(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, _DIM)
+    from ..session import dimension
+    return dimension(spark, "known:" + rows[0][0], lambda: spark.createDataFrame(rows, _DIM))
 
 
 def _finding(df: DataFrame, phase: int, rule_id, snippet, file=None) -> DataFrame:
@@ -79,10 +80,11 @@ def pip_findings(files: DataFrame) -> DataFrame:
 
 
 def _java_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    from ..session import dimension
+    return dimension(spark, "known:java", lambda: spark.createDataFrame(
         [(i, g, rx, a, sev, cat, d, r) for i, (g, rx, a, sev, cat, d, r) in enumerate(C.JAVA_PACKAGES)],
         "known_ord int, group_id string, artifact_rx string, algorithm string, severity string, "
-        "category string, description string, replacement string")
+        "category string, description string, replacement string"))
 
 
 def java_findings(files: DataFrame) -> DataFrame:

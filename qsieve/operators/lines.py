@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.regex import JS_SPACE_JAVA, java_ci, js_word_boundary_java, union
+from ..functions.regex import JS_SPACE_JAVA, effective_patterns, java_ci, js_word_boundary_java, union
 from ..sources.rules import rule_rows, rules_frame
 
 FINDING_COLS = ["repo", "rule_id", "description", "severity", "category", "algorithm",
@@ -69,7 +69,8 @@ def match_compiled(lines: DataFrame, rules: list[dict] | None = None,
     lang = F.col("language")
     line = F.col("line")
     hits = [F.when(applicable(r["languages"], lang) & _gate(lc, gates.get(r["rule_id"]))
-                   & line.rlike(java_ci(union(r["patterns"]))), F.lit(r["rule_ord"]))
+                   & line.rlike(java_ci(union(effective_patterns(r["patterns"])))),
+                   F.lit(r["rule_ord"]))
             for r in rows]
     return (lines.select("*", F.lower("line").alias("lc"))
             .select(*lines.columns, F.explode(F.array(*hits)).alias("rule_ord"))
@@ -89,8 +90,11 @@ def match_column() -> Column:
 
 def rule_dimension(spark, rules: list[dict] | None = None) -> DataFrame:
     """Rule attributes plus `rx_list` for the match column (broadcast side)."""
+    rows = rule_rows(rules)
+    eff = F.create_map(*[x for r in rows for x in (
+        F.lit(r["rule_ord"]), F.array(*[F.lit("(?i)" + p) for p in effective_patterns(r["patterns"])]))])
     return (rules_frame(spark, rules)
-            .withColumn("rx_list", F.transform("patterns", lambda p: F.concat(F.lit("(?i)"), p)))
+            .withColumn("rx_list", F.element_at(eff, F.col("rule_ord")))
             .drop("patterns", "languages"))
 
 

@@ -189,7 +189,9 @@ def pattern_dimension(spark) -> DataFrame:
             (i, [a.lower() for a in args], None, [], rid, float(conf)))
     for i, (o, m, prop, vals, rid, conf) in enumerate(C.OPTION_PATTERNS):
         by_key.setdefault(f"option:{o}.{m}", []).append((i, [], prop, list(vals), rid, float(conf)))
-    return spark.createDataFrame(list(by_key.items()), PATTERN_DIM_SCHEMA)
+    from ..session import dimension
+    return dimension(spark, "usage_patterns",
+                     lambda: spark.createDataFrame(list(by_key.items()), PATTERN_DIM_SCHEMA))
 
 
 def package_root(pkg: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import dimension
 from ..sources.files import ensure_parallelism
 
 # Directory of a document file, by doc_id % len(DIRS).  node_modules/ is
@@ -173,11 +174,12 @@ def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(PLANTS)], PLANT_SCHEMA)
+    return dimension(spark, "plants", lambda: spark.createDataFrame(
+        [(i, s, b) for i, (s, b) in enumerate(PLANTS)], PLANT_SCHEMA))
 
 
 def dirs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(DIRS)), DIR_SCHEMA)
+    return dimension(spark, "dirs", lambda: spark.createDataFrame(list(enumerate(DIRS)), DIR_SCHEMA))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +270,8 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier → one repository per supplier with the eight root manifests."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     rows = [(name, i, body) for name, vs in MANIFEST_VARIANTS.items() for i, body in enumerate(vs)]
-    var = spark.createDataFrame(rows, "path string, k long, body string")
+    var = dimension(spark, "manifest_variants",
+                    lambda: spark.createDataFrame(rows, "path string, k long, body string"))
     picks = F.array(*[F.struct(F.lit(n).alias("path"), (F.col("s_suppkey") % len(v)).alias("k"))
                       for n, v in MANIFEST_VARIANTS.items()])
     return (sup.select("s_suppkey", "s_name", F.explode(picks).alias("p"))
@@ -300,9 +303,10 @@ N_NET_REPOS = 4
 def endpoint_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events → endpoint_obs: one observation per event; host from user_id."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
-    var = spark.createDataFrame([(i,) + v for i, v in enumerate(OBS_VARIANTS)],
-                                "k long, protocol string, tls_version string, cipher string, "
-                                "has_subject boolean, asn1_curve string, pubkey_len int, banner string")
+    var = dimension(spark, "obs_variants", lambda: spark.createDataFrame(
+        [(i,) + v for i, v in enumerate(OBS_VARIANTS)],
+        "k long, protocol string, tls_version string, cipher string, "
+        "has_subject boolean, asn1_curve string, pubkey_len int, banner string"))
     port = F.when(F.col("protocol") == "ssh", F.lit(22)) \
         .otherwise(F.when(F.col("event_id") % 2 == 0, F.lit(443)).otherwise(F.lit(8443)))
     return (ev.join(F.broadcast(var), (F.col("event_id") % len(OBS_VARIANTS)) == F.col("k"))
@@ -319,8 +323,9 @@ SPEC_FORMS = ["ssh://host{u}", "tls://host{u}:8443", "host{u}:22", "host{u}", "t
 def endpoint_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events → endpoint spec strings (S20 input), form by event_id % len."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
-    forms = spark.createDataFrame([(i, f.split("{u}")[0], f.split("{u}")[1])
-                                   for i, f in enumerate(SPEC_FORMS)], "k long, pre string, post string")
+    forms = dimension(spark, "spec_forms", lambda: spark.createDataFrame(
+        [(i, f.split("{u}")[0], f.split("{u}")[1]) for i, f in enumerate(SPEC_FORMS)],
+        "k long, pre string, post string"))
     return (ev.join(F.broadcast(forms), (F.col("event_id") % len(SPEC_FORMS)) == F.col("k"))
             .select("event_id", F.concat("pre", F.col("user_id").cast("string"), "post").alias("spec")))
 
@@ -364,8 +369,9 @@ def sbom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part → one small SBOM document per part (CycloneDX, or SPDX for every
     third part), owned by repository src<p_partkey % 20>."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    var = spark.createDataFrame([(i,) + v for i, v in enumerate(COMPONENT_VARIANTS)],
-                                "k long, v_name string, v_version string, v_purl string")
+    var = dimension(spark, "component_variants", lambda: spark.createDataFrame(
+        [(i,) + v for i, v in enumerate(COMPONENT_VARIANTS)],
+        "k long, v_name string, v_version string, v_purl string"))
     j = part.join(F.broadcast(var), (F.col("p_partkey") % len(COMPONENT_VARIANTS)) == F.col("k"))
     name = F.coalesce("v_name", "p_name")
     version = F.coalesce(F.col("v_version"), F.col("p_size").cast("string"))

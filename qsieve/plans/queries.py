@@ -26,6 +26,7 @@ from ..sources import sbom as SB
 from ..sources.rules import rules_frame
 from ..operators import reports as RP
 from ..operators.lines import regex_findings_join
+from ..session import materialize
 from ..sources.files import discover, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
@@ -190,6 +191,13 @@ def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FD.dedupe(FD.filter_findings(code_raw(spark, sf_dir)))
 
 
+def shared_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code findings for a query that consumes them more than once: a
+    reliable checkpoint in the session's checkpoint directory, so the scan
+    runs once (Catalyst would otherwise re-plan each consumer separately)."""
+    return materialize(code_findings(spark, sf_dir))
+
+
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pol = policies_frame(spark, CP.POLICIES)
     return PL.evaluate_policies(code_findings(spark, sf_dir), pol, CP.POLICY_NOW)
@@ -220,7 +228,7 @@ def q_violation_counts(spark, sf_dir):
 def q_gate(spark, sf_dir):
     """A10: CI exit code per repository (2 block violation, 1 critical/high, 0)."""
     disc = discovered_files(spark, sf_dir)
-    found = code_findings(spark, sf_dir)
+    found = shared_findings(spark, sf_dir)
     viol = PL.evaluate_policies(found, policies_frame(spark, CP.POLICIES), CP.POLICY_NOW)
     return PL.gate(SM.summary(found, disc), viol)
 
@@ -244,14 +252,14 @@ def q_sbom_components(spark, sf_dir):
 @register("sbom_cyclonedx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_cyclonedx_sql("deduped", "comps") + ")"))
 def q_sbom_cyclonedx(spark, sf_dir):
     """J14/J16/J17 + A18 + K6: enriched CycloneDX components (original + new)."""
-    return EN.enrich_cyclonedx(sbom_components(spark, sf_dir), code_findings(spark, sf_dir))
+    return EN.enrich_cyclonedx(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir))
 
 
 @register("sbom_spdx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_spdx_sql("deduped", "comps") + ")"))
 def q_sbom_spdx(spark, sf_dir):
     """J15/J16 + A18 + K7: annotated SPDX packages plus one new package per
     unmatched finding."""
-    return EN.enrich_spdx(sbom_components(spark, sf_dir), code_findings(spark, sf_dir))
+    return EN.enrich_spdx(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ reports
@@ -280,7 +288,7 @@ def q_cbom_components(spark, sf_dir):
 @register("report_rows", O.with_ctes(_CODE_FOUND, O.report_rows_sql("deduped")))
 def q_report_rows(spark, sf_dir):
     """K4 + A9 + F8/F10–F12: text/table report rows with severity groups."""
-    return RP.report_rows(code_findings(spark, sf_dir))
+    return RP.report_rows(shared_findings(spark, sf_dir))
 
 
 @register("dashboard", O.with_ctes(_CODE_FOUND + [_SUMMARY], O.dashboard_sql("summary")))
@@ -314,7 +322,7 @@ def q_portfolio_rollup(spark, sf_dir):
 @register("finding_density", O.with_ctes(_CODE_FOUND, O.density_sql("deduped", "discovered")))
 def q_finding_density(spark, sf_dir):
     """Findings per file and the densest repository."""
-    return SM.density(code_findings(spark, sf_dir), discovered_files(spark, sf_dir))
+    return SM.density(shared_findings(spark, sf_dir), discovered_files(spark, sf_dir))
 
 
 @register("path_groups", O.with_ctes(_CODE_FOUND, O.path_groups_sql("deduped")))

@@ -49,3 +49,18 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint into the shared checkpoint directory (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_DIMS: dict[tuple, DataFrame] = {}
+
+
+def dimension(spark: SparkSession, key: str, build) -> DataFrame:
+    """A small literal dimension, built once per session.  Reusing the same
+    DataFrame keeps plans canonically equal, so a query that derives the
+    same input twice gets its exchanges reused instead of recomputed."""
+    k = (id(spark._jsparkSession), key)
+    df = _DIMS.get(k)
+    if df is None:
+        df = build()
+        _DIMS[k] = df
+    return df

@@ -37,7 +37,10 @@ def policy_rows(policies: list[dict]) -> list[tuple]:
 
 
 def policies_frame(spark: SparkSession, policies: list[dict]) -> DataFrame:
-    return spark.createDataFrame(policy_rows(policies), POLICY_SCHEMA)
+    from ..session import dimension
+    rows = policy_rows(policies)
+    return dimension(spark, "policies:" + repr(rows),
+                     lambda: spark.createDataFrame(rows, POLICY_SCHEMA))
 
 
 def invalid_policies(policies: DataFrame) -> DataFrame:

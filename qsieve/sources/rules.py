@@ -41,7 +41,8 @@ def rules_frame(spark: SparkSession, rules: list[dict] | None = None) -> DataFra
     """The rule dimension as a DataFrame (28 rows by default; size is that of
     the catalogue, independent of the scanned data)."""
     rows = [tuple(r[f.name] for f in RULE_SCHEMA.fields) for r in rule_rows(rules)]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    from ..session import dimension
+    return dimension(spark, "rules:" + repr(rows), lambda: spark.createDataFrame(rows, RULE_SCHEMA))
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
