@@ -70,9 +70,11 @@ IMPORT_BODY = (r"(^|;)([ \t]*)(import(?:[ \t]*|\s*[{*][^;\"'`]*?from\s*"
                r"|\s+[A-Za-z_$][^;\"'`]*?\sfrom\s*)(\"[^\"\n]*\"|'[^'\n]*'))")
 IMPORT_GROUPS = dict(pre=[1, 2], source=4)
 
-CALL_BODY = (r"(^|[^\w$.)\]]|[)\]]\s*\.\s*)((?:[A-Za-z_$][\w$]*\s*\.\s*)*)(" + _CALL_ALT
+CALL_BODY = (r"(^|[^\w$.)\]]|[)\]]\s*\.\s*|\s*\.\s*)((?:[A-Za-z_$][\w$]*\s*\.\s*)*)(" + _CALL_ALT
              + r")\s*\(\s*(?:" + _QSTR + r"\s*[,)])?")
 CALL_GROUPS = dict(pre=[1], delim=1, chain=2, method=3, arg=4)
+# A call whose delimiter is `)` / `]` / a bare `.` continues a chain.
+CHAIN_DELIM_RE = r"^(?:[)\]]|\s*\.)"
 
 OPTION_BODY = (r"(^|[^\w$.])((" + "|".join(_OPT_OBJECTS) + r")\s*\.\s*(" + "|".join(_OPT_METHODS)
                + r")\s*\(((?:[^()]+|\([^()]*\))*)\)?)")
@@ -90,6 +92,18 @@ HEAD_ANY = (r"(?:^|[;\s])import[\s{*\"']|(?:" + _CALL_ALT + r")\s*\(|(?:" + "|".
 
 # ----------------------------------------------------------------- U1 mask
 
+def _blank(t: Column) -> Column:
+    return F.regexp_replace(t, r"[^\n]", " ")
+
+
+def _is_comment(t: Column) -> Column:
+    return t.startswith("//") | t.startswith("/*")
+
+
+def _is_string(t: Column) -> Column:
+    return t.startswith('"') | t.startswith("'") | t.startswith("`")
+
+
 def mask_comments(content: Column) -> Column:
     tokens = F.regexp_extract_all(content, F.lit(TOKEN_JAVA), F.lit(0))
     blank = F.transform(tokens, lambda t: F.when(t.startswith("//") | t.startswith("/*"),
@@ -129,7 +143,7 @@ def extract_sites(ctx: Column, line_len: Column, body: str, groups: dict[str, in
         for g in groups["pre"]:
             start = start + F.length(F.regexp_extract(w, anchored, g))
         fields = {k: F.regexp_extract(w, anchored, v) for k, v in named.items()}
-        cont = fields["delim"].rlike(r"^[)\]]") if chained else F.lit(False)
+        cont = fields["delim"].rlike(CHAIN_DELIM_RE) if chained else F.lit(False)
         off = F.when(cont, F.coalesce(acc["last"], start)).otherwise(start)
         site = F.struct(off.alias("offset"), *[c.alias(k) for k, c in fields.items()],
                         cont.alias("chained"))
@@ -146,20 +160,28 @@ def _lines_with_context(files: DataFrame) -> DataFrame:
     """One row per line that carries a site head: (repo, path, line_no, line,
     masked, ctx).  The context is built inside the row from the file's line
     array, so no window or shuffle is needed."""
-    src = files.where(F.col("language").isin(USAGE_LANGUAGES)).select(
-        "repo", "path", F.split("content", "\n", -1).alias("ol"),
-        F.split(mask_comments(F.col("content")), "\n", -1).alias("ml"))
+    toks = files.where(F.col("language").isin(USAGE_LANGUAGES)).select(
+        "repo", "path", "content",
+        F.regexp_extract_all("content", F.lit(TOKEN_JAVA), F.lit(0)).alias("tok"))
+    # one tokenisation, two masks: comments blanked (sites are read here) and
+    # comments + string literals blanked (a site's head must be code here)
+    code = F.array_join(F.transform("tok", lambda t: F.when(_is_comment(t), _blank(t)).otherwise(t)), "")
+    bare = F.array_join(F.transform("tok", lambda t: F.when(_is_comment(t) | _is_string(t), _blank(t))
+                                    .otherwise(t)), "")
+    src = toks.select("repo", "path", F.split("content", "\n", -1).alias("ol"),
+                      F.split(code, "\n", -1).alias("ml"), F.split(bare, "\n", -1).alias("bl"))
     ctx = F.transform("ml", lambda m, i: F.when(
         m.rlike(HEAD_MULTI),
         F.array_join(F.slice(F.col("ml"), i + 1, LOOKAHEAD_LINES + 1), "\n"))
         .when(m.rlike(HEAD_ANY), m))
     z = F.arrays_zip(F.sequence(F.lit(1), F.size("ml")).alias("line_no"),
-                     F.col("ol").alias("line"), F.col("ml").alias("masked"), ctx.alias("ctx"))
+                     F.col("ol").alias("line"), F.col("ml").alias("masked"), F.col("bl").alias("bare"),
+                     ctx.alias("ctx"))
     heads = F.filter(z, lambda s: s["ctx"].isNotNull())
     return (src.select("repo", "path", F.explode(heads).alias("s"))
             .select("repo", "path", F.col("s.line_no").cast("int").alias("line_no"),
                     F.col("s.line").alias("line"), F.col("s.masked").alias("masked"),
-                    F.col("s.ctx").alias("ctx")))
+                    F.col("s.bare").alias("bare"), F.col("s.ctx").alias("ctx")))
 
 
 # ------------------------------------------------------- pattern dimensions
@@ -246,8 +268,9 @@ def sites(lines: DataFrame) -> DataFrame:
     opt = F.transform(extract_sites(F.col("ctx"), ln, OPTION_BODY, OPTION_GROUPS), lambda o: _site(
         o["offset"], "option", F.concat(F.lit("option:"), o["obj"], F.lit("."), o["method"]),
         pairs=option_pairs(o["args"])))
+    in_code = lambda x: F.substr(F.col("bare"), x["offset"] + 1, F.lit(1)) != " "
     return (lines.select("repo", "path", "line_no", "line",
-                         F.explode(F.concat(imp, req, cll, opt)).alias("s"))
+                         F.explode(F.filter(F.concat(imp, req, cll, opt), in_code)).alias("s"))
             .select("repo", "path", "line_no", "line", "s.*"))
 
 

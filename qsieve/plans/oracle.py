@@ -204,18 +204,23 @@ def usage_findings_sql(readable: str = "readable") -> str:
     """DuckDB twin of operators/usage.py (RE2 tokeniser and site regexes)."""
     from ..operators import usage as U
     K = U.LOOKAHEAD_LINES
-    mask = (f"array_to_string(list_transform(regexp_extract_all(content, {S(U.TOKEN_RE2)}, 0), "
-            f"lambda t: CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') "
+    cmt = "(starts_with(t, '//') OR starts_with(t, '/*'))"
+    strg = "(" + " OR ".join(f"starts_with(t, {S(q)})" for q in ['"', "'", "`"]) + ")"
+    mask = (f"array_to_string(list_transform(tok, lambda t: CASE WHEN {cmt} "
+            f"THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')")
+    bare = (f"array_to_string(list_transform(tok, lambda t: CASE WHEN {cmt} OR {strg} "
             f"THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')")
     langs = ", ".join(S(x) for x in U.USAGE_LANGUAGES)
     lines = f"""
-SELECT repo, path, s.line_no AS line_no, s.line AS line, s.masked AS masked, s.ctx AS ctx FROM (
+SELECT repo, path, s.line_no AS line_no, s.line AS line, s.masked AS masked, s.bare AS bare, s.ctx AS ctx FROM (
   SELECT repo, path, unnest(list_filter(list_transform(ml, lambda m, i: {{'line_no': i, 'line': ol[i],
-      'masked': m, 'ctx': CASE WHEN regexp_matches(m, {S(U.HEAD_MULTI)})
+      'masked': m, 'bare': bl[i], 'ctx': CASE WHEN regexp_matches(m, {S(U.HEAD_MULTI)})
         THEN array_to_string(list_slice(ml, i, i + {K}), chr(10))
         WHEN regexp_matches(m, {S(U.HEAD_ANY)}) THEN m END}}), lambda s: s.ctx IS NOT NULL)) AS s
-  FROM (SELECT repo, path, string_split(content, chr(10)) AS ol, string_split({mask}, chr(10)) AS ml
-        FROM {readable} WHERE language IN ({langs})))"""
+  FROM (SELECT repo, path, string_split(content, chr(10)) AS ol, string_split({mask}, chr(10)) AS ml,
+               string_split({bare}, chr(10)) AS bl
+        FROM (SELECT repo, path, content, regexp_extract_all(content, {S(U.TOKEN_RE2)}, 0) AS tok
+              FROM {readable} WHERE language IN ({langs}))))"""
 
     def sites(body: str, groups: dict, src: str) -> str:
         anchored = S("^" + body)
@@ -227,9 +232,9 @@ SELECT repo, path, s.line_no AS line_no, s.line AS line, s.masked AS masked, s.c
         fields = ", ".join([f"'soff': {off}", "'idx': j"] + [f"'{k}': {grp(v)}" for k in names
                                                              for v in [names[k]]])
         return f"""
-SELECT repo, path, line_no, line, list_filter(list_transform(range(1, len(w_) + 1), lambda j: {{{fields}}}),
+SELECT repo, path, line_no, line, bare, list_filter(list_transform(range(1, len(w_) + 1), lambda j: {{{fields}}}),
        lambda s: s.soff < line_len) AS sites
-FROM (SELECT repo, path, line_no, line, length(masked) AS line_len,
+FROM (SELECT repo, path, line_no, line, bare, length(masked) AS line_len,
              regexp_extract_all({src}, {S(body)}, 0) AS w_, string_split_regex({src}, {S(body)}) AS g_
       FROM u_lines)"""
 
@@ -248,22 +253,25 @@ FROM (SELECT repo, path, line_no, line, length(masked) AS line_len,
     return f"""
 WITH u_lines AS ({lines}),
 u_imp AS (SELECT repo, path, line_no, line, s.soff AS soff, {_unq('s.source')} AS package
-          FROM (SELECT repo, path, line_no, line, unnest(sites) AS s FROM ({sites(U.IMPORT_BODY, U.IMPORT_GROUPS, 'ctx')}))),
-u_call0 AS (SELECT repo, path, line_no, line, sites FROM ({sites(U.CALL_BODY, U.CALL_GROUPS, 'masked')})),
+          FROM (SELECT repo, path, line_no, line, bare, unnest(sites) AS s FROM ({sites(U.IMPORT_BODY, U.IMPORT_GROUPS, 'ctx')}))
+          WHERE substr(bare, CAST(s.soff + 1 AS BIGINT), 1) <> ' '),
+u_call0 AS (SELECT repo, path, line_no, line, bare, sites FROM ({sites(U.CALL_BODY, U.CALL_GROUPS, 'masked')})),
 u_call AS (
   SELECT repo, path, line_no, line, s.idx AS idx, s.soff AS soff, s.chain AS chain, s.method AS method,
          s.arg AS arg, s.chained AS chained FROM (
-    SELECT repo, path, line_no, line, unnest(list_transform(sites, lambda x, i: {{
+    SELECT repo, path, line_no, line, bare, unnest(list_transform(sites, lambda x, i: {{
       'idx': x.idx,
-      'soff': CASE WHEN regexp_matches(x.delim, '^[)\\]]')
+      'soff': CASE WHEN regexp_matches(x.delim, {S(U.CHAIN_DELIM_RE)})
                 THEN coalesce(list_filter(list_slice(sites, 1, i - 1),
-                     lambda y: NOT regexp_matches(y.delim, '^[)\\]]'))[-1].soff, x.soff)
+                     lambda y: NOT regexp_matches(y.delim, {S(U.CHAIN_DELIM_RE)}))[-1].soff, x.soff)
                 ELSE x.soff END,
       'chain': x.chain, 'method': x.method, 'arg': x.arg,
-      'chained': regexp_matches(x.delim, '^[)\\]]')}})) AS s FROM u_call0)),
+      'chained': regexp_matches(x.delim, {S(U.CHAIN_DELIM_RE)})}})) AS s FROM u_call0)
+  WHERE substr(bare, CAST(s.soff + 1 AS BIGINT), 1) <> ' '),
 u_opt AS (SELECT repo, path, line_no, line, s.idx AS idx, s.soff AS soff, s.obj AS obj, s.method AS method,
                  s.args AS args
-          FROM (SELECT repo, path, line_no, line, unnest(sites) AS s FROM ({sites(U.OPTION_BODY, U.OPTION_GROUPS, 'ctx')}))),
+          FROM (SELECT repo, path, line_no, line, bare, unnest(sites) AS s FROM ({sites(U.OPTION_BODY, U.OPTION_GROUPS, 'ctx')}))
+          WHERE substr(bare, CAST(s.soff + 1 AS BIGINT), 1) <> ' '),
 u_pkg AS (
   SELECT repo, path, line_no, line, soff, package FROM u_imp
   UNION ALL

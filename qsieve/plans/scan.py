@@ -16,7 +16,7 @@ from .. import catalog as C
 from ..operators import findings as FD
 from ..operators import summary as SM
 from ..operators.lines import regex_findings_for
-from ..sources.files import discover, readable, with_file_meta
+from ..sources.files import discover, readable, with_file_meta  # noqa: F401
 
 
 @dataclass
@@ -30,37 +30,35 @@ class ScanResult:
 
 
 def detect(files: DataFrame, *, rules=None, usage: bool = True, dependencies: bool = False,
-           endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Discovery + every detection branch; returns (discovered, raw findings)."""
-    discovered = with_file_meta(discover(files))
-    return discovered, detect_discovered(discovered, rules=rules, usage=usage,
-                                         dependencies=dependencies, endpoints=endpoints)
-
-
-def detect_discovered(discovered: DataFrame, *, rules=None, usage: bool = True,
-                      dependencies: bool = False, endpoints: DataFrame | None = None) -> DataFrame:
+           endpoints: DataFrame | None = None, include: list[str] | None = None,
+           exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Discovery + every detection branch; returns (discovered, raw findings).
+    Manifests are read from the files table directly (root-level only), as
+    the dependency scanners do not go through discovery."""
     from ..operators.usage import usage_findings
     from ..operators.dependencies import dependency_findings
     from ..operators.network import endpoint_findings
 
+    discovered = with_file_meta(discover(files, include, exclude))
     text = readable(discovered)
     branches = [regex_findings_for(text, rules)]
     if usage:
-        branches.append(usage_findings(text, rules))
+        branches.append(usage_findings(text, rules if not isinstance(rules, DataFrame) else None))
     if dependencies:
-        branches.append(dependency_findings(text))
+        branches.append(dependency_findings(files))
     if endpoints is not None:
         branches.append(endpoint_findings(endpoints))
-    return FD.union_findings(*branches)
+    return discovered, FD.union_findings(*branches)
 
 
 def scan(files: DataFrame, *, rules=None, usage: bool = True, dependencies: bool = False,
-         endpoints: DataFrame | None = None, min_confidence: float = C.DEFAULT_MIN_CONFIDENCE,
+         endpoints: DataFrame | None = None, include: list[str] | None = None,
+         exclude: list[str] | None = None, min_confidence: float = C.DEFAULT_MIN_CONFIDENCE,
          min_severity: str = "safe", dedupe: bool = True, policies: DataFrame | None = None,
          now: str | None = None, sbom_components: DataFrame | None = None,
          materialize: bool = False) -> ScanResult:
     discovered, raw = detect(files, rules=rules, usage=usage, dependencies=dependencies,
-                             endpoints=endpoints)
+                             endpoints=endpoints, include=include, exclude=exclude)
     found = FD.finalize(FD.filter_findings(raw, min_confidence, min_severity), dedupe)
     if materialize:
         from ..session import materialize as _m
