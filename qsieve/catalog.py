@@ -420,7 +420,6 @@ PRIMITIVE = {"kem": "pke", "signature": "signature", "hash": "hash", "symmetric"
              "protocol": "other", "kdf": "kdf"}
 CRYPTO_FUNCTION = {"kem": "encapsulate", "signature": "sign", "hash": "digest",
                    "symmetric": "encrypt", "protocol": "other", "kdf": "keygen"}
-PROPERTY_PREFIX = "pqaudit:"
 TOOL_VERSION = "0.1.0"
 
 # Endpoint findings.
@@ -437,6 +436,13 @@ NET_SSH = ("SSH server detected — uses DH/ECDH key exchange (quantum-vulnerabl
 # FIXED VALUES — end.
 # ---------------------------------------------------------------------------
 
+# Our own: the tool identity written into report strings (property-name
+# prefix, annotation tag, SPDX id prefix) is this package's name.
+TOOL_NAME = "qsieve"
+PROPERTY_PREFIX = TOOL_NAME + ":"
+ANNOTATION_TAG = "[" + TOOL_NAME + "] "
+SPDX_ID_PREFIX = "SPDXRef-" + TOOL_NAME + "-"
+
 # Our own derived data: lower-case literals of which every match of a rule
 # contains at least one (a cheap `contains` gate evaluated before the regex).
 # tests/test_lines.py asserts gated == ungated hits.

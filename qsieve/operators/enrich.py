@@ -170,7 +170,7 @@ def enrich_spdx(components: DataFrame, findings: DataFrame) -> DataFrame:
                     F.lit(None).cast("string").alias("comment")))
     new = (a.where(F.col("comp_ord").isNull())
            .select("sbom_id", F.lit("new").alias("origin"),
-                   F.concat(F.lit("SPDXRef-pqaudit-"), F.col("rule_id"), F.lit("-"),
+                   F.concat(F.lit(C.SPDX_ID_PREFIX), F.col("rule_id"), F.lit("-"),
                             F.regexp_replace("file", "[^A-Za-z0-9.]", "-")).alias("spdx_id"),
                    F.concat(F.lit("crypto:"), F.col("algorithm")).alias("name"),
                    F.lit("").alias("version_info"), F.lit(None).cast("string").alias("purl"),
@@ -187,7 +187,7 @@ def spdx_annotations(components: DataFrame, findings: DataFrame) -> DataFrame:
     f = finding_order(findings)
     t = _targets(f, spdx, _spdx_match).where(F.col("comp_ord").isNotNull())
     a = f.join(t, (f["repo"] == t["sbom_id"]) & (f["algorithm"] == t["algorithm"])).drop(t["algorithm"])
-    text = F.concat(F.lit("[pqaudit] "), F.col("severity"), F.lit(": "), F.col("algorithm"),
+    text = F.concat(F.lit(C.ANNOTATION_TAG), F.col("severity"), F.lit(": "), F.col("algorithm"),
                     F.lit(" — "), F.col("description"), F.lit(". Replace with: "),
                     F.coalesce("replacement", F.lit("N/A")))
     return a.select("sbom_id", "comp_ord", "file", "rule_id", text.alias("annotation"))

@@ -636,7 +636,7 @@ SELECT s.sbom_id, 'original' AS origin, 'pkg-' || CAST(s.comp_ord AS VARCHAR) AS
        CAST(NULL AS VARCHAR) AS comment
 FROM sp s LEFT JOIN per p ON s.sbom_id = p.sbom_id AND s.comp_ord = p.comp_ord
 UNION ALL
-SELECT repo, 'new', 'SPDXRef-pqaudit-' || rule_id || '-' || regexp_replace(file, '[^A-Za-z0-9.]', '-', 'g'),
+SELECT repo, 'new', {S(C.SPDX_ID_PREFIX)} || rule_id || '-' || regexp_replace(file, '[^A-Za-z0-9.]', '-', 'g'),
        'crypto:' || algorithm, '', NULL, 0,
        'Severity: ' || severity || '. Confidence: ' || CAST(confidence AS VARCHAR) || '. Replace with: ' ||
        coalesce(replacement, 'N/A')
