@@ -167,10 +167,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A text-heavy table whose per-row work (regex over every line) dwarfs
     its bytes: spread it over the cores when the scan yields too few splits."""
-    return ensure_parallelism(read_table(spark, sf_dir, name))
+    return ensure_parallelism(read_table(spark, sf_dir, name), key)
 
 
 def plants(spark: SparkSession) -> DataFrame:
@@ -185,7 +185,7 @@ def dirs(spark: SparkSession) -> DataFrame:
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents → files(repo, path, content): repo = document source, one
     file per document, the planted snippet appended after a newline."""
-    docs = read_text_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "source")
     n, m = len(PLANTS), len(DIRS)
     return (docs.join(F.broadcast(plants(spark)), (F.col("doc_id") % n) == F.col("k"))
             .join(F.broadcast(dirs(spark)), (F.col("doc_id") % m) == F.col("d"))
@@ -197,7 +197,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages → files: each page is an XML-like config file, unplanted."""
-    pages = read_text_table(spark, sf_dir, "pages")
+    pages = read_text_table(spark, sf_dir, "pages", "page_id")
     return pages.select(
         F.concat(F.lit("site"), (F.col("page_id") % N_PAGE_REPOS).cast("string")).alias("repo"),
         F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".xml")).alias("path"),

@@ -75,15 +75,19 @@ def readable(files: DataFrame) -> DataFrame:
     return files.where(~is_binary("path") & F.col("content").isNotNull())
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition of a *scan* that yields fewer splits than the
-    cluster has cores (a single-row-group file, say).  Large inputs already
-    have one split per ~128 MB and pass through untouched (no shuffle).
-    `getNumPartitions` on a file scan only plans splits; it runs no job."""
+def ensure_parallelism(df: DataFrame, key: str | None = None,
+                       min_partitions: int | None = None) -> DataFrame:
+    """Spread a *scan* that yields fewer splits than the cluster has cores (a
+    single-row-group file, say) by hashing its key (no sort, unlike a
+    round-robin repartition).  Large inputs already have one split per
+    ~128 MB and pass through untouched (no shuffle).  `getNumPartitions` on a
+    file scan only plans splits; it runs no job."""
     sc = df.sparkSession.sparkContext
     want = min_partitions or 2 * sc.defaultParallelism
     n = df.rdd.getNumPartitions()
-    return df.repartition(want) if n < sc.defaultParallelism else df
+    if n >= sc.defaultParallelism:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
 
 
 def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
