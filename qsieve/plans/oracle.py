@@ -790,3 +790,12 @@ FROM (
   WHERE (len(ur.languages) = 0 OR h.language IS NULL OR list_contains(ur.languages, h.language))
     AND regexp_matches(h.line, '(?i)' || array_to_string(list_transform(ur.patterns, lambda p: '(?:' || p || ')'), '|')))
 WHERE rn = 1"""
+
+
+def full_raw_sql() -> str:
+    """X1 over every branch: code (regex + usage), manifests, endpoints."""
+    parts = ["SELECT * FROM raw_regex", "SELECT * FROM raw_usage"]
+    for fn in (npm_sql, cargo_sql, go_sql, pip_sql, java_sql):
+        parts.append(f"SELECT * FROM ({fn()})")
+    parts.append(f"SELECT * FROM ({endpoint_findings_sql('obs')})")
+    return " UNION ALL ".join(parts)

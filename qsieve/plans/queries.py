@@ -348,4 +348,23 @@ def q_user_rules_join(spark, sf_dir):
     return _bigint(regex_findings_join(text, rules).select(*FINDING_OUT), ["line", "column", "phase"])
 
 
+# ------------------------------------------------------------- full scan
+
+_FULL = [_FILES, _DISC, _READ, _RAW_REGEX, _RAW_USAGE, _MFILES, ("obs", O.observations_sql()),
+         ("raw_all", O.full_raw_sql()), ("filtered", O.filtered_sql("raw_all")),
+         ("deduped", O.dedupe_sql("filtered"))]
+
+
+@register("full_scan", O.with_ctes(_FULL, O.summary_sql("deduped", "discovered")))
+def q_full_scan(spark, sf_dir):
+    """X1 over all eight phases (regex, usage, npm, Cargo, Go, pip, Java,
+    network) → filter → de-duplicate → readiness summary per repository."""
+    disc = discovered_files(spark, sf_dir)
+    text = readable(disc)
+    raw = FD.union_findings(regex_findings(text), usage_findings(text),
+                            DP.dependency_findings(CP.manifest_files(spark, sf_dir)),
+                            endpoint_findings(CP.endpoint_observations(spark, sf_dir)))
+    return SM.summary(FD.dedupe(FD.filter_findings(raw)), disc)
+
+
 FLAGSHIP = "readiness"

@@ -99,16 +99,13 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("ignoreCorruptFiles", "true").load(root))
     prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.substring(rel, len(prefix) + 1, 1 << 30)
+    rel = F.substring(F.regexp_replace(F.col("path"), r"^file:", ""), len(prefix) + 1, 1 << 30)
+    raw = raw.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("content"))
     if repo is None:
-        repo_col = F.substring_index(rel, "/", 1)
-        path_col = F.expr("substring(rel, length(substring_index(rel, '/', 1)) + 2)")
-        return (raw.select(rel.alias("rel"), F.col("content"))
-                .select(repo_col.alias("repo"), path_col.alias("path"),
-                        F.decode("content", "UTF-8").alias("content")))
-    return raw.select(F.lit(repo).alias("repo"), rel.alias("path"),
-                      F.decode("content", "UTF-8").alias("content"))
+        return raw.select(F.substring_index("rel", "/", 1).alias("repo"),
+                          F.expr("substring(rel, length(substring_index(rel, '/', 1)) + 2)").alias("path"),
+                          "content")
+    return raw.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "content")
 
 
 __all__ = ["ensure_parallelism", "discover", "with_file_meta", "readable", "read_tree", "default_include",
