@@ -40,7 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="qsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # sessions without a SparkContext handle take the conf
+        pass
     return d
 
 
@@ -58,7 +61,11 @@ def dimension(spark: SparkSession, key: str, build) -> DataFrame:
     """A small literal dimension, built once per session.  Reusing the same
     DataFrame keeps plans canonically equal, so a query that derives the
     same input twice gets its exchanges reused instead of recomputed."""
-    k = (id(spark._jsparkSession), key)
+    try:
+        owner = (spark.sparkContext.applicationId, id(spark._jsparkSession))
+    except Exception:
+        owner = (None, id(spark))
+    k = owner + (key,)
     df = _DIMS.get(k)
     if df is None:
         df = build()

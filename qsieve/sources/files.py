@@ -82,10 +82,14 @@ def ensure_parallelism(df: DataFrame, key: str | None = None,
     round-robin repartition).  Large inputs already have one split per
     ~128 MB and pass through untouched (no shuffle).  `getNumPartitions` on a
     file scan only plans splits; it runs no job."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or 2 * sc.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n >= sc.defaultParallelism:
+    try:
+        sc = df.sparkSession.sparkContext
+        cores = sc.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a remote session): leave the plan as is
+        return df
+    want = min_partitions or 2 * cores
+    if n >= cores:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
