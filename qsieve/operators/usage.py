@@ -170,15 +170,20 @@ def _lines_with_context(files: DataFrame) -> DataFrame:
                                     .otherwise(t)), "")
     src = toks.select("repo", "path", F.split("content", "\n", -1).alias("ol"),
                       F.split(code, "\n", -1).alias("ml"), F.split(bare, "\n", -1).alias("bl"))
-    ctx = F.transform("ml", lambda m, i: F.when(
-        m.rlike(HEAD_MULTI),
-        F.array_join(F.slice(F.col("ml"), i + 1, LOOKAHEAD_LINES + 1), "\n"))
-        .when(m.rlike(HEAD_ANY), m))
-    z = F.arrays_zip(F.sequence(F.lit(1), F.size("ml")).alias("line_no"),
-                     F.col("ol").alias("line"), F.col("ml").alias("masked"), F.col("bl").alias("bare"),
-                     ctx.alias("ctx"))
-    heads = F.filter(z, lambda s: s["ctx"].isNotNull())
-    return (src.select("repo", "path", F.explode(heads).alias("s"))
+    # head lines first (one predicate per line), then structs for heads only
+    ml = F.col("ml")
+    heads_idx = F.filter(F.sequence(F.lit(1), F.size(ml)),
+                         lambda i: F.element_at(ml, i).rlike(HEAD_ANY))
+
+    def head(i):
+        m = F.element_at(ml, i)
+        ctx = F.when(m.rlike(HEAD_MULTI),
+                     F.array_join(F.slice(ml, i, LOOKAHEAD_LINES + 1), "\n")).otherwise(m)
+        return F.struct(i.alias("line_no"), F.element_at(F.col("ol"), i).alias("line"),
+                        m.alias("masked"), F.element_at(F.col("bl"), i).alias("bare"),
+                        ctx.alias("ctx"))
+
+    return (src.select("repo", "path", F.explode(F.transform(heads_idx, head)).alias("s"))
             .select("repo", "path", F.col("s.line_no").cast("int").alias("line_no"),
                     F.col("s.line").alias("line"), F.col("s.masked").alias("masked"),
                     F.col("s.bare").alias("bare"), F.col("s.ctx").alias("ctx")))
