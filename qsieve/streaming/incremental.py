@@ -43,12 +43,24 @@ def deduped_stream(findings: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, source_dir: str, query_name: str, checkpoint: str | None = None,
-          available_now: bool = True):
-    """Start the incremental scan into a memory table `query_name`.  The
-    checkpoint location defaults to the session's checkpoint directory."""
-    ckpt = checkpoint or (spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/" + query_name)
-    w = (deduped_stream(findings_stream(read_files_stream(spark, source_dir)))
-         .writeStream.outputMode("update").format("memory").queryName(query_name)
-         .option("checkpointLocation", ckpt))
+          available_now: bool = True, sink_format: str = "memory", sink_path: str | None = None):
+    """Start the incremental scan.  A durable sink (`sink_format` parquet/…,
+    `sink_path`) keeps a stable checkpoint under the session's checkpoint
+    directory so a restarted job resumes; the memory sink (tests, notebooks)
+    cannot resume and gets a fresh checkpoint per start."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if checkpoint is None:
+        suffix = query_name if sink_format != "memory" else f"{query_name}-{uuid.uuid4().hex}"
+        checkpoint = f"{base}/stream-{suffix}"
+    out = deduped_stream(findings_stream(read_files_stream(spark, source_dir)))
+    if sink_format == "memory":
+        w = out.writeStream.outputMode("update").format("memory").queryName(query_name)
+    else:
+        # file sinks are append-only: write the per-file findings, dedupe downstream
+        out = findings_stream(read_files_stream(spark, source_dir))
+        w = out.writeStream.outputMode("append").format(sink_format).option("path", sink_path)
+    w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
