@@ -108,6 +108,19 @@ def dashboard(summary: DataFrame) -> DataFrame:
         F.when(F.col("pqc_ready"), F.lit("PQC READY")).otherwise(F.lit("NOT PQC READY")).alias("status"))
 
 
+def json_summary(summary: DataFrame, timestamp: str) -> DataFrame:
+    """K1 summary object per repository (filesScanned, findingsTotal,
+    bySeverity, byCategory, pqcReady) as JSON."""
+    obj = F.struct(F.col("files_scanned").alias("filesScanned"),
+                   F.col("findings_total").alias("findingsTotal"),
+                   F.struct(*[F.col(s) for s in C.SEVERITIES]).alias("bySeverity"),
+                   F.struct(*[F.col(c) for c in C.CATEGORIES]).alias("byCategory"),
+                   F.col("pqc_ready").alias("pqcReady"))
+    return summary.select("repo", F.lit(timestamp).alias("timestamp"),
+                          F.to_json(F.struct(F.col("repo").alias("target"), obj.alias("summary")))
+                          .alias("json"))
+
+
 def json_findings(findings: DataFrame, timestamp: str) -> DataFrame:
     """K1 as JSON lines: one object per finding (nested location; null
     fields dropped like `to_json`'s default) plus the scan timestamp."""

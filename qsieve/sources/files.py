@@ -94,6 +94,14 @@ def ensure_parallelism(df: DataFrame, key: str | None = None,
     return df.repartition(want, key) if key else df.repartition(want)
 
 
+def write_files_table(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a `files` table partitioned by derived language, so the usage
+    branch (JavaScript/TypeScript only) prunes to its partitions instead of
+    reading every file's content a second time."""
+    lang = F.coalesce(language("path"), F.lit("none"))
+    files.withColumn("lang_part", lang).write.mode(mode).partitionBy("lang_part").parquet(path)
+
+
 def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """Every regular file below `root` as (repo, path, content).
 
@@ -112,5 +120,5 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
     return raw.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "content")
 
 
-__all__ = ["ensure_parallelism", "discover", "with_file_meta", "readable", "read_tree", "default_include",
+__all__ = ["ensure_parallelism", "write_files_table", "discover", "with_file_meta", "readable", "read_tree", "default_include",
            "default_exclude", "file_extension", "language", "is_binary"]

@@ -110,3 +110,15 @@ def test_filters_before_dedupe(fixture_files):
     raw = scan(fixture_files, min_confidence=0, dedupe=False).findings
     f = FD.dedupe(FD.filter_findings(raw.drop("occurrences", "first_pos"), 50))
     assert f.count() == 42
+
+
+def test_null_language_confidence(spark):
+    """A user include list replaces the defaults: a .txt file has no language,
+    so config-only rules apply and confidence is scaled by 0.8 (P3, P9)."""
+    from tests.conftest import files_df
+    files = files_df(spark, [("r", "notes/a.txt", "ssh-rsa AAAA\nimport md5 from 'md5';\n# MD5 here\n"),
+                             ("r", "src/b.ts", "x")])
+    r = scan(files, include=[r"\.txt$"], min_confidence=0, dedupe=False)
+    got = {(x.line, x.rule_id, x.confidence) for x in r.findings.collect()}
+    assert got == {(1, "SSH_RSA_KEY_TYPE", 0.56), (2, "MD5_USAGE", 0.72), (3, "MD5_USAGE", 0.24)}
+    assert r.summary.collect()[0].files_scanned == 1
