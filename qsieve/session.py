@@ -34,17 +34,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's `spark.checkpoint.dir`; set a scratch one only where
-    it is unset (local tests)."""
+    """The shared checkpoint folder: the session's `spark.checkpoint.dir` when
+    the cluster names one (the SparkContext already uses it).  Only where it
+    is unset — local tests — a scratch folder is set on the SparkContext."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="qsieve-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    if d:
+        return d
     try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # sessions without a SparkContext handle take the conf
-        pass
-    return d
+        sc = spark.sparkContext
+        cur = sc.getCheckpointDir()
+        if cur:
+            return cur
+        d = tempfile.mkdtemp(prefix="qsieve-ckpt-")
+        sc.setCheckpointDir(d)
+        return d
+    except Exception:  # sessions without a SparkContext handle
+        return tempfile.mkdtemp(prefix="qsieve-ckpt-")
 
 
 def materialize(df: DataFrame) -> DataFrame:
