@@ -108,6 +108,26 @@ def dashboard(summary: DataFrame) -> DataFrame:
         F.when(F.col("pqc_ready"), F.lit("PQC READY")).otherwise(F.lit("NOT PQC READY")).alias("status"))
 
 
+def serial_number(*parts: Column) -> Column:
+    """`urn:uuid:` serial, name-based (md5 of the parts, formatted as a
+    UUID) so a re-run of the same scan gets the same serial."""
+    h = F.md5(F.concat_ws("|", *parts))
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
+                                                    F.substring(h, 13, 4), F.substring(h, 17, 4),
+                                                    F.substring(h, 21, 12)))
+
+
+def cbom_header(summary: DataFrame, timestamp: str) -> DataFrame:
+    """K2 document header per repository: format, spec version, serial,
+    timestamp, tool and target component, and the component count."""
+    return summary.select(
+        "repo", F.lit("CycloneDX").alias("bom_format"), F.lit("1.6").alias("spec_version"),
+        serial_number(F.col("repo"), F.lit(timestamp)).alias("serial_number"),
+        F.lit(1).cast("long").alias("version"), F.lit(timestamp).alias("timestamp"),
+        F.lit(C.TOOL_NAME).alias("tool_name"), F.lit(C.TOOL_VERSION).alias("tool_version"),
+        F.col("repo").alias("target_name"), F.col("findings_total").alias("components"))
+
+
 def json_summary(summary: DataFrame, timestamp: str) -> DataFrame:
     """K1 summary object per repository (filesScanned, findingsTotal,
     bySeverity, byCategory, pqcReady) as JSON."""

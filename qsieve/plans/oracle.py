@@ -799,3 +799,12 @@ def full_raw_sql() -> str:
         parts.append(f"SELECT * FROM ({fn()})")
     parts.append(f"SELECT * FROM ({endpoint_findings_sql('obs')})")
     return " UNION ALL ".join(parts)
+
+
+def cbom_header_sql(summary: str, timestamp: str) -> str:
+    h = f"md5(repo || '|' || {S(timestamp)})"
+    serial = (f"'urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) "
+              f"|| '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12)")
+    return (f"SELECT repo, 'CycloneDX' AS bom_format, '1.6' AS spec_version, {serial} AS serial_number, "
+            f"CAST(1 AS BIGINT) AS version, {S(timestamp)} AS timestamp, {S(C.TOOL_NAME)} AS tool_name, "
+            f"{S(C.TOOL_VERSION)} AS tool_version, repo AS target_name, findings_total AS components FROM {summary}")

@@ -298,6 +298,13 @@ def q_dashboard(spark, sf_dir):
     return RP.dashboard(SM.summary(code_findings(spark, sf_dir), disc))
 
 
+@register("cbom_header", O.with_ctes(_CODE_FOUND + [_SUMMARY], O.cbom_header_sql("summary", CP.POLICY_NOW)))
+def q_cbom_header(spark, sf_dir):
+    """K2 header + F14: per-repository CBOM document header (name-based serial)."""
+    disc = discovered_files(spark, sf_dir)
+    return RP.cbom_header(SM.summary(code_findings(spark, sf_dir), disc), CP.POLICY_NOW)
+
+
 @register("json_findings")
 def q_json_findings(spark, sf_dir):
     """K1: JSON-lines result (one object per finding, fixed timestamp)."""
