@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import catalog as C
-from ..sources.rules import rules_frame
+from ..sources.rules import rule_rows
 from .lines import FINDING_COLS, snippet
 
 LOOKAHEAD_LINES = 8
@@ -313,10 +313,19 @@ def usage_findings(files: DataFrame, rules=None) -> DataFrame:
 
 
 def _rule_attrs(spark, rules) -> DataFrame:
-    """First rule per id (a duplicated id in a user table resolves to the
-    last one, like a map built in file order)."""
-    rf = rules if isinstance(rules, DataFrame) else rules_frame(spark, rules)
-    last = rf.groupBy("rule_id").agg(F.max_by(F.struct(
-        "description", "severity", "category", "algorithm", "replacement", "effort"),
-        F.col("rule_ord")).alias("r"))
-    return last.select("rule_id", "r.*")
+    """Rule attributes by id; a duplicated id resolves to its last rule
+    (a map built in file order).  Catalogue and list rules are configuration:
+    resolved once into a cached dimension; a user rule DataFrame is resolved
+    with an aggregate."""
+    if isinstance(rules, DataFrame):
+        last = rules.groupBy("rule_id").agg(F.max_by(F.struct(
+            "description", "severity", "category", "algorithm", "replacement", "effort"),
+            F.col("rule_ord")).alias("r"))
+        return last.select("rule_id", "r.*")
+    from ..session import dimension
+    by_id = {r["rule_id"]: r for r in rule_rows(rules)}
+    rows = [(k, r["description"], r["severity"], r["category"], r["algorithm"], r["replacement"],
+             r["effort"]) for k, r in by_id.items()]
+    return dimension(spark, "rule_attrs:" + repr(rows), lambda: spark.createDataFrame(
+        rows, "rule_id string, description string, severity string, category string, "
+              "algorithm string, replacement string, effort string"))
