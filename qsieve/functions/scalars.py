@@ -107,3 +107,8 @@ def confidence_percent(c: Column) -> Column:
 # F16 — policy defaults.
 def policy_message(policy_id: Column, message: Column) -> Column:
     return F.coalesce(message, F.concat(F.lit('Violates policy "'), policy_id, F.lit('"')))
+
+
+# String(x) of a JS number for our values: integral → no fraction digits.
+def js_number(c: Column) -> Column:
+    return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.scalars import severity_rank
+from ..functions.scalars import js_number, severity_rank
 
 NEW_BASE = 1_000_000_000_000  # comp_ord of appended components: base + leader index
 
@@ -133,7 +133,7 @@ def cyclonedx_properties(components: DataFrame, findings: DataFrame) -> DataFram
     a = a.join(first, ["sbom_id", "target"])
     creator = (F.col("target") >= NEW_BASE) & (F.col("ord") == F.col("min_ord"))
     p = C.PROPERTY_PREFIX
-    conf = F.col("confidence").cast("string")
+    conf = js_number(F.col("confidence"))
     repl = F.coalesce("replacement", F.lit("none"))
     pairs = F.when(creator, F.array(
         F.struct(F.lit(p + "severity").alias("name"), F.col("severity").alias("value")),
@@ -176,7 +176,7 @@ def enrich_spdx(components: DataFrame, findings: DataFrame) -> DataFrame:
                    F.lit("").alias("version_info"), F.lit(None).cast("string").alias("purl"),
                    F.lit(0).cast("long").alias("n_annotations"),
                    F.concat(F.lit("Severity: "), F.col("severity"), F.lit(". Confidence: "),
-                            F.col("confidence").cast("string"), F.lit(". Replace with: "),
+                            js_number(F.col("confidence")), F.lit(". Replace with: "),
                             F.coalesce("replacement", F.lit("N/A"))).alias("comment")))
     return orig.unionByName(new)
 

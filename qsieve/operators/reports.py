@@ -17,9 +17,7 @@ from .enrich import finding_order
 from .summary import readiness_score, score_band
 
 
-def js_number(c: Column) -> Column:
-    """String(x) of a JS number for our values: integral → no fraction."""
-    return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+js_number = SC.js_number
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:

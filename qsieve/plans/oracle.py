@@ -576,12 +576,12 @@ def _ordered(findings: str) -> str:
 _ORD = "o_sev, file, o_phase NULLS FIRST, o_rule NULLS FIRST, o_line NULLS FIRST, o_col NULLS FIRST, rule_id"
 
 
-def sbom_cyclonedx_sql(findings: str, comps: str) -> str:
+def _cdx_assign(findings: str, comps: str) -> str:
+    """CTEs up to `fa`: every finding with its target component."""
     rel = "(contains(lower(l), lower(x)) OR contains(lower(x), lower(l)))"
     match = (f"((c.purl IS NOT NULL AND c.purl <> '' AND {_purl_match('c.purl', 'a.algorithm')}) OR "
              f"contains(lower(c.name), lower(a.algorithm)) OR contains(lower(a.algorithm), lower(c.name)))")
-    return f"""
-WITH fo AS ({_ordered(findings)}),
+    return f"""fo AS ({_ordered(findings)}),
 fr AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORD}) AS frank FROM fo),
 algos AS (SELECT repo AS sbom_id, algorithm, min(frank) AS first_rank FROM fr GROUP BY repo, algorithm),
 cdx AS (SELECT * FROM {comps} WHERE format = 'cyclonedx'),
@@ -603,7 +603,12 @@ ta AS (SELECT t.sbom_id, t.algorithm,
               coalesce(t.comp_ord, {O_NEW} + list_position(l.leaders,
                  list_filter(l.leaders, lambda l: {rel.replace('x', 't.algorithm')})[1])) AS target
        FROM tg t LEFT JOIN lead l ON t.sbom_id = l.sbom_id),
-fa AS (SELECT f.*, ta.target FROM fr f JOIN ta ON f.repo = ta.sbom_id AND f.algorithm = ta.algorithm),
+fa AS (SELECT f.*, ta.target FROM fr f JOIN ta ON f.repo = ta.sbom_id AND f.algorithm = ta.algorithm)"""
+
+
+def sbom_cyclonedx_sql(findings: str, comps: str) -> str:
+    return f"""
+WITH {_cdx_assign(findings, comps)},
 per AS (SELECT repo AS sbom_id, target AS comp_ord, CAST(count(*) AS BIGINT) AS n_findings,
                arg_max(algorithm, frank) AS last_algorithm, arg_min(algorithm, frank) AS c_alg,
                arg_min(category, frank) AS c_cat FROM fa GROUP BY repo, target)
@@ -808,3 +813,39 @@ def cbom_header_sql(summary: str, timestamp: str) -> str:
     return (f"SELECT repo, 'CycloneDX' AS bom_format, '1.6' AS spec_version, {serial} AS serial_number, "
             f"CAST(1 AS BIGINT) AS version, {S(timestamp)} AS timestamp, {S(C.TOOL_NAME)} AS tool_name, "
             f"{S(C.TOOL_VERSION)} AS tool_version, repo AS target_name, findings_total AS components FROM {summary}")
+
+
+def sbom_properties_sql(findings: str, comps: str) -> str:
+    """A18 rows for CycloneDX: four name/value pairs per finding; the finding
+    that creates a new component adds detectionMethod instead of algorithm."""
+    p = C.PROPERTY_PREFIX
+    conf = _jsnum("confidence")
+    cols = "repo AS sbom_id, target AS comp_ord, file, rule_id"
+    return f"""
+WITH {_cdx_assign(findings, comps)},
+mn AS (SELECT repo, target, min(frank) AS min_rank FROM fa GROUP BY repo, target),
+pr AS (SELECT fa.*, (fa.target >= {O_NEW} AND fa.frank = mn.min_rank) AS creator
+       FROM fa JOIN mn ON fa.repo = mn.repo AND fa.target = mn.target)
+SELECT {cols}, CAST(0 AS BIGINT) AS prop_idx, '{p}severity' AS name, severity AS value FROM pr
+UNION ALL
+SELECT {cols}, 1, CASE WHEN creator THEN '{p}confidence' ELSE '{p}algorithm' END,
+       CASE WHEN creator THEN {conf} ELSE algorithm END FROM pr
+UNION ALL
+SELECT {cols}, 2, CASE WHEN creator THEN '{p}detectionMethod' ELSE '{p}confidence' END,
+       CASE WHEN creator THEN detection_method ELSE {conf} END FROM pr
+UNION ALL
+SELECT {cols}, 3, '{p}replacement', coalesce(replacement, 'none') FROM pr"""
+
+
+def spdx_annotations_sql(findings: str, comps: str) -> str:
+    """A18 rows for SPDX: one annotation line per finding attached to a package."""
+    tag = C.ANNOTATION_TAG
+    return f"""
+WITH sp AS (SELECT * FROM {comps} WHERE format = 'spdx'),
+algos AS (SELECT DISTINCT repo AS sbom_id, algorithm FROM {findings}),
+hit AS (SELECT a.sbom_id, a.algorithm, min(c.comp_ord) AS comp_ord FROM algos a JOIN sp c ON a.sbom_id = c.sbom_id
+        WHERE c.purl IS NOT NULL AND {_purl_match('c.purl', 'a.algorithm')} GROUP BY a.sbom_id, a.algorithm)
+SELECT f.repo AS sbom_id, h.comp_ord, f.file, f.rule_id,
+       {S(tag)} || f.severity || ': ' || f.algorithm || ' — ' || f.description || '. Replace with: ' ||
+       coalesce(f.replacement, 'N/A') AS annotation
+FROM {findings} f JOIN hit h ON f.repo = h.sbom_id AND f.algorithm = h.algorithm"""

@@ -374,4 +374,21 @@ def q_full_scan(spark, sf_dir):
     return SM.summary(FD.dedupe(FD.filter_findings(raw)), disc)
 
 
+@register("sbom_properties", O.with_ctes(
+    _CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_properties_sql("deduped", "comps") + ")"))
+def q_sbom_properties(spark, sf_dir):
+    """A18 (CycloneDX): the name/value properties each finding adds to its
+    component, one row per property (no per-component array)."""
+    p = EN.cyclonedx_properties(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir))
+    return p.select("sbom_id", "comp_ord", "file", "rule_id", F.col("prop_idx").cast("long").alias("prop_idx"),
+                    "name", "value")
+
+
+@register("spdx_annotations", O.with_ctes(
+    _CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.spdx_annotations_sql("deduped", "comps") + ")"))
+def q_spdx_annotations(spark, sf_dir):
+    """A18 (SPDX): one annotation row per finding attached to a package."""
+    return EN.spdx_annotations(sbom_components(spark, sf_dir), code_findings(spark, sf_dir))
+
+
 FLAGSHIP = "readiness"
