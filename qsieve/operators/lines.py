@@ -13,6 +13,8 @@ small enough to compile; beyond that, a broadcast nested-loop join on
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ FINDING_COLS = ["repo", "rule_id", "description", "severity", "category", "algor
 # Largest user rule table compiled into literal expressions; larger tables
 # take the broadcast-join form.
 MAX_COMPILED_RULES = 2000
+# Largest rule table broadcast in one piece by the join form.
+MAX_BROADCAST_RULES = 5000
 
 _KEYWORD = js_word_boundary_java(C.CONF_KEYWORD_RE)
 _CALL = C.CONF_CALL_RE
@@ -160,7 +164,13 @@ def regex_findings_join(files: DataFrame, rules: DataFrame) -> DataFrame:
     lines = explode_lines(small)
     cond = ((F.coalesce(F.size("languages"), F.lit(0)) <= 0) | F.col("language").isNull()
             | F.array_contains("languages", F.col("language"))) & F.expr("line rlike rx")
-    hits = lines.join(F.broadcast(r), cond)
+    # Each broadcast side holds at most MAX_BROADCAST_RULES rules: a larger
+    # table is evaluated in bounded chunks (one pass over the lines each),
+    # never as a shuffled cartesian product.
+    n = rules.count()
+    k = max(1, -(-n // MAX_BROADCAST_RULES))
+    chunks = [r] if k == 1 else [r.where(F.col("rule_ord") % k == i) for i in range(k)]
+    hits = reduce(lambda a, b: a.unionByName(b), [lines.join(F.broadcast(c), cond) for c in chunks])
     out = hits.select("repo", "rule_id", "description", "severity", "category", "algorithm",
                       "replacement", "effort", F.col("path").alias("file"),
                       F.col("line_no").alias("line"), match_column().alias("column"),

@@ -318,7 +318,11 @@ def _rule_attrs(spark, rules) -> DataFrame:
     resolved once into a cached dimension; a user rule DataFrame is resolved
     with an aggregate."""
     if isinstance(rules, DataFrame):
-        last = rules.groupBy("rule_id").agg(F.max_by(F.struct(
+        # only ids a usage pattern can emit: the broadcast side is bounded by
+        # the pattern catalogue, whatever the size of the user table
+        used = sorted({r for _, r, _ in C.IMPORT_PATTERNS} | {r for *_, r, _ in C.CALL_PATTERNS}
+                      | {r for *_, r, _ in C.OPTION_PATTERNS})
+        last = rules.where(F.col("rule_id").isin(used)).groupBy("rule_id").agg(F.max_by(F.struct(
             "description", "severity", "category", "algorithm", "replacement", "effort"),
             F.col("rule_ord")).alias("r"))
         return last.select("rule_id", "r.*")

@@ -203,3 +203,15 @@ def test_catalog_sizes():
     assert len(C.RULES) == 28 and sum(len(r["patterns"]) for r in C.RULES) == 178
     assert (len(C.NPM_PACKAGES), len(C.CARGO_CRATES), len(C.GO_MODULES), len(C.PIP_PACKAGES),
             len(C.JAVA_PACKAGES)) == (12, 9, 5, 10, 4)
+
+
+def test_join_form_chunked_broadcast(spark, fixture_files, monkeypatch):
+    """A rule table above the broadcast bound is joined in bounded chunks
+    with the same result."""
+    from qsieve.operators import lines as LN
+    text = readable(with_file_meta(fixture_files))
+    cols = ["file", "line", "column", "rule_id"]
+    one = regex_findings_join(text, rules_frame(spark)).select(*cols)
+    monkeypatch.setattr(LN, "MAX_BROADCAST_RULES", 5)
+    chunked = regex_findings_join(text, rules_frame(spark)).select(*cols)
+    assert one.exceptAll(chunked).count() == 0 and chunked.exceptAll(one).count() == 0
