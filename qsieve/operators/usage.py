@@ -298,9 +298,11 @@ def usage_findings(files: DataFrame, rules=None) -> DataFrame:
     """Usage-branch findings (phase 1, method 'ast') for readable files."""
     spark = files.sparkSession
     st = sites(_lines_with_context(files))
+    # the first candidate is produced by a (0/1-row) generator, so later
+    # filters on it are not inlined into several copies of the expression
+    first = F.filter(F.array(first_candidate()), lambda x: x.isNotNull())
     hits = (st.join(F.broadcast(pattern_dimension(spark)), "site_key")
-            .select("repo", "path", "line_no", "line", "offset", first_candidate().alias("p"))
-            .where(F.col("p").isNotNull())
+            .select("repo", "path", "line_no", "line", "offset", F.explode(first).alias("p"))
             .select("repo", "path", "line_no", "line", "offset", "p.rule_id", "p.confidence"))
     rdim = F.broadcast(_rule_attrs(spark, rules))
     out = hits.join(rdim, "rule_id").select(
