@@ -27,6 +27,7 @@ from .. import catalog as C
 from ..functions.scalars import js_number, severity_rank
 
 NEW_BASE = 1_000_000_000_000  # comp_ord of appended components: base + leader index
+SALTS = 16  # split of one SBOM's components in the algorithm ⋈ component join
 
 
 def finding_order(findings: DataFrame) -> DataFrame:
@@ -56,8 +57,13 @@ def _targets(findings: DataFrame, comps: DataFrame, match) -> DataFrame:
     """(sbom_id, algorithm, first_ord, comp_ord|null) for each distinct algorithm."""
     algos = (findings.groupBy(F.col("repo").alias("sbom_id"), "algorithm")
              .agg(F.min("ord").alias("first_ord")))
-    c = comps.select("sbom_id", "comp_ord", F.col("name").alias("c_name"), F.col("purl").alias("c_purl"))
-    hit = (algos.join(c, "sbom_id").where(match(F.col("c_name"), F.col("c_purl"), F.col("algorithm")))
+    # Salted theta join: an SBOM with a huge share of all components is spread
+    # over SALTS join partitions; the (small, catalogue-bounded) algorithm
+    # side is replicated once per salt.  min(comp_ord) aggregates partially.
+    c = comps.select("sbom_id", "comp_ord", F.col("name").alias("c_name"), F.col("purl").alias("c_purl"),
+                     F.pmod(F.xxhash64("comp_ord"), F.lit(SALTS)).alias("salt"))
+    a = algos.select("sbom_id", "algorithm", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hit = (a.join(c, ["sbom_id", "salt"]).where(match(F.col("c_name"), F.col("c_purl"), F.col("algorithm")))
            .groupBy("sbom_id", "algorithm").agg(F.min("comp_ord").alias("comp_ord")))
     return algos.join(hit, ["sbom_id", "algorithm"], "left")
 
