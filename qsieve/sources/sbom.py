@@ -44,3 +44,18 @@ def components(docs: DataFrame) -> DataFrame:
     return ex.select("sbom_id", "comp_ord", "format", name.alias("name"),
                      F.nullif(version, F.lit("")).alias("version"),
                      F.nullif(purl, F.lit("")).alias("purl"), typ.alias("type"), "original")
+
+
+def undetected_documents(docs: DataFrame) -> DataFrame:
+    """Documents whose format is neither hinted nor detectable — the
+    quarantine of inputs the reference rejects with an error."""
+    hint = F.col("format_hint") if "format_hint" in docs.columns else None
+    return docs.where(detect_format(F.col("content"), hint).isNull())
+
+
+def require_detected(docs: DataFrame) -> DataFrame:
+    """S10 strict mode: fail the job when a document's format is unknown."""
+    hint = F.col("format_hint") if "format_hint" in docs.columns else None
+    fmt = detect_format(F.col("content"), hint)
+    return docs.withColumn("format", F.coalesce(fmt, F.raise_error(F.concat(
+        F.lit("Cannot detect SBOM format of "), F.col("sbom_id").cast("string")))))

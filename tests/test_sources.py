@@ -32,3 +32,17 @@ def test_policy_validation(spark):
         policy_rows([dict(id="p", action="deny")])
     df = spark.createDataFrame([(None, "warn"), ("a", "deny"), ("b", "block")], "id string, action string")
     assert invalid_policies(df).count() == 2
+
+
+def test_sbom_format_detection(spark):
+    from qsieve.sources.sbom import components, require_detected, undetected_documents
+    docs = spark.createDataFrame([
+        ("a", 0, '{"bomFormat": "CycloneDX", "components": [{"name": "x"}]}'),
+        ("b", 1, '{"spdxVersion": "SPDX-2.3", "packages": [{"name": "y", "externalRefs": '
+                 '[{"referenceType": "purl", "referenceLocator": "pkg:npm/y@1"}]}]}'),
+        ("c", 2, '{"hello": 1}')], "sbom_id string, doc_ord long, content string")
+    got = {(r.sbom_id, r.format, r.name, r.purl, r.type) for r in components(docs).collect()}
+    assert got == {("a", "cyclonedx", "x", None, "library"), ("b", "spdx", "y", "pkg:npm/y@1", "library")}
+    assert [r.sbom_id for r in undetected_documents(docs).collect()] == ["c"]
+    with pytest.raises(Exception):
+        require_detected(docs).collect()
