@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["readiness", "regex_hits", "usage_findings", "findings", "deps_npm", "deps_pip",
             "deps_java", "endpoint_findings", "policy_violations", "sbom_cyclonedx",
-            "sarif_results", "portfolio_rollup"]
+            "sarif_results", "portfolio_rollup", "full_scan"]
 
 
 def main() -> None:
