@@ -46,3 +46,18 @@ def test_sbom_format_detection(spark):
     assert [r.sbom_id for r in undetected_documents(docs).collect()] == ["c"]
     with pytest.raises(Exception):
         require_detected(docs).collect()
+
+
+def test_language_partitioned_layout(spark, fixture_files):
+    """Files written partitioned by language: the usage branch's language
+    filter becomes a partition filter (only JS/TS partitions are read)."""
+    from pyspark.sql import functions as F
+    from qsieve.sources.files import write_files_table
+    out = tempfile.mkdtemp(prefix="qsieve-layout-")
+    write_files_table(fixture_files, out + "/files")
+    parts = sorted(d for d in os.listdir(out + "/files") if d.startswith("lang_part="))
+    assert parts == ["lang_part=config", "lang_part=typescript"]
+    df = spark.read.parquet(out + "/files").where(F.col("lang_part").isin("javascript", "typescript"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[[^\]]*lang_part", plan) and df.count() == 3
