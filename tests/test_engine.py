@@ -122,3 +122,15 @@ def test_null_language_confidence(spark):
     got = {(x.line, x.rule_id, x.confidence) for x in r.findings.collect()}
     assert got == {(1, "SSH_RSA_KEY_TYPE", 0.56), (2, "MD5_USAGE", 0.72), (3, "MD5_USAGE", 0.24)}
     assert r.summary.collect()[0].files_scanned == 1
+
+
+def test_user_rule_table_drives_usage(spark, fixture_files):
+    """Usage hits join the loaded rule set — a user table without MD5
+    yields no MD5 usage finding; a table keeping it does."""
+    from qsieve.sources.rules import rules_frame
+    from qsieve import catalog as Cat
+    keep = [r for r in Cat.RULES if r["id"] != "MD5_USAGE"]
+    ids = {r.rule_id for r in scan(fixture_files, rules=rules_frame(spark, keep)).findings.collect()}
+    assert "MD5_USAGE" not in ids and "ED25519_USAGE" in ids
+    ids_all = {r.rule_id for r in scan(fixture_files, rules=rules_frame(spark)).findings.collect()}
+    assert "MD5_USAGE" in ids_all
