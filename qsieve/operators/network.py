@@ -16,8 +16,6 @@ from .. import catalog as C
 from ..sources.endpoints import endpoint_label
 from .lines import FINDING_COLS
 
-_JS_TRIM = None
-
 
 def _f(rule_id, description, severity, category, algorithm, replacement, effort, snippet,
        confidence, ord_) -> Column:
