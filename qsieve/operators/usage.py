@@ -104,11 +104,20 @@ def _is_string(t: Column) -> Column:
     return t.startswith('"') | t.startswith("'") | t.startswith("`")
 
 
+def tokens(content: Column) -> Column:
+    """The file as a left-to-right token array (strings, comments, text)."""
+    return F.regexp_extract_all(content, F.lit(TOKEN_JAVA), F.lit(0))
+
+
+def masked_text(tok: Column, strings: bool = False) -> Column:
+    """The tokens joined back with comments (and, with `strings`, string
+    literals) blanked character by character — lines and columns unchanged."""
+    hide = (lambda t: _is_comment(t) | _is_string(t)) if strings else _is_comment
+    return F.array_join(F.transform(tok, lambda t: F.when(hide(t), _blank(t)).otherwise(t)), "")
+
+
 def mask_comments(content: Column) -> Column:
-    tokens = F.regexp_extract_all(content, F.lit(TOKEN_JAVA), F.lit(0))
-    blank = F.transform(tokens, lambda t: F.when(t.startswith("//") | t.startswith("/*"),
-                                                F.regexp_replace(t, r"[^\n]", " ")).otherwise(t))
-    return F.array_join(blank, "")
+    return masked_text(tokens(content))
 
 
 def unquote(q: Column) -> Column:
@@ -161,13 +170,11 @@ def _lines_with_context(files: DataFrame) -> DataFrame:
     masked, ctx).  The context is built inside the row from the file's line
     array, so no window or shuffle is needed."""
     toks = files.where(F.col("language").isin(USAGE_LANGUAGES)).select(
-        "repo", "path", "content",
-        F.regexp_extract_all("content", F.lit(TOKEN_JAVA), F.lit(0)).alias("tok"))
+        "repo", "path", "content", tokens(F.col("content")).alias("tok"))
     # one tokenisation, two masks: comments blanked (sites are read here) and
     # comments + string literals blanked (a site's head must be code here)
-    code = F.array_join(F.transform("tok", lambda t: F.when(_is_comment(t), _blank(t)).otherwise(t)), "")
-    bare = F.array_join(F.transform("tok", lambda t: F.when(_is_comment(t) | _is_string(t), _blank(t))
-                                    .otherwise(t)), "")
+    code = masked_text(F.col("tok"))
+    bare = masked_text(F.col("tok"), strings=True)
     src = toks.select("repo", "path", F.split("content", "\n", -1).alias("ol"),
                       F.split(code, "\n", -1).alias("ml"), F.split(bare, "\n", -1).alias("bl"))
     # head lines first (one predicate per line), then structs for heads only
