@@ -61,14 +61,15 @@ def _encode(path: str, pattern: str, column: str):
 
 def _starts(pattern: str, overlap: int):
     """Per chunk: the pre-token starts in its first and its last `overlap`
-    characters (less AHEAD), as places in the text."""
+    characters (less AHEAD) that follow no white space, as places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
         for batch in _portions(batches):
             head, tail = [], []
             for base, text in zip(batch["base"].to_pylist(), batch["piece"].to_pylist()):
-                at = [m.start() for m in find(text)]
+                # not behind white space: what ends a piece must not look ahead past it
+                at = [a for m in find(text) if (a := m.start()) and not text[a - 1].isspace()]
                 head.append([base + a for a in at if a < overlap])
                 tail.append([base + a for a in at if len(text) - overlap <= a < len(text) - AHEAD])
             yield pa.RecordBatch.from_arrays([batch["row"], batch["no"], pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], ["row", "no", "head", "tail"])

@@ -219,7 +219,9 @@ TEXTS = ["mail a.b+c@d-e.org, x@y.z.w. bad@host and b@c.d_e@f.g", "10.0.0.255 1.
 
 
 def test_pii(spark):
-    rows = odd_rows() + [(100 + i, t) for i, t in enumerate(TEXTS)]
+    # without the longest run of letters, on which the brute-force patterns take minutes
+    rows = [x for x in odd_rows() if x[0] != 13] + [(100 + i, t) for i, t in enumerate(TEXTS)]
+    assert pii.find_pii(frame(spark, odd_rows()), "p").filter("doc_id = 13").first().p == []
     got = pii.find_pii(frame(spark, rows), "found_pii")
     base = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.found_pii if s.kind in pii.BASE]) for r in got.collect()]
     same(base, [(d, brute.base_pii(t)) for d, t in rows])
