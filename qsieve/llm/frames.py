@@ -36,7 +36,7 @@ def kept(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder and read from there:
     later steps do not go back behind it, and no lost executor takes it along."""
     with releasing(df.sparkSession):
-        return materialize(df)
+        return materialize(df.select("*"))  # planned here, as the setting is read then
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
