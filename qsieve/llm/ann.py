@@ -38,7 +38,7 @@ from .frames import kept, salted
 
 SAMPLE, TARGET = 96, 0.95
 PART = 4096        # entries of a bucket searched as one part
-BUCKET = 2048      # entries a bucket is meant for
+BUCKET = 16384      # entries a bucket is meant for
 CELLS = 6          # cells of a projection, the outer two unbounded
 
 
