@@ -37,7 +37,8 @@ from .arrays import binary_parts, spread
 from .frames import kept, salted
 
 SAMPLE, TARGET = 96, 0.95
-PART = 4096        # entries of a bucket searched as one part
+PART = 1 << 15     # entries of a bucket searched as one part
+BLOCK = 256        # queries scored at once
 BUCKET = 16384      # entries a bucket is meant for
 CELLS = 6          # cells of a projection, the outer two unbounded
 
@@ -218,13 +219,14 @@ def _rank(dim: int, k: int):
                 ids = x["ids"].slice(a, m - a)
                 owner = np.repeat(np.arange(m - a), [len(i) for i in ids])
                 flat = np.array(list(itertools.chain.from_iterable(ids.to_pylist())))
-                score = vec[m:z] @ vec[a:m].T
-                for q in range(z - m):
-                    best = _top(score[q][owner], flat, k + 1)
-                    out_q += [names[m + q]] * len(best)
-                    out_id.append(flat[best])
-                    # one order of summing for every pair, whatever the part's shape
-                    out_s.append((vec[a:m][owner[best]] * vec[m + q]).sum(axis=1))
+                for b in range(m, z, BLOCK):
+                    score = vec[b:min(b + BLOCK, z)] @ vec[a:m].T
+                    for q in range(len(score)):
+                        best = _top(score[q][owner], flat, k + 1)
+                        out_q += [names[b + q]] * len(best)
+                        out_id.append(flat[best])
+                        # one order of summing for every pair, whatever the part's shape
+                        out_s.append((vec[a:m][owner[best]] * vec[b + q]).sum(axis=1))
             last = ends[-1] - head[-1]
             m = int(np.searchsorted(role[head[-1]:], 1))
             held = x.slice(head[-1], m) if m else None
