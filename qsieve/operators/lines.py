@@ -169,7 +169,8 @@ def regex_findings_join(files: DataFrame, rules: DataFrame) -> DataFrame:
     # never as a shuffled cartesian product.
     n = rules.count()
     k = max(1, -(-n // MAX_BROADCAST_RULES))
-    chunks = [r] if k == 1 else [r.where(F.col("rule_ord") % k == i) for i in range(k)]
+    part = F.pmod(F.xxhash64("rule_id", "rule_ord"), F.lit(k))  # any ordinal, null too
+    chunks = [r] if k == 1 else [r.where(part == i) for i in range(k)]
     hits = reduce(lambda a, b: a.unionByName(b), [lines.join(F.broadcast(c), cond) for c in chunks])
     out = hits.select("repo", "rule_id", "description", "severity", "category", "algorithm",
                       "replacement", "effort", F.col("path").alias("file"),

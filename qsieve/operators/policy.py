@@ -49,7 +49,8 @@ def evaluate_policies(findings: DataFrame, policies: DataFrame, now: str | None
         chunks = [pol]
     else:
         k = (n + MAX_BROADCAST_POLICIES - 1) // MAX_BROADCAST_POLICIES
-        chunks = [pol.where(F.col("policy_ord") % k == i) for i in range(k)]
+        part = F.pmod(F.xxhash64("policy_id", "policy_ord"), F.lit(k))  # any ordinal, null too
+        chunks = [pol.where(part == i) for i in range(k)]
     joined = reduce(lambda a, b: a.unionByName(b),
                     [f.join(F.broadcast(c), cond) for c in chunks])
     return joined.select(

@@ -36,20 +36,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the session's `spark.checkpoint.dir` when
     the cluster names one (the SparkContext already uses it).  Only where it
-    is unset — local tests — a scratch folder is set on the SparkContext."""
+    is unset and all runs in one process (local masters, as in tests) a
+    scratch folder is set on the SparkContext; on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    try:
-        sc = spark.sparkContext
-        cur = sc.getCheckpointDir()
-        if cur:
-            return cur
-        d = tempfile.mkdtemp(prefix="qsieve-ckpt-")
-        sc.setCheckpointDir(d)
-        return d
-    except Exception:  # sessions without a SparkContext handle
-        return tempfile.mkdtemp(prefix="qsieve-ckpt-")
+    sc = spark.sparkContext
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    d = tempfile.mkdtemp(prefix="qsieve-ckpt-")
+    sc.setCheckpointDir(d)
+    return d
 
 
 def materialize(df: DataFrame) -> DataFrame:

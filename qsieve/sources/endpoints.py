@@ -25,7 +25,7 @@ def parse_endpoint_spec(spec: Column) -> Column:
     parsed = F.regexp_extract(port_str, r"^\s*([+-]?\d+)", 1)
     port = F.when(port_str.isNull() | (port_str == ""),
                   F.when(is_ssh, F.lit(22)).otherwise(F.lit(443))) \
-        .otherwise(F.when(parsed != "", parsed.cast("int")))
+        .otherwise(F.when(parsed != "", parsed.try_cast("int")))
     proto = F.when(is_ssh | ((port == 22) & ~spec.startswith("tls://")), F.lit("ssh")) \
         .otherwise(F.lit("tls"))
     return F.struct(host.alias("host"), port.alias("port"), proto.alias("protocol"))
