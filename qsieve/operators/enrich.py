@@ -7,7 +7,7 @@ depends on the finding's algorithm only, so the fold decomposes into joins:
    (partial aggregate);
 2. ⋈ components on the SBOM id with the theta residual (J14: purl test J16,
    or name contains / is contained in the algorithm; J15: purl only) →
-   first component per algorithm = min(comp_ord);
+   first component per algorithm = min(doc_ord, pos);
 3. algorithms without a component become new components.  CycloneDX: a
    new component is a later match target (name = its algorithm), so the
    distinct unmatched algorithms of one SBOM — bounded by the catalogue —
@@ -20,14 +20,17 @@ depends on the finding's algorithm only, so the fold decomposes into joins:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.scalars import js_number, severity_rank
 
-NEW_BASE = 1_000_000_000_000  # comp_ord of appended components: base + leader index
-SALTS = 16  # split of one SBOM's components in the algorithm ⋈ component join
+KEY = ["doc_ord", "pos"]  # document order of a component; of a new one (null, leader index)
+# Purls that mean an algorithm beyond containing its name: (part of the algorithm, part of the purl).
+PURL_RULES = [("ecdsa", "ecdsa"), ("ecdsa", "secp256"), ("ed25519", "ed25519")]
 
 
 def finding_order(findings: DataFrame) -> DataFrame:
@@ -39,12 +42,9 @@ def finding_order(findings: DataFrame) -> DataFrame:
 
 
 def purl_matches(purl: Column, algorithm: Column) -> Column:
-    """Purl contains the algorithm; ECDSA-like algorithms also match
-    `ecdsa`/`secp256` purls, Ed25519-like ones `ed25519` purls."""
+    """The purl contains the algorithm, or a pair of PURL_RULES holds."""
     p, a = F.lower(purl), F.lower(algorithm)
-    return (p.contains(a) | ((a == "rsa") & p.contains("rsa"))
-            | (a.contains("ecdsa") & (p.contains("ecdsa") | p.contains("secp256")))
-            | (a.contains("ed25519") & p.contains("ed25519")))
+    return reduce(lambda x, y: x | y, [p.contains(a)] + [a.contains(i) & p.contains(o) for i, o in PURL_RULES])
 
 
 def _cdx_match(name: Column, purl: Column, algorithm: Column) -> Column:
@@ -54,24 +54,37 @@ def _cdx_match(name: Column, purl: Column, algorithm: Column) -> Column:
 
 
 def _targets(findings: DataFrame, comps: DataFrame, match) -> DataFrame:
-    """(sbom_id, algorithm, first_ord, comp_ord|null) for each distinct algorithm."""
+    """(sbom_id, algorithm, first_ord, comp|null) for each distinct algorithm.
+
+    Components are first reduced to their distinct (name, purl), each with its
+    smallest (doc_ord, pos): partial aggregation shrinks an SBOM with many
+    equal components before the theta join; the rest is spread by salts, as
+    many as shuffle partitions, and the catalogue-bounded algorithms are
+    replicated per salt.  The minimum aggregates partially again."""
     algos = (findings.groupBy(F.col("repo").alias("sbom_id"), "algorithm")
              .agg(F.min("ord").alias("first_ord")))
-    # Salted theta join: an SBOM with a huge share of all components is spread
-    # over SALTS join partitions; the (small, catalogue-bounded) algorithm
-    # side is replicated once per salt.  min(comp_ord) aggregates partially.
-    c = comps.select("sbom_id", "comp_ord", F.col("name").alias("c_name"), F.col("purl").alias("c_purl"),
-                     F.pmod(F.xxhash64("comp_ord"), F.lit(SALTS)).alias("salt"))
-    a = algos.select("sbom_id", "algorithm", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = (comps.groupBy("sbom_id", F.col("name").alias("c_name"), F.col("purl").alias("c_purl"))
+         .agg(F.min(F.struct(*KEY)).alias("comp"))
+         .withColumn("salt", F.pmod(F.xxhash64("c_name", "c_purl"), F.lit(salts))))
+    a = algos.select("sbom_id", "algorithm", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     hit = (a.join(c, ["sbom_id", "salt"]).where(match(F.col("c_name"), F.col("c_purl"), F.col("algorithm")))
-           .groupBy("sbom_id", "algorithm").agg(F.min("comp_ord").alias("comp_ord")))
+           .groupBy("sbom_id", "algorithm").agg(F.min("comp").alias("comp")))
     return algos.join(hit, ["sbom_id", "algorithm"], "left")
 
 
+def _attach(findings: DataFrame, targets: DataFrame) -> DataFrame:
+    """Findings with their algorithm's target.  The targets, one row per SBOM
+    and algorithm, are small beside the findings; where their size allows,
+    adaptive execution broadcasts them, else it splits skewed partitions."""
+    t = targets.withColumnRenamed("sbom_id", "repo")
+    return findings.join(t, ["repo", "algorithm"]).withColumn("sbom_id", F.col("repo"))
+
+
 def _leaders(targets: DataFrame) -> DataFrame:
     """J17 for CycloneDX: greedy leaders over the SBOM's unmatched algorithms
     in first-appearance order; every unmatched algorithm → its first leader."""
-    un = targets.where(F.col("comp_ord").isNull())
+    un = targets.where(F.col("comp").isNull())
     per = (un.groupBy("sbom_id")
            .agg(F.array_sort(F.collect_list(F.struct("first_ord", "algorithm"))).alias("seq")))
     related = lambda l, x: F.lower(l).contains(F.lower(x)) | F.lower(x).contains(F.lower(l))
@@ -90,54 +103,75 @@ def _leaders(targets: DataFrame) -> DataFrame:
 
 
 def assign_cyclonedx(components: DataFrame, findings: DataFrame) -> DataFrame:
-    """Each finding with its target component: `comp_ord` of an original
-    component, or NEW_BASE + leader index with `leader` set."""
+    """Each finding with its target component: `is_new` false and (doc_ord,
+    pos) of an original component, or `is_new` and (null, leader index)."""
     f = finding_order(findings)
     t = _targets(f, components.where(F.col("format") == "cyclonedx"), _cdx_match)
-    lead = _leaders(t)
-    t = (t.join(lead, ["sbom_id", "algorithm"], "left")
-         .select("sbom_id", "algorithm",
-                 F.coalesce("comp_ord", F.lit(NEW_BASE) + F.col("leader_idx")).alias("target"),
-                 "leader"))
-    return f.join(t, (f["repo"] == t["sbom_id"]) & (f["algorithm"] == t["algorithm"])).drop(t["algorithm"])
+    t = (t.join(_leaders(t), ["sbom_id", "algorithm"], "left")
+         .select("sbom_id", "algorithm", F.col("comp").isNull().alias("is_new"), F.col("comp.doc_ord").alias("doc_ord"),
+                 F.coalesce("comp.pos", F.col("leader_idx").cast("long")).alias("pos")))
+    return _attach(f, t)
 
 
 def enrich_cyclonedx(components: DataFrame, findings: DataFrame) -> DataFrame:
     """K6 components: originals (matched or not) and appended crypto assets,
-    with the number of attached findings and the crypto variant."""
+    with the number of attached findings, the crypto variant and `component`,
+    the component as JSON: the original kept, cryptoProperties set where it
+    has findings; its added properties are rows of `cyclonedx_properties`."""
     a = assign_cyclonedx(components, findings)
-    per = a.groupBy("sbom_id", F.col("target").alias("comp_ord")).agg(
+    per = a.groupBy("sbom_id", "is_new", *KEY).agg(
         F.count(F.lit(1)).cast("long").alias("n_findings"),
         F.max_by("algorithm", "ord").alias("last_algorithm"),
         F.min_by(F.struct("algorithm", "category", "description", "file", "line", "snippet"),
                  F.col("ord")).alias("creator"))
     orig = (components.where(F.col("format") == "cyclonedx")
-            .join(per, ["sbom_id", "comp_ord"], "left")
-            .select("sbom_id", "comp_ord", F.lit("original").alias("origin"), "name", "type", "purl",
+            .join(per.where(~F.col("is_new")), ["sbom_id"] + KEY, "left")
+            .select("sbom_id", *KEY, F.lit("original").alias("origin"), "name", "type", "purl",
                     F.when(F.col("n_findings").isNotNull(), F.lit("algorithm")).alias("asset_type"),
                     F.col("last_algorithm").alias("variant"),
                     F.coalesce("n_findings", F.lit(0)).cast("long").alias("n_findings"),
-                    (F.coalesce("n_findings", F.lit(0)) * 4).cast("long").alias("n_added_properties")))
-    new = (per.where(F.col("comp_ord") >= NEW_BASE)
-           .select("sbom_id", "comp_ord", F.lit("new").alias("origin"),
+                    (F.coalesce("n_findings", F.lit(0)) * 4).cast("long").alias("n_added_properties"),
+                    _with_crypto(F.col("original"), F.col("last_algorithm")).alias("component")))
+    kind = (F.when((F.col("n_findings") == 1) & (F.col("creator.category") == "protocol"), F.lit("protocol"))
+            .otherwise(F.lit("algorithm")))
+    new = (per.where("is_new")
+           .select("sbom_id", *KEY, F.lit("new").alias("origin"),
                    F.col("creator.algorithm").alias("name"), F.lit("crypto-asset").alias("type"),
                    F.lit(None).cast("string").alias("purl"),
-                   F.when(F.col("n_findings") > 1, F.lit("algorithm"))
-                   .when(F.col("creator.category") == "protocol", F.lit("protocol"))
-                   .otherwise(F.lit("algorithm")).alias("asset_type"),
-                   F.col("last_algorithm").alias("variant"), "n_findings",
-                   (F.col("n_findings") * 4).alias("n_added_properties")))
+                   kind.alias("asset_type"), F.col("last_algorithm").alias("variant"), "n_findings",
+                   (F.col("n_findings") * 4).alias("n_added_properties"),
+                   F.to_json(F.struct(
+                       F.lit("crypto-asset").alias("type"), F.col("creator.algorithm").alias("name"),
+                       F.col("creator.description").alias("description"),
+                       _crypto(kind, F.col("last_algorithm")).alias("cryptoProperties"),
+                       F.struct(F.array(F.struct(F.col("creator.file").alias("location"), F.col("creator.line").alias("line"),
+                                                 F.col("creator.snippet").alias("additionalContext")))
+                                .alias("occurrences")).alias("evidence"))).alias("component")))
     return orig.unionByName(new)
 
 
+def _crypto(kind: Column, algorithm: Column) -> Column:
+    return F.struct(kind.alias("assetType"), F.struct(algorithm.alias("variant")).alias("algorithmProperties"))
+
+
+def _with_crypto(original: Column, algorithm: Column) -> Column:
+    """The original JSON object with a top-level cryptoProperties member, kept
+    as it is where no finding matched."""
+    crypto = F.to_json(_crypto(F.lit("algorithm"), algorithm))
+    body = F.regexp_replace(original, r"\}\s*$", "")
+    comma = F.when(body.rlike(r"^\s*\{\s*$"), F.lit("")).otherwise(F.lit(","))
+    return F.when(algorithm.isNull(), original).otherwise(
+        F.concat(body, comma, F.lit('"cryptoProperties":'), crypto, F.lit("}")))
+
+
 def cyclonedx_properties(components: DataFrame, findings: DataFrame) -> DataFrame:
     """A18 as rows: the name/value pairs each finding adds to its component
     (a creator finding adds severity/confidence/detectionMethod/replacement,
     a matching finding severity/algorithm/confidence/replacement)."""
     a = assign_cyclonedx(components, findings)
-    first = a.groupBy("sbom_id", "target").agg(F.min("ord").alias("min_ord"))
-    a = a.join(first, ["sbom_id", "target"])
-    creator = (F.col("target") >= NEW_BASE) & (F.col("ord") == F.col("min_ord"))
+    first = a.where("is_new").groupBy("sbom_id", "pos").agg(F.min("ord").alias("min_ord")).withColumn("is_new", F.lit(True))
+    a = a.join(first, ["sbom_id", "is_new", "pos"], "left")
+    creator = F.coalesce(F.col("ord") == F.col("min_ord"), F.lit(False))
     p = C.PROPERTY_PREFIX
     conf = js_number(F.col("confidence"))
     repl = F.coalesce("replacement", F.lit("none"))
@@ -150,9 +184,8 @@ def cyclonedx_properties(components: DataFrame, findings: DataFrame) -> DataFram
             F.struct(F.lit(p + "algorithm").alias("name"), F.col("algorithm").alias("value")),
             F.struct(F.lit(p + "confidence").alias("name"), conf.alias("value")),
             F.struct(F.lit(p + "replacement").alias("name"), repl.alias("value"))))
-    return (a.select("sbom_id", F.col("target").alias("comp_ord"), "file", "rule_id",
-                     F.posexplode(pairs).alias("prop_idx", "p"))
-            .select("sbom_id", "comp_ord", "file", "rule_id", "prop_idx", "p.name", "p.value"))
+    return (a.select("sbom_id", "is_new", *KEY, "file", "rule_id", F.posexplode(pairs).alias("prop_idx", "p"))
+            .select("sbom_id", "is_new", *KEY, "file", "rule_id", "prop_idx", "p.name", "p.value"))
 
 
 def _spdx_match(name: Column, purl: Column, algorithm: Column) -> Column:
@@ -164,17 +197,16 @@ def enrich_spdx(components: DataFrame, findings: DataFrame) -> DataFrame:
     plus one new package per unmatched finding (id from rule and file)."""
     spdx = components.where(F.col("format") == "spdx")
     f = finding_order(findings)
-    t = _targets(f, spdx, _spdx_match)
-    a = f.join(t, (f["repo"] == t["sbom_id"]) & (f["algorithm"] == t["algorithm"])).drop(t["algorithm"])
-    per = a.where(F.col("comp_ord").isNotNull()).groupBy("sbom_id", "comp_ord") \
+    a = _attach(f, _targets(f, spdx, _spdx_match))
+    per = a.where(F.col("comp").isNotNull()).groupBy("sbom_id", "comp.doc_ord", "comp.pos") \
         .agg(F.count(F.lit(1)).cast("long").alias("n_annotations"))
-    orig = (spdx.join(per, ["sbom_id", "comp_ord"], "left")
+    orig = (spdx.join(per, ["sbom_id"] + KEY, "left")
             .select("sbom_id", F.lit("original").alias("origin"),
-                    F.concat(F.lit("pkg-"), F.col("comp_ord").cast("string")).alias("spdx_id"),
+                    F.get_json_object("original", "$.SPDXID").alias("spdx_id"),
                     "name", F.coalesce("version", F.lit("")).alias("version_info"), "purl",
                     F.coalesce("n_annotations", F.lit(0)).cast("long").alias("n_annotations"),
                     F.lit(None).cast("string").alias("comment")))
-    new = (a.where(F.col("comp_ord").isNull())
+    new = (a.where(F.col("comp").isNull())
            .select("sbom_id", F.lit("new").alias("origin"),
                    F.concat(F.lit(C.SPDX_ID_PREFIX), F.col("rule_id"), F.lit("-"),
                             F.regexp_replace("file", "[^A-Za-z0-9.]", "-")).alias("spdx_id"),
@@ -191,9 +223,8 @@ def spdx_annotations(components: DataFrame, findings: DataFrame) -> DataFrame:
     """A18 for SPDX as rows: one annotation line per matched finding."""
     spdx = components.where(F.col("format") == "spdx")
     f = finding_order(findings)
-    t = _targets(f, spdx, _spdx_match).where(F.col("comp_ord").isNotNull())
-    a = f.join(t, (f["repo"] == t["sbom_id"]) & (f["algorithm"] == t["algorithm"])).drop(t["algorithm"])
+    a = _attach(f, _targets(f, spdx, _spdx_match).where(F.col("comp").isNotNull()))
     text = F.concat(F.lit(C.ANNOTATION_TAG), F.col("severity"), F.lit(": "), F.col("algorithm"),
                     F.lit(" — "), F.col("description"), F.lit(". Replace with: "),
                     F.coalesce("replacement", F.lit("N/A")))
-    return a.select("sbom_id", "comp_ord", "file", "rule_id", text.alias("annotation"))
+    return a.select("sbom_id", "comp.doc_ord", "comp.pos", "file", "rule_id", text.alias("annotation"))

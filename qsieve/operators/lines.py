@@ -118,15 +118,23 @@ def regex_confidence(line: Column, lang: Column, severity: Column) -> Column:
     return F.round(c, 2)
 
 
+def oversize_files(files: DataFrame, max_chars: int = C.MAX_REGEX_CHARS) -> DataFrame:
+    """The files that a limit of `max_chars` keeps from the regex branch."""
+    return files.where(F.length("content") > max_chars).select("repo", "path", F.length("content").cast("long").alias("n_chars"))
+
+
+def _within(files: DataFrame, max_chars: int | None) -> DataFrame:
+    return files if max_chars is None else files.where(F.length("content") <= max_chars)
+
+
 def regex_findings(files: DataFrame, rules: list[dict] | None = None,
-                   use_gates: bool = True) -> DataFrame:
+                   use_gates: bool = True, max_chars: int | None = None) -> DataFrame:
     """Regex-branch findings (phase 0) for readable files with `language`.
 
-    S7: files over 1,000,000 characters are skipped on this branch only; the
-    filter sits below the explode."""
+    S7: with `max_chars`, longer files are skipped on this branch only (see
+    `oversize_files`); lines are exploded, so no limit is needed by default."""
     spark = files.sparkSession
-    small = files.where(F.length("content") <= C.MAX_REGEX_CHARS)
-    hits = match_compiled(explode_lines(small), rules, use_gates)
+    hits = match_compiled(explode_lines(_within(files, max_chars)), rules, use_gates)
     dim = F.broadcast(rule_dimension(spark, rules))
     out = (hits.join(dim, "rule_ord")
            .select("repo", "rule_id", "description", "severity", "category", "algorithm",
@@ -150,7 +158,7 @@ def _same_line_dedupe(findings: DataFrame) -> DataFrame:
     return findings.join(best, key + ["rule_ord"], "left_semi")
 
 
-def regex_findings_join(files: DataFrame, rules: DataFrame) -> DataFrame:
+def regex_findings_join(files: DataFrame, rules: DataFrame, max_chars: int | None = None) -> DataFrame:
     """J1, join form for a user rule DataFrame (E1): broadcast nested-loop join
     of lines with one union pattern per rule; first pattern / column via the
     per-pattern array.  Produces the same rows as `regex_findings`."""
@@ -160,8 +168,7 @@ def regex_findings_join(files: DataFrame, rules: DataFrame) -> DataFrame:
                      F.concat(F.lit("(?i)"), F.concat_ws(
                          "|", F.transform("patterns", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))))
                      ).alias("rx"))
-    small = files.where(F.length("content") <= C.MAX_REGEX_CHARS)
-    lines = explode_lines(small)
+    lines = explode_lines(_within(files, max_chars))
     cond = ((F.coalesce(F.size("languages"), F.lit(0)) <= 0) | F.col("language").isNull()
             | F.array_contains("languages", F.col("language"))) & F.expr("line rlike rx")
     # Each broadcast side holds at most MAX_BROADCAST_RULES rules: a larger
@@ -183,11 +190,12 @@ def regex_findings_join(files: DataFrame, rules: DataFrame) -> DataFrame:
     return _same_line_dedupe(out)
 
 
-def regex_findings_for(files: DataFrame, rules: DataFrame | list[dict] | None = None) -> DataFrame:
+def regex_findings_for(files: DataFrame, rules: DataFrame | list[dict] | None = None,
+                       max_chars: int | None = None) -> DataFrame:
     """Pick the plan: catalogue/list → compiled; DataFrame → compiled when its
     row count is within MAX_COMPILED_RULES (a dimension, checked), else join."""
     if rules is None or isinstance(rules, list):
-        return regex_findings(files, rules)
+        return regex_findings(files, rules, max_chars=max_chars)
     n = rules.limit(MAX_COMPILED_RULES + 1).count()
     if n <= MAX_COMPILED_RULES:
         rows = [dict(id=x["rule_id"], description=x["description"], severity=x["severity"],
@@ -195,5 +203,5 @@ def regex_findings_for(files: DataFrame, rules: DataFrame | list[dict] | None =
                      replacement=x["replacement"], effort=x["effort"],
                      languages=x["languages"] or [], patterns=x["patterns"] or [])
                 for x in rules.orderBy("rule_ord").collect()]
-        return regex_findings(files, rows)
-    return regex_findings_join(files, rules)
+        return regex_findings(files, rows, max_chars=max_chars)
+    return regex_findings_join(files, rules, max_chars)

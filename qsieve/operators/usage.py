@@ -1,30 +1,32 @@
 """Code-usage extraction for JavaScript/TypeScript files.
 
-Re-aimed from a per-file syntax-tree walk to column expressions over the
-`files` table (no UDF, no shuffle):
-
-* U1 — comments are blanked character by character (newlines kept) after a
-  single left-to-right tokenisation of the whole file (strings, line
-  comments, block comments, other text), so line and column positions of
-  everything else are unchanged and comment text yields no site.
-* U2–U6 — sites are extracted per masked line with `regexp_extract_all`;
-  statements that continue on later lines (multi-line import lists, option
-  objects) are read from a look-ahead context of LOOKAHEAD_LINES lines.  A
-  site belongs to the line on which it starts (offset check), so a context
-  never attributes a later line's site twice.
+Brackets nest to any depth and strings, templates and regular-expression
+literals hide code, so sites cannot be told by regular expressions alone.
+Spark selects the files (language, and a test for any known name, both in the
+JVM) and joins the sites; one small function in between reads a file's tokens
+once, in time linear in its length, and yields its sites:
+
+* U1 — comments, strings, templates and regex literals are tokens; code inside
+  a template's `${…}` is code.
+* U2–U6 — an import's source, a call's first argument, an option object's
+  pairs are read over any number of lines and any nesting.  A site stands at
+  the start of its statement or of its whole call chain.
 * J2–J4 — sites join the fixed pattern dimensions with broadcast equi-joins
   (package root; method; object+method); the first pattern in list order is
   picked inside the row from the ordered candidate array.  J5 — the rule
   attributes come from the rule dimension (inner join: unknown rule → none).
 
-It is not a parser: a site must fit in the look-ahead window, a `/*` or
-quote inside a regex literal is taken literally, and a call on a chained
-expression (`f(x).createHash(...)`) reports the column of the previous call
-in the chain on that line.
+Null contents give no site; unclosed brackets and strings end with the file
+or line.  Known limits: text between JSX tags is read as code, and a `/` after
+`)` as a division.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,167 +35,252 @@ from .. import catalog as C
 from ..sources.rules import rule_rows
 from .lines import FINDING_COLS, snippet
 
-LOOKAHEAD_LINES = 8
 USAGE_LANGUAGES = ["javascript", "typescript"]
 
-# --- U1: tokeniser.  Java form (possessive loops keep the stack flat) and
-# the RE2 form used by the oracle; both tokenise identically.
-TOKEN_JAVA = (r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
-              r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"
-              r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?"
-              r"|//[^\n]*+"
-              r"|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?"
-              r"|[^\"'`/]++"
-              r"|/")
-TOKEN_RE2 = (r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"?'
-             r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?"
-             r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`?"
-             r"|//[^\n]*"
-             r"|/\*[^*]*\*+(?:[^*/][^*]*\*+)*/"
-             r"|/\*[\s\S]*"
-             r"|[^\"'`/]+"
-             r"|/")
-
-_QSTR = r"""("[^"\n]*"|'[^'\n]*'|`[^`\n]*`)"""
-_CALL_METHODS = []
-for _m, *_ in C.CALL_PATTERNS:
-    if _m not in _CALL_METHODS:
-        _CALL_METHODS.append(_m)
-# Longer names first so an alternation never stops at a prefix.
-_CALL_ALT = "|".join(sorted(["require"] + _CALL_METHODS, key=len, reverse=True))
-_OPT_OBJECTS = sorted({o for o, *_ in C.OPTION_PATTERNS})
-_OPT_METHODS = sorted({m for _, m, *_ in C.OPTION_PATTERNS})
-
-# Site bodies, shared by both dialects (no look-around, no back-references,
-# no possessive loops).
-IMPORT_BODY = (r"(^|;)([ \t]*)(import(?:[ \t]*|\s*[{*][^;\"'`]*?from\s*"
-               r"|\s+[A-Za-z_$][^;\"'`]*?\sfrom\s*)(\"[^\"\n]*\"|'[^'\n]*'))")
-IMPORT_GROUPS = dict(pre=[1, 2], source=4)
-
-CALL_BODY = (r"(^|[^\w$.)\]]|[)\]]\s*\.\s*|\s*\.\s*)((?:[A-Za-z_$][\w$]*\s*\.\s*)*)(" + _CALL_ALT
-             + r")\s*\(\s*(?:" + _QSTR + r"\s*[,)])?")
-CALL_GROUPS = dict(pre=[1], delim=1, chain=2, method=3, arg=4)
-# A call whose delimiter is `)` / `]` / a bare `.` continues a chain.
-CHAIN_DELIM_RE = r"^(?:[)\]]|\s*\.)"
-
-OPTION_BODY = (r"(^|[^\w$.])((" + "|".join(_OPT_OBJECTS) + r")\s*\.\s*(" + "|".join(_OPT_METHODS)
-               + r")\s*\(((?:[^()]+|\([^()]*\))*)\)?)")
-OPTION_GROUPS = dict(pre=[1], obj=3, method=4, args=5)
-
-PAIR_RE = r"(?:^|[{,\s])([A-Za-z_$][\w$]*)\s*:\s*(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|\[[^\]]*\])"
-# Heads of statements that may continue on later lines (imports, option calls).
-HEAD_MULTI = (r"(?:^|[;\s])import[\s{*\"']|(?:" + "|".join(_OPT_OBJECTS)
-              + r")\s*\.\s*(?:" + "|".join(_OPT_METHODS) + r")\s*\(")
-# Line prefilter: a superset of the heads the bodies above can start with
-# (ASCII-only, so Java and RE2 agree).
-HEAD_ANY = (r"(?:^|[;\s])import[\s{*\"']|(?:" + _CALL_ALT + r")\s*\(|(?:" + "|".join(_OPT_OBJECTS)
-            + r")\s*\.\s*(?:" + "|".join(_OPT_METHODS) + r")\s*\(")
-
-
-# ----------------------------------------------------------------- U1 mask
-
-def _blank(t: Column) -> Column:
-    return F.regexp_replace(t, r"[^\n]", " ")
-
-
-def _is_comment(t: Column) -> Column:
-    return t.startswith("//") | t.startswith("/*")
-
-
-def _is_string(t: Column) -> Column:
-    return t.startswith('"') | t.startswith("'") | t.startswith("`")
-
-
-def tokens(content: Column) -> Column:
-    """The file as a left-to-right token array (strings, comments, text)."""
-    return F.regexp_extract_all(content, F.lit(TOKEN_JAVA), F.lit(0))
-
-
-def masked_text(tok: Column, strings: bool = False) -> Column:
-    """The tokens joined back with comments (and, with `strings`, string
-    literals) blanked character by character — lines and columns unchanged."""
-    hide = (lambda t: _is_comment(t) | _is_string(t)) if strings else _is_comment
-    return F.array_join(F.transform(tok, lambda t: F.when(hide(t), _blank(t)).otherwise(t)), "")
-
-
-def mask_comments(content: Column) -> Column:
-    return masked_text(tokens(content))
-
-
-def unquote(q: Column) -> Column:
-    """Strip the surrounding quotes of a string literal."""
-    return F.substr(q, F.lit(2), F.length(q) - 2)
-
-
-# ---------------------------------------------------------- site extraction
-
-def extract_sites(ctx: Column, line_len: Column, body: str, groups: dict[str, int | list],
-                  chained: bool = False) -> Column:
-    """Array of structs (offset, <named groups>) for the matches of `body` in
-    `ctx` that start inside the first line (offset < line_len).
-
-    Two passes over `ctx`: `regexp_extract_all` yields the matches and `split`
-    on the same pattern the text between them; named groups are re-read from
-    each (short) match string.  A left fold keeps the running position.  With
-    `chained`, a call that continues a chain (`...).m(`) takes the offset of
-    the previous call that did not."""
-    anchored = "^" + body
-    named = {k: v for k, v in groups.items() if k != "pre"}
-    zipped = F.arrays_zip(F.regexp_extract_all(ctx, F.lit(body), F.lit(0)).alias("w"),
-                          F.split(ctx, body, -1).alias("g"))
-    proto = F.struct(F.lit(0).alias("offset"), *[F.lit("").alias(k) for k in named],
-                     F.lit(False).alias("chained"))
-    empty = F.filter(F.array(proto), lambda x: F.lit(False))
-    init = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("int").alias("last"), empty.alias("out"))
-
-    def step(acc, x):
-        w = x["w"]
-        start = acc["pos"] + F.length(x["g"])
-        for g in groups["pre"]:
-            start = start + F.length(F.regexp_extract(w, anchored, g))
-        fields = {k: F.regexp_extract(w, anchored, v) for k, v in named.items()}
-        cont = fields["delim"].rlike(CHAIN_DELIM_RE) if chained else F.lit(False)
-        off = F.when(cont, F.coalesce(acc["last"], start)).otherwise(start)
-        site = F.struct(off.alias("offset"), *[c.alias(k) for k, c in fields.items()],
-                        cont.alias("chained"))
-        return F.when(w.isNull(), acc).otherwise(F.struct(
-            (acc["pos"] + F.length(x["g"]) + F.length(w)).alias("pos"),
-            F.when(cont, acc["last"]).otherwise(start).alias("last"),
-            F.array_append(acc["out"], site).alias("out")))
-
-    sites = F.aggregate(zipped, init, step, lambda acc: acc["out"])
-    return F.filter(sites, lambda s: s["offset"] < line_len)
-
-
-def _lines_with_context(files: DataFrame) -> DataFrame:
-    """One row per line that carries a site head: (repo, path, line_no, line,
-    masked, ctx).  The context is built inside the row from the file's line
-    array, so no window or shuffle is needed."""
-    toks = files.where(F.col("language").isin(USAGE_LANGUAGES)).select(
-        "repo", "path", "content", tokens(F.col("content")).alias("tok"))
-    # one tokenisation, two masks: comments blanked (sites are read here) and
-    # comments + string literals blanked (a site's head must be code here)
-    code = masked_text(F.col("tok"))
-    bare = masked_text(F.col("tok"), strings=True)
-    src = toks.select("repo", "path", F.split("content", "\n", -1).alias("ol"),
-                      F.split(code, "\n", -1).alias("ml"), F.split(bare, "\n", -1).alias("bl"))
-    # head lines first (one predicate per line), then structs for heads only
-    ml = F.col("ml")
-    heads_idx = F.filter(F.sequence(F.lit(1), F.size(ml)),
-                         lambda i: F.element_at(ml, i).rlike(HEAD_ANY))
-
-    def head(i):
-        m = F.element_at(ml, i)
-        ctx = F.when(m.rlike(HEAD_MULTI),
-                     F.array_join(F.slice(ml, i, LOOKAHEAD_LINES + 1), "\n")).otherwise(m)
-        return F.struct(i.alias("line_no"), F.element_at(F.col("ol"), i).alias("line"),
-                        m.alias("masked"), F.element_at(F.col("bl"), i).alias("bare"),
-                        ctx.alias("ctx"))
-
-    return (src.select("repo", "path", F.explode(F.transform(heads_idx, head)).alias("s"))
-            .select("repo", "path", F.col("s.line_no").cast("int").alias("line_no"),
-                    F.col("s.line").alias("line"), F.col("s.masked").alias("masked"),
-                    F.col("s.bare").alias("bare"), F.col("s.ctx").alias("ctx")))
+CALL_METHODS = sorted({m for m, *_ in C.CALL_PATTERNS})
+OPTION_CALLS = sorted({(o, m) for o, m, *_ in C.OPTION_PATTERNS})
+# JVM test for files that can hold a site at all.
+HEAD_ANY = r"\b(?:import|require|" + "|".join(CALL_METHODS + sorted({o for o, _ in OPTION_CALLS})) + r")\b"
+
+SITE_SCHEMA = ("repo string, path string, line_no int, column int, line string, kind string, name string, "
+               "argv string, pairs array<struct<k: string, vs: array<string>>>")
+
+
+# ------------------------------------------------------------- site reader
+
+def _site_reader():
+    """A `mapInArrow` function: (repo, path, content) → SITE_SCHEMA rows.  All
+    it needs is nested here, so executors need not import this package."""
+    calls, options = frozenset(CALL_METHODS), frozenset(OPTION_CALLS)
+    names = calls | {m for _, m in options} | {"require"}
+    n_snippet = C.SNIPPET_CHARS
+    trim = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200b))) + "    　﻿"
+    token = re.compile(
+        r"(?P<blank>\s++)"
+        r"|(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
+        r'|(?P<string>"(?:[^"\\\n]|\\[\s\S])*+"?|\'(?:[^\'\\\n]|\\[\s\S])*+\'?)'
+        r"|(?P<word>[A-Za-z_$\u0080-\U0010ffff][\w$]*+)"
+        r"|(?P<number>\d[\w.]*+)"
+        r"|(?P<mark>\?\.(?!\d)|=>|[\s\S])")
+    regex = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[A-Za-z]*+")
+    chunk = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
+    type_args = re.compile(r"<[\w$\s,.\[\]|&<>{}:?\"']*>(?=\s*\()")
+    # after these words an expression starts, so a `/` opens a regex literal
+    starters = frozenset("return typeof case in of do else void delete throw new instanceof yield await default extends".split())
+    opener = {")": "(", "]": "[", "}": "{"}
+
+    def tokens(src):
+        """Parallel lists: kind, text, start, end, index of the other bracket
+        (-1: none), and whether a comment stands just before."""
+        kind, text, start, end, mate, noted = [], [], [], [], [], []
+        stack, depth = [], {"(": 0, "[": 0, "{": 0}
+        pos, n, comment = 0, len(src), False
+
+        def put(k, a, b):
+            nonlocal comment
+            kind.append(k), text.append(src[a:b]), start.append(a), end.append(b), mate.append(-1), noted.append(comment)
+            comment = False
+
+        def close_last():
+            o = stack.pop()
+            mate[o], mate[-1] = len(kind) - 1, o
+
+        while pos < n:
+            if stack and text[stack[-1]] == "`":
+                pos = chunk.match(src, pos).end()
+                if pos >= n:
+                    break
+                if src[pos] == "`":
+                    put("template", pos, pos + 1)
+                    close_last()
+                    pos += 1
+                elif src.startswith("${", pos):
+                    put("mark", pos, pos + 2)
+                    stack.append(len(kind) - 1)
+                    depth["{"] += 1
+                    pos += 2
+                else:  # a backslash or dollar that ends the file
+                    break
+                continue
+            m = token.match(src, pos)
+            k, at = m.lastgroup, pos
+            pos = m.end()
+            if k == "blank":
+                continue
+            if k == "comment":
+                comment = True
+                continue
+            c = src[at] if k == "mark" else ""
+            if c == "/":
+                operand = kind and (kind[-1] in ("string", "number", "regex", "template") or text[-1] in (")", "]")
+                                    or kind[-1] == "word" and text[-1] not in starters)
+                r = None if operand else regex.match(src, at)
+                if r:
+                    k, pos = "regex", r.end()
+            put(k, at, pos)
+            if c in ("(", "[", "{", "`"):
+                stack.append(len(kind) - 1)
+                if c != "`":
+                    depth[c] += 1
+            elif c in opener and depth[opener[c]]:
+                while True:
+                    t = text[stack[-1]][-1]
+                    if t != "`":
+                        depth[t] -= 1
+                    if t == opener[c]:
+                        close_last()
+                        break
+                    stack.pop()
+        return kind, text, start, end, mate, noted
+
+    def sites(src):
+        """(start, kind, name, argv, pairs) of every import, require, call and
+        option call, in file order."""
+        kind, text, start, end, mate, noted = tokens(src)
+        last = len(kind)
+
+        def tok(i):
+            return text[i] if 0 <= i < last and kind[i] in ("mark", "word") else ""
+
+        def string(i, stops, template=True):
+            """Contents of a string that is a whole element, else None."""
+            if i >= last or noted[i]:
+                return None
+            e = i
+            if kind[i] == "mark" and text[i] == "`" and template:
+                e = mate[i]
+            elif kind[i] != "string":
+                return None
+            raw = src[start[i]:end[e]] if e >= 0 else ""
+            return raw[1:-1] if len(raw) > 1 and raw[-1] == raw[0] and tok(e + 1) in stops else None
+
+        def operand(i):
+            return 0 <= i < last and (kind[i] in ("string", "template") or text[i] in (")", "]", "}")
+                                      or kind[i] == "word" and text[i] not in starters)
+
+        def chain(i):
+            """(first token, whether `new` constructs through this chain) of
+            the member chain whose last operand ends at token i."""
+            called = False
+            while i >= 0:
+                while i > 0 and tok(i) == "!":
+                    i -= 1
+                if text[i] in (")", "]", "}") and kind[i] == "mark" or kind[i] == "template":
+                    if mate[i] < 0:
+                        break
+                    i, closing = mate[i], text[i]
+                    before = i - 1 - (tok(i - 1) == "?.")
+                    if closing != "}" and operand(before) and text[before] != "}":
+                        called |= closing == ")"
+                        i = before
+                        continue
+                if tok(i - 1) in (".", "?.") and i >= 2:
+                    i -= 2
+                    continue
+                break
+            if tok(i - 1) == "new":
+                return (i - 1, False) if called else (i, True)
+            return i, False
+
+        def next_comma(i, stop):
+            while i < stop and tok(i) != ",":
+                i = mate[i] + 1 if mate[i] > i else i + 1
+            return i + 1
+
+        def pairs(args, stop):
+            out = []
+            while args < stop:
+                close = mate[args]
+                if tok(args) == "{" and close > args and tok(close + 1) in (",", ")"):
+                    p = args + 1
+                    while p < close:
+                        if tok(p + 1) == ":":
+                            one = string(p + 2, (",", "}"), template=False)
+                            if one:
+                                out.append({"k": text[p], "vs": [one]})
+                            elif tok(p + 2) == "[" and mate[p + 2] > 0 and tok(mate[p + 2] + 1) in (",", "}"):
+                                e, many = p + 3, []
+                                while e < mate[p + 2]:
+                                    many.append(string(e, (",", "]")))
+                                    e = next_comma(e, mate[p + 2])
+                                out.append({"k": text[p], "vs": [v for v in many if v]})
+                        p = next_comma(p, close)
+                args = next_comma(args, stop)
+            return out
+
+        for i in range(last):
+            if kind[i] != "word":
+                continue
+            member = tok(i - 1) in (".", "?.")
+            if text[i] == "import" and not (member and "\n" not in src[end[i - 1]:start[i]]):
+                j = i + 1
+                if j < last and kind[j] != "string":
+                    while j < last and (kind[j] == "word" and text[j] != "import" or text[j] in ("{", "*", ",")):
+                        if text[j] == "from" and kind[j + 1:j + 2] == ["string"]:
+                            j += 1
+                            break
+                        j = mate[j] + 1 if mate[j] > j else j + 1
+                if j < last and kind[j] == "string" and (j == i + 1 or text[j - 1] == "from"):
+                    if len(text[j]) > 2 and text[j][-1] == text[j][0]:
+                        yield start[i], "import", text[j][1:-1], None, None
+                continue
+            if text[i] not in names:
+                continue
+            j = i + 1
+            if tok(j) == "<":
+                m = type_args.match(src, start[j])
+                while m and j < last and start[j] < m.end():
+                    j += 1
+            if tok(j) == "?." and tok(j + 1) == "(":
+                j += 1
+            if tok(j) != "(" or not member and (tok(i - 1) in ("function", "new") or mate[j] > 0 and tok(mate[j] + 1) == "{"):
+                continue
+            first, built = chain(i - 2) if member and i > 1 else (i, False)
+            if built:
+                continue
+            argv = string(j + 1, (",", ")"))
+            if text[i] == "require":  # `import x = require("y")` is no call
+                if not member and argv and not (tok(i - 1) == "=" and tok(i - 3) == "import"):
+                    yield start[i], "import", argv, None, None
+                continue
+            if text[i] in calls:
+                yield start[first], "call", text[i], argv.lower() if argv else None, None
+            if member and first == i - 2 and (text[first], text[i]) in options and mate[j] > j:
+                yield start[first], "option", f"{text[first]}.{text[i]}", None, pairs(j + 1, mate[j])
+
+    def read(batches):
+        for batch in batches:
+            for repo, path, content in zip(*batch.columns):
+                src = content.as_py()
+                breaks, rows = None, []
+                for at, kind, name, argv, opts in sites(src):
+                    if breaks is None:
+                        breaks = [-1] + [m.start() for m in re.finditer("\n", src)] + [len(src)]
+                    k = bisect.bisect_left(breaks, at)
+                    begin = breaks[k - 1] + 1
+                    column = len(src[begin:at].encode("utf-16-le", "surrogatepass")) // 2 + 1
+                    line = src[begin:breaks[k]].strip(trim)[:n_snippet]
+                    rows.append((k, column, line, kind, name, argv, opts))
+                if not rows:
+                    continue
+                pair = pa.list_(pa.struct([("k", pa.string()), ("vs", pa.list_(pa.string()))]))
+                types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pair]
+                cols = [pa.array(v, t) for v, t in zip(zip(*rows), types)]
+                lead = [pa.array([x.as_py()] * len(rows), pa.string()) for x in (repo, path)]
+                yield pa.RecordBatch.from_arrays(
+                    lead + cols, ["repo", "path", "line_no", "column", "line", "kind", "name", "argv", "pairs"])
+
+    return read
+
+
+def sites(files: DataFrame) -> DataFrame:
+    """The sites of the JavaScript/TypeScript files, with the pattern
+    dimension's key.  Narrow: no shuffle."""
+    read = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").rlike(HEAD_ANY))
+            .select("repo", "path", "content").mapInArrow(_site_reader(), SITE_SCHEMA))
+    name = F.when(F.col("kind") == "import", package_root(F.col("name"))).otherwise(F.col("name"))
+    return read.select("repo", "path", "line_no", "column", "line", "kind",
+                       F.concat("kind", F.lit(":"), name).alias("site_key"), "argv", "pairs")
 
 
 # ------------------------------------------------------- pattern dimensions
@@ -236,56 +323,6 @@ def package_root(pkg: Column) -> Column:
         .otherwise(F.regexp_extract(pkg, r"^([^/]*)", 1))
 
 
-# ------------------------------------------------------------ site tables
-
-_PAIR_T = T.ArrayType(T.StructType([T.StructField("k", T.StringType()),
-                                    T.StructField("vs", T.ArrayType(T.StringType()))]))
-
-
-def _site(offset, kind, key, argv=None, pairs=None) -> Column:
-    return F.struct(offset.alias("offset"), F.lit(kind).alias("kind"), key.alias("site_key"),
-                    (argv if argv is not None else F.lit(None).cast("string")).alias("argv"),
-                    (pairs if pairs is not None else F.lit(None).cast(_PAIR_T)).alias("pairs"))
-
-
-def option_pairs(args: Column) -> Column:
-    """Unquoted `key: "v"` / `key: ["v", ...]` pairs of the argument text."""
-    keys = F.regexp_extract_all(args, F.lit(PAIR_RE), F.lit(1))
-    vals = F.regexp_extract_all(args, F.lit(PAIR_RE), F.lit(2))
-    qre = F.lit(r"""("[^"\n]*"|'[^'\n]*'|`[^`\n]*`)""")
-    return F.transform(F.arrays_zip(keys.alias("k"), vals.alias("v")), lambda kv: F.struct(
-        kv["k"].alias("k"),
-        F.when(kv["v"].startswith("["),
-               F.transform(F.regexp_extract_all(kv["v"], qre, F.lit(1)), lambda q: unquote(q)))
-        .otherwise(F.array(unquote(kv["v"]))).alias("vs")))
-
-
-def sites(lines: DataFrame) -> DataFrame:
-    """U2–U6 in one pass: every site of a line as (offset, kind, site_key,
-    argv, pairs), exploded once."""
-    ln = F.length("masked")
-    lines = lines.select("*", extract_sites(F.col("masked"), ln, CALL_BODY, CALL_GROUPS,
-                                            chained=True).alias("calls"))
-    imp = F.transform(extract_sites(F.col("ctx"), ln, IMPORT_BODY, IMPORT_GROUPS), lambda s: _site(
-        s["offset"], "import", F.concat(F.lit("import:"), package_root(unquote(s["source"])))))
-    calls = F.col("calls")
-    req = F.transform(
-        F.filter(calls, lambda c: (c["method"] == "require") & (c["chain"] == "") & ~c["chained"]
-                 & (c["arg"] != "")),
-        lambda c: _site(c["offset"], "import",
-                        F.concat(F.lit("import:"), package_root(unquote(c["arg"])))))
-    cll = F.transform(F.filter(calls, lambda c: c["method"] != "require"), lambda c: _site(
-        c["offset"], "call", F.concat(F.lit("call:"), c["method"]),
-        argv=F.when(c["arg"] != "", F.lower(unquote(c["arg"])))))
-    opt = F.transform(extract_sites(F.col("ctx"), ln, OPTION_BODY, OPTION_GROUPS), lambda o: _site(
-        o["offset"], "option", F.concat(F.lit("option:"), o["obj"], F.lit("."), o["method"]),
-        pairs=option_pairs(o["args"])))
-    in_code = lambda x: F.substr(F.col("bare"), x["offset"] + 1, F.lit(1)) != " "
-    return (lines.select("repo", "path", "line_no", "line",
-                         F.explode(F.filter(F.concat(imp, req, cll, opt), in_code)).alias("s"))
-            .select("repo", "path", "line_no", "line", "s.*"))
-
-
 def first_candidate() -> Column:
     """First pattern (list order) of the joined key that accepts the site:
     imports always; calls when the pattern has no argument list or the first
@@ -304,18 +341,18 @@ def first_candidate() -> Column:
 def usage_findings(files: DataFrame, rules=None) -> DataFrame:
     """Usage-branch findings (phase 1, method 'ast') for readable files."""
     spark = files.sparkSession
-    st = sites(_lines_with_context(files))
+    st = sites(files)
     # the first candidate is produced by a (0/1-row) generator, so later
     # filters on it are not inlined into several copies of the expression
     first = F.filter(F.array(first_candidate()), lambda x: x.isNotNull())
     hits = (st.join(F.broadcast(pattern_dimension(spark)), "site_key")
-            .select("repo", "path", "line_no", "line", "offset", F.explode(first).alias("p"))
-            .select("repo", "path", "line_no", "line", "offset", "p.rule_id", "p.confidence"))
+            .select("repo", "path", "line_no", "line", "column", F.explode(first).alias("p"))
+            .select("repo", "path", "line_no", "line", "column", "p.rule_id", "p.confidence"))
     rdim = F.broadcast(_rule_attrs(spark, rules))
     out = hits.join(rdim, "rule_id").select(
         "repo", "rule_id", "description", "severity", "category", "algorithm", "replacement",
         "effort", F.col("path").alias("file"), F.col("line_no").alias("line"),
-        (F.col("offset") + 1).cast("int").alias("column"), snippet(F.col("line")).alias("snippet"),
+        "column", snippet(F.col("line")).alias("snippet"),
         F.lit("ast").alias("detection_method"), F.col("confidence"),
         F.lit(C.PHASE_USAGE).alias("phase"), F.lit(0).alias("rule_ord"))
     return out.select(*FINDING_COLS)

@@ -63,6 +63,12 @@ SELECT 'site' || CAST(page_id % {CP.N_PAGE_REPOS} AS VARCHAR) AS repo,
 FROM pages"""
 
 
+def inventory_files_sql() -> str:
+    paths = values(list(enumerate(CP.INVENTORY_PATHS)), ["k", "form"], "ip")
+    return (f"SELECT source AS repo, replace(form, '%', CAST(doc_id AS VARCHAR)) AS path, text AS content "
+            f"FROM documents JOIN {paths} ON documents.doc_id % {len(CP.INVENTORY_PATHS)} = ip.k")
+
+
 def language_sql(path: str = "path") -> str:
     ext = f"lower(regexp_extract({path}, '(\\.[^.]*)$', 1))"
     base = f"lower(regexp_extract({path}, '([^/]*)$', 1))"
@@ -147,7 +153,7 @@ FROM (
   FROM (
     SELECT repo, path, language, unnest(string_split(content, chr(10))) AS line,
            generate_subscripts(string_split(content, chr(10)), 1) AS line_no
-    FROM {readable} WHERE length(content) <= {C.MAX_REGEX_CHARS}
+    FROM {readable}
   )
 ) h JOIN {rules_values("r")} ON h.rule_ord = r.rule_ord"""
 
@@ -196,117 +202,44 @@ def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
 
 # ---------------------------------------------------------------- usage branch
 
-def _unq(q: str) -> str:
-    return f"substr({q}, 2, length({q}) - 2)"
+# The usage sites of every planted text, read off by hand (not computed by any
+# expression of the engine): (plant, line, column, rule, confidence).
+USAGE_SITES = [
+    (0, 1, 1, "ED25519_USAGE", 0.98), (0, 5, 24, "MD5_USAGE", 0.95), (0, 7, 14, "RSA_KEY_GEN", 0.96),
+    (0, 11, 16, "ECDH_KEY_EXCHANGE", 0.96), (0, 12, 16, "AES_128", 0.95), (0, 13, 15, "AES_256", 0.95),
+    (0, 14, 16, "RSA_SIGN", 0.96),
+    (2, 1, 1, "ML_KEM", 0.98), (2, 2, 1, "ML_KEM", 0.98), (2, 6, 13, "SHA3_SAFE", 0.95), (2, 7, 16, "CHACHA20", 0.95),
+    (3, 4, 13, "ED25519_USAGE", 0.95), (3, 5, 13, "RSA_KEY_GEN", 0.95), (3, 6, 15, "ECDSA_USAGE", 0.96),
+    (3, 7, 1, "RSA_SIGN", 0.96), (3, 8, 14, "DH_KEY_EXCHANGE", 0.95), (3, 8, 75, "RSA_ENCRYPT", 0.95),
+    (3, 10, 13, "DSA_USAGE", 0.96),
+    (11, 1, 67, "SHA1_USAGE", 0.95), (11, 2, 48, "MD5_USAGE", 0.95), (11, 3, 21, "SHA256_SAFE", 0.95),
+    (11, 4, 15, "MD5_USAGE", 0.95), (11, 6, 1, "DES_3DES", 0.95),
+    (12, 2, 14, "CHACHA20", 0.95), (12, 3, 14, "SHA3_SAFE", 0.95), (12, 6, 14, "DES_3DES", 0.95),
+    (15, 1, 1, "ED25519_USAGE", 0.98), (15, 5, 1, "ECDSA_USAGE", 0.98), (15, 6, 1, "ML_KEM", 0.98),
+    (15, 8, 12, "SHA1_USAGE", 0.95), (15, 10, 14, "ECDSA_USAGE", 0.95), (15, 10, 54, "ECDSA_USAGE", 0.95),
+    (16, 1, 1, "RSA_SIGN", 0.90), (16, 2, 1, "ED25519_USAGE", 0.95), (16, 3, 1, "ED25519_USAGE", 0.90),
+    (16, 4, 12, "ED25519_USAGE", 0.96), (16, 5, 13, "RSA_ENCRYPT", 0.95), (16, 6, 12, "AES_128", 0.95),
+    (16, 6, 62, "AES_256", 0.95), (16, 7, 13, "RSA_SIGN", 0.96),
+    (17, 1, 1, "ECDSA_USAGE", 0.98), (17, 33, 11, "MD5_USAGE", 0.95), (17, 37, 11, "ECDH_KEY_EXCHANGE", 0.96),
+    (18, 1, 14, "RSA_SIGN", 0.96), (18, 30, 14, "ECDSA_USAGE", 0.96), (18, 30, 25, "ECDSA_USAGE", 0.96),
+]
 
 
 def usage_findings_sql(readable: str = "readable") -> str:
-    """DuckDB twin of operators/usage.py (RE2 tokeniser and site regexes)."""
-    from ..operators import usage as U
-    K = U.LOOKAHEAD_LINES
-    cmt = "(starts_with(t, '//') OR starts_with(t, '/*'))"
-    strg = "(" + " OR ".join(f"starts_with(t, {S(q)})" for q in ['"', "'", "`"]) + ")"
-    mask = (f"array_to_string(list_transform(tok, lambda t: CASE WHEN {cmt} "
-            f"THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')")
-    bare = (f"array_to_string(list_transform(tok, lambda t: CASE WHEN {cmt} OR {strg} "
-            f"THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')")
-    langs = ", ".join(S(x) for x in U.USAGE_LANGUAGES)
-    lines = f"""
-SELECT repo, path, s.line_no AS line_no, s.line AS line, s.masked AS masked, s.bare AS bare, s.ctx AS ctx FROM (
-  SELECT repo, path, unnest(list_filter(list_transform(ml, lambda m, i: {{'line_no': i, 'line': ol[i],
-      'masked': m, 'bare': bl[i], 'ctx': CASE WHEN regexp_matches(m, {S(U.HEAD_MULTI)})
-        THEN array_to_string(list_slice(ml, i, i + {K}), chr(10))
-        WHEN regexp_matches(m, {S(U.HEAD_ANY)}) THEN m END}}), lambda s: s.ctx IS NOT NULL)) AS s
-  FROM (SELECT repo, path, string_split(content, chr(10)) AS ol, string_split({mask}, chr(10)) AS ml,
-               string_split({bare}, chr(10)) AS bl
-        FROM (SELECT repo, path, content, regexp_extract_all(content, {S(U.TOKEN_RE2)}, 0) AS tok
-              FROM {readable} WHERE language IN ({langs}))))"""
-
-    def sites(body: str, groups: dict, src: str) -> str:
-        anchored = S("^" + body)
-        names = {k: v for k, v in groups.items() if k != "pre"}
-        grp = lambda g: f"coalesce(regexp_extract(w_[j], {anchored}, {g}), '')"
-        off = " + ".join(["coalesce(list_sum(list_transform(range(1, j), "
-                          "lambda k: length(g_[k]) + length(w_[k]))), 0)", "length(g_[j])"]
-                         + [f"length({grp(g)})" for g in groups["pre"]])
-        fields = ", ".join([f"'soff': {off}", "'idx': j"] + [f"'{k}': {grp(v)}" for k in names
-                                                             for v in [names[k]]])
-        return f"""
-SELECT repo, path, line_no, line, bare, list_filter(list_transform(range(1, len(w_) + 1), lambda j: {{{fields}}}),
-       lambda s: s.soff < line_len) AS sites
-FROM (SELECT repo, path, line_no, line, bare, length(masked) AS line_len,
-             regexp_extract_all({src}, {S(body)}, 0) AS w_, string_split_regex({src}, {S(body)}) AS g_
-      FROM u_lines)"""
-
-    imports = values([(p, i, rid, conf) for i, (pkgs, rid, conf) in enumerate(C.IMPORT_PATTERNS)
-                      for p in pkgs], ["pkg", "pattern_ord", "rule_id", "confidence"], "ip")
-    calls = values([(m, i, [a.lower() for a in args], rid, conf)
-                    for i, (m, args, rid, conf) in enumerate(C.CALL_PATTERNS)],
-                   ["method", "pattern_ord", "args", "rule_id", "confidence"], "cp")
-    opts = values([(o, m, i, prop, list(vals), rid, conf)
-                   for i, (o, m, prop, vals, rid, conf) in enumerate(C.OPTION_PATTERNS)],
-                  ["object", "method", "pattern_ord", "prop", "vals", "rule_id", "confidence"], "op")
-    root = ("CASE WHEN starts_with(package, '@') THEN regexp_extract(package, '^(@[^/]*/[^/]*|@[^/]*)', 1) "
-            "ELSE regexp_extract(package, '^([^/]*)', 1) END")
-    qstr = S(r"""("[^"\n]*"|'[^'\n]*'|`[^`\n]*`)""")
-    pair = S(U.PAIR_RE)
+    """The planted sites: a plant ends its file, so its lines are counted from
+    the file's last one.  The surrounding prose and the pages hold none."""
+    rows = [(p, CP.PLANTS[p][1].count("\n") + 1 - line, col, rid, conf) for p, line, col, rid, conf in USAGE_SITES]
+    site = values(rows, ["plant", "back", "col", "rule_id", "confidence"], "st")
     return f"""
-WITH u_lines AS ({lines}),
-u_imp AS (SELECT repo, path, line_no, line, s.soff AS soff, {_unq('s.source')} AS package
-          FROM (SELECT repo, path, line_no, line, bare, unnest(sites) AS s FROM ({sites(U.IMPORT_BODY, U.IMPORT_GROUPS, 'ctx')}))
-          WHERE substr(bare, CAST(s.soff + 1 AS BIGINT), 1) <> ' '),
-u_call0 AS (SELECT repo, path, line_no, line, bare, sites FROM ({sites(U.CALL_BODY, U.CALL_GROUPS, 'masked')})),
-u_call AS (
-  SELECT repo, path, line_no, line, s.idx AS idx, s.soff AS soff, s.chain AS chain, s.method AS method,
-         s.arg AS arg, s.chained AS chained FROM (
-    SELECT repo, path, line_no, line, bare, unnest(list_transform(sites, lambda x, i: {{
-      'idx': x.idx,
-      'soff': CASE WHEN regexp_matches(x.delim, {S(U.CHAIN_DELIM_RE)})
-                THEN coalesce(list_filter(list_slice(sites, 1, i - 1),
-                     lambda y: NOT regexp_matches(y.delim, {S(U.CHAIN_DELIM_RE)}))[-1].soff, x.soff)
-                ELSE x.soff END,
-      'chain': x.chain, 'method': x.method, 'arg': x.arg,
-      'chained': regexp_matches(x.delim, {S(U.CHAIN_DELIM_RE)})}})) AS s FROM u_call0)
-  WHERE substr(bare, CAST(s.soff + 1 AS BIGINT), 1) <> ' '),
-u_opt AS (SELECT repo, path, line_no, line, s.idx AS idx, s.soff AS soff, s.obj AS obj, s.method AS method,
-                 s.args AS args
-          FROM (SELECT repo, path, line_no, line, bare, unnest(sites) AS s FROM ({sites(U.OPTION_BODY, U.OPTION_GROUPS, 'ctx')}))
-          WHERE substr(bare, CAST(s.soff + 1 AS BIGINT), 1) <> ' '),
-u_pkg AS (
-  SELECT repo, path, line_no, line, soff, package FROM u_imp
-  UNION ALL
-  SELECT repo, path, line_no, line, soff, {_unq('arg')} FROM u_call
-  WHERE method = 'require' AND chain = '' AND NOT chained AND arg <> ''),
-u_hits AS (
-  SELECT repo, path, line_no, line, soff, ip.rule_id, ip.confidence
-  FROM u_pkg JOIN {imports} ON ({root}) = ip.pkg
-  UNION ALL
-  SELECT repo, path, line_no, line, soff, rule_id, confidence FROM (
-    SELECT c.repo, c.path, c.line_no, c.line, c.soff, cp.rule_id, cp.confidence,
-           row_number() OVER (PARTITION BY c.repo, c.path, c.line_no, c.idx ORDER BY cp.pattern_ord) AS rn
-    FROM (SELECT *, CASE WHEN arg <> '' THEN lower({_unq('arg')}) END AS argv FROM u_call
-          WHERE method <> 'require') c
-    JOIN {calls} ON c.method = cp.method
-    WHERE len(cp.args) = 0 OR (c.argv IS NOT NULL AND len(list_filter(cp.args, lambda a: starts_with(c.argv, a))) > 0))
-  WHERE rn = 1
-  UNION ALL
-  SELECT repo, path, line_no, line, soff, rule_id, confidence FROM (
-    SELECT o.repo, o.path, o.line_no, o.line, o.soff, op.rule_id, op.confidence,
-           row_number() OVER (PARTITION BY o.repo, o.path, o.line_no, o.idx ORDER BY op.pattern_ord) AS rn
-    FROM (SELECT *, list_transform(range(1, len(ks) + 1), lambda j: {{'k': ks[j],
-            'vs': CASE WHEN starts_with(vs[j], '[')
-                  THEN list_transform(regexp_extract_all(vs[j], {qstr}, 1), lambda q: {_unq('q')})
-                  ELSE [{_unq('vs[j]')}] END}}) AS pairs
-          FROM (SELECT *, regexp_extract_all(args, {pair}, 1) AS ks, regexp_extract_all(args, {pair}, 2) AS vs
-                FROM u_opt)) o
-    JOIN {opts} ON o.obj = op.object AND o.method = op.method
-    WHERE len(list_filter(o.pairs, lambda kv: kv.k = op.prop AND list_has_any(kv.vs, op.vals))) > 0)
-  WHERE rn = 1)
-SELECT h.repo, r.rule_id, r.description, r.severity, r.category, r.algorithm, r.replacement, r.effort,
-       h.path AS file, CAST(h.line_no AS INTEGER) AS line, CAST(h.soff + 1 AS INTEGER) AS "column",
-       {snippet_sql('h.line')} AS snippet, 'ast' AS detection_method, h.confidence AS confidence,
+SELECT f.repo, r.rule_id, r.description, r.severity, r.category, r.algorithm, r.replacement, r.effort,
+       f.path AS file, CAST(len(f.ol) - st.back AS INTEGER) AS line, CAST(st.col AS INTEGER) AS "column",
+       {snippet_sql('f.ol[len(f.ol) - st.back]')} AS snippet, 'ast' AS detection_method, st.confidence AS confidence,
        {C.PHASE_USAGE} AS phase, 0 AS rule_ord
-FROM u_hits h JOIN {rules_values('r')} ON h.rule_id = r.rule_id"""
+FROM (SELECT repo, path, string_split(content, chr(10)) AS ol,
+             CAST(regexp_extract(path, '/doc([0-9]+)', 1) AS BIGINT) % {len(CP.PLANTS)} AS plant
+      FROM {readable} WHERE regexp_matches(path, '/doc[0-9]+')) f
+JOIN {site} ON f.plant = st.plant
+JOIN {rules_values('r')} ON st.rule_id = r.rule_id"""
 
 
 # ------------------------------------------------------------ dependencies
@@ -553,16 +486,23 @@ def sbom_components_sql() -> str:
     var = values([(i,) + v for i, v in enumerate(CP.COMPONENT_VARIANTS)],
                  ["k", "v_name", "v_version", "v_purl"], "cv")
     return (f"SELECT 'src' || CAST(p_partkey % {CP.N_SBOM_REPOS} AS VARCHAR) AS sbom_id, "
-            f"CAST(p_partkey * 1000000 AS BIGINT) AS comp_ord, "
+            f"CAST(p_partkey + {CP.DOC_BASE} AS BIGINT) AS comp_ord, "
             f"CASE WHEN p_partkey % 3 = 2 THEN 'spdx' ELSE 'cyclonedx' END AS format, "
             f"coalesce(v_name, p_name) AS name, coalesce(v_version, CAST(p_size AS VARCHAR)) AS version, "
             f"v_purl AS purl, 'library' AS type "
             f"FROM part JOIN {var} ON part.p_partkey % {len(CP.COMPONENT_VARIANTS)} = cv.k")
 
 
+SBOM_KEY = "comp_ord AS doc_ord, CAST(0 AS BIGINT) AS pos"  # a planted document holds one component
+
+
+def sbom_component_rows_sql() -> str:
+    return f"SELECT * EXCLUDE (comp_ord), {SBOM_KEY} FROM ({sbom_components_sql()})"
+
+
 def _purl_match(purl: str, alg: str) -> str:
     p, a = f"lower({purl})", f"lower({alg})"
-    return (f"(contains({p}, {a}) OR ({a} = 'rsa' AND contains({p}, 'rsa')) OR "
+    return (f"(contains({p}, {a}) OR "
             f"(contains({a}, 'ecdsa') AND (contains({p}, 'ecdsa') OR contains({p}, 'secp256'))) OR "
             f"(contains({a}, 'ed25519') AND contains({p}, 'ed25519')))")
 
@@ -600,7 +540,7 @@ lead AS (
   SELECT sbom_id, leaders FROM (SELECT *, row_number() OVER (PARTITION BY sbom_id ORDER BY rn DESC) AS k FROM r)
   WHERE k = 1),
 ta AS (SELECT t.sbom_id, t.algorithm,
-              coalesce(t.comp_ord, {O_NEW} + list_position(l.leaders,
+              coalesce(t.comp_ord, -list_position(l.leaders,
                  list_filter(l.leaders, lambda l: {rel.replace('x', 't.algorithm')})[1])) AS target
        FROM tg t LEFT JOIN lead l ON t.sbom_id = l.sbom_id),
 fa AS (SELECT f.*, ta.target FROM fr f JOIN ta ON f.repo = ta.sbom_id AND f.algorithm = ta.algorithm)"""
@@ -612,19 +552,16 @@ WITH {_cdx_assign(findings, comps)},
 per AS (SELECT repo AS sbom_id, target AS comp_ord, CAST(count(*) AS BIGINT) AS n_findings,
                arg_max(algorithm, frank) AS last_algorithm, arg_min(algorithm, frank) AS c_alg,
                arg_min(category, frank) AS c_cat FROM fa GROUP BY repo, target)
-SELECT c.sbom_id, c.comp_ord, 'original' AS origin, c.name, c.type, c.purl,
+SELECT c.sbom_id, c.comp_ord AS doc_ord, CAST(0 AS BIGINT) AS pos, 'original' AS origin, c.name, c.type, c.purl,
        CASE WHEN p.n_findings IS NOT NULL THEN 'algorithm' END AS asset_type, p.last_algorithm AS variant,
        CAST(coalesce(p.n_findings, 0) AS BIGINT) AS n_findings,
        CAST(coalesce(p.n_findings, 0) * 4 AS BIGINT) AS n_added_properties
 FROM cdx c LEFT JOIN per p ON c.sbom_id = p.sbom_id AND c.comp_ord = p.comp_ord
 UNION ALL
-SELECT sbom_id, comp_ord, 'new', c_alg, 'crypto-asset', NULL,
+SELECT sbom_id, NULL, -comp_ord, 'new', c_alg, 'crypto-asset', NULL,
        CASE WHEN n_findings > 1 THEN 'algorithm' WHEN c_cat = 'protocol' THEN 'protocol' ELSE 'algorithm' END,
        last_algorithm, n_findings, n_findings * 4
-FROM per WHERE comp_ord >= {O_NEW}"""
-
-
-O_NEW = 1_000_000_000_000
+FROM per WHERE comp_ord < 0"""
 
 
 def sbom_spdx_sql(findings: str, comps: str) -> str:
@@ -636,7 +573,7 @@ hit AS (SELECT a.sbom_id, a.algorithm, min(c.comp_ord) AS comp_ord FROM algos a
 fa AS (SELECT f.*, h.comp_ord FROM {findings} f LEFT JOIN hit h ON f.repo = h.sbom_id AND f.algorithm = h.algorithm),
 per AS (SELECT repo AS sbom_id, comp_ord, CAST(count(*) AS BIGINT) AS n FROM fa WHERE comp_ord IS NOT NULL
         GROUP BY repo, comp_ord)
-SELECT s.sbom_id, 'original' AS origin, 'pkg-' || CAST(s.comp_ord AS VARCHAR) AS spdx_id, s.name,
+SELECT s.sbom_id, 'original' AS origin, 'SPDXRef-' || CAST(s.comp_ord - {CP.DOC_BASE} AS VARCHAR) AS spdx_id, s.name,
        coalesce(s.version, '') AS version_info, s.purl, CAST(coalesce(p.n, 0) AS BIGINT) AS n_annotations,
        CAST(NULL AS VARCHAR) AS comment
 FROM sp s LEFT JOIN per p ON s.sbom_id = p.sbom_id AND s.comp_ord = p.comp_ord
@@ -791,7 +728,7 @@ FROM (
          row_number() OVER (PARTITION BY h.repo, h.path, ur.rule_id, h.line_no ORDER BY ur.rule_ord) AS rn
   FROM (SELECT repo, path, language, unnest(string_split(content, chr(10))) AS line,
                generate_subscripts(string_split(content, chr(10)), 1) AS line_no
-        FROM {readable} WHERE length(content) <= {C.MAX_REGEX_CHARS}) h, {rv}
+        FROM {readable}) h, {rv}
   WHERE (len(ur.languages) = 0 OR h.language IS NULL OR list_contains(ur.languages, h.language))
     AND regexp_matches(h.line, '(?i)' || array_to_string(list_transform(ur.patterns, lambda p: '(?:' || p || ')'), '|')))
 WHERE rn = 1"""
@@ -820,11 +757,12 @@ def sbom_properties_sql(findings: str, comps: str) -> str:
     that creates a new component adds detectionMethod instead of algorithm."""
     p = C.PROPERTY_PREFIX
     conf = _jsnum("confidence")
-    cols = "repo AS sbom_id, target AS comp_ord, file, rule_id"
+    cols = ("repo AS sbom_id, target < 0 AS is_new, CASE WHEN target >= 0 THEN target END AS doc_ord, "
+            "CAST(greatest(-target, 0) AS BIGINT) AS pos, file, rule_id")
     return f"""
 WITH {_cdx_assign(findings, comps)},
 mn AS (SELECT repo, target, min(frank) AS min_rank FROM fa GROUP BY repo, target),
-pr AS (SELECT fa.*, (fa.target >= {O_NEW} AND fa.frank = mn.min_rank) AS creator
+pr AS (SELECT fa.*, (fa.target < 0 AND fa.frank = mn.min_rank) AS creator
        FROM fa JOIN mn ON fa.repo = mn.repo AND fa.target = mn.target)
 SELECT {cols}, CAST(0 AS BIGINT) AS prop_idx, '{p}severity' AS name, severity AS value FROM pr
 UNION ALL
@@ -845,7 +783,7 @@ WITH sp AS (SELECT * FROM {comps} WHERE format = 'spdx'),
 algos AS (SELECT DISTINCT repo AS sbom_id, algorithm FROM {findings}),
 hit AS (SELECT a.sbom_id, a.algorithm, min(c.comp_ord) AS comp_ord FROM algos a JOIN sp c ON a.sbom_id = c.sbom_id
         WHERE c.purl IS NOT NULL AND {_purl_match('c.purl', 'a.algorithm')} GROUP BY a.sbom_id, a.algorithm)
-SELECT f.repo AS sbom_id, h.comp_ord, f.file, f.rule_id,
+SELECT f.repo AS sbom_id, h.comp_ord AS doc_ord, CAST(0 AS BIGINT) AS pos, f.file, f.rule_id,
        {S(tag)} || f.severity || ': ' || f.algorithm || ' — ' || f.description || '. Replace with: ' ||
        coalesce(f.replacement, 'N/A') AS annotation
 FROM {findings} f JOIN hit h ON f.repo = h.sbom_id AND f.algorithm = h.algorithm"""

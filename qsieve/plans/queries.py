@@ -76,11 +76,13 @@ def _finding_out_sql(src: str, extra: str = "") -> str:
 
 # ------------------------------------------------------------------ queries
 
-@register("file_inventory", O.with_ctes([_FILES, _DISC], """
+@register("file_inventory", O.with_ctes([("files", f"{O.files_sql()} UNION ALL {O.inventory_files_sql()}"), _DISC], """
 SELECT repo, path, language, is_binary, n_chars FROM discovered"""))
 def q_file_inventory(spark, sf_dir):
-    """Discovered files with language, binary flag and size."""
-    return discovered_files(spark, sf_dir).select("repo", "path", "language", "is_binary", "n_chars")
+    """Discovered files with language, binary flag and size; besides
+    the corpus, every document under an excluded, hidden, binary or odd path."""
+    files = CP.corpus_files(spark, sf_dir).unionByName(CP.inventory_files(spark, sf_dir))
+    return with_file_meta(discover(files)).select("repo", "path", "language", "is_binary", "n_chars")
 
 
 @register("regex_hits", O.with_ctes([_FILES, _DISC, _READ, _RAW_REGEX],
@@ -242,17 +244,17 @@ def sbom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPS = ("comps", O.sbom_components_sql())
 
 
-@register("sbom_components", O.sbom_components_sql())
+@register("sbom_components", O.sbom_component_rows_sql())
 def q_sbom_components(spark, sf_dir):
     """SBOM documents → format detection → component/package rows."""
-    return sbom_components(spark, sf_dir).select("sbom_id", "comp_ord", "format", "name", "version",
+    return sbom_components(spark, sf_dir).select("sbom_id", "doc_ord", "pos", "format", "name", "version",
                                                   "purl", "type")
 
 
 @register("sbom_cyclonedx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_cyclonedx_sql("deduped", "comps") + ")"))
 def q_sbom_cyclonedx(spark, sf_dir):
     """J14/J16/J17 + A18 + K6: enriched CycloneDX components (original + new)."""
-    return EN.enrich_cyclonedx(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir))
+    return EN.enrich_cyclonedx(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir)).drop("component")
 
 
 @register("sbom_spdx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_spdx_sql("deduped", "comps") + ")"))
@@ -380,7 +382,7 @@ def q_sbom_properties(spark, sf_dir):
     """A18 (CycloneDX): the name/value properties each finding adds to its
     component, one row per property (no per-component array)."""
     p = EN.cyclonedx_properties(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir))
-    return p.select("sbom_id", "comp_ord", "file", "rule_id", F.col("prop_idx").cast("long").alias("prop_idx"),
+    return p.select("sbom_id", "is_new", "doc_ord", "pos", "file", "rule_id", F.col("prop_idx").cast("long").alias("prop_idx"),
                     "name", "value")
 
 

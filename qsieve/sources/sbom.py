@@ -1,7 +1,7 @@
 """SBOM documents → component rows.
 
 `documents(sbom_id, doc_ord, content, format_hint)` → `components(sbom_id,
-comp_ord, format, name, version, purl, type, original)`.  Format: the hint
+doc_ord, pos, format, name, version, purl, type, original)`.  Format: the hint
 wins, else `bomFormat = 'CycloneDX'` → cyclonedx, a string `spdxVersion` →
 spdx, else the document is undetected (format null; callers quarantine it).
 """
@@ -24,15 +24,18 @@ def detect_format(content: Column, hint: Column | None = None) -> Column:
 
 def components(docs: DataFrame) -> DataFrame:
     """One row per CycloneDX component / SPDX package, in document
-    order (`comp_ord` = doc_ord · 1e6 + position)."""
+    order (doc_ord, pos).  Undetected documents fail the job; set them apart
+    with `undetected_documents` first."""
     hint = F.col("format_hint") if "format_hint" in docs.columns else None
     j = F.from_json(F.col("content"), _DOC)
     fmt = detect_format(F.col("content"), hint)
     items = F.when(fmt == "cyclonedx", F.coalesce(j["components"], F.array().cast("array<string>"))) \
-        .when(fmt == "spdx", F.coalesce(j["packages"], F.array().cast("array<string>")))
+        .when(fmt == "spdx", F.coalesce(j["packages"], F.array().cast("array<string>"))) \
+        .otherwise(F.raise_error(F.concat(F.lit("Cannot detect SBOM format of "),
+                                          F.coalesce(F.col("sbom_id").cast("string"), F.lit("null")))).cast("array<string>"))
     ex = (docs.select("sbom_id", "doc_ord", fmt.alias("format"),
                       F.posexplode(items).alias("pos", "original"))
-          .withColumn("comp_ord", F.col("doc_ord") * 1_000_000 + F.col("pos")))
+          .withColumn("pos", F.col("pos").cast("long")))
     o = F.col("original")
     refs = F.from_json(F.get_json_object(o, "$.externalRefs"), _REFS)
     purl_ref = F.try_element_at(F.filter(refs, lambda r: r["referenceType"] == "purl"), F.lit(1))
@@ -41,7 +44,7 @@ def components(docs: DataFrame) -> DataFrame:
     version = F.when(cdx, F.get_json_object(o, "$.version")).otherwise(F.get_json_object(o, "$.versionInfo"))
     purl = F.when(cdx, F.get_json_object(o, "$.purl")).otherwise(purl_ref["referenceLocator"])
     typ = F.when(cdx, F.coalesce(F.get_json_object(o, "$.type"), F.lit("library"))).otherwise(F.lit("library"))
-    return ex.select("sbom_id", "comp_ord", "format", name.alias("name"),
+    return ex.select("sbom_id", "doc_ord", "pos", "format", name.alias("name"),
                      F.nullif(version, F.lit("")).alias("version"),
                      F.nullif(purl, F.lit("")).alias("purl"), typ.alias("type"), "original")
 
@@ -51,11 +54,3 @@ def undetected_documents(docs: DataFrame) -> DataFrame:
     quarantine of inputs the reference rejects with an error."""
     hint = F.col("format_hint") if "format_hint" in docs.columns else None
     return docs.where(detect_format(F.col("content"), hint).isNull())
-
-
-def require_detected(docs: DataFrame) -> DataFrame:
-    """S10 strict mode: fail the job when a document's format is unknown."""
-    hint = F.col("format_hint") if "format_hint" in docs.columns else None
-    fmt = detect_format(F.col("content"), hint)
-    return docs.withColumn("format", F.coalesce(fmt, F.raise_error(F.concat(
-        F.lit("Cannot detect SBOM format of "), F.col("sbom_id").cast("string")))))
