@@ -102,17 +102,71 @@ def write_files_table(files: DataFrame, path: str, mode: str = "overwrite") -> N
     files.withColumn("lang_part", lang).write.mode(mode).partitionBy("lang_part").parquet(path)
 
 
+def _walker(root: str):
+    """A `mapInArrow` function: top-level entries (rel) → all files below them."""
+    def walk(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pfs
+        files, base = pfs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for entry in batch.column(0).to_pylist():
+                info = files.get_file_info(f"{base}/{entry}")
+                found = [info] if info.is_file else files.get_file_info(pfs.FileSelector(info.path, recursive=True))
+                rels = [f.path[len(base) + 1:] for f in found if f.is_file]
+                yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string())], ["rel"])
+    return walk
+
+
+def _reader(root: str, most_bytes: int = 32 << 20):
+    """A `mapInArrow` function: rel → (rel, content), in batches of bounded
+    size.  A file that cannot be read has a null content (S6)."""
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pfs
+        files, base = pfs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["rel", "content"])
+
+        rows, size = [], 0
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                try:
+                    with files.open_input_stream(f"{base}/{rel}") as f:
+                        content = f.read().decode("utf-8", "replace")
+                except OSError:
+                    content = None
+                rows.append((rel, content))
+                size += len(content or "")
+                if size >= most_bytes:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+    return read
+
+
 def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """Every regular file below `root` as (repo, path, content).
+    """Every regular file below `root`, a path or URI, as (repo, path,
+    content).
 
     With `repo=None` the first directory level below `root` is the repository
     (a checkout per directory).  Undecodable bytes become U+FFFD as in a
-    UTF-8 text read; read errors are skipped with ignoreCorruptFiles (S6)."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("ignoreCorruptFiles", "true").load(root))
-    prefix = root.rstrip("/") + "/"
-    rel = F.substring(F.regexp_replace(F.col("path"), r"^file:", ""), len(prefix) + 1, 1 << 30)
-    raw = raw.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("content"))
+    UTF-8 text read; unreadable files have a null content (S6).
+
+    Spark's file sources skip names that start with `_` or `.`, which are
+    ordinary in source trees (`__init__.py`, `_app.tsx`, `.ssh/config`), so
+    tasks list the trees below the first level, and the paths, hashed so that
+    a repository with a large share of all files is spread, are read by tasks."""
+    from pyarrow import fs as pfs
+    files, base = pfs.FileSystem.from_uri(root)
+    top = [(f.base_name,) for f in files.get_file_info(pfs.FileSelector(base))]
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    listed = (spark.createDataFrame(top, "rel string").repartition(max(1, min(len(top), tasks)))
+              .mapInArrow(_walker(root), "rel string"))
+    raw = listed.repartition(F.col("rel")).mapInArrow(_reader(root), "rel string, content string")
     if repo is None:
         return raw.select(F.substring_index("rel", "/", 1).alias("repo"),
                           F.expr("substring(rel, length(substring_index(rel, '/', 1)) + 2)").alias("path"),

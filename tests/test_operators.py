@@ -1,6 +1,8 @@
 """Operator tests on tiny literal tables: usage extraction, gates, join form,
 discovery, policies, endpoints, manifests, SBOM."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,18 +24,43 @@ from tests.conftest import files_df
 
 def test_usage_hits(fixture_files):
     text = readable(with_file_meta(fixture_files))
-    got = {(r.file, r.line, r.rule_id, r.confidence) for r in usage_findings(text).collect()}
-    v, a, p = "vulnerable-sample.ts", "ast-test-sample.ts", "pqc-safe-sample.ts"
-    expected = {
-        (v, 3, "ED25519_USAGE", .98), (v, 11, "RSA_KEY_GEN", .96), (v, 16, "ECDH_KEY_EXCHANGE", .96),
-        (v, 19, "AES_128", .95), (v, 22, "MD5_USAGE", .95), (v, 25, "AES_256", .95),
-        (v, 28, "SHA256_SAFE", .95), (v, 31, "RSA_SIGN", .96),
-        (a, 6, "ED25519_USAGE", .98), (a, 7, "ML_KEM", .98), (a, 8, "ED25519_USAGE", .95),
-        (a, 9, "RSA_KEY_GEN", .95), (a, 12, "MD5_USAGE", .95), (a, 13, "AES_128", .95),
-        (a, 14, "RSA_KEY_GEN", .96), (a, 17, "ECDH_KEY_EXCHANGE", .96), (a, 20, "RSA_SIGN", .96),
-        (a, 21, "ECDSA_USAGE", .96), (a, 24, "SHA256_SAFE", .95), (a, 25, "AES_256", .95),
-        (p, 3, "ML_KEM", .98), (p, 4, "ML_KEM", .98)}
-    assert got == expected
+    got = {(r.file, r.line, r.column, r.rule_id, r.confidence) for r in usage_findings(text).collect()}
+    a, b = "ledger.ts", "capsule.ts"
+    assert got == {
+        (a, 1, 1, "ED25519_USAGE", .98), (a, 5, 14, "MD5_USAGE", .95), (a, 6, 14, "RSA_KEY_GEN", .96),
+        (a, 10, 16, "RSA_SIGN", .96), (a, 13, 13, "AES_256", .95),
+        (b, 1, 1, "ML_KEM", .98), (b, 2, 16, "SHA256_SAFE", .95), (b, 3, 15, "SHA256_SAFE", .95)}
+
+
+@pytest.mark.parametrize("src,expected", [
+    ('x = createHash(\n  "md5"\n)', [(1, 5, "MD5_USAGE")]),
+    ('a.replace(/`/g, "").split(/[/*]/); createHash("md5")', [(1, 36, "MD5_USAGE")]),
+    ('n = a / b / createHash("sha1").length', [(1, 13, "SHA1_USAGE")]),
+    ('jwt.sign({ s: f(g(h(u))) }, k(p(q())), { algorithm: "RS256" })', [(1, 1, "RSA_SIGN")]),
+    ('jwt.sign(p, k, { a: { algorithm: "RS256" } }); x.jwt.sign(p, k, { algorithm: "RS256" })', []),
+    ('jwt.sign(p, k, { "algorithm": "RS256" }); jwt.sign(p, k, { algorithm: `RS256` })', []),
+    ("`${createHash(`md5`)} createHash('sha1')`", [(1, 4, "MD5_USAGE")]),
+    ('createHash<Hash<A>>("md5"); createHash?.("sha1")', [(1, 1, "MD5_USAGE"), (1, 29, "SHA1_USAGE")]),
+    ('function publicEncrypt(a) {} new c.publicEncrypt(a); class A { publicEncrypt(a) { } }', []),
+    ('new Foo(1).b[2].publicEncrypt(a)', [(1, 1, "RSA_ENCRYPT")]),
+    ('return (a || b).publicEncrypt(a)', [(1, 8, "RSA_ENCRYPT")]),
+    ('createHash(/* c */ "md5"); createHash("md5" + x); createHash(x)', []),
+    ('import e = require("elliptic"); import("ethers"); import.meta.x', []),
+    ('import type { A } from "ethers"; import "web3/x"', [(1, 1, "ECDSA_USAGE"), (1, 34, "ECDSA_USAGE")]),
+    ('((( [ createHash("md5")', [(1, 7, "MD5_USAGE")]),
+    (')}] "open\ncreateHash("md5', []),
+    ("\U0001F511; createHash('md5')", [(1, 5, "MD5_USAGE")]),
+])
+def test_usage_forms(spark, src, expected):
+    text = with_file_meta(files_df(spark, [("r", "a.ts", src), ("r", "b.ts", None), ("r", "c.ts", "")]))
+    assert sorted((r.line, r.column, r.rule_id) for r in usage_findings(text).collect()) == expected
+
+
+def test_usage_long_file(spark):
+    """One pass whatever the length: 20,000 sites on lines and in one line."""
+    line = 'createHash("md5"); '
+    text = with_file_meta(files_df(spark, [("r", "a.js", (line + "\n") * 10000), ("r", "b.js", line * 10000)]))
+    assert usage_findings(text).count() == 20000
 
 
 def test_usage_comments_and_multiline(spark):
@@ -181,12 +208,12 @@ def test_manifests(spark):
 
 
 def test_sbom_parse_and_enrich(spark, fixture_files):
-    doc = fixture_files.where("path = 'test-sbom.json'").select(
-        F.lit("fx").alias("sbom_id"), F.lit(0).cast("long").alias("doc_ord"), "content")
+    doc = fixture_files.where("path = 'sbom.json'").select(
+        F.lit("fx").alias("sbom_id"), F.lit(2_000_000).cast("long").alias("doc_ord"), "content")
     comps = SB.components(doc)
-    assert [(r.name, r.purl) for r in comps.orderBy("comp_ord").collect()] == [
-        ("node-rsa", "pkg:npm/node-rsa@1.1.1"), ("express", "pkg:npm/express@4.18.0"),
-        ("@noble/ed25519", "pkg:npm/%40noble/ed25519@2.0.0")]
+    assert [(r.name, r.purl) for r in comps.orderBy("pos").collect()] == [
+        ("rsa-vault", "pkg:npm/rsa-vault@0.4.2"), ("left-align", "pkg:npm/left-align@2.1.0"),
+        ("curve-kit", "pkg:npm/%40keys/ed25519-kit@3.0.1")]
     f = spark.createDataFrame(
         [("fx", "R1", "critical", "kem", "RSA", "a.ts", 1, 0.9, "d", None, "regex", 0, 1, 1, "s"),
          ("fx", "R2", "critical", "signature", "Ed25519", "a.ts", 2, 0.9, "d", None, "regex", 0, 2, 1, "s"),
@@ -194,9 +221,15 @@ def test_sbom_parse_and_enrich(spark, fixture_files):
         "repo string, rule_id string, severity string, category string, algorithm string, file string, "
         "line int, confidence double, description string, replacement string, detection_method string, "
         "phase int, rule_ord int, column int, snippet string")
-    out = {r.name: r for r in EN.enrich_cyclonedx(comps, f).collect()}
-    assert out["node-rsa"].variant == "RSA" and out["@noble/ed25519"].variant == "Ed25519"
-    assert out["express"].variant is None and out["MD5"].origin == "new"
+    rows = EN.enrich_cyclonedx(comps, f).collect()
+    out = {r.name: r for r in rows}
+    assert len(rows) == 4 and out["rsa-vault"].variant == "RSA" and out["curve-kit"].variant == "Ed25519"
+    assert out["left-align"].variant is None and out["MD5"].origin == "new"
+    vault = json.loads(out["rsa-vault"].component)
+    assert vault["properties"] == [{"name": "team", "value": "ledger"}]
+    assert vault["cryptoProperties"] == {"assetType": "algorithm", "algorithmProperties": {"variant": "RSA"}}
+    assert json.loads(out["left-align"].component)["version"] == "2.1.0"
+    assert json.loads(out["MD5"].component)["evidence"]["occurrences"][0]["location"] == "b.ts"
 
 
 def test_catalog_sizes():

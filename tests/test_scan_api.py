@@ -15,8 +15,9 @@ def test_scan_all_branches(spark):
     obs = spark.createDataFrame(
         [("r", "h", 443, "tls", "TLSv1.2", "AES128-SHA", True, None, 256, None)], OBS_SCHEMA)
     comps = spark.createDataFrame(
-        [("r", 0, "cyclonedx", "node-rsa", "1.1.1", "pkg:npm/node-rsa@1.1.1", "library", "{}")],
-        "sbom_id string, comp_ord long, format string, name string, version string, purl string, "
+        [("r", 0, 0, "cyclonedx", "node-rsa", "1.1.1", "pkg:npm/node-rsa@1.1.1", "library", "{}"),
+         ("s", 1, 0, "spdx", "web3", "4", "pkg:npm/web3@4", "library", '{"SPDXID": "SPDXRef-w"}')],
+        "sbom_id string, doc_ord long, pos long, format string, name string, version string, purl string, "
         "type string, original string")
     pol = policies_frame(spark, [dict(id="no-rsa", algorithm="RSA", action="block")])
     r = scan(files, dependencies=True, endpoints=obs, policies=pol, now="2026-12-01",
@@ -29,3 +30,4 @@ def test_scan_all_branches(spark):
     assert r.violations.where("policy_id = 'no-rsa'").count() >= 2
     enriched = {x.name: x for x in r.enriched_components.collect()}
     assert enriched["node-rsa"].n_findings >= 1
+    assert [(x.sbom_id, x.spdx_id) for x in r.enriched_packages.collect()] == [("s", "SPDXRef-w")]

@@ -10,15 +10,18 @@ from qsieve.sources.policies import invalid_policies, policy_rows
 from qsieve.sources.rules import rule_rows, rules_frame, validate_rules
 
 
-def test_read_tree(spark):
-    root = tempfile.mkdtemp(prefix="qsieve-tree-")
-    os.makedirs(os.path.join(root, "repoA", "src"))
-    with open(os.path.join(root, "repoA", "src", "a.ts"), "w") as f:
-        f.write('import x from "node-rsa";\n')
-    with open(os.path.join(root, "repoA", "package.json"), "w") as f:
-        f.write("{}")
-    rows = {(r.repo, r.path) for r in read_tree(spark, root).collect()}
-    assert rows == {("repoA", "src/a.ts"), ("repoA", "package.json")}
+@pytest.mark.parametrize("form", ["{}", "{}/", "file://{}"])
+def test_read_tree(spark, tmp_path, form):
+    """Every name, hidden ones too, under a path or a URI root."""
+    names = ["repoA/src/a.ts", "repoA/package.json", "repoA/_app.tsx", "repoA/pkg/__init__.py",
+             "repoA/__tests__/x/y.js", "repoB/.ssh/config", "_repoC/_document.js", ".repoD/a b%20.ts"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() + b"\xff")
+    rows = {(r.repo, r.path): r.content for r in read_tree(spark, form.format(tmp_path)).collect()}
+    assert rows == {tuple(n.split("/", 1)): n + "\ufffd" for n in names}
+    one = {r.path for r in read_tree(spark, form.format(tmp_path), repo="r").collect()}
+    assert one == set(names)
 
 
 def test_rule_validation(spark):
@@ -35,17 +38,17 @@ def test_policy_validation(spark):
 
 
 def test_sbom_format_detection(spark):
-    from qsieve.sources.sbom import components, require_detected, undetected_documents
+    from qsieve.sources.sbom import components, undetected_documents
     docs = spark.createDataFrame([
         ("a", 0, '{"bomFormat": "CycloneDX", "components": [{"name": "x"}]}'),
         ("b", 1, '{"spdxVersion": "SPDX-2.3", "packages": [{"name": "y", "externalRefs": '
                  '[{"referenceType": "purl", "referenceLocator": "pkg:npm/y@1"}]}]}'),
         ("c", 2, '{"hello": 1}')], "sbom_id string, doc_ord long, content string")
-    got = {(r.sbom_id, r.format, r.name, r.purl, r.type) for r in components(docs).collect()}
+    got = {(r.sbom_id, r.format, r.name, r.purl, r.type) for r in components(docs.where("sbom_id <> 'c'")).collect()}
     assert got == {("a", "cyclonedx", "x", None, "library"), ("b", "spdx", "y", "pkg:npm/y@1", "library")}
     assert [r.sbom_id for r in undetected_documents(docs).collect()] == ["c"]
     with pytest.raises(Exception):
-        require_detected(docs).collect()
+        components(docs).collect()
 
 
 def test_language_partitioned_layout(spark, fixture_files):
@@ -60,4 +63,4 @@ def test_language_partitioned_layout(spark, fixture_files):
     df = spark.read.parquet(out + "/files").where(F.col("lang_part").isin("javascript", "typescript"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     import re
-    assert re.search(r"PartitionFilters: \[[^\]]*lang_part", plan) and df.count() == 3
+    assert re.search(r"PartitionFilters: \[[^\]]*lang_part", plan) and df.count() == 2
