@@ -407,6 +407,17 @@ JAVA_PACKAGES = [
      "Google Tink — default configurations use RSA and ECDSA, quantum-vulnerable",
      "Monitor Tink PQC support progress"),
 ]
+# Manifest files and the patterns of their entries ({} is a known name, escaped).
+MANIFEST_FILES = ["package.json", "Cargo.toml", "go.mod", "requirements.txt", "pyproject.toml",
+                  "build.gradle", "build.gradle.kts", "pom.xml"]
+CARGO_LINE = r"(?m)^\s*{}\s*=\s*(.+)"
+CARGO_QUOTED = r'^"([^"]*)"'
+CARGO_VERSION = r'version\s*=\s*"([^"]*)"'
+GO_LINE = r"(?m)^\s*{}(?:/\S*)?\s+(v\S+)"
+REQUIREMENT = r"^([a-zA-Z0-9_-]+)\s*(?:[><=!~]+\s*(\S+))?"
+PYPROJECT_ENTRY = r"(?i)[\"']{}\s*(?:[><=!~]+\s*([^\"']+))?[\"']"
+POM_DEPENDENCY = (r"<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>"
+                  r"(?:\s*<version>([^<]+)</version>)?")
 GRADLE_CONFIGURATIONS = ["implementation", "api", "compile", "runtimeOnly", "compileOnly"]
 
 # Severity → report levels; category → CycloneDX crypto properties.

@@ -79,17 +79,18 @@ def literal_of(pattern: str) -> str | None:
 
 
 def effective_patterns(patterns: list[str]) -> list[str]:
-    """Drop a pattern that is a plain literal L when an earlier pattern
-    (without anchors or look-around) matches inside L: wherever the later
-    pattern matches, the earlier one does too, so it is never the first
-    matching pattern (P5) and never changes the union (P4).  Exact."""
-    import re
+    """Drop a plain literal that holds an earlier plain literal (ASCII, case
+    aside): wherever it matches, the earlier one does too, so it is never the
+    first matching pattern (P5) and never changes the union (P4).  Patterns
+    with any other construct are kept, whatever their dialect."""
     kept: list[str] = []
+    seen: list[str] = []
     for p in patterns:
         lit = literal_of(p)
-        if lit is not None and any(
-                not any(t in q for t in ("^", "$", "(?", r"\b")) and re.search(q, lit, re.I)
-                for q in kept):
+        plain = lit.lower() if lit and lit.isascii() else None
+        if plain and any(x in plain for x in seen):
             continue
         kept.append(p)
+        if plain:
+            seen.append(plain)
     return kept

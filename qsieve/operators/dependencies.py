@@ -1,17 +1,16 @@
-"""Manifest dependencies ⋈ known-package dimensions → findings.
-
-Every known-package table is a fixed-size dimension (catalogue constants),
-joined with a broadcast hash join: npm/Cargo/pip on the exact name, Go on the
-module (sub-paths are folded into the module by the parser), Gradle/Maven on
-the group with the artifact pattern as a residual.  pyproject hits already
-found in requirements.txt are removed with a left-anti join (J10); Java hits
-keep the first source per rule id (J12, gradle → kts → pom) via an
-aggregate-based pick, never a cross join.
+"""Manifest dependencies ⋈ the known packages → findings.
+
+All ecosystems go one way: one scan of the files table for the manifests, one
+broadcast hash join with the known packages (a fixed-size dimension keyed by
+ecosystem and name; Java: group, with the artifact pattern as residual), one
+window over a repository's hits of a rule.  The window sees the entries of at
+most four manifests: J10 keeps a pyproject hit only where requirements.txt
+has none, J12 keeps the first Java hit (gradle → kts → pom).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
@@ -19,106 +18,61 @@ from ..functions.scalars import dependency_rule_id
 from ..sources import manifests as M
 from .lines import FINDING_COLS
 
-_DIM = "name string, algorithm string, severity string, category string, description string, " \
-       "replacement string"
-
-
-def known(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    from ..session import dimension
-    return dimension(spark, "known:" + rows[0][0], lambda: spark.createDataFrame(rows, _DIM))
-
-
-def _finding(df: DataFrame, phase: int, rule_id, snippet, file=None) -> DataFrame:
-    return df.select(
-        "repo", rule_id.alias("rule_id"), "description", "severity", "category", "algorithm",
-        "replacement", F.lit("complex").alias("effort"),
-        (file if file is not None else F.col("path")).alias("file"),
-        F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"),
-        snippet.alias("snippet"), F.lit("dependency").alias("detection_method"),
-        F.lit(C.CONF_DEPENDENCY).alias("confidence"), F.lit(phase).alias("phase"),
-        F.col("pos").cast("int").alias("rule_ord"))
-
-
-def npm_findings(files: DataFrame) -> DataFrame:
-    """Package.json dependencies ⋈ known npm packages (exact name)."""
-    deps = M.npm_dependencies(files)
-    j = deps.join(F.broadcast(known(files.sparkSession, C.NPM_PACKAGES)), "name")
-    return _finding(j, C.PHASE_NPM, dependency_rule_id("DEP_", F.col("name")),
-                    F.concat(F.lit('"'), F.col("name"), F.lit('": "'), F.col("version"), F.lit('"')))
-
+# manifest → (ecosystem, rule id prefix, phase)
+_KINDS = {
+    M.NPM: ("npm", "DEP_", C.PHASE_NPM), M.CARGO: ("cargo", "DEP_CRATE_", C.PHASE_CARGO),
+    M.GO: ("go", "DEP_GO_", C.PHASE_GO), M.PIP: ("pip", "DEP_PIP_", C.PHASE_PIP),
+    M.PYPROJECT: ("pip", "DEP_PIP_", C.PHASE_PIP), M.GRADLE: ("java", "DEP_MAVEN_", C.PHASE_JAVA),
+    M.GRADLE_KTS: ("java", "DEP_MAVEN_", C.PHASE_JAVA), M.POM: ("java", "DEP_MAVEN_", C.PHASE_JAVA)}
 
-def cargo_findings(files: DataFrame) -> DataFrame:
-    """Cargo.toml crates ⋈ known crates (exact name)."""
-    deps = M.cargo_dependencies(files)
-    j = deps.join(F.broadcast(known(files.sparkSession, C.CARGO_CRATES)), "name")
-    return _finding(j, C.PHASE_CARGO, dependency_rule_id("DEP_CRATE_", F.col("name")),
-                    F.concat(F.col("name"), F.lit(' = "'), F.col("version"), F.lit('"')))
 
-
-def go_findings(files: DataFrame) -> DataFrame:
-    """Go.mod modules ⋈ known modules (module or a sub-path of it)."""
-    deps = M.go_dependencies(files)
-    j = deps.join(F.broadcast(known(files.sparkSession, C.GO_MODULES)), "name")
-    return _finding(j, C.PHASE_GO, dependency_rule_id("DEP_GO_", F.col("name")),
-                    F.concat(F.col("name"), F.lit(" "), F.col("version")))
-
-
-def pip_findings(files: DataFrame) -> DataFrame:
-    """J9 + J10: requirements.txt ⋈ known (lower-cased name), every line;
-    then pyproject hits ▷ rule ids already found in requirements."""
-    spark = files.sparkSession
-    dim = F.broadcast(known(spark, C.PIP_PACKAGES))
-    req = M.requirements_dependencies(files).join(dim, "name")
-    req_f = _finding(req, C.PHASE_PIP, dependency_rule_id("DEP_PIP_", F.col("name")),
-                     F.concat(F.col("name"), F.lit("=="), F.col("version")))
-    pyp = M.pyproject_dependencies(files).join(dim, "name") \
-        .withColumn("pos", F.col("pos") + 1_000_000)
-    pyp_f = _finding(pyp, C.PHASE_PIP, dependency_rule_id("DEP_PIP_", F.col("name")),
-                     F.concat(F.col("name"), F.lit(">="), F.col("version")))
-    pyp_f = pyp_f.join(req_f.select("repo", "rule_id").distinct(), ["repo", "rule_id"], "left_anti")
-    return req_f.unionByName(pyp_f)
-
-
-def _java_dim(spark: SparkSession) -> DataFrame:
+def known(spark: SparkSession) -> DataFrame:
+    """Every known package: (eco, name, known_ord, artifact_rx, attributes)."""
     from ..session import dimension
-    return dimension(spark, "known:java", lambda: spark.createDataFrame(
-        [(i, g, rx, a, sev, cat, d, r) for i, (g, rx, a, sev, cat, d, r) in enumerate(C.JAVA_PACKAGES)],
-        "known_ord int, group_id string, artifact_rx string, algorithm string, severity string, "
-        "category string, description string, replacement string"))
-
-
-def java_findings(files: DataFrame) -> DataFrame:
-    """J11 + J12: Gradle hits (the parser already applied the artifact
-    pattern per known package) and pom.xml dependencies ⋈ known packages on
-    the group with the artifact pattern as residual; first source per rule id."""
-    spark = files.sparkSession
-    dim = F.broadcast(_java_dim(spark))
-    gradle = M.gradle_dependencies(files)
-    # `pos` of a gradle hit encodes its known package (see the parser).
-    g = (gradle.withColumn("known_ord", ((F.col("pos") % 1_000_000) / 10_000).cast("int"))
-         .join(dim.drop("group_id"), "known_ord"))
-    pom = (M.pom_dependencies(files)
-           .join(dim, "group_id")
-           .where(F.expr("artifact rlike artifact_rx"))
-           .withColumn("pos", F.lit(2_000_000) + F.col("pos") * 100 + F.col("known_ord")))
-    cols = ["repo", "path", "pos", "group_id", "artifact", "version", "algorithm", "severity",
-            "category", "description", "replacement"]
-    hits = g.select(*cols).unionByName(pom.select(*cols))
-    rid = F.upper(F.concat(F.lit("DEP_MAVEN_"), F.regexp_replace("group_id", "[^a-zA-Z0-9]", "_"),
-                           F.lit("_"), F.regexp_replace("artifact", "[^a-zA-Z0-9]", "_")))
-    hits = hits.withColumn("rule_id", rid)
-    first = (hits.groupBy("repo", "rule_id")
-             .agg(F.min_by(F.struct(*[c for c in cols if c != "repo"]), F.col("pos")).alias("h"))
-             .select("repo", "rule_id", "h.*"))
-    return _finding(first, C.PHASE_JAVA, F.col("rule_id"),
-                    F.concat_ws(":", F.col("group_id"), F.col("artifact"), F.col("version")))
-
-
-def dependency_findings(files: DataFrame) -> DataFrame:
-    """All five ecosystems (X1 order npm → Cargo → Go → pip → Java)."""
-    parts = [npm_findings(files), cargo_findings(files), go_findings(files),
-             pip_findings(files), java_findings(files)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*FINDING_COLS)
+    named = {"npm": C.NPM_PACKAGES, "cargo": C.CARGO_CRATES, "go": C.GO_MODULES, "pip": C.PIP_PACKAGES}
+    rows = [(eco, name, i, None, *rest) for eco, table in named.items() for i, (name, *rest) in enumerate(table)]
+    rows += [("java", group, i, rx, *rest) for i, (group, rx, *rest) in enumerate(C.JAVA_PACKAGES)]
+    return dimension(spark, "known", lambda: spark.createDataFrame(
+        rows, "eco string, name string, k_ord int, artifact_rx string, algorithm string, severity string, "
+              "category string, description string, replacement string"))
+
+
+def _by_path(i: int) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in _KINDS.items() for x in (F.lit(k), F.lit(v[i]))]), F.col("path"))
+
+
+def _snippet() -> Column:
+    def mid(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    name, version, path = F.col("name"), F.col("version"), F.col("path")
+    return (F.when(path == M.NPM, mid('"', name, '": "', version, '"')).when(path == M.CARGO, mid(name, ' = "', version, '"'))
+            .when(path == M.GO, mid(name, " ", version)).when(path == M.PIP, mid(name, "==", version))
+            .when(path == M.PYPROJECT, mid(name, ">=", version)).otherwise(mid(name, ":", F.col("artifact"), ":", version)))
+
+
+def dependency_findings(files: DataFrame, ecosystems: list[str] | None = None) -> DataFrame:
+    """Findings of the root manifests of the given ecosystems (default: all)."""
+    names = [m for m in M.MANIFESTS if ecosystems is None or _KINDS[m][0] in ecosystems]
+    deps = M.manifest_entries(files, names).withColumn("eco", _by_path(0))
+    hits = deps.join(F.broadcast(known(files.sparkSession)), ["eco", "name"]).where(
+        F.when(F.col("eco") != "java", F.lit(True))
+        .otherwise(F.coalesce(F.col("known_ord") == F.col("k_ord"), F.expr("artifact rlike artifact_rx"))))
+    java_id = F.upper(F.concat(F.lit("DEP_MAVEN_"), F.regexp_replace("name", "[^a-zA-Z0-9]", "_"), F.lit("_"),
+                               F.regexp_replace("artifact", "[^a-zA-Z0-9]", "_")))
+    rule_id = F.when(F.col("eco") == "java", java_id)
+    for eco, prefix, _ in _KINDS.values():
+        if eco != "java":
+            rule_id = rule_id.when(F.col("eco") == eco, dependency_rule_id(prefix, F.col("name")))
+    source = F.array_position(F.array(*[F.lit(m) for m in M.MANIFESTS]), F.col("path"))
+    hits = hits.select("*", rule_id.alias("rule_id"), source.alias("source"), F.struct(source.alias("source"), "pos", "k_ord").alias("at"))
+    if ecosystems is None or {"pip", "java"} & set(ecosystems):
+        same = Window.partitionBy("repo", "rule_id")
+        hits = (hits.withColumn("first", F.min("at").over(same))
+                .where(F.when(F.col("eco") == "java", F.col("at") == F.col("first"))
+                       .when(F.col("eco") == "pip", F.col("source") == F.col("first.source")).otherwise(F.lit(True))))
+    return hits.select(
+        "repo", "rule_id", "description", "severity", "category", "algorithm", "replacement",
+        F.lit("complex").alias("effort"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"),
+        F.lit(None).cast("int").alias("column"), _snippet().alias("snippet"),
+        F.lit("dependency").alias("detection_method"), F.lit(C.CONF_DEPENDENCY).alias("confidence"),
+        _by_path(2).alias("phase"), F.col("pos").cast("int").alias("rule_ord")).select(*FINDING_COLS)

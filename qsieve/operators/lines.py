@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.regex import JS_SPACE_JAVA, effective_patterns, java_ci, js_word_boundary_java, union
-from ..sources.rules import rule_rows, rules_frame
+from ..sources.rules import checked_rules, rule_rows, rules_frame
 
 FINDING_COLS = ["repo", "rule_id", "description", "severity", "category", "algorithm",
                 "replacement", "effort", "file", "line", "column", "snippet",
@@ -162,7 +162,7 @@ def regex_findings_join(files: DataFrame, rules: DataFrame, max_chars: int | Non
     """J1, join form for a user rule DataFrame (E1): broadcast nested-loop join
     of lines with one union pattern per rule; first pattern / column via the
     per-pattern array.  Produces the same rows as `regex_findings`."""
-    r = rules.select("rule_ord", "rule_id", "description", "severity", "category", "algorithm",
+    r = checked_rules(rules).select("rule_ord", "rule_id", "description", "severity", "category", "algorithm",
                      "replacement", "effort", "languages",
                      F.transform("patterns", lambda p: F.concat(F.lit("(?i)"), p)).alias("rx_list"),
                      F.concat(F.lit("(?i)"), F.concat_ws(
@@ -202,6 +202,6 @@ def regex_findings_for(files: DataFrame, rules: DataFrame | list[dict] | None =
                      category=x["category"], algorithm=x["algorithm"],
                      replacement=x["replacement"], effort=x["effort"],
                      languages=x["languages"] or [], patterns=x["patterns"] or [])
-                for x in rules.orderBy("rule_ord").collect()]
+                for x in checked_rules(rules).orderBy("rule_ord").collect()]
         return regex_findings(files, rows, max_chars=max_chars)
     return regex_findings_join(files, rules, max_chars)

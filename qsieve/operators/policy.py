@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import policy_message
+from ..sources.policies import checked_policies
 
 MAX_BROADCAST_POLICIES = 10_000
 
@@ -35,7 +36,7 @@ def policy_matches(f_alg: Column, f_cat: Column, f_sev: Column, f_conf: Column,
 def evaluate_policies(findings: DataFrame, policies: DataFrame, now: str | None = None) -> DataFrame:
     """One row per (non-safe finding, matching policy)."""
     now_c = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-    pol = policies.select("policy_ord", F.col("id").alias("policy_id"), "description",
+    pol = checked_policies(policies).select("policy_ord", F.col("id").alias("policy_id"), "description",
                           F.col("algorithm").alias("algorithm_p"),
                           F.col("category").alias("category_p"),
                           F.col("severity").alias("severity_p"), "min_confidence", "action",

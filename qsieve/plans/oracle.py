@@ -82,10 +82,14 @@ def is_binary_sql(path: str = "path") -> str:
     return f"({ext} IN ({', '.join(S(e) for e in C.BINARY_EXTENSIONS)}))"
 
 
-def discovered_sql(files: str = "files") -> str:
+def discovered_sql(files: str = "files", include: list[str] | None = None, exclude: list[str] | None = None) -> str:
     inc = (f"((NOT regexp_matches(path, {S(SF._DOT_SEGMENT)}) AND (regexp_matches(path, {S(SF._EXT_RE)})"
            f" OR regexp_matches(path, {S(SF._NAME_RE)}))) OR regexp_matches(path, {S(SF._SSH_CONFIG_RE)}))")
     exc = f"regexp_matches(path, {S(SF._EXCLUDE_RE)})"
+    if include is not None:
+        inc = "(" + " OR ".join(f"regexp_matches(path, {S(r)})" for r in include) + ")"
+    if exclude:
+        exc = "(" + " OR ".join([exc] + [f"regexp_matches(path, {S(r)})" for r in exclude]) + ")"
     return (f"SELECT repo, path, content, {language_sql()} AS language, {is_binary_sql()} AS is_binary, "
             f"CAST(length(content) AS BIGINT) AS n_chars FROM {files} WHERE {inc} AND NOT {exc}")
 
@@ -787,3 +791,31 @@ SELECT f.repo AS sbom_id, h.comp_ord AS doc_ord, CAST(0 AS BIGINT) AS pos, f.fil
        {S(tag)} || f.severity || ': ' || f.algorithm || ' — ' || f.description || '. Replace with: ' ||
        coalesce(f.replacement, 'N/A') AS annotation
 FROM {findings} f JOIN hit h ON f.repo = h.sbom_id AND f.algorithm = h.algorithm"""
+
+
+def _object(fields: list[tuple[str, str]], raw: tuple = ()) -> str:
+    """A JSON object's text without its null fields; `raw` values are JSON already."""
+    part = lambda k, v: v if k in raw else f"CAST(to_json({v}) AS VARCHAR)"
+    items = ", ".join(f"CASE WHEN ({v}) IS NOT NULL THEN {S(chr(34) + k + chr(34) + ':')} || {part(k, v)} END" for k, v in fields)
+    return f"('{{' || array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ',') || '}}')"
+
+
+def json_findings_sql(findings: str, timestamp: str) -> str:
+    loc = _object([("file", "file"), ("line", "line"), ("column", '"column"'), ("snippet", "snippet")])
+    obj = _object([("ruleId", "rule_id")] + [(c, c) for c in ("description", "severity", "category", "algorithm", "replacement", "effort")]
+                  + [("location", loc), ("detectionMethod", "detection_method"), ("confidence", "confidence"),
+                     ("occurrences", "occurrences")], raw=("location",))
+    return f"SELECT repo, {S(timestamp)} AS timestamp, {obj} AS json FROM {findings}"
+
+
+def json_summary_sql(summary: str, timestamp: str) -> str:
+    obj = _object([("filesScanned", "files_scanned"), ("findingsTotal", "findings_total"),
+                   ("bySeverity", _object([(x, f'"{x}"') for x in C.SEVERITIES])), ("byCategory", _object([(x, f'"{x}"') for x in C.CATEGORIES])),
+                   ("pqcReady", "pqc_ready")], raw=("bySeverity", "byCategory"))
+    return f"SELECT repo, {S(timestamp)} AS timestamp, {_object([('target', 'repo'), ('summary', obj)], raw=('summary',))} AS json FROM {summary}"
+
+
+def violation_labels_sql(violations: str) -> str:
+    return f"""
+SELECT repo, file, rule_id, '[' || upper(action) || '] ' || policy_id || ': ' || message ||
+       CASE WHEN deadline <> '' THEN ' (deadline: ' || deadline || ')' ELSE '' END AS label FROM {violations}"""

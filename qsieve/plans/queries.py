@@ -158,12 +158,12 @@ def _dep_query(name: str, fn, sql_fn, doc: str):
     register(name, O.with_ctes([_MFILES], _dep_out_sql(sql_fn())))(q)
 
 
-_dep_query("deps_npm", DP.npm_findings, O.npm_sql, "S13 + J6: package.json ⋈ known npm packages.")
-_dep_query("deps_cargo", DP.cargo_findings, O.cargo_sql, "S14 + J7: Cargo.toml ⋈ known crates.")
-_dep_query("deps_go", DP.go_findings, O.go_sql, "S15 + J8: go.mod ⋈ known modules (prefix).")
-_dep_query("deps_pip", DP.pip_findings, O.pip_sql,
+_dep_query("deps_npm", lambda f: DP.dependency_findings(f, ["npm"]), O.npm_sql, "S13 + J6: package.json ⋈ known npm packages.")
+_dep_query("deps_cargo", lambda f: DP.dependency_findings(f, ["cargo"]), O.cargo_sql, "S14 + J7: Cargo.toml ⋈ known crates.")
+_dep_query("deps_go", lambda f: DP.dependency_findings(f, ["go"]), O.go_sql, "S15 + J8: go.mod ⋈ known modules (prefix).")
+_dep_query("deps_pip", lambda f: DP.dependency_findings(f, ["pip"]), O.pip_sql,
            "S16/S17 + J9/J10: requirements ⋈ known; pyproject ▷ requirements.")
-_dep_query("deps_java", DP.java_findings, O.java_sql,
+_dep_query("deps_java", lambda f: DP.dependency_findings(f, ["java"]), O.java_sql,
            "S18/S19 + J11/J12: Gradle/Maven ⋈ known artifacts; first source per rule id.")
 
 
@@ -307,12 +307,50 @@ def q_cbom_header(spark, sf_dir):
     return RP.cbom_header(SM.summary(code_findings(spark, sf_dir), disc), CP.POLICY_NOW)
 
 
-@register("json_findings")
+@register("json_findings", O.with_ctes(_CODE_FOUND, O.json_findings_sql("deduped", CP.POLICY_NOW)))
 def q_json_findings(spark, sf_dir):
     """K1: JSON-lines result (one object per finding, fixed timestamp)."""
     return RP.json_findings(code_findings(spark, sf_dir), CP.POLICY_NOW)
 
 
+@register("json_summary", O.with_ctes(_CODE_FOUND + [_SUMMARY], O.json_summary_sql("summary", CP.POLICY_NOW)))
+def q_json_summary(spark, sf_dir):
+    """K1: the summary object of each repository as JSON."""
+    disc = discovered_files(spark, sf_dir)
+    return RP.json_summary(SM.summary(code_findings(spark, sf_dir), disc), CP.POLICY_NOW)
+
+
+@register("violation_labels", O.with_ctes(_CODE_FOUND + [_VIOL], O.violation_labels_sql("violations")))
+def q_violation_labels(spark, sf_dir):
+    """the label of every violation."""
+    label = PL.violation_label(F.col("action"), F.col("policy_id"), F.col("message"), F.col("deadline"))
+    return violations(spark, sf_dir).select("repo", "file", "rule_id", label.alias("label"))
+
+
+INCLUDE, EXCLUDE = [r"^src/", r"^app/.*\.ts$"], [r"doc[0-9]*7\."]
+
+
+@register("scan_options", O.with_ctes(
+    [_FILES, ("discovered", O.discovered_sql(include=INCLUDE, exclude=EXCLUDE)), _READ, _RAW_REGEX, _RAW_USAGE, _RAW_CODE,
+     ("filtered", O.filtered_sql("raw_code", 80, "high")), ("deduped", O.dedupe_sql("filtered"))],
+    _finding_out_sql("deduped", ", occurrences")))
+def q_scan_options(spark, sf_dir):
+    """Include and exclude patterns, least confidence and severity."""
+    from .scan import scan
+    found = scan(CP.corpus_files(spark, sf_dir), include=INCLUDE, exclude=EXCLUDE, min_confidence=80, min_severity="high").findings
+    return _bigint(found.select(*FINDING_OUT, "occurrences"), ["line", "column", "phase"])
+
+
+@register("sbom_undetected", "SELECT 'odd' || CAST(p_partkey AS VARCHAR) AS sbom_id FROM part WHERE p_partkey % 4 IN (0, 2)")
+def q_sbom_undetected(spark, sf_dir):
+    """Documents whose format is neither hinted nor detectable."""
+    forms = F.array(*[F.lit(x) for x in ('{"name": "x"}', '{"bomFormat": "CycloneDX"}', "no JSON", '{"spdxVersion": "SPDX-2.3"}')])
+    part = CP.read_table(spark, sf_dir, "part")
+    docs = part.select(F.concat(F.lit("odd"), F.col("p_partkey").cast("string")).alias("sbom_id"), F.col("p_partkey").alias("doc_ord"),
+                       F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int")).alias("content"))
+    return SB.undetected_documents(docs).select("sbom_id")
+
+
 # ------------------------------------------------------------------ rollups
 
 @register("portfolio", O.with_ctes(_CODE_FOUND, O.portfolio_sql("deduped", "discovered")))

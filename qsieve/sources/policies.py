@@ -1,7 +1,8 @@
 """The policy table.
 
 Scalar-or-array fields (algorithm, category, severity) are normalised to
-arrays; null means "no filter", an empty array matches nothing.  Each policy
+arrays; null or an empty string means "no filter", an empty array matches
+nothing.  Each policy
 needs an id and an action in {warn, block}.
 """
 
@@ -16,7 +17,7 @@ POLICY_SCHEMA = ("policy_ord int, id string, description string, algorithm array
 
 
 def _arr(v):
-    if v is None:
+    if v is None or v == "":
         return None
     return list(v) if isinstance(v, (list, tuple)) else [v]
 
@@ -47,3 +48,10 @@ def invalid_policies(policies: DataFrame) -> DataFrame:
     """Rows that make a policy table invalid (must be empty)."""
     return policies.where(F.col("id").isNull() | ~F.coalesce(F.col("action").isin("warn", "block"),
                                                              F.lit(False)))
+
+
+def checked_policies(policies: DataFrame) -> DataFrame:
+    """A user policy table whose invalid rows fail the job when it is read."""
+    bad = F.col("id").isNull() | (F.col("id") == "") | ~F.coalesce(F.col("action").isin("warn", "block"), F.lit(False))
+    return policies.withColumn("action", F.when(bad, F.raise_error(F.concat(
+        F.lit("Invalid policy "), F.coalesce("id", F.lit("without id"))))).otherwise(F.col("action")))

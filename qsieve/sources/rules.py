@@ -48,3 +48,10 @@ def rules_frame(spark: SparkSession, rules: list[dict] | None = None) -> DataFra
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Rows that make a user rule table invalid (must be empty)."""
     return rules.where(F.col("rule_id").isNull() | (F.coalesce(F.size("patterns"), F.lit(0)) <= 0))
+
+
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """A user rule table whose invalid rows fail the job when it is read."""
+    bad = F.col("rule_id").isNull() | (F.coalesce(F.size("patterns"), F.lit(0)) <= 0)
+    return rules.withColumn("patterns", F.when(bad, F.raise_error(F.lit("Invalid rule: missing id or patterns")))
+                            .otherwise(F.col("patterns")))
