@@ -43,11 +43,13 @@ def deduped_stream(findings: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, source_dir: str, query_name: str, checkpoint: str | None = None,
-          available_now: bool = True, sink_format: str = "memory", sink_path: str | None = None):
+          available_now: bool = True, sink_format: str = "parquet", sink_path: str | None = None):
     """Start the incremental scan.  A durable sink (`sink_format` parquet/…,
     `sink_path`) keeps a stable checkpoint under the session's checkpoint
     directory so a restarted job resumes; the memory sink (tests, notebooks)
     cannot resume and gets a fresh checkpoint per start."""
+    if sink_format != "memory" and not sink_path:
+        raise ValueError("a file sink needs sink_path")
     import uuid
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -5,7 +5,8 @@ import pytest
 from tests.oracle_check import compare
 
 SMOKE = ["file_inventory", "regex_hits", "usage_findings", "readiness", "deps_java", "deps_pip",
-         "endpoint_findings", "policy_violations", "sbom_cyclonedx", "sarif_rules", "portfolio_rollup"]
+         "endpoint_findings", "policy_violations", "sbom_cyclonedx", "sarif_rules", "portfolio_rollup",
+         "json_findings", "json_summary", "violation_labels", "scan_options", "sbom_undetected"]
 
 
 @pytest.mark.parametrize("name", SMOKE)

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from qsieve.sources.files import read_tree
 from qsieve.sources.policies import invalid_policies, policy_rows
@@ -64,3 +65,29 @@ def test_language_partitioned_layout(spark, fixture_files):
     plan = df._jdf.queryExecution().executedPlan().toString()
     import re
     assert re.search(r"PartitionFilters: \[[^\]]*lang_part", plan) and df.count() == 2
+
+
+def test_user_tables_are_checked(spark):
+    """Invalid rows of user tables fail the scan on either plan; Java syntax works on both."""
+    from qsieve import catalog as C
+    from qsieve.operators import lines as LN
+    from qsieve.operators.policy import evaluate_policies
+    from qsieve.sources.files import with_file_meta
+    text = with_file_meta(spark.createDataFrame([("r", "a.conf", "x ΑΒ rsa\n")], "repo string, path string, content string"))
+    rule = dict(id="X", description="d", severity="high", category="kem", algorithm="RSA", replacement=None, effort="e", languages=[])
+    table = rules_frame(spark, [dict(rule, patterns=["\\p{Lu}\\p{Lu}", "rsa"])])
+    assert [r.column for r in LN.regex_findings_for(text, table).collect()] == [3]
+    assert [r.column for r in LN.regex_findings_join(text, table).collect()] == [3]
+    empty = table.withColumn("patterns", F.array().cast("array<string>"))
+    for plan in (LN.regex_findings_for, LN.regex_findings_join):
+        with pytest.raises(Exception, match="Invalid rule"):
+            plan(text, empty).collect()
+    found = spark.createDataFrame([("r", "X", "high", "kem", "RSA", "a", 1, 0.9)], "repo string, rule_id string, severity string, "
+                                  "category string, algorithm string, file string, line int, confidence double")
+    schema = "policy_ord int, id string, description string, algorithm array<string>, category array<string>, " \
+             "severity array<string>, min_confidence double, action string, deadline string, message string"
+    bad = spark.createDataFrame([(0, "p", None, None, None, None, None, "deny", None, None)], schema)
+    with pytest.raises(Exception, match="Invalid policy"):
+        evaluate_policies(found, bad).collect()
+    assert policy_rows([dict(id="p", action="warn", category="", severity="")])[0][4:6] == (None, None)
+    assert len(C.MANIFEST_FILES) == 8

@@ -10,7 +10,7 @@ from qsieve.streaming import incremental as INC
 def test_streaming_matches_batch(spark, fixture_files):
     src = tempfile.mkdtemp(prefix="qsieve-stream-src-")
     fixture_files.coalesce(2).write.mode("overwrite").parquet(src)
-    q = INC.start(spark, src, "qsieve_stream_test")
+    q = INC.start(spark, src, "qsieve_stream_test", sink_format="memory")
     q.awaitTermination(300)
     got = spark.sql("SELECT repo, rule_id, file, confidence, occurrences FROM qsieve_stream_test")
     # update mode may emit a key more than once; keep its last (largest) state
