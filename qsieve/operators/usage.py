@@ -275,7 +275,10 @@ def _site_reader():
 
 def sites(files: DataFrame) -> DataFrame:
     """The sites of the JavaScript/TypeScript files, with the pattern
-    dimension's key.  Narrow: no shuffle."""
+    dimension's key.  Narrow: no shuffle.  A table of `write_files_table` is
+    filtered on its partition column, so only JS/TS partitions are read."""
+    if "lang_part" in files.columns:
+        files = files.where(F.col("lang_part").isin(USAGE_LANGUAGES))
     read = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").rlike(HEAD_ANY))
             .select("repo", "path", "content").mapInArrow(_site_reader(), SITE_SCHEMA))
     name = F.when(F.col("kind") == "import", package_root(F.col("name"))).otherwise(F.col("name"))

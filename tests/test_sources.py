@@ -61,10 +61,14 @@ def test_language_partitioned_layout(spark, fixture_files):
     write_files_table(fixture_files, out + "/files")
     parts = sorted(d for d in os.listdir(out + "/files") if d.startswith("lang_part="))
     assert parts == ["lang_part=config", "lang_part=typescript"]
-    df = spark.read.parquet(out + "/files").where(F.col("lang_part").isin("javascript", "typescript"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
     import re
-    assert re.search(r"PartitionFilters: \[[^\]]*lang_part", plan) and df.count() == 2
+    from qsieve.operators.usage import usage_findings
+    from qsieve.sources.files import discover, readable, with_file_meta
+    text = readable(with_file_meta(discover(spark.read.parquet(out + "/files"))))
+    hits = usage_findings(text)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*lang_part", plan)
+    assert hits.count() == usage_findings(readable(with_file_meta(fixture_files))).count() == 8
 
 
 def test_user_tables_are_checked(spark):
