@@ -37,6 +37,7 @@ CONTEXT = {"email": "mail|contact|write", "ip": "address|host|server|ip", "card"
 NEAR = 40  # code points before a span that are searched for context
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 LEAST = 0.5
+CHUNK = 256  # matches of a text walked together
 
 
 def _digits(text: Column) -> Column:
@@ -78,20 +79,46 @@ def _confirmed(kind: str, text: Column) -> Column:
     return mod97(text) if kind == "iban" else F.lit(True)
 
 
-def _spans(text: Column, kind: str, found: Column, pieces: Column) -> Column:
-    """Confirmed spans of a kind from its matches and the pieces between them."""
-    gaps, sizes = F.transform(pieces, F.length), F.transform(found, F.length)
-    total = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, b: a + b)
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    def place(match: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(sizes, i)
-        before = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
+
+
+def _chunks(items: Column) -> Column:
+    """An array, not empty, cut into arrays of CHUNK entries."""
+    return _let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))
+
+
+def _items(found: Column, pieces: Column) -> Column:
+    """Chunks of a text's matches, each with the piece before it."""
+    return _chunks(F.filter(F.zip_with(found, pieces, lambda m, g: F.struct(m.alias("match"), g.alias("gap"), F.length(g).alias("skip"), F.length(m).alias("size"))), lambda x: x["match"].isNotNull()))
+
+
+def _spans(text: Column, kind: str, parts: Column) -> Column:
+    """Confirmed spans of a kind from the chunks of its matches.  Matches are walked in chunks: what a chunk starts with (its place, and the
+    last NEAR code points before it) is found once per chunk, so that the work
+    stays near linear in a text's length and number of matches."""
+    last = lambda s: F.substring(s, -NEAR, NEAR)
+
+    def step(done: Column, x: Column) -> Column:
+        start, before = done["at"] + x["skip"], last(F.concat(done["tail"], last(x["gap"])))
         near = F.when(F.lower(before).rlike(CONTEXT[kind]), 0.1 if kind != "ssn" else 0.4).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"),
-                        (F.lit(SCORE[kind]) + near).alias("score"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["size"]).alias("end"), x["match"].alias("text"), (F.lit(SCORE[kind]) + near).alias("score"))
+        out = F.when(_confirmed(kind, x["match"]), F.concat(done["out"], F.array(span).cast(SPAN))).otherwise(done["out"])
+        return F.struct((start + x["size"]).alias("at"), last(F.concat(before, x["match"])).alias("tail"), out.alias("out"))
+
+    def chunk(part: Column, at: Column) -> Column:
+        tail = F.substring(text, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))
+        begin = F.struct(at.alias("at"), tail.alias("tail"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(part, begin, step, lambda d: d["out"])
 
-    placed = F.transform(found, place)
-    return F.filter(placed, lambda s: _confirmed(kind, s["text"]) & (s["score"] >= LEAST))
+    lengths = F.transform(parts, lambda p: _sum(F.transform(p, lambda x: x["skip"] + x["size"])))
+    walked = _let(lengths, lambda n: F.flatten(F.transform(parts, lambda p, c: _let(_sum(F.slice(n, F.lit(1), c)), lambda at: chunk(p, at)))))
+    return F.filter(walked, lambda s: s["score"] >= LEAST)
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
@@ -100,15 +127,15 @@ SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 def find_pii(docs: DataFrame, column: str = "pii", kinds: list[str] | None = None) -> DataFrame:
     """docs with the confirmed spans of `text` as array `column`, by kind, then place."""
     kinds = kinds or list(PATTERNS)
-    text, none = F.coalesce("text", F.lit("")), F.lit(None).cast("array<string>")
+    text = F.coalesce("text", F.lit(""))
     out, have = docs, docs.columns
     names = {}
     for k in kinds:
-        names[k] = (f"__{column}_{k}", f"__{column}_{k}_gaps")
+        names[k] = (f"__{column}_{k}", f"__{column}_{k}_parts")
         found = F.when(F.col("text").rlike(HINTS[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)))
         out = out.withColumn(names[k][0], found)
-    out = out.withColumns({names[k][1]: F.when(F.size(names[k][0]) > 0, F.split("text", PATTERNS[k], -1)).otherwise(none) for k in kinds})
-    each = [F.when(F.col(names[k][1]).isNotNull(), _spans(text, k, F.col(names[k][0]), F.col(names[k][1]))).otherwise(F.array().cast(SPAN)).cast(SPAN) for k in kinds]
+    out = out.withColumns({names[k][1]: F.when(F.size(names[k][0]) > 0, _items(F.col(names[k][0]), F.split("text", PATTERNS[k], -1))) for k in kinds})
+    each = [F.when(F.col(names[k][1]).isNotNull(), _spans(text, k, F.col(names[k][1]))).otherwise(F.array().cast(SPAN)).cast(SPAN) for k in kinds]
     return out.select(*have, F.concat(*each).alias(column))
 
 

@@ -215,7 +215,8 @@ def test_nearest_odd_cases(spark):
 
 TEXTS = ["mail a.b+c@d-e.org, x@y.z.w. bad@host and b@c.d_e@f.g", "10.0.0.255 1.2.3.4.5.6.7.8 300.1.1.1 0255.000.1.1 1..2.3.4.5 12345678901234567890.1.2.3", "card 4111 1111 1111 1111 or 4111-1111-1111-1112, 5500005555555559 12 34",
          "call +1 (415) 555-0199 or +49 30 1234567, +12 +123456789012345678 +1-", "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 and DE89370400440532013001", "ssn 123-45-6789 or 123-45-6789", "\U0001f600é a@b.co \U0001f600 +4930123456789",
-         "9" * 20000, "a" * 20000 + "@", "a@" * 3000, "1." * 5000, "+1 " * 3000, ("x y@z.de " * 200), "4111111111111111 " * 50]
+         "9" * 20000, "a" * 20000 + "@", "a@" * 3000, "1." * 5000, "+1 " * 3000, ("x y@z.de " * 200), "4111111111111111 " * 50,
+         "call 4111 1111 1111 1111 or x@z.de, 字 " * 1500]
 
 
 def test_pii(spark):
