@@ -141,18 +141,30 @@ def find_pii(docs: DataFrame, column: str = "pii", kinds: list[str] | None = Non
 
 def mask(column: str) -> Column:
     """`text` with the spans of `column` replaced by their kind in brackets;
-    overlapping spans are covered by the first one's."""
+    overlapping spans are covered by the first one's.  Spans are walked in
+    chunks, each over its own part of the text."""
     ordered = F.array_sort(F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col("text")
 
-    def step(done: Column, s: Column) -> Column:
-        ahead = s["start"] >= done["at"]
-        more = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(ahead, more).otherwise(done["out"]).alias("out"))
+    def chunk(part: Column, at: Column, till: Column) -> Column:
+        def walk(own: Column) -> Column:
+            def step(done: Column, s: Column) -> Column:
+                more = F.concat(done["out"], F.substring(own, done["at"] - at + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], more).otherwise(done["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(ordered, start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return F.when(F.size(column) > 0, masked).otherwise(text)
+            return F.aggregate(part, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda d: d["out"])
+
+        return _let(F.substring(text, at + 1, till - at), walk)
+
+    def reach(ends: Column, n: Column) -> Column:
+        return F.coalesce(F.array_max(F.slice(ends, F.lit(1), n)), F.lit(0))
+
+    def walk(parts: Column) -> Column:
+        ends = F.transform(parts, lambda p: F.array_max(F.transform(p, lambda s: s["end"])))
+        return _let(ends, lambda e: F.concat(F.array_join(F.transform(parts, lambda p, c: chunk(p, reach(e, c), reach(e, c + 1))), ""),
+                                             F.substring(text, F.array_max(e) + 1, F.length(text))))
+
+    return F.when(F.size(column) > 0, _let(_chunks(ordered), walk)).otherwise(text)
 
 
 def of_kinds(spans: str, kinds: list[str]) -> Column:

@@ -231,6 +231,13 @@ def test_pii(spark):
     more = {r.doc_id: [(s.kind, s.text) for s in r.found_pii if s.kind not in pii.BASE] for r in got.filter("doc_id >= 100").collect()}
     assert more[104] == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")] and ("ssn", "123-45-6789") in more[105]
     masked = {r.doc_id: r.text for r in got.withColumn("text", pii.mask("found_pii")).filter("doc_id >= 100").collect()}
+    for r in got.collect():
+        out, at = "", 0
+        for a, z, kind in sorted((x.start, x.end, x.kind) for x in r.found_pii):
+            if a >= at:
+                out += r.text[at:a] + f"[{kind.upper()}]"
+            at = max(at, z)
+        assert r.doc_id is None or r.doc_id < 100 or masked[r.doc_id] == out + r.text[at:]
     assert masked[106] == "\U0001f600é [EMAIL] \U0001f600 [PHONE]" and masked[107] == TEXTS[7]
     assert pii.find_pii(frame(spark, [], empty=True), "p").count() == 0
 
