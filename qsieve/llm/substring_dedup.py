@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, U, binaries, binary_parts, gram_hashes, mix, slices, spread, utf8, word_hashes, words
+from .arrays import BASE_WORD, SPACE, U, binaries, binary_parts, gram_hashes, mix, range_hashes, slices, spread, utf8, word_hashes, words
 from .frames import kept
 
 EDGE_BYTES = 5  # of an edge's hash that travel, besides its minimiser's 8
@@ -81,7 +81,7 @@ def super_kmers(k: int):
                 head = np.flatnonzero(place % LONGEST == 0)
                 size = np.diff(np.append(head, len(w)))
                 first, last = w[head], w[head] + size - 1
-                same = mix(mix(low[first] + edge[first]) ^ edge[last] ^ size.astype(U))
+                same = mix(low[first] ^ range_hashes(edge, first, last + 1, BASE_WORD))  # every edge: long runs can differ in the middle only
                 doc, where = ids[i:j][row[first]], tags[i:j][row[first]] * PLACE + at[first]
                 order = np.lexsort((where, doc, same))
                 group = np.flatnonzero(np.append(True, same[order][1:] != same[order][:-1]))

@@ -42,6 +42,17 @@ def test_substring_collisions_are_verified(spark):
     assert told == {6: True, 8: False}
 
 
+def test_substring_runs_that_differ_in_the_middle(spark):
+    """Runs of one minimiser with equal ends and another middle are not one."""
+    phrase = lambda i, odd: f"p{i} q{i} r{i} " * 8 + odd + f" p{i} q{i} r{i}" * 8
+    table = lambda odd: "| 0 | 0 " * 8 + f"| {odd} | 0 " + "| 0 | 0 " * 8
+    rows = [(n * 10 + i, phrase(i, odd)) for i in range(8) for n, odd in enumerate(["odd", "even", "even", "even strange"])]
+    rows = rows + [(100 + n, table(odd)) for n, odd in enumerate([7, 8, 8, 9])]
+    docs = frame(spark, rows).coalesce(1)  # one slice
+    got = substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same(got, brute.substring_dedup(rows))
+
+
 RULED = [("https://www.example.com/en/1", "example.com", "allow"), ("https://a.example.com/en/1", "", "block"), ("http://shop.com", "", "allow"), ("x://a.NET/es/", "", "block")]
 
 
