@@ -9,14 +9,20 @@ Bands have one row: a window whose similarity to the template is s agrees in at
 least one of BANDS bands with probability 1 - (1 - s)**BANDS.  A text that
 holds 0.8 of a template's shingles in a stretch of about its length has a
 window with s of at least 0.4, so it is retrieved with probability over
-1 - 10**-7 at 32 bands.  Rows without any shingle of a template are passed over
-before (their windows' similarity is zero).  Retrieved stretches are verified exactly: the share
+1 - 10**-7 at 32 bands.  For a size class, rows with fewer of its templates'
+shingles than 0.8 of its smallest template are passed over before (they cannot
+hold 0.8 of any).  Retrieved stretches are verified exactly: the share
 of the template's shingles that the stretch around the window holds must be
 0.8 or more.
 
 Defined results: null and empty texts match nothing; a text or template of
 under five words has one shingle, all its words; repeated templates (same name)
 keep their best containment; every row gives one row, other columns are kept.
+
+Covered by NOTICES: the whole texts of license_texts.py ("... text"), headers
+that licences ask for ("... header"), and sentences that name a licence.  Texts
+of one family share most shingles: a BSD-3-Clause text also holds 0.8 of
+BSD-2-Clause, an LGPL header of the GPL header; all are listed.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrays import BASE_WORD, LOWER, U, mix, range_hashes, slices, utf8, word_hashes, words
+from .license_texts import TEXTS
 
 SHINGLE, LEAST, BANDS = 5, 0.8, 32
 TEMPLATE_BYTES = 16 << 20  # templates sent to the tasks: their proven bound
@@ -38,8 +45,8 @@ _LOWER = np.frombuffer(LOWER, np.uint8)
 GAP = np.array([not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c > 0x7F or c in (0x2D, 0x2E)) for c in range(256)])
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
-# Notices in common use, as their stewards word them.
-NOTICES = {
+# Short notices; "Apache-2.0", "MIT", "GPL-3.0" and "CC-BY-NC-4.0" are worded as in the test tables.
+_SHORT = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MIT": "Released under the MIT License.",
@@ -50,6 +57,29 @@ NOTICES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
+# Headers and notices that the licences or their stewards ask for.
+_HEADERS = {
+    "LGPL header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL program header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "GFDL header": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "EPL-2.0 header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "EUPL-1.2 header": "Licensed under the EUPL, Version 1.2",
+    "BSL-1.0 header": "Distributed under the Boost Software License, Version 1.0.",
+    "OFL-1.1 header": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+}
+_LEADS = ("licensed under the", "released under the", "distributed under the", "available under the", "under the terms of the")
+_NAMED = {
+    "MIT": "MIT License", "Apache": "Apache License", "BSD": "BSD License", "ISC": "ISC License", "GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License",
+    "AGPL": "GNU Affero General Public License", "MPL": "Mozilla Public License", "EPL": "Eclipse Public License", "GFDL": "GNU Free Documentation License",
+}
+_COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+NOTICES = {f"{n} notice: {lead}": f"{lead} {name}" for n, name in _NAMED.items() for lead in _LEADS}
+NOTICES |= {f"CC-{n}-4.0 notice": f"This work is licensed under a Creative Commons {name} 4.0 International License" for n, name in _COMMONS.items()}
+NOTICES |= {f"CC-{n}-3.0 notice": f"This work is licensed under a Creative Commons {name.replace('NoDerivatives', 'NoDerivs')} 3.0 Unported License" for n, name in _COMMONS.items()}
+NOTICES |= {f"CC-{n}-4.0 short": f"Licensed under CC {n} 4.0" for n in _COMMONS}
+NOTICES |= _HEADERS | {f"{n} text": t for n, t in TEXTS.items()} | _SHORT
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +119,7 @@ class Templates:
                     self.names.append(name)
                     self.sets.append(h)
         self.known = np.unique(np.concatenate(self.sets or [np.zeros(0, U)]))
+        self.of_class = {size: (np.unique(np.concatenate([self.sets[m] for m in members])), min(len(self.sets[m]) for m in members)) for size, members in self.classes.items()}
         self.minima = [np.array([mix(h ^ s).min() for s in _SEEDS]) for h in self.sets]
         self.bands = {}
         for size, members in self.classes.items():
@@ -106,10 +137,14 @@ def scan_slice(t: Templates, data: np.ndarray, off: np.ndarray) -> list[tuple[in
         return []
     shared = t.known[np.minimum(np.searchsorted(t.known, h), len(t.known) - 1)] == h
     live = np.bincount(row[shared], minlength=len(off))[row] > 0
-    h, row, at = h[live], row[live], at[live]
-    if not len(h):
-        return []
+    all_h, all_row, all_at, shared = h[live], row[live], at[live], shared[live]
     for size, bands in t.bands.items():
+        known, least = t.of_class[size]
+        its = all_row[shared][np.isin(all_h[shared], known)]
+        live = (np.bincount(its, minlength=len(off)) / least >= LEAST)[all_row]
+        h, row, at = all_h[live], all_row[live], all_at[live]
+        if not len(h):
+            continue
         block = max(1, size // 4)
         new = np.append(True, (row[1:] != row[:-1]) | (at[1:] // block != at[:-1] // block))
         head = np.flatnonzero(new)

@@ -277,6 +277,35 @@ def test_licenses(spark):
     assert {r.doc_id for r in whole} == want
 
 
+def test_licenses_in_common_use(spark):
+    """Whole texts with changed words between other text, headers and notices."""
+    whole = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC", "Unlicense", "MIT", "BSD-3-Clause", "BSD-2-Clause", "CC0-1.0", "Zlib"}
+    cuts = {n: licenses.NOTICES[f"{n} text"].split() for n in whole}
+    rows, want = [], {}
+    for i, n in enumerate(sorted(whole)):
+        rows.append((i, "intro text " * (37 * i) + " ".join("other" if k % 60 == 59 else w for k, w in enumerate(cuts[n])) + " outro" * 90))
+        want[i] = f"{n} text"
+    said = {"MIT notice: under the terms of the": "You may use it under the terms of the MIT license, or not.", "MIT notice: licensed under the": "All code here is licensed under the MIT license.",
+            "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0 short": "Photos: licensed under CC BY-SA 4.0.",
+            "LGPL notice: distributed under the": "It is distributed under the GNU Lesser General Public License, version 2.1.", "MPL-2.0 header": "/* " + licenses.NOTICES["MPL-2.0 header"] + " https://mozilla.org/MPL/2.0/. */",
+            "AGPL header": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published\n# by the Free Software Foundation, either version 3"}
+    for i, (n, t) in enumerate(said.items(), 100):
+        rows.append((i, t))
+        want[i] = n
+    rows.append((200, " ".join(cuts["BSD-3-Clause"][20:])))  # conditions and disclaimer without the first sentence
+    want[200] = "BSD-3-Clause text"
+    rows += [(201, " ".join(cuts["GPL-3.0"][:3000])), (202, "the terms and conditions of this License " * 900)]
+    sets = {n: brute.shingle_set(t) for n, t in licenses.NOTICES.items()}
+    for r in licenses.scan_licenses(frame(spark, rows), column="found_l").collect():
+        have, names = brute.shingle_set(r.text), [x.license for x in r.found_l]
+        anywhere = {n for n, s in sets.items() if len(s & have) >= 0.8 * len(s)}
+        w = r.text.split()
+        size = {n: len(licenses.NOTICES[n].split()) for n in anywhere}
+        near = {n for n, m in size.items() if any(len(sets[n] & brute.shingle_set(" ".join(w[i:i + m]))) >= 0.8 * len(sets[n]) for i in range(0, max(1, len(w) - m + 1), max(1, m // 100)))}
+        assert near <= set(names) <= anywhere, r.doc_id  # found where one stretch holds it, not from words far apart
+        assert r.doc_id not in want or want[r.doc_id] in names, r.doc_id
+
+
 def test_token_counts(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rows = odd_rows() + [(100 + i, t) for i, t in enumerate(["  a  b ", "▁▁x▁ y", "</s> <s> <unk> <0x0A>", "tab\tline\nnew", " ", "a" * 500 + " " * 40 + "b", "ﬁ ½ é e\u0301 \u3000x"])]
