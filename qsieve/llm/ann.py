@@ -10,7 +10,8 @@ products of the original vectors.
 
 The index holds every vector.  What is fitted, on SAMPLE queries (a documented
 bound): the model, and the fewest probes per table that reach TARGET recall
-against a full scan for those queries.
+against a full scan for those queries.  Where MOST probes do not reach it, a
+projection is dropped and both are fitted again; one projection always does.
 
 Equal vectors are one index entry with their smallest `k + 1` ids (no query can
 need more of them), and equal queries are one search.  A bucket beyond PART
@@ -41,6 +42,7 @@ PART = 1 << 15     # entries of a bucket searched as one part
 BLOCK = 256        # queries scored at once
 BUCKET = 16384      # entries a bucket is meant for
 CELLS = 6          # cells of a projection, the outer two unbounded
+MOST = 1 << 12     # probes of a query per table
 
 
 @dataclass
@@ -161,14 +163,18 @@ def fit(classes: DataFrame, queries: DataFrame, dim: int, k: int, tables: int =
     of, v = of[~self_hit], v[~self_hit]
     if not len(of):
         return index
-    asked, there = index.project(q, True), index.project(v, False)
-    index.slope = float((asked[of] * there).sum() / (asked[of] ** 2).sum())
-    index.spread = max(0.05, float((there - index.slope * asked[of]).std()))
-    most = min(CELLS ** width_of, 1 << 12)
-    order, bucket = index.ranked(asked, most), index.buckets(index.cells(there))
-    place = np.where(order[of] == bucket[..., None], np.arange(order.shape[2]), most).min(axis=2).min(axis=1)
-    recall = np.cumsum(np.bincount(place, minlength=most + 1)[:most]) / len(place)
-    index.probes = int(np.argmax(recall >= TARGET)) + 1 if (recall >= TARGET).any() else most
+    for use in range(width_of, 0, -1):
+        index.axes, index.shift = index.axes[:, :use], index.shift[:, :use]
+        asked, there = index.project(q, True), index.project(v, False)
+        index.slope = float((asked[of] * there).sum() / (asked[of] ** 2).sum())
+        index.spread = max(0.05, float((there - index.slope * asked[of]).std()))
+        most = min(CELLS ** use, max(CELLS, MOST))
+        order, bucket = index.ranked(asked, most), index.buckets(index.cells(there))
+        place = np.where(order[of] == bucket[..., None], np.arange(order.shape[2]), most).min(axis=2).min(axis=1)
+        recall = np.cumsum(np.bincount(place, minlength=most + 1)[:most]) / len(place)
+        if (recall >= TARGET).any():
+            index.probes = int(np.argmax(recall >= TARGET)) + 1
+            break
     return index
 
 

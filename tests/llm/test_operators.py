@@ -209,6 +209,35 @@ def test_nearest_recall(spark):
     assert all(abs(exact.get((r.query_id, r.vec_id), r.score) - r.score) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("bucket, used", [(100, 2), (20, 3)])
+def test_nearest_recall_of_more_projections(spark, monkeypatch, bucket, used):
+    monkeypatch.setattr(ann, "BUCKET", bucket)
+    rows = [(r["vec_id"], r["embedding"]) for r in table("embeddings", "/root/testdata/sf0.1")]
+    fits, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: fits.append(fit(*a, **b)) or fits[-1])
+    got = queries.QUERIES["op7_nearest"](spark, "/root/testdata/sf0.1").collect()
+    assert fits[0].axes.shape[1] == used and check_recall(got, brute.nearest(rows), 20) >= 0.9
+
+
+def test_nearest_fit_drops_projections(spark, monkeypatch):
+    """Probes that stop short of the recall are not taken: fewer projections are."""
+    import numpy as np
+    monkeypatch.setattr(ann, "BUCKET", 0.001)  # 9 projections, 10 million cells a table
+    rows = [(str(r["vec_id"]), np.array(r["embedding"], "<f8")) for r in table("embeddings", "/root/testdata/sf0.1")]
+    classes = spark.createDataFrame([(i, bytearray(v.tobytes()), float(np.linalg.norm(v))) for i, v in rows], "cls string, vec binary, norm double")
+    asked = [r for r in rows if int(r[0]) % 20 == 0]
+    index = ann.fit(classes, classes.filter("cast(cls as long) % 20 = 0"), len(rows[0][1]), 20)
+    x = np.stack([v for _, v in rows])
+    q = np.stack([v for _, v in sorted(asked)[:ann.SAMPLE]])
+    order, bucket = index.ranked(index.project(q, True), index.probes)[:, :, :index.probes], index.buckets(index.cells(index.project(x, False)))
+    hit = total = 0
+    for i in range(len(q)):
+        near = np.argsort(-(x @ q[i]), kind="stable")[1:21]
+        hit += sum(any(bucket[j, t] in order[i, t] for t in range(bucket.shape[1])) for j in near)
+        total += len(near)
+    assert hit / total >= ann.TARGET - 0.01 and index.axes.shape[1] < 9
+
+
 def test_nearest_odd_cases(spark):
     import random
     r = random.Random(1)
