@@ -5,7 +5,8 @@ numbered, its suffixes (to the depth of a window, from places whose first
 words occur in a row somewhere in the benchmark) are sorted into a suffix
 array, and every benchmark suffix is binary-searched in it.  The interval
 found is all its verbatim occurrences; neighbouring ones join to the longest
-matches with their places.  Nothing is shuffled and no text leaves its task.
+matches with their places, in portions of PAIRS (occurrence, item place) pairs
+whose matches are joined again.  Nothing is shuffled and no text leaves its task.
 
 The benchmark goes to the tasks in blocks of up to BLOCK_BYTES of text, one
 pass over the documents per block, so that what is broadcast is bounded.
@@ -29,6 +30,7 @@ from .arrays import LOWER, U, slices, spread, utf8, word_hashes, words
 from .frames import fresh
 
 BLOCK_BYTES = 8 << 20  # benchmark text broadcast at once
+PAIRS = 1 << 20        # occurrences times item places held at once (or one occurrence's)
 # Fixed by the contract: words are runs of ASCII letters, digits and bytes over 0x7F.
 GAP = np.array([not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c > 0x7F) for c in range(256)])
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -118,17 +120,30 @@ def _shard(bench: Windows, data: np.ndarray, off: np.ndarray):
     if not len(window):
         return total, none
     start = place[order[lo[window] + i]]
-    pair, j = spread(np.diff(bench.owner_at)[window])
-    own = bench.owner_at[window][pair] + j
-    start, size, item, item_start = start[pair], bench.length[window][pair], bench.owner[own], bench.owner_start[own]
+    order = np.argsort(start, kind="stable")
+    start, window = start[order], window[order]
+    owners = np.diff(bench.owner_at)[window]
+    parts = []
+    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(np.cumsum(owners) // PAIRS)) + 1):
+        pair, j = spread(owners[part])
+        pair = part[pair]
+        own = bench.owner_at[window[pair]] + j
+        parts.append(_joined(row, start[pair], start[pair], start[pair] + bench.length[window[pair]], bench.owner[own], bench.owner_start[own]))
+    start, _, till, item, item_start = _joined(row, *(np.concatenate(x) for x in zip(*parts))) if len(parts) > 1 else parts[0]
+    r, base = row[start], np.searchsorted(row, np.arange(rows))
+    return total, np.stack([r, start - base[r], item, item_start, till - start], axis=1)
+
+
+def _joined(row: np.ndarray, start: np.ndarray, last: np.ndarray, till: np.ndarray, item: np.ndarray, item_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matches (first window, last window, end, item, item_start) with
+    neighbouring ones joined, sorted by row, item, shift and start."""
     order = np.lexsort((start, start - item_start, item, row[start]))
-    start, size, item, item_start = start[order], size[order], item[order], item_start[order]
+    start, last, till, item, item_start = (x[order] for x in (start, last, till, item, item_start))
     r, shift = row[start], start - item_start
-    new = np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > start[:-1] + 1))
+    new = np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > last[:-1] + 1))
     b = np.flatnonzero(new)
-    last = np.append(b[1:], len(start)) - 1
-    base = np.searchsorted(row, np.arange(rows))
-    return total, np.stack([r[b], start[b] - base[r[b]], item[b], item_start[b], start[last] + size[last] - start[b]], axis=1)
+    e = np.append(b[1:], len(start)) - 1
+    return start[b], last[e], till[e], item[b], item_start[b]
 
 
 def _search(bench, column: str, earlier: bool):

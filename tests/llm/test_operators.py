@@ -181,6 +181,22 @@ def test_decontaminate(spark, block_bytes):
     assert decontaminate.matches(frame(spark, [], empty=True), items, "hits").count() == 0
 
 
+def test_decontaminate_repetitive_text():
+    """Equal words against equal words: right matches within bounded memory."""
+    import tracemalloc
+
+    import numpy as np
+    n, m = 20000, 600
+    bench, text = decontaminate.Windows([("1", "same " * m), ("2", "same " * 20 + "other " * 20)], 13), np.frombuffer(b"same " * n + b"other " * 50, np.uint8)
+    tracemalloc.start()
+    total, got = decontaminate._shard(bench, text, np.array([0, 5 * n, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    diagonal = lambda r, i, n, m, at=0: [(r, max(0, d), i, at + max(0, -d), z) for d in range(13 - m, n - 12) if (z := min(n - max(0, d), m - max(0, -d))) >= 13]
+    assert total.tolist() == [n, 50] and peak < 300 << 20
+    assert sorted(map(tuple, got.tolist())) == sorted(diagonal(0, 0, n, m) + diagonal(0, 1, n, 20) + diagonal(1, 1, 50, 20, 20))
+
+
 def test_decontaminate_query(spark):
     items = [(r["item_id"], r["text"]) for r in table("benchmark")]
     same(queries.QUERIES["op6_decontaminate"](spark, SF).collect(), brute.contamination(documents(), items))
