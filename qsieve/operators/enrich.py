@@ -155,8 +155,12 @@ def _crypto(kind: Column, algorithm: Column) -> Column:
 
 
 def _with_crypto(original: Column, algorithm: Column) -> Column:
-    """The original JSON object with a top-level cryptoProperties member, kept
-    as it is where no finding matched."""
+    """The original JSON object with a top-level cryptoProperties member (in place
+    of one it has already), kept as it is where no finding matched."""
+    members = F.try_parse_json(original).cast("map<string,variant>")
+    others = F.to_json(F.map_filter(members, lambda k, _: k != "cryptoProperties"))
+    has = F.array_contains(F.json_object_keys(original), "cryptoProperties")
+    original = F.when(algorithm.isNotNull() & has, F.coalesce(others, original)).otherwise(original)
     crypto = F.to_json(_crypto(F.lit("algorithm"), algorithm))
     body = F.regexp_replace(original, r"\}\s*$", "")
     comma = F.when(body.rlike(r"^\s*\{\s*$"), F.lit("")).otherwise(F.lit(","))

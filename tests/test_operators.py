@@ -248,3 +248,14 @@ def test_join_form_chunked_broadcast(spark, fixture_files, monkeypatch):
     monkeypatch.setattr(LN, "MAX_BROADCAST_RULES", 5)
     chunked = regex_findings_join(text, rules_frame(spark)).select(*cols)
     assert one.exceptAll(chunked).count() == 0 and chunked.exceptAll(one).count() == 0
+
+
+def test_crypto_properties_are_replaced(spark):
+    """One cryptoProperties member, whether or not the component had one."""
+    from qsieve.operators.enrich import _with_crypto
+    rows = [(1, '{"name":"a","cryptoProperties":{"assetType":"protocol"},"n":[1,{"x":null}],"s":"q\\"}"}', "RSA"), (2, '{"name":"a","cryptoProperties":null}', "RSA"),
+            (3, '{"name":"a"}', "RSA"), (4, "{}", "RSA"), (5, '{"cryptoProperties":{"assetType":"protocol"}}', "RSA"), (6, '{"cryptoProperties":{"assetType":"protocol"}}', None)]
+    df = spark.createDataFrame(rows, "i int, original string, algorithm string")
+    for r in df.withColumn("out", _with_crypto(F.col("original"), F.col("algorithm"))).collect():
+        want = json.loads(r.original) | ({"cryptoProperties": {"assetType": "algorithm", "algorithmProperties": {"variant": "RSA"}}} if r.algorithm else {})
+        assert json.loads(r.out) == want and r.out.count("cryptoProperties") == 1, r.out
