@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import heapq
+import itertools
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -124,3 +127,95 @@ def shingle_set(t):
     w = [x.removesuffix(b".") for x in re.findall(rb"[0-9a-z.\x80-\xff-]+", lower(t or ""))]
     w = [x for x in w if x]
     return ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+
+
+def suffix_dedup(rows, length, keep):
+    """(doc_id, spans, kept bytes) of (doc_id, text) rows; equal rows count as one place."""
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    where, times = {}, {}
+    for d, t in texts:
+        for i in range(len(t) - length + 1):
+            key = (-(1 << 63) if d is None else d, hashlib.sha256(t).digest(), i)
+            where.setdefault(t[i:i + length], set()).add(key)
+            times[t[i:i + length]] = times.get(t[i:i + length], 0) + 1
+    signed = lambda b: tuple(int.from_bytes(b[k:k + 8], "big", signed=True) for k in (0, 8))
+    place = lambda k: (k[0], signed(k[1]), k[2])
+    least = {w: min(map(place, s)) for w, s in where.items()}
+    out = []
+    for d, t in texts:
+        gone, me = bytearray(len(t)), (-(1 << 63) if d is None else d, signed(hashlib.sha256(t).digest()))
+        for i in range(len(t) - length + 1):
+            w = t[i:i + length]
+            if (times[w] > 1 if keep == "none" else least[w] < (*me, i)):
+                gone[i:i + length] = b"\x01" * length
+        spans = [m.span() for m in re.finditer(rb"\x01+", bytes(gone))]
+        out.append((d, spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+def filter_audit(rows, labels):
+    """(part, order, step, ...) of (doc_id, text, source) and (doc_id, quality, toxic) rows."""
+    first, good, toxic = {}, {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    for d, t, _ in rows:
+        if d is not None:
+            first[t or ""] = min(d, first.get(t or "", d))
+    docs = []
+    for d, t, source in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": d is not None and first[t] < d}
+        docs.append((source or "", {k for k, v in fails.items() if v}, d is not None and d in good, d is not None and d in toxic))
+    out, share = {}, {}
+    for part in {p for p, *_ in docs}:
+        for order in map("".join, itertools.permutations("ABCDE")):
+            for step, f in enumerate(order, 1):
+                r = [0] * 6
+                for p, fails, g, x in docs:
+                    if p == part:
+                        gone, here = bool(fails & set(order[:step - 1])), f in fails
+                        r = [a + b for a, b in zip(r, [not gone and not here, here and not gone, here and gone, fails == {f}, here and not gone and g, here and not gone and x], strict=True)]
+                out[part, order, step] = r
+                share[part, f] = share.get((part, f), 0) + r[1]
+    return [(p, o, s, *r, share[p, o[s - 1]]) for (p, o, s), r in out.items()]
+
+
+def repair(rows):
+    """(conv_id, ...) of conversations rows, by a search over all edits in order of cost, then letters."""
+    told, say = {}, lambda x: " " if x is None else str(x)
+    for c, turn, role, text in rows:
+        kind, role, text = zlib.crc32(f"{say(c)}:{say(turn)}".encode()) % 20, say(role), say(text)
+        mine = told.setdefault(c, [])
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        mine += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    out = []
+    for c, mine in told.items():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.sha256(r[2].encode()).digest()))
+        faults, seen = [], set()
+        for _, role, text in mine:
+            body = text.rstrip("\x20\t\n\x0b\x0c\r")
+            faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {t for t, *_ in mine if t is not None}
+        initials = [r[:1] for _, r, _ in mine]
+        heap, done, n = [(0, "", 0, "", ())], set(), len(mine)
+        while True:
+            cost, audit, i, state, kept = heapq.heappop(heap)
+            if i == n and state in ("", "a"):
+                break
+            if (i, state) in done:
+                continue
+            done.add((i, state))
+            allowed = {"": "su", "s": "u", "u": "a", "a": "u"}[state]
+            new = "a" if state == "u" else "u"
+            name = "assistant" if state == "u" else "user"
+            heapq.heappush(heap, (cost + 5, audit + "I", i, new, (*kept, f"{name}:")))
+            if i < n:
+                heapq.heappush(heap, (cost + 2, audit + "D", i + 1, state, kept))
+                if faults[i] not in ("blank", "duplicate"):
+                    more = 5 * (faults[i] == "truncated")
+                    if initials[i] and initials[i] in allowed:
+                        heapq.heappush(heap, (cost + more, audit + "K", i + 1, initials[i], (*kept, f"{mine[i][1]}:{mine[i][2]}")))
+                    heapq.heappush(heap, (cost + more + 1, audit + "R", i + 1, new, (*kept, f"{name}:{mine[i][2]}")))
+        out.append((c, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+                    sum(a + b not in ("su", "ua", "au") for a, b in itertools.pairwise(initials)), cost, audit, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
