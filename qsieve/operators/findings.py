@@ -1,4 +1,4 @@
-"""Union, filters, de-duplication, ordering.
+"""Union, filters, de-duplication (order: operators/order.py).
 
 De-duplication is an aggregate, not a window: `min_by(row, order_key)` and
 `count(*)` per (repo, rule_id, file) are both partially aggregated map-side,
@@ -60,10 +60,5 @@ def no_dedupe(findings: DataFrame) -> DataFrame:
                            F.struct("phase", "rule_ord", "line", "column").alias("first_pos"))
 
 
-def sort_findings(findings: DataFrame) -> DataFrame:
-    """O1/O3: severity rank, file (binary order), first appearance."""
-    return findings.orderBy(severity_rank("severity"), "file", "first_pos")
-
-
 def finalize(findings: DataFrame, dedupe_on: bool = True) -> DataFrame:
     return dedupe(findings) if dedupe_on else no_dedupe(findings)

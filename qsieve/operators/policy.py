@@ -9,6 +9,7 @@ unioned) — never as a shuffled cartesian product.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +34,10 @@ def policy_matches(f_alg: Column, f_cat: Column, f_sev: Column, f_conf: Column,
     return deadline_ok & conf_ok & alg_ok & cat_ok & sev_ok
 
 
-def evaluate_policies(findings: DataFrame, policies: DataFrame, now: str | None = None) -> DataFrame:
-    """One row per (non-safe finding, matching policy)."""
+def evaluate_policies(findings: DataFrame, policies: DataFrame, now: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per (non-safe finding, matching policy).  keep: more columns
+    of the findings; there, `description` is the finding's and the policy's is
+    `policy_description`."""
     now_c = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     pol = checked_policies(policies).select("policy_ord", F.col("id").alias("policy_id"), "description",
                           F.col("algorithm").alias("algorithm_p"),
@@ -42,7 +45,8 @@ def evaluate_policies(findings: DataFrame, policies: DataFrame, now: str | None
                           F.col("severity").alias("severity_p"), "min_confidence", "action",
                           "deadline", "message")
     f = findings.where(F.col("severity") != "safe").select(
-        "repo", "rule_id", "severity", "category", "algorithm", "file", "line", "confidence")
+        "repo", "rule_id", "severity", "category", "algorithm", "file", "line", "confidence",
+        *(F.col(c).alias(f"kept_{c}") for c in keep))
     cond = policy_matches(F.col("algorithm"), F.col("category"), F.col("severity"),
                           F.col("confidence"), now_c)
     n = policies.count()  # a configuration table; bounded by construction
@@ -55,8 +59,8 @@ def evaluate_policies(findings: DataFrame, policies: DataFrame, now: str | None
     joined = reduce(lambda a, b: a.unionByName(b),
                     [f.join(F.broadcast(c), cond) for c in chunks])
     return joined.select(
-        "repo", "policy_id", F.coalesce("description", "policy_id").alias("description"),
-        "action", policy_message(F.col("policy_id"), F.col("message")).alias("message"),
+        "repo", "policy_id", F.coalesce("description", "policy_id").alias("policy_description" if "description" in keep else "description"),
+        *(F.col(f"kept_{c}").alias(c) for c in keep), "action", policy_message(F.col("policy_id"), F.col("message")).alias("message"),
         "deadline", "rule_id", "severity", "category", "algorithm", "file", "line",
         "confidence", "policy_ord")
 

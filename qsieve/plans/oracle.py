@@ -819,3 +819,94 @@ def violation_labels_sql(violations: str) -> str:
     return f"""
 SELECT repo, file, rule_id, '[' || upper(action) || '] ' || policy_id || ': ' || message ||
        CASE WHEN deadline <> '' THEN ' (deadline: ' || deadline || ')' ELSE '' END AS label FROM {violations}"""
+
+
+# ------------------------------------------------ report order and documents
+
+_AT = ["fp_phase", "fp_rule", "fp_line", "fp_col"]
+
+
+def ordered_sql(findings: str) -> str:
+    order = ", ".join([f"{sev_rank()}", "file", *(f"{c} NULLS FIRST" for c in _AT), "rule_id"])
+    return f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {order}) AS position FROM {findings}"
+
+
+def _documents_sql(fmt: str, fixed: list[str], lists: list[str]) -> str:
+    """fixed: the text expressions between the lists, over `summary`; lists:
+    (repo, place, fragment) of the list after each but the last of them."""
+    rows = [f"SELECT repo, {2 * i} AS section, 1 AS place, {t} AS text FROM summary" for i, t in enumerate(fixed)]
+    rows += [f"SELECT repo, {2 * i + 1} AS section, place, text FROM ({q})" for i, q in enumerate(lists)]
+    return f"""
+SELECT repo, {S(fmt)} AS format, section, position, n_bytes,
+       CAST(coalesce(sum(n_bytes) OVER (PARTITION BY repo ORDER BY section, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", fragment
+FROM (SELECT repo, section, position, fragment, CAST(strlen(fragment) AS BIGINT) AS n_bytes FROM (
+  SELECT repo, section, position, CASE WHEN section % 2 = 1 AND position > 1 THEN ',' || text ELSE text END AS fragment FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo, section ORDER BY place) AS position FROM ({' UNION ALL '.join(rows)}))))"""
+
+
+_HAS_REPL = "(replacement IS NOT NULL AND replacement <> '')"
+
+
+def _text_object(x: str) -> str:
+    return _object([("text", x)])
+
+
+def sarif_documents_sql() -> str:
+    """Over `ordered` and `summary`."""
+    from ..operators.documents import RULE_TAGS, SARIF_SCHEMA
+    head = (f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{C.TOOL_NAME}","version":"{C.TOOL_VERSION}","rules":[')
+    tags = '{"tags":[' + ",".join(f'"{t}"' for t in RULE_TAGS) + "]}"
+    rule = _object([("id", "rule_id"), ("shortDescription", _text_object("algorithm")), ("fullDescription", _text_object("description")),
+                    ("defaultConfiguration", _object([("level", _LVL("severity"))])),
+                    ("help", _text_object(f"CASE WHEN {_HAS_REPL} THEN 'Replace with: ' || replacement ELSE 'No migration needed' END")), ("properties", S(tags))],
+                   raw=("shortDescription", "fullDescription", "defaultConfiguration", "help", "properties"))
+    message = f"algorithm || ': ' || description || CASE WHEN {_HAS_REPL} THEN '. Replace with: ' || replacement ELSE '' END"
+    place = _object([("physicalLocation", _object([("artifactLocation", _object([("uri", "file")])), ("region", _object([
+        ("startLine", "coalesce(line, 1)"), ("startColumn", 'coalesce("column", 1)')]))], raw=("artifactLocation", "region")))], raw=("physicalLocation",))
+    result = _object([("ruleId", "rule_id"), ("level", _LVL("severity")), ("message", _text_object(message)), ("locations", f"'[' || {place} || ']'"),
+                      ("properties", _object([("confidence", "confidence"), ("effort", "effort")]))], raw=("message", "locations", "properties"))
+    rules = f"SELECT repo, position AS place, {rule} AS text FROM ordered QUALIFY row_number() OVER (PARTITION BY repo, rule_id ORDER BY position) = 1"
+    return _documents_sql("sarif", [S(head), S(']}},"results":['), S("]}]}")], [rules, f"SELECT repo, position AS place, {result} AS text FROM ordered WHERE severity <> 'safe'"])
+
+
+def cbom_documents_sql(timestamp: str) -> str:
+    p, serial = C.PROPERTY_PREFIX, f"(SELECT serial_number FROM ({cbom_header_sql('summary', timestamp)}) h WHERE h.repo = summary.repo)"
+    tools = f'{{"components":[{{"type":"application","name":"{C.TOOL_NAME}","version":"{C.TOOL_VERSION}"}}]}}'
+    meta = _object([("timestamp", S(timestamp)), ("tools", S(tools)), ("component", _object([("type", "'application'"), ("name", "repo"), ("bom-ref", "'target'")]))], raw=("tools", "component"))
+    head = _object([("bomFormat", "'CycloneDX'"), ("specVersion", "'1.6'"), ("serialNumber", serial), ("version", "1"), ("metadata", meta)], raw=("metadata",))
+    prop = lambda n, v: _object([("name", S(p + n)), ("value", v)])
+    props = ("'[' || " + " || ',' || ".join(prop(n, v) for n, v in [("severity", "severity"), ("confidence", _jsnum("confidence")), ("effort", "effort"), ("detectionMethod", "detection_method")])
+             + f" || CASE WHEN {_HAS_REPL} THEN ',' || {prop('replacement', 'replacement')} ELSE '' END || ']'")
+    algorithm = _object([("primitive", case_map("category", C.PRIMITIVE)), ("variant", "algorithm"), ("cryptoFunctions", f"'[\"' || {case_map('category', C.CRYPTO_FUNCTION)} || '\"]'")], raw=("cryptoFunctions",))
+    crypto = _object([("assetType", case_map("category", C.ASSET_TYPE)), ("algorithmProperties", algorithm), ("classicalSecurityLevel", case_map("severity", C.CLASSICAL_LEVEL)),
+                      ("nistQuantumSecurityLevel", case_map("severity", C.NIST_QUANTUM_LEVEL))], raw=("algorithmProperties",))
+    seen = _object([("location", "file"), ("line", "line"), ("offset", '"column"'), ("symbol", "snippet"),
+                    ("additionalContext", f"CASE WHEN {_HAS_REPL} THEN 'Recommended replacement: ' || replacement END")])
+    ref = "'crypto-' || rule_id || '-' || regexp_replace(file, '[^a-zA-Z0-9]', '-', 'g') || '-' || CAST(coalesce(line, 0) AS VARCHAR)"
+    component = _object([("type", "'crypto-asset'"), ("bom-ref", ref), ("name", "algorithm"), ("description", "description"), ("cryptoProperties", crypto),
+                         ("evidence", f"'{{\"occurrences\":[' || {seen} || ']}}'"), ("properties", props)], raw=("cryptoProperties", "evidence", "properties"))
+    opened = f"left({head}, length({head}) - 1) || ',\"components\":['"
+    return _documents_sql("cbom", [opened, S("]}")], [f"SELECT repo, position AS place, {component} AS text FROM ordered"])
+
+
+def json_documents_sql(timestamp: str) -> str:
+    """Over `ordered`, `summary` and `violations_ordered` (violations with `place`)."""
+    counts = _object([("filesScanned", "files_scanned"), ("findingsTotal", "findings_total"), ("bySeverity", _object([(x, f'"{x}"') for x in C.SEVERITIES])),
+                      ("byCategory", _object([(x, f'"{x}"') for x in C.CATEGORIES])), ("pqcReady", "pqc_ready")], raw=("bySeverity", "byCategory"))
+    head = _object([("timestamp", S(timestamp)), ("target", "repo"), ("summary", counts)], raw=("summary",))
+    loc = _object([("file", "file"), ("line", "line"), ("column", '"column"'), ("snippet", "snippet")])
+    finding = _object([("ruleId", "rule_id"), *((c, c) for c in ("description", "severity", "category", "algorithm", "replacement", "effort")), ("location", loc),
+                       ("detectionMethod", "detection_method"), ("confidence", "confidence"), ("occurrences", "occurrences")], raw=("location",))
+    violation = _object([("policyId", "policy_id"), ("description", "policy_description"), ("action", "action"), ("finding", finding), ("message", "message"), ("deadline", "deadline")], raw=("finding",))
+    opened = f"left({head}, length({head}) - 1) || ',\"findings\":['"
+    found = f"SELECT repo, position AS place, {finding} AS text FROM ordered"
+    against = f"SELECT repo, place, {violation} AS text FROM violations_ordered"
+    return _documents_sql("json", [opened, S('],"policyViolations":['), S("]}")], [found, against])
+
+
+def violations_ordered_sql() -> str:
+    """Violations of `ordered` findings with the finding's columns, by finding and policy."""
+    rows = violations_sql("ordered").replace("SELECT f.repo, p.id AS policy_id, coalesce(p.description, p.id) AS description, p.action",
+                                             "SELECT f.* EXCLUDE (description), f.description AS description, p.id AS policy_id, coalesce(p.description, p.id) AS policy_description, p.action", 1)
+    rows = rows.replace("f.rule_id, f.severity,\n       f.category, f.algorithm, f.file, f.line, f.confidence, p.policy_ord", "p.policy_ord", 1)
+    return f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY position, policy_ord) AS place FROM ({rows})"

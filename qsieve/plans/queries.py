@@ -24,6 +24,8 @@ from ..operators import policy as PL
 from ..operators import enrich as EN
 from ..sources import sbom as SB
 from ..sources.rules import rules_frame
+from ..operators import documents as DOC
+from ..operators import order as OR
 from ..operators import reports as RP
 from ..operators.lines import regex_findings_join
 from ..session import materialize
@@ -327,6 +329,50 @@ def q_violation_labels(spark, sf_dir):
     return violations(spark, sf_dir).select("repo", "file", "rule_id", label.alias("label"))
 
 
+# ------------------------------------------------- report order, documents
+
+_ORDERED = ("ordered", O.ordered_sql("deduped"))
+
+
+@register("findings_ordered", O.with_ctes(_CODE_FOUND + [_ORDERED], _finding_out_sql("ordered", ", occurrences, position")))
+def q_findings_ordered(spark, sf_dir):
+    """O1–O3: every finding with its place in its repository's report order."""
+    return _bigint(OR.ordered(code_findings(spark, sf_dir)).select(*FINDING_OUT, "occurrences", "position"), ["line", "column", "phase"])
+
+
+def _documents(parts: DataFrame) -> DataFrame:
+    return _bigint(DOC.document_fragments(parts), ["section"])
+
+
+def _with_summary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = shared_findings(spark, sf_dir)
+    return found, SM.summary(found, discovered_files(spark, sf_dir))
+
+
+_DOC_COLS = 'SELECT repo, format, CAST(section AS BIGINT) AS section, position, n_bytes, "offset", fragment FROM'
+
+
+@register("documents_sarif", O.with_ctes(_CODE_FOUND + [_ORDERED, _SUMMARY], f"{_DOC_COLS} ({O.sarif_documents_sql()})"))
+def q_documents_sarif(spark, sf_dir):
+    """A17 + K3: the fragments of every repository's SARIF document, at their byte offsets."""
+    return _documents(DOC.sarif_fragments(*_with_summary(spark, sf_dir)))
+
+
+@register("documents_cbom", O.with_ctes(_CODE_FOUND + [_ORDERED, _SUMMARY], f"{_DOC_COLS} ({O.cbom_documents_sql(CP.POLICY_NOW)})"))
+def q_documents_cbom(spark, sf_dir):
+    """A17 + K2: the fragments of every repository's CycloneDX document."""
+    return _documents(DOC.cbom_fragments(*_with_summary(spark, sf_dir), CP.POLICY_NOW))
+
+
+@register("documents_json", O.with_ctes(_CODE_FOUND + [_ORDERED, _SUMMARY, ("violations_ordered", O.violations_ordered_sql())],
+                                        f"{_DOC_COLS} ({O.json_documents_sql(CP.POLICY_NOW)})"))
+def q_documents_json(spark, sf_dir):
+    """A17 + K1: the fragments of every repository's JSON result, policy violations included."""
+    found, summary = _with_summary(spark, sf_dir)
+    against = PL.evaluate_policies(found, policies_frame(spark, CP.POLICIES), CP.POLICY_NOW, keep=DOC.FINDING_KEPT)
+    return _documents(DOC.json_fragments(found, summary, CP.POLICY_NOW, against))
+
+
 INCLUDE, EXCLUDE = [r"^src/", r"^app/.*\.ts$"], [r"doc[0-9]*7\."]
 
 
