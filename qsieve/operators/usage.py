@@ -1,32 +1,33 @@
 """Code-usage extraction for JavaScript/TypeScript files.
 
-Brackets nest to any depth and strings, templates and regular-expression
-literals hide code, so sites cannot be told by regular expressions alone.
 Spark selects the files (language, and a test for any known name, both in the
-JVM) and joins the sites; one small function in between reads a file's tokens
-once, in time linear in its length, and yields its sites:
-
-* U1 — comments, strings, templates and regex literals are tokens; code inside
-  a template's `${…}` is code.
+JVM).  A small tokeniser is the only Python: it turns a content into arrays
+with one entry per token, in one linear pass.  All that is found in them is
+found by column expressions over these arrays, in the row, without a shuffle:
+
+* U1, W3 — comments, strings, templates and regex literals are tokens; code
+  inside a template's `${…}` is code.  Each token knows its partner bracket
+  (`mate`), the bracket around it (`up`) and where the member chain that ends
+  with it begins (`head`).
 * U2–U6 — an import's source, a call's first argument, an option object's
-  pairs are read over any number of lines and any nesting.  A site stands at
-  the start of its statement or of its whole call chain.
+  pairs are read by index over any number of lines and any nesting: arguments
+  and pairs are the tokens whose `up` is the call's or the object's bracket.
+  A site stands at the start of its statement or of its whole call chain.
 * J2–J4 — sites join the fixed pattern dimensions with broadcast equi-joins
   (package root; method; object+method); the first pattern in list order is
   picked inside the row from the ordered candidate array.  J5 — the rule
   attributes come from the rule dimension (inner join: unknown rule → none).
 
 Null contents give no site; unclosed brackets and strings end with the file
-or line.  Known limits: text between JSX tags is read as code, and a `/` after
-`)` as a division.
+or line.  A `/` divides after an operand, `++` and `--`, and after `)` unless
+an `if`, `while`, `for` or `with` opened it.  Known limit: text between JSX
+tags is read as code.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,43 +43,58 @@ OPTION_CALLS = sorted({(o, m) for o, m, *_ in C.OPTION_PATTERNS})
 # JVM test for files that can hold a site at all.
 HEAD_ANY = r"\b(?:import|require|" + "|".join(CALL_METHODS + sorted({o for o, _ in OPTION_CALLS})) + r")\b"
 
-SITE_SCHEMA = ("repo string, path string, line_no int, column int, line string, kind string, name string, "
-               "argv string, pairs array<struct<k: string, vs: array<string>>>")
+JS_TRIM = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # what JS trims
+NAMES = sorted(set(CALL_METHODS) | {m for _, m in OPTION_CALLS} | {"require"})
+# an import's clause has at most eight elements: type, name, comma, *, as, name or {…}, from, source
+CLAUSE = 12
+
+TOKEN_SCHEMA = ("repo string, path string, tok array<string>, lit array<string>, quoted array<boolean>, noted array<boolean>, mate array<int>, up array<int>, "
+                "head array<int>, called array<boolean>, line array<int>, col array<int>, lines array<string>")
+
 
+# --------------------------------------------------------------- tokeniser
 
-# ------------------------------------------------------------- site reader
+def _tokens():
+    """A `mapInArrow` function: (repo, path, content) → TOKEN_SCHEMA rows.  All
+    it needs is nested here, so executors need not import this package.
 
-def _site_reader():
-    """A `mapInArrow` function: (repo, path, content) → SITE_SCHEMA rows.  All
-    it needs is nested here, so executors need not import this package."""
-    calls, options = frozenset(CALL_METHODS), frozenset(OPTION_CALLS)
-    names = calls | {m for _, m in options} | {"require"}
-    n_snippet = C.SNIPPET_CHARS
-    trim = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200b))) + "    　﻿"
-    token = re.compile(
+    tok: a mark's or word's text, else empty; lit: what a closed string or
+    template holds; quoted: the token is a string; noted: a comment stands just
+    before; mate, up, head: token numbers or -1; called: the chain holds a call;
+    line, col: from 1, col in UTF-16 units; lines: trimmed for the snippet."""
+    names = frozenset(NAMES)
+    n_snippet, trim, most = C.SNIPPET_CHARS, JS_TRIM, 100_000
+    lexeme = re.compile(
         r"(?P<blank>\s++)"
         r"|(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
         r'|(?P<string>"(?:[^"\\\n]|\\[\s\S])*+"?|\'(?:[^\'\\\n]|\\[\s\S])*+\'?)'
         r"|(?P<word>[A-Za-z_$\u0080-\U0010ffff][\w$]*+)"
         r"|(?P<number>\d[\w.]*+)"
-        r"|(?P<mark>\?\.(?!\d)|=>|[\s\S])")
+        r"|(?P<mark>\?\.(?!\d)|=>|\+\+|--|[\s\S])")
     regex = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[A-Za-z]*+")
     chunk = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
-    type_args = re.compile(r"<[\w$\s,.\[\]|&<>{}:?\"']*>(?=\s*\()")
+    type_args = re.compile(r"\s*<[\w$\s,.\[\]|&<>{}:?\"']*>(?=\s*\()")
     # after these words an expression starts, so a `/` opens a regex literal
     starters = frozenset("return typeof case in of do else void delete throw new instanceof yield await default extends".split())
     opener = {")": "(", "]": "[", "}": "{"}
 
-    def tokens(src):
-        """Parallel lists: kind, text, start, end, index of the other bracket
-        (-1: none), and whether a comment stands just before."""
-        kind, text, start, end, mate, noted = [], [], [], [], [], []
-        stack, depth = [], {"(": 0, "[": 0, "{": 0}
-        pos, n, comment = 0, len(src), False
+    def read(src):
+        kind, tok, start, end, mate, noted = [], [], [], [], [], []
+        stack, depth, pos, n, comment = [], {"(": 0, "[": 0, "{": 0}, 0, len(src), False
+
+        def operand(i):
+            """Whether an expression can end with token i."""
+            return i >= 0 and (kind[i] in "snrt" or tok[i] in (")", "]", "++", "--") or kind[i] == "w" and tok[i] not in starters)
+
+        def divides(i):
+            """Whether a `/` after token i is a division."""
+            if i >= 0 and tok[i] == ")" and mate[i] > 0 and tok[mate[i] - 1] in ("if", "while", "for", "with"):
+                return mate[i] > 1 and tok[mate[i] - 2] in (".", "?.")
+            return operand(i)
 
         def put(k, a, b):
             nonlocal comment
-            kind.append(k), text.append(src[a:b]), start.append(a), end.append(b), mate.append(-1), noted.append(comment)
+            kind.append(k), tok.append(src[a:b] if k in "mw" else ""), start.append(a), end.append(b), mate.append(-1), noted.append(comment)
             comment = False
 
         def close_last():
@@ -86,191 +102,203 @@ def _site_reader():
             mate[o], mate[-1] = len(kind) - 1, o
 
         while pos < n:
-            if stack and text[stack[-1]] == "`":
+            if stack and tok[stack[-1]] == "`":
                 pos = chunk.match(src, pos).end()
-                if pos >= n:
-                    break
-                if src[pos] == "`":
-                    put("template", pos, pos + 1)
+                if src.startswith("`", pos):
+                    put("t", pos, pos + 1)
                     close_last()
                     pos += 1
                 elif src.startswith("${", pos):
-                    put("mark", pos, pos + 2)
+                    put("m", pos, pos + 2)
                     stack.append(len(kind) - 1)
                     depth["{"] += 1
                     pos += 2
-                else:  # a backslash or dollar that ends the file
+                else:  # the file ends here
                     break
                 continue
-            m = token.match(src, pos)
-            k, at = m.lastgroup, pos
+            m = lexeme.match(src, pos)
+            k, at = m.lastgroup[0], pos
             pos = m.end()
-            if k == "blank":
+            if k == "b":
                 continue
-            if k == "comment":
+            if m.lastgroup == "comment":
                 comment = True
                 continue
-            c = src[at] if k == "mark" else ""
-            if c == "/":
-                operand = kind and (kind[-1] in ("string", "number", "regex", "template") or text[-1] in (")", "]")
-                                    or kind[-1] == "word" and text[-1] not in starters)
-                r = None if operand else regex.match(src, at)
-                if r:
-                    k, pos = "regex", r.end()
+            c = src[at] if k == "m" else ""
+            r = regex.match(src, at) if c == "/" and not divides(len(kind) - 1) else None
+            if r:
+                k, pos = "r", r.end()
             put(k, at, pos)
-            if c in ("(", "[", "{", "`"):
+            if k == "w" and tok[-1] in names and (t := type_args.match(src, pos)):
+                pos = t.end()
+            if k == "m" and c in "([{`":
                 stack.append(len(kind) - 1)
                 if c != "`":
                     depth[c] += 1
             elif c in opener and depth[opener[c]]:
-                while True:
-                    t = text[stack[-1]][-1]
+                while stack:
+                    t = tok[stack[-1]][-1]
                     if t != "`":
                         depth[t] -= 1
                     if t == opener[c]:
                         close_last()
                         break
                     stack.pop()
-        return kind, text, start, end, mate, noted
-
-    def sites(src):
-        """(start, kind, name, argv, pairs) of every import, require, call and
-        option call, in file order."""
-        kind, text, start, end, mate, noted = tokens(src)
-        last = len(kind)
-
-        def tok(i):
-            return text[i] if 0 <= i < last and kind[i] in ("mark", "word") else ""
-
-        def string(i, stops, template=True):
-            """Contents of a string that is a whole element, else None."""
-            if i >= last or noted[i]:
-                return None
-            e = i
-            if kind[i] == "mark" and text[i] == "`" and template:
-                e = mate[i]
-            elif kind[i] != "string":
-                return None
-            raw = src[start[i]:end[e]] if e >= 0 else ""
-            return raw[1:-1] if len(raw) > 1 and raw[-1] == raw[0] and tok(e + 1) in stops else None
-
-        def operand(i):
-            return 0 <= i < last and (kind[i] in ("string", "template") or text[i] in (")", "]", "}")
-                                      or kind[i] == "word" and text[i] not in starters)
-
-        def chain(i):
-            """(first token, whether `new` constructs through this chain) of
-            the member chain whose last operand ends at token i."""
-            called = False
-            while i >= 0:
-                while i > 0 and tok(i) == "!":
-                    i -= 1
-                if text[i] in (")", "]", "}") and kind[i] == "mark" or kind[i] == "template":
-                    if mate[i] < 0:
-                        break
-                    i, closing = mate[i], text[i]
-                    before = i - 1 - (tok(i - 1) == "?.")
-                    if closing != "}" and operand(before) and text[before] != "}":
-                        called |= closing == ")"
-                        i = before
-                        continue
-                if tok(i - 1) in (".", "?.") and i >= 2:
-                    i -= 2
+        return kind, tok, start, end, mate, noted, operand
+
+    def chains(kind, tok, mate, operand):
+        """For each token, where the member chain that ends there begins, and
+        whether it holds a call."""
+        head, called = [], []
+        for e in range(len(kind)):
+            i = e
+            while i > 0 and tok[i] == "!":
+                i -= 1
+            if (tok[i] in (")", "]", "}") or kind[i] == "t") and mate[i] >= 0:
+                i, closing = mate[i], tok[i]
+                before = i - 1 - (i > 0 and tok[i - 1] == "?.")
+                if closing != "}" and (operand(before) and tok[before] not in ("++", "--") and kind[before] not in "nr"):
+                    head.append(head[before]), called.append(called[before] or closing == ")")
                     continue
-                break
-            if tok(i - 1) == "new":
-                return (i - 1, False) if called else (i, True)
-            return i, False
-
-        def next_comma(i, stop):
-            while i < stop and tok(i) != ",":
-                i = mate[i] + 1 if mate[i] > i else i + 1
-            return i + 1
-
-        def pairs(args, stop):
-            out = []
-            while args < stop:
-                close = mate[args]
-                if tok(args) == "{" and close > args and tok(close + 1) in (",", ")"):
-                    p = args + 1
-                    while p < close:
-                        if tok(p + 1) == ":":
-                            one = string(p + 2, (",", "}"), template=False)
-                            if one:
-                                out.append({"k": text[p], "vs": [one]})
-                            elif tok(p + 2) == "[" and mate[p + 2] > 0 and tok(mate[p + 2] + 1) in (",", "}"):
-                                e, many = p + 3, []
-                                while e < mate[p + 2]:
-                                    many.append(string(e, (",", "]")))
-                                    e = next_comma(e, mate[p + 2])
-                                out.append({"k": text[p], "vs": [v for v in many if v]})
-                        p = next_comma(p, close)
-                args = next_comma(args, stop)
-            return out
-
-        for i in range(last):
-            if kind[i] != "word":
-                continue
-            member = tok(i - 1) in (".", "?.")
-            if text[i] == "import" and not (member and "\n" not in src[end[i - 1]:start[i]]):
-                j = i + 1
-                if j < last and kind[j] != "string":
-                    while j < last and (kind[j] == "word" and text[j] != "import" or text[j] in ("{", "*", ",")):
-                        if text[j] == "from" and kind[j + 1:j + 2] == ["string"]:
-                            j += 1
-                            break
-                        j = mate[j] + 1 if mate[j] > j else j + 1
-                if j < last and kind[j] == "string" and (j == i + 1 or text[j - 1] == "from"):
-                    if len(text[j]) > 2 and text[j][-1] == text[j][0]:
-                        yield start[i], "import", text[j][1:-1], None, None
-                continue
-            if text[i] not in names:
-                continue
-            j = i + 1
-            if tok(j) == "<":
-                m = type_args.match(src, start[j])
-                while m and j < last and start[j] < m.end():
-                    j += 1
-            if tok(j) == "?." and tok(j + 1) == "(":
-                j += 1
-            if tok(j) != "(" or not member and (tok(i - 1) in ("function", "new") or mate[j] > 0 and tok(mate[j] + 1) == "{"):
-                continue
-            first, built = chain(i - 2) if member and i > 1 else (i, False)
-            if built:
-                continue
-            argv = string(j + 1, (",", ")"))
-            if text[i] == "require":  # `import x = require("y")` is no call
-                if not member and argv and not (tok(i - 1) == "=" and tok(i - 3) == "import"):
-                    yield start[i], "import", argv, None, None
-                continue
-            if text[i] in calls:
-                yield start[first], "call", text[i], argv.lower() if argv else None, None
-            if member and first == i - 2 and (text[first], text[i]) in options and mate[j] > j:
-                yield start[first], "option", f"{text[first]}.{text[i]}", None, pairs(j + 1, mate[j])
-
-    def read(batches):
+            if i > 1 and tok[i - 1] in (".", "?."):
+                head.append(head[i - 2]), called.append(called[i - 2])
+            else:
+                head.append(i), called.append(False)
+        return head, called
+
+    def row(src):
+        kind, tok, start, end, mate, noted, operand = read(src)
+        head, called = chains(kind, tok, mate, operand)
+        up, held, line, col, lit = [], [], [], [], []
+        at, no, astral, wide, seen = 0, 1, [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", src)], 0, 0
+        for i, (k, a, z) in enumerate(zip(kind, start, end)):
+            if held and mate[held[-1]] == i:
+                held.pop()
+            up.append(held[-1] if held else -1)
+            if mate[i] > i:
+                held.append(i)
+            while (b := src.find("\n", at, a)) >= 0:
+                at, no = b + 1, no + 1
+                while wide < len(astral) and astral[wide] < at:
+                    wide += 1
+                seen = wide
+            while seen < len(astral) and astral[seen] < a:
+                seen += 1
+            line.append(no), col.append(a - at + 1 + seen - wide)
+            whole = k == "s" or tok[i] == "`" and mate[i] > i
+            raw = src[a:end[mate[i]] if k == "m" else z] if whole else ""
+            lit.append(raw[1:-1] if len(raw) > 1 and raw[-1] == raw[0] else None)
+        return tok, lit, [k == "s" for k in kind], noted, mate, up, head, called, line, col, [x.strip(trim)[:n_snippet] for x in src.split("\n")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+        columns = ["repo", "path", "tok", "lit", "quoted", "noted", "mate", "up", "head", "called", "line", "col", "lines"]
+        def packed(files):
+            made = [list(c) for c in zip(*files)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds)], columns)
+
+        kinds = [pa.string(), pa.string(), *map(pa.list_, kinds)]
         for batch in batches:
-            for repo, path, content in zip(*batch.columns):
-                src = content.as_py()
-                breaks, rows = None, []
-                for at, kind, name, argv, opts in sites(src):
-                    if breaks is None:
-                        breaks = [-1] + [m.start() for m in re.finditer("\n", src)] + [len(src)]
-                    k = bisect.bisect_left(breaks, at)
-                    begin = breaks[k - 1] + 1
-                    column = len(src[begin:at].encode("utf-16-le", "surrogatepass")) // 2 + 1
-                    line = src[begin:breaks[k]].strip(trim)[:n_snippet]
-                    rows.append((k, column, line, kind, name, argv, opts))
-                if not rows:
-                    continue
-                pair = pa.list_(pa.struct([("k", pa.string()), ("vs", pa.list_(pa.string()))]))
-                types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pair]
-                cols = [pa.array(v, t) for v, t in zip(zip(*rows), types)]
-                lead = [pa.array([x.as_py()] * len(rows), pa.string()) for x in (repo, path)]
-                yield pa.RecordBatch.from_arrays(
-                    lead + cols, ["repo", "path", "line_no", "column", "line", "kind", "name", "argv", "pairs"])
+            held, n = [], 0
+            for repo, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append((repo, path, *row(content)))
+                n += len(held[-1][2])
+                if n >= most:  # tokens
+                    yield packed(held)
+                    held, n = [], 0
+            if held:
+                yield packed(held)
+
+    return run
+
+
+# ----------------------------------------------- sites, by column expressions
+
+def _at(array: str, i: Column | int) -> Column:
+    return F.get(F.col(array), F.lit(i) if isinstance(i, int) else i)
+
+
+def _is(i: Column, *texts: str) -> Column:
+    """Whether token i is one of these marks or words."""
+    return F.coalesce(_at("tok", i).isin(*texts), F.lit(False))
+
+
+def _string(i: Column, stops: tuple[str, ...], template: bool = True) -> Column:
+    """What a string holds that is a whole element, else null."""
+    last = F.when(_at("quoted", i), i).otherwise(_at("mate", i))
+    whole = (~_at("noted", i)) & _is(last + 1, *stops)
+    return F.when(whole if template else whole & _at("quoted", i), _at("lit", i))
+
+
+def _import_source(i: Column) -> Column:
+    """The token of the source of the import statement at token i, or -1."""
+    def step(s: Column, _: Column) -> Column:
+        j = s["j"]
+        found = _is(j, "from") & F.coalesce(_at("quoted", j + 1), F.lit(False))
+        word = F.coalesce(_at("tok", j).rlike(r"^[A-Za-z_$\x80-\x{10ffff}]"), F.lit(False)) & ~_is(j, "import")
+        after = F.when(_at("mate", j) > j, _at("mate", j) + 1).otherwise(j + 1)
+        return (F.when(s["done"], s)
+                .when(found, F.struct((j + 1).alias("j"), F.lit(True).alias("done")))
+                .when(word | _is(j, "{", "*", ","), F.struct(after.alias("j"), F.lit(False).alias("done")))
+                .otherwise(F.struct(F.lit(-1).alias("j"), F.lit(True).alias("done"))))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(CLAUSE)), F.struct((i + 1).alias("j"), F.lit(False).alias("done")), step,
+                         lambda s: F.when(s["done"], s["j"]).otherwise(-1))
+    return F.when(F.coalesce(_at("quoted", i + 1), F.lit(False)), i + 1).otherwise(walked)
+
+
+def _parts(open_: Column) -> Column:
+    """The first tokens of a bracket's elements."""
+    return F.filter(F.sequence(open_ + 1, _at("mate", open_)), lambda k: (k < _at("mate", open_)) & ((k == open_ + 1) | (_is(k - 1, ",") & (_at("up", k - 1) == open_))))
+
+
+def _pairs(open_: Column) -> Column:
+    """The pairs (key, string values) of the objects among a call's arguments."""
+    objects = F.filter(_parts(open_), lambda a: _is(a, "{") & (_at("mate", a) > a) & _is(_at("mate", a) + 1, ",", ")"))
+    keys = F.filter(F.flatten(F.transform(objects, _parts)), lambda p: _is(p + 1, ":"))
+
+    def values(p: Column) -> Column:
+        one = _string(p + 2, (",", "}"), template=False)
+        is_list = _is(p + 2, "[") & (_at("mate", p + 2) > 0) & _is(_at("mate", p + 2) + 1, ",", "}")
+        many = F.filter(F.transform(_parts(p + 2), lambda e: _string(e, (",", "]"))), lambda v: v != "")
+        return F.when(one != "", F.array(one)).when(is_list, many)
+
+    return F.filter(F.transform(keys, lambda p: F.struct(_at("tok", p).alias("k"), values(p).alias("vs"))), lambda kv: kv["vs"].isNotNull())
+
+
+_NO_PAIRS = "array<struct<k: string, vs: array<string>>>"
+
+
+def _site(at: Column, kind: str, name: Column, argv: Column | None = None, pairs: Column | None = None) -> Column:
+    return F.struct(at.alias("at"), F.lit(kind).alias("kind"), name.alias("name"), (F.lit(None).cast("string") if argv is None else argv).alias("argv"),
+                    (F.lit(None).cast(_NO_PAIRS) if pairs is None else pairs).alias("pairs"))
+
 
-    return read
+def _sites_at(i: Column) -> Column:
+    """The sites (0 to 2) of the known word at token i."""
+    tok, member = _at("tok", i), _is(i - 1, ".", "?.")
+    source = _import_source(i)
+    imported = (_is(i, "import") & ~(member & (_at("line", i - 1) == _at("line", i))) & F.coalesce(_at("quoted", source), F.lit(False))
+                & ((source == i + 1) | _is(source - 1, "from")) & (_at("lit", source) != ""))
+    j = F.when(_is(i + 1, "?.") & _is(i + 2, "("), i + 2).otherwise(i + 1)
+    declared = ~member & (_is(i - 1, "function", "new") | ((_at("mate", j) > 0) & _is(_at("mate", j) + 1, "{")))
+    chained = member & (i > 1)
+    start = F.when(chained, _at("head", i - 2)).otherwise(i)
+    new = chained & _is(start - 1, "new")
+    built = new & ~_at("called", i - 2)
+    first = F.when(new, start - 1).otherwise(start)
+    call = tok.isin(NAMES) & _is(j, "(") & ~declared & ~built
+    argv = _string(j + 1, (",", ")"))
+    required = call & _is(i, "require") & ~member & (argv != "") & ~(_is(i - 1, "=") & _is(i - 3, "import"))
+    target = F.concat(_at("tok", first), F.lit("."), tok)
+    option = call & member & (first == i - 2) & target.isin([f"{o}.{m}" for o, m in OPTION_CALLS]) & (_at("mate", j) > j)
+    sites = F.array(
+        F.when(imported, _site(i, "import", _at("lit", source))).when(required, _site(i, "import", argv)),
+        F.when(call & tok.isin(CALL_METHODS), _site(first, "call", tok, F.when(argv != "", F.lower(argv)))),
+        F.when(option, _site(first, "option", target, pairs=_pairs(j))))
+    return F.filter(sites, lambda s: s.isNotNull())
 
 
 def sites(files: DataFrame) -> DataFrame:
@@ -279,8 +307,13 @@ def sites(files: DataFrame) -> DataFrame:
     filtered on its partition column, so only JS/TS partitions are read."""
     if "lang_part" in files.columns:
         files = files.where(F.col("lang_part").isin(USAGE_LANGUAGES))
-    read = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").rlike(HEAD_ANY))
-            .select("repo", "path", "content").mapInArrow(_site_reader(), SITE_SCHEMA))
+    tokens = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").rlike(HEAD_ANY))
+              .select("repo", "path", "content").mapInArrow(_tokens(), TOKEN_SCHEMA))
+    known = F.filter(F.sequence(F.lit(0), F.size("tok") - 1), lambda i: _at("tok", i).isin(["import", *NAMES]))
+    placed = F.transform(F.flatten(F.transform(known, _sites_at)), lambda s: F.struct(
+        _at("line", s["at"]).alias("line_no"), _at("col", s["at"]).alias("column"), F.get("lines", _at("line", s["at"]) - 1).alias("line"),
+        s["kind"].alias("kind"), s["name"].alias("name"), s["argv"].alias("argv"), s["pairs"].alias("pairs")))
+    read = tokens.where(F.size("tok") > 0).select("repo", "path", F.explode(placed).alias("s")).select("repo", "path", "s.*")
     name = F.when(F.col("kind") == "import", package_root(F.col("name"))).otherwise(F.col("name"))
     return read.select("repo", "path", "line_no", "column", "line", "kind",
                        F.concat("kind", F.lit(":"), name).alias("site_key"), "argv", "pairs")

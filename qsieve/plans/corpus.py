@@ -223,6 +223,12 @@ const e = createECDH(
 const deep = jwt.verify(jwt.sign(a, b, { algorithm: "ES256" }), k, { nested: { algorithms: ["RS256"] }, algorithms: [
   "ES512",
 ] });"""),
+    # divisions that look like regex literals, and regex literals that hold quotes
+    (".ts", """let n = 4; const half = n++ / 2; const ha = crypto.createHash("md5"); const one = 1 / 2;
+if (/[`"']/.test(name) || n-- / 3 > 1) { const hb = crypto.createHash("sha1"); }
+while (n) /['"`]/.exec(name), n -= 1;
+if (n) /[`"]/.test(name) && check(crypto.createHash("sha256"));
+const hd = (n + 1) / 2 / crypto.createHash("md5").digest().length;"""),
 ]
 
 PLANT_SCHEMA = T.StructType([T.StructField("k", T.LongType(), False),

@@ -226,6 +226,7 @@ USAGE_SITES = [
     (16, 6, 62, "AES_256", 0.95), (16, 7, 13, "RSA_SIGN", 0.96),
     (17, 1, 1, "ECDSA_USAGE", 0.98), (17, 33, 11, "MD5_USAGE", 0.95), (17, 37, 11, "ECDH_KEY_EXCHANGE", 0.96),
     (18, 1, 14, "RSA_SIGN", 0.96), (18, 30, 14, "ECDSA_USAGE", 0.96), (18, 30, 25, "ECDSA_USAGE", 0.96),
+    (19, 1, 45, "MD5_USAGE", 0.95), (19, 2, 53, "SHA1_USAGE", 0.95), (19, 4, 35, "SHA256_SAFE", 0.95), (19, 5, 26, "MD5_USAGE", 0.95),
 ]
 
 

@@ -50,6 +50,12 @@ def test_usage_hits(fixture_files):
     ('((( [ createHash("md5")', [(1, 7, "MD5_USAGE")]),
     (')}] "open\ncreateHash("md5', []),
     ("\U0001F511; createHash('md5')", [(1, 5, "MD5_USAGE")]),
+    ("`\U0001F511\n\U0001F511` + x;\n\U0001F511.y(); createHash('md5')", [(3, 9, "MD5_USAGE")]),
+    ('const a = b++ / 2; const h = crypto.createHash("md5"); const z = 1 / 2;', [(1, 30, "MD5_USAGE")]),
+    ('if (x) /[`"]/.test(y); createHash("md5"); a.if (x) / b / createHash("sha1").length', [(1, 24, "MD5_USAGE"), (1, 58, "SHA1_USAGE")]),
+    ('publicEncrypt<A>(1).createHash("md5"); a?.b!.c.createHash("sha1")', [(1, 1, "MD5_USAGE"), (1, 1, "RSA_ENCRYPT"), (1, 40, "SHA1_USAGE")]),
+    ('import a, { b as c, type D } from "ethers"; import x y z, * as w from "web3"', [(1, 1, "ECDSA_USAGE"), (1, 45, "ECDSA_USAGE")]),
+    ('import { a } "ethers"; import from from "web3"; export { x } from "ethers"', [(1, 24, "ECDSA_USAGE")]),
 ])
 def test_usage_forms(spark, src, expected):
     text = with_file_meta(files_df(spark, [("r", "a.ts", src), ("r", "b.ts", None), ("r", "c.ts", "")]))
