@@ -276,29 +276,38 @@ def _site(at: Column, kind: str, name: Column, argv: Column | None = None, pairs
                     (F.lit(None).cast(_NO_PAIRS) if pairs is None else pairs).alias("pairs"))
 
 
-def _sites_at(i: Column) -> Column:
-    """The sites (0 to 2) of the known word at token i."""
-    tok, member = _at("tok", i), _is(i - 1, ".", "?.")
-    source = _import_source(i)
-    imported = (_is(i, "import") & ~(member & (_at("line", i - 1) == _at("line", i))) & F.coalesce(_at("quoted", source), F.lit(False))
-                & ((source == i + 1) | _is(source - 1, "from")) & (_at("lit", source) != ""))
-    j = F.when(_is(i + 1, "?.") & _is(i + 2, "("), i + 2).otherwise(i + 1)
+def _around(i: Column) -> Column:
+    """What the site rules ask about the known word at token i: whether it is a
+    member, where its argument list would open (j), where its chain begins."""
+    member = _is(i - 1, ".", "?.")
+    return F.struct(i.alias("i"), _at("tok", i).alias("tok"), member.alias("member"), F.when(member & (i > 1), _at("head", i - 2)).otherwise(i).alias("start"),
+                    F.when(_is(i + 1, "?.") & _is(i + 2, "("), i + 2).otherwise(i + 1).alias("j"),
+                    F.when(_is(i, "import"), _import_source(i)).otherwise(-1).alias("source"))
+
+
+def _judged(w: Column) -> Column:
+    """Whether it is an import statement or a call, where the site begins, and
+    the first argument where that is a string."""
+    i, j, start, source, member = w["i"], w["j"], w["start"], w["source"], w["member"]
+    new = member & (i > 1) & _is(start - 1, "new")
     declared = ~member & (_is(i - 1, "function", "new") | ((_at("mate", j) > 0) & _is(_at("mate", j) + 1, "{")))
-    chained = member & (i > 1)
-    start = F.when(chained, _at("head", i - 2)).otherwise(i)
-    new = chained & _is(start - 1, "new")
-    built = new & ~_at("called", i - 2)
-    first = F.when(new, start - 1).otherwise(start)
-    call = tok.isin(NAMES) & _is(j, "(") & ~declared & ~built
-    argv = _string(j + 1, (",", ")"))
-    required = call & _is(i, "require") & ~member & (argv != "") & ~(_is(i - 1, "=") & _is(i - 3, "import"))
-    target = F.concat(_at("tok", first), F.lit("."), tok)
-    option = call & member & (first == i - 2) & target.isin([f"{o}.{m}" for o, m in OPTION_CALLS]) & (_at("mate", j) > j)
-    sites = F.array(
-        F.when(imported, _site(i, "import", _at("lit", source))).when(required, _site(i, "import", argv)),
-        F.when(call & tok.isin(CALL_METHODS), _site(first, "call", tok, F.when(argv != "", F.lower(argv)))),
+    called = (w["tok"] != "import") & _is(j, "(") & ~declared & ~(new & ~_at("called", i - 2))
+    imported = (~(member & (_at("line", i - 1) == _at("line", i))) & F.coalesce(_at("quoted", source), F.lit(False))
+                & ((source == i + 1) | _is(source - 1, "from")) & (_at("lit", source) != ""))
+    return F.struct(i.alias("i"), w["tok"].alias("tok"), member.alias("member"), j.alias("j"), F.when(new, start - 1).otherwise(start).alias("first"),
+                    F.when((w["tok"] == "import") & imported, _at("lit", source)).alias("source"), called.alias("called"), _string(j + 1, (",", ")")).alias("argv"))
+
+
+def _sites_of(w: Column) -> Column:
+    """The sites (0 to 2) of a known word."""
+    i, j, first, argv, call = w["i"], w["j"], w["first"], w["argv"], w["called"]
+    required = call & (w["tok"] == "require") & ~w["member"] & (argv != "") & ~(_is(i - 1, "=") & _is(i - 3, "import"))
+    target = F.concat(_at("tok", first), F.lit("."), w["tok"])
+    option = call & w["member"] & (first == i - 2) & target.isin([f"{o}.{m}" for o, m in OPTION_CALLS]) & (_at("mate", j) > j)
+    return F.array(
+        F.when(w["source"].isNotNull(), _site(i, "import", w["source"])).when(required, _site(i, "import", argv)),
+        F.when(call & w["tok"].isin(CALL_METHODS), _site(first, "call", w["tok"], F.when(argv != "", F.lower(argv)))),
         F.when(option, _site(first, "option", target, pairs=_pairs(j))))
-    return F.filter(sites, lambda s: s.isNotNull())
 
 
 def sites(files: DataFrame) -> DataFrame:
@@ -310,7 +319,8 @@ def sites(files: DataFrame) -> DataFrame:
     tokens = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").rlike(HEAD_ANY))
               .select("repo", "path", "content").mapInArrow(_tokens(), TOKEN_SCHEMA))
     known = F.filter(F.sequence(F.lit(0), F.size("tok") - 1), lambda i: _at("tok", i).isin(["import", *NAMES]))
-    placed = F.transform(F.flatten(F.transform(known, _sites_at)), lambda s: F.struct(
+    found = F.flatten(F.transform(F.transform(F.transform(known, _around), _judged), _sites_of))
+    placed = F.transform(F.filter(found, lambda s: s.isNotNull()), lambda s: F.struct(
         _at("line", s["at"]).alias("line_no"), _at("col", s["at"]).alias("column"), F.get("lines", _at("line", s["at"]) - 1).alias("line"),
         s["kind"].alias("kind"), s["name"].alias("name"), s["argv"].alias("argv"), s["pairs"].alias("pairs")))
     read = tokens.where(F.size("tok") > 0).select("repo", "path", F.explode(placed).alias("s")).select("repo", "path", "s.*")
