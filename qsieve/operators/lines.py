@@ -7,19 +7,23 @@ after the explode, on hits only.  The whole branch is narrow (no shuffle):
 per-file work stays in the task that read the file.
 
 User rule tables (E1) use the same plan when their size is checked to be
-small enough to compile; beyond that, a broadcast nested-loop join on
-`line rlike pattern` gives the same rows.
+small enough to compile; beyond that, an inverted index of the literals that
+their patterns require meets the lines' three-character runs, and patterns are
+tested on the pairs that remain.  Both give the same rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..functions import literals
 from ..functions.regex import JS_SPACE_JAVA, effective_patterns, java_ci, js_word_boundary_java, union
+from ..session import materialize
 from ..sources.rules import checked_rules, rule_rows, rules_frame
 
 FINDING_COLS = ["repo", "rule_id", "description", "severity", "category", "algorithm",
@@ -27,10 +31,13 @@ FINDING_COLS = ["repo", "rule_id", "description", "severity", "category", "algor
                 "detection_method", "confidence", "phase", "rule_ord"]
 
 # Largest user rule table compiled into literal expressions; larger tables
-# take the broadcast-join form.
-MAX_COMPILED_RULES = 2000
-# Largest rule table broadcast in one piece by the join form.
-MAX_BROADCAST_RULES = 5000
+# are indexed.
+MAX_COMPILED_RULES = 200
+# Most rules without a required literal that are broadcast in one piece, and
+# most literals (of up to 32 characters) of the index.
+MAX_BROADCAST_RULES, MAX_BROADCAST_KEYS = 5000, 200_000
+
+cloudpickle.register_pickle_by_value(literals)  # executors need not import this package
 
 _KEYWORD = js_word_boundary_java(C.CONF_KEYWORD_RE)
 _CALL = C.CONF_CALL_RE
@@ -154,54 +161,106 @@ def _same_line_dedupe(findings: DataFrame) -> DataFrame:
     """One finding per (file, rule id, line) — the earliest rule wins.
     Only reachable with duplicated ids in a user rule table."""
     key = ["repo", "file", "rule_id", "line"]
-    best = findings.groupBy(*key).agg(F.min("rule_ord").alias("rule_ord"))
-    return findings.join(best, key + ["rule_ord"], "left_semi")
+    rest = [c for c in findings.columns if c not in key]
+    best = findings.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("rule_ord", "column", "description")).alias("b"))
+    return best.select(*(c if c in key else F.col("b").getField(c).alias(c) for c in findings.columns))
+
+
+def _index_rows():
+    """A mapInArrow function: (rule_no, patterns) -> (rule_no, gram, literal),
+    one row per required literal; a rule without any has one row of nulls."""
+    required, gram_of = literals.required_literals, literals.key_gram
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for no, patterns in zip(batch["rule_no"].to_pylist(), batch["patterns"].to_pylist()):
+                rows += [(no, gram_of(x), x) for x in sorted(required(patterns) or ())] or [(no, None, None)]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], ["rule_no", "gram", "literal"])
+
+    return run
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(rule_no, gram, literal) of rules(rule_no, patterns): the literals of
+    which a match of the rule holds one (null: none is known), each under three
+    of its characters.  Read where the rules are; none pass the driver."""
+    return rules.select("rule_no", "patterns").mapInArrow(_index_rows(), "rule_no long, gram string, literal string")
+
+
+def _candidates(lines: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(line, rule) pairs of which the line holds a required literal: the
+    line's three-character runs meet the index, a broadcast hash join; k index
+    chunks, so that a broadcast side is bounded."""
+    grams = F.array_distinct(F.regexp_extract_all("lc", F.lit(r"(?=([\x20-\x7E]{3}))"), F.lit(1)))
+    spread = lines.withColumn("lc", F.lower("line")).withColumn("gram", F.explode(grams))
+    part = F.pmod(F.xxhash64("gram", "rule_no"), F.lit(k))
+    chunks = [index if k == 1 else index.where(part == i) for i in range(k)]
+    found = reduce(DataFrame.unionByName, [spread.join(F.broadcast(c), "gram") for c in chunks])
+    return found.where(F.col("lc").contains(F.col("literal"))).drop("lc", "gram", "literal")
 
 
 def regex_findings_join(files: DataFrame, rules: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """J1, join form for a user rule DataFrame (E1): broadcast nested-loop join
-    of lines with one union pattern per rule; first pattern / column via the
-    per-pattern array.  Produces the same rows as `regex_findings`."""
-    r = checked_rules(rules).select("rule_ord", "rule_id", "description", "severity", "category", "algorithm",
+    """J1, indexed form for a user rule DataFrame (E1) of any size: the literals
+    that a match must hold form an inverted index; lines meet it, and a rule's
+    patterns are tested on those lines only.  Rules without a required literal
+    are tested on all lines, in a broadcast nested-loop join.  The same rows and
+    ordinals as `regex_findings`."""
+    numbered = checked_rules(rules).withColumn("rule_no", F.monotonically_increasing_id())
+    rules = materialize(numbered)  # numbered once
+    r = rules.select("rule_no", "rule_ord", "rule_id", "description", "severity", "category", "algorithm",
                      "replacement", "effort", "languages",
                      F.transform("patterns", lambda p: F.concat(F.lit("(?i)"), p)).alias("rx_list"),
                      F.concat(F.lit("(?i)"), F.concat_ws(
                          "|", F.transform("patterns", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))))
                      ).alias("rx"))
+    index = materialize(rule_index(rules))
     lines = explode_lines(_within(files, max_chars))
-    cond = ((F.coalesce(F.size("languages"), F.lit(0)) <= 0) | F.col("language").isNull()
+    fits = ((F.coalesce(F.size("languages"), F.lit(0)) <= 0) | F.col("language").isNull()
             | F.array_contains("languages", F.col("language"))) & F.expr("line rlike rx")
-    # Each broadcast side holds at most MAX_BROADCAST_RULES rules: a larger
-    # table is evaluated in bounded chunks (one pass over the lines each),
-    # never as a shuffled cartesian product.
-    n = rules.count()
-    k = max(1, -(-n // MAX_BROADCAST_RULES))
-    part = F.pmod(F.xxhash64("rule_id", "rule_ord"), F.lit(k))  # any ordinal, null too
-    chunks = [r] if k == 1 else [r.where(part == i) for i in range(k)]
-    hits = reduce(lambda a, b: a.unionByName(b), [lines.join(F.broadcast(c), cond) for c in chunks])
-    out = hits.select("repo", "rule_id", "description", "severity", "category", "algorithm",
-                      "replacement", "effort", F.col("path").alias("file"),
-                      F.col("line_no").alias("line"), match_column().alias("column"),
-                      snippet(F.col("line")).alias("snippet"),
-                      F.lit("regex").alias("detection_method"),
-                      regex_confidence(F.col("line"), F.col("language"), F.col("severity"))
-                      .alias("confidence"),
-                      F.lit(C.PHASE_REGEX).alias("phase"), "rule_ord")
+    n_keys, n_plain = (index.where(F.col("gram").isNotNull()).count(), index.where(F.col("gram").isNull()).count())
+    hits = []
+    if n_keys:
+        k = -(-n_keys // MAX_BROADCAST_KEYS)
+        hits.append(_candidates(lines, index.where(F.col("gram").isNotNull()), k).join(r, "rule_no").where(fits))
+    if n_plain or not n_keys:
+        # Each broadcast side holds at most MAX_BROADCAST_RULES rules: more are
+        # tested in bounded chunks (one pass over the lines each), never as a
+        # shuffled cartesian product.
+        plain = r.join(index.where(F.col("gram").isNull()).select("rule_no"), "rule_no", "left_semi")
+        k = max(1, -(-n_plain // MAX_BROADCAST_RULES))
+        part = F.pmod(F.xxhash64("rule_no"), F.lit(k))
+        hits += [lines.join(F.broadcast(plain if k == 1 else plain.where(part == i)), fits) for i in range(k)]
+    hit = reduce(DataFrame.unionByName, [h.select("repo", "path", "line_no", "line", "language", *(c for c in r.columns if c not in ("languages", "rx"))) for h in hits])
+    out = hit.select("repo", "rule_id", "description", "severity", "category", "algorithm",
+                     "replacement", "effort", F.col("path").alias("file"),
+                     F.col("line_no").alias("line"), match_column().alias("column"),
+                     snippet(F.col("line")).alias("snippet"),
+                     F.lit("regex").alias("detection_method"),
+                     regex_confidence(F.col("line"), F.col("language"), F.col("severity"))
+                     .alias("confidence"),
+                     F.lit(C.PHASE_REGEX).alias("phase"), "rule_ord")
     return _same_line_dedupe(out)
 
 
 def regex_findings_for(files: DataFrame, rules: DataFrame | list[dict] | None = None,
                        max_chars: int | None = None) -> DataFrame:
     """Pick the plan: catalogue/list → compiled; DataFrame → compiled when its
-    row count is within MAX_COMPILED_RULES (a dimension, checked), else join."""
+    row count is within MAX_COMPILED_RULES (a dimension, checked) and its
+    ordinals are unique, else indexed.  The rows and their ordinals, which are
+    the table's own, are the same in either form."""
     if rules is None or isinstance(rules, list):
         return regex_findings(files, rules, max_chars=max_chars)
     n = rules.limit(MAX_COMPILED_RULES + 1).count()
     if n <= MAX_COMPILED_RULES:
-        rows = [dict(id=x["rule_id"], description=x["description"], severity=x["severity"],
+        rows = [dict(id=x["rule_id"], rule_ord=x["rule_ord"], description=x["description"], severity=x["severity"],
                      category=x["category"], algorithm=x["algorithm"],
                      replacement=x["replacement"], effort=x["effort"],
                      languages=x["languages"] or [], patterns=x["patterns"] or [])
                 for x in checked_rules(rules).orderBy("rule_ord").collect()]
-        return regex_findings(files, rows, max_chars=max_chars)
+        if len({x["rule_ord"] for x in rows}) == len(rows):
+            return regex_findings(files, rows, max_chars=max_chars)
     return regex_findings_join(files, rules, max_chars)

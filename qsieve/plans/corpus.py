@@ -495,3 +495,26 @@ USER_RULES = [
          algorithm="SHA-2", replacement=None, effort="trivial", languages=[],
          patterns=[r"sha-?(256|384|512)"]),
 ]
+
+
+# ------------------------------------------------------- large rule table
+
+#: Patterns of a rule over two words of a document.
+RULE_FORMS = ["{0}\\s+{1}", "(?:{0}|{1})[.,;]", "{0}[a-z]*\\W+{1}", "(?:{0})+ .*{1}"]
+RULES_PER_DOCUMENT = 3
+
+
+def document_rules(spark, sf_dir):
+    """A user rule table that grows with the corpus: for each document up to
+    three rules, each over two neighbouring words of its text, in four forms."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+").alias("w"))
+    pairs = docs.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(RULES_PER_DOCUMENT - 1))).alias("i")).select(
+        "doc_id", "i", F.get("w", F.col("i") * 5 + 2).alias("a"), F.get("w", F.col("i") * 5 + 3).alias("b"))
+    plain = "^[A-Za-z]{3,20}$"
+    form = F.element_at(F.array(*[F.lit(x) for x in RULE_FORMS]), ((F.col("doc_id") + F.col("i")) % len(RULE_FORMS) + 1).cast("int"))
+    pattern = F.replace(F.replace(form, F.lit("{0}"), F.col("a")), F.lit("{1}"), F.col("b"))
+    text = lambda v: F.lit(v)
+    return pairs.where(F.col("a").rlike(plain) & F.col("b").rlike(plain)).select(
+        (F.col("doc_id") * 100 + F.col("i")).cast("int").alias("rule_ord"), F.concat(F.lit("DOC_"), F.upper("a")).alias("rule_id"), F.concat(F.lit("Words of document "), F.col("doc_id")).alias("description"),
+        text("low").alias("severity"), text("hash").alias("category"), F.col("a").alias("algorithm"), F.lit(None).cast("string").alias("replacement"),
+        text("trivial").alias("effort"), F.array().cast("array<string>").alias("languages"), F.array(pattern).alias("patterns"))

@@ -441,6 +441,15 @@ def q_user_rules_join(spark, sf_dir):
     return _bigint(regex_findings_join(text, rules).select(*FINDING_OUT), ["line", "column", "phase"])
 
 
+@register("user_rules_indexed")  # lines x rules takes minutes in SQL: tests/test_user_rules.py has the brute-force version
+def q_user_rules_indexed(spark, sf_dir):
+    """E1 + J1, indexed form: a user rule table of thousands of rules, drawn
+    from the documents, through the inverted index of required literals."""
+    text = readable(discovered_files(spark, sf_dir))
+    found = regex_findings_join(text, CP.document_rules(spark, sf_dir))
+    return _bigint(found.select("repo", "rule_id", "algorithm", "file", "line", "column", "snippet", "confidence", "rule_ord"), ["line", "column", "rule_ord"])
+
+
 # ------------------------------------------------------------- full scan
 
 _FULL = [_FILES, _DISC, _READ, _RAW_REGEX, _RAW_USAGE, _MFILES, ("obs", O.observations_sql()),

@@ -23,13 +23,14 @@ RULE_SCHEMA = T.StructType([
 
 
 def rule_rows(rules: list[dict] | None = None) -> list[dict]:
-    """Validated rule dicts with an explicit `rule_ord` (1-based file order)."""
+    """Validated rule dicts with an explicit `rule_ord`: their own, or their
+    1-based place in the list."""
     rules = C.RULES if rules is None else rules
     out = []
     for i, r in enumerate(rules, start=1):
         if not r.get("id") or not r.get("patterns"):
             raise ValueError("Invalid rule: missing id or patterns")
-        out.append(dict(rule_ord=i, rule_id=r["id"], description=r.get("description"),
+        out.append(dict(rule_ord=i if r.get("rule_ord") is None else r["rule_ord"], rule_id=r["id"], description=r.get("description"),
                         severity=r.get("severity"), category=r.get("category"),
                         algorithm=r.get("algorithm"), replacement=r.get("replacement"),
                         effort=r.get("effort"), languages=list(r.get("languages") or []),
@@ -47,11 +48,15 @@ def rules_frame(spark: SparkSession, rules: list[dict] | None = None) -> DataFra
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Rows that make a user rule table invalid (must be empty)."""
-    return rules.where(F.col("rule_id").isNull() | (F.coalesce(F.size("patterns"), F.lit(0)) <= 0))
+    return rules.where(_bad())
+
+
+def _bad():
+    """No id, no pattern, or no place in the order of rules."""
+    return F.col("rule_id").isNull() | F.col("rule_ord").isNull() | (F.coalesce(F.size("patterns"), F.lit(0)) <= 0)
 
 
 def checked_rules(rules: DataFrame) -> DataFrame:
     """A user rule table whose invalid rows fail the job when it is read."""
-    bad = F.col("rule_id").isNull() | (F.coalesce(F.size("patterns"), F.lit(0)) <= 0)
-    return rules.withColumn("patterns", F.when(bad, F.raise_error(F.lit("Invalid rule: missing id or patterns")))
+    return rules.withColumn("patterns", F.when(_bad(), F.raise_error(F.lit("Invalid rule: missing id, order or patterns")))
                             .otherwise(F.col("patterns")))
