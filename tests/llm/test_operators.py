@@ -362,3 +362,25 @@ def test_token_counts(spark):
     assert counter.split and len(counter.whole) > 10000
     assert token_counts.count_tokens(frame(spark, [], empty=True), public_tokenizers.path("piece_bpe_32k.model"), "n").count() == 0
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def colliding():
+    """Two words of 2,048 letters whose polynomial hashes modulo 2**64 agree for any odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    return ["".join("ab"[x ^ k] for x in bits) for k in (0, 1)]
+
+
+def test_decontaminate_words_of_one_hash(spark):
+    """Words are compared by their bytes: a word whose hash is that of a benchmark word is no hit."""
+    import numpy as np
+    a, b = colliding()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    h = decontaminate.word_hashes(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert h[0] == h[1] and a != b
+    line = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"x {line} {a} y"), (2, f"x {line} {b} y"), (3, f"{b} {line}"), (4, a)]
+    for items in ([("i1", f"{line} {a}")], [("i1", f"{line} {a}"), ("i2", f"{b} {line}"), ("i3", b)], [("i1", f"{line} {b}"), ("i2", a)]):
+        for block in (1 << 20, 4000):
+            bench = spark.createDataFrame(items, "item_id string, text string")
+            got = decontaminate.matches(frame(spark, rows), bench, "hits", 13, block).select("doc_id", "hits.n_words", "hits.n_hit", "hits.items").collect()
+            same([(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in got], [(d, n, hit, k) for d, n, hit, k, *_ in brute.contamination(rows, items)])
