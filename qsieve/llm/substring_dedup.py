@@ -42,11 +42,28 @@ EDGE_BYTES = 5  # of an edge's hash that travel, besides its minimiser's 8
 GRAM = 3        # words of a minimiser
 LONGEST = 64    # windows of one super-k-mer row
 CELLS = 1 << 20  # places worked on at once
-PLACE = 1 << 32  # a place: 24 bits that tell rows of one doc_id apart, then the word number
+PLACE = 1 << 32  # a place: the tag that tells texts of one doc_id apart, then the word number
+TAGS = (1 << 31) - 1  # the largest tag
+SALTS = 64
 
 
-def _row_tag() -> F.Column:
-    return (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF)).cast("long")
+def _row_tag(salt: int = 0) -> F.Column:
+    return F.xxhash64(F.lit(salt), F.coalesce("text", F.lit(""))).bitwiseAND(TAGS).cast("long")
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): different texts of one doc_id have different tags.
+    Only doc_ids that occur again are looked at; a salt under which two of
+    their texts agree is passed over."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = kept(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    shared = not again.isEmpty()
+    for salt in range(SALTS):
+        out = docs.select("doc_id", _row_tag(salt).alias("tag"), "text")
+        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+        if not shared or out.join(again, "doc_id").groupBy("doc_id", "tag").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).filter("a <> b").isEmpty():
+            return out
+    raise ValueError(f"some doc_id has more different texts than {SALTS} ways of tagging can tell apart")
 
 
 def super_kmers(k: int):
@@ -182,7 +199,7 @@ def _digests(k: int):
 
 def _by_document(asks: DataFrame, name: str) -> DataFrame:
     """(doc_id, at, n) as one row per document: bounded by its length."""
-    return (asks.select("doc_id", F.floor(F.col("at") / PLACE).cast("long").alias("tag"), F.struct(F.pmod("at", F.lit(PLACE)).cast("int").alias("start"), "n").alias("ask"))
+    return (asks.select("doc_id", F.shiftright("at", 32).alias("tag"), F.struct(F.pmod("at", F.lit(PLACE)).cast("int").alias("start"), "n").alias("ask"))
             .groupBy("doc_id", "tag").agg(F.collect_list("ask").alias(name)))
 
 
@@ -222,7 +239,10 @@ def _cut(k: int):
 def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
     """Verified repeated paths: (doc_id, at, n windows, src_doc, src_at), where
     at = row tag * 2**32 + word number."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_tag().alias("tag"), "text")
+    return _paths(tagged(docs), k)
+
+
+def _paths(docs: DataFrame, k: int) -> DataFrame:
     rows = (docs.filter("doc_id IS NOT NULL").mapInArrow(super_kmers(k), "mini long, places binary, edges binary")
             .repartition("mini").sortWithinPartitions("mini", "places"))
     paths = kept(compact(rows.mapInArrow(repeats, "doc_id long, at long, n int, src_doc long, src_at long")))
@@ -237,7 +257,7 @@ def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
 def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256
     and kept_text (the words that stay, joined by one space)."""
-    cuts = _by_document(repeated_paths(docs, k).select("doc_id", "at", "n"), "cuts")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_tag().alias("tag"), "text")
+    docs = tagged(docs)
+    cuts = _by_document(_paths(docs, k).select("doc_id", "at", "n"), "cuts")
     return docs.join(cuts, ["doc_id", "tag"], "left").select("doc_id", "text", "cuts").mapInArrow(
         _cut(k), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

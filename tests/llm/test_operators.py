@@ -384,3 +384,15 @@ def test_decontaminate_words_of_one_hash(spark):
             bench = spark.createDataFrame(items, "item_id string, text string")
             got = decontaminate.matches(frame(spark, rows), bench, "hits", 13, block).select("doc_id", "hits.n_words", "hits.n_hit", "hits.items").collect()
             same([(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in got], [(d, n, hit, k) for d, n, hit, k, *_ in brute.contamination(rows, items)])
+
+
+def test_substring_texts_of_one_id(spark, monkeypatch):
+    """Texts of one doc_id whose tags agree under a salt are told apart under another."""
+    rows = [(1, "a b c"), *odd_rows(), (9, "short text"), (9, odd_rows()[9][1] + " tail of nine"), (9, None)]
+    monkeypatch.setattr(substring_dedup, "TAGS", 0xF)
+    tags = substring_dedup.tagged(frame(spark, rows)).filter("doc_id = 9").select("tag", "text").distinct().collect()
+    assert len({r.tag for r in tags}) == len(tags) == 5
+    same(substring_dedup.substring_dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.substring_dedup(rows))
+    monkeypatch.setattr(substring_dedup, "TAGS", 0)
+    with pytest.raises(ValueError, match="more different texts"):
+        substring_dedup.tagged(frame(spark, rows))
