@@ -5,13 +5,14 @@ depends on the finding's algorithm only, so the fold decomposes into joins:
 
 1. distinct (sbom, algorithm) with first appearance in finding order
    (partial aggregate);
-2. ⋈ components on the SBOM id with the theta residual (J14: purl test J16,
-   or name contains / is contained in the algorithm; J15: purl only) →
-   first component per algorithm = min(doc_ord, pos);
+2. ⋈ components on the SBOM id and three characters (an inverted index), then
+   the exact test (J14: purl test J16, or name contains / is contained in the
+   algorithm; J15: purl only) → first component per algorithm =
+   min(doc_ord, pos);
 3. algorithms without a component become new components.  CycloneDX: a
    new component is a later match target (name = its algorithm), so the
-   distinct unmatched algorithms of one SBOM — bounded by the catalogue —
-   are folded greedily into leaders (J17); SPDX: one new package per finding.
+   distinct unmatched algorithms of one SBOM get leaders (J17) by rounds of
+   joins; SPDX: one new package per finding.
 4. A18: properties / annotations are emitted one row per (finding, item),
    with the finding's order key, instead of being collected into one array
    per component — a component matched by millions of findings stays a
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.scalars import js_number, severity_rank
+from ..session import materialize
+from .order import running
 
 KEY = ["doc_ord", "pos"]  # document order of a component; of a new one (null, leader index)
 # Purls that mean an algorithm beyond containing its name: (part of the algorithm, part of the purl).
@@ -41,36 +44,48 @@ def finding_order(findings: DataFrame) -> DataFrame:
                                                F.col("file"), fp.alias("fp"), F.col("rule_id")))
 
 
-def purl_matches(purl: Column, algorithm: Column) -> Column:
-    """The purl contains the algorithm, or a pair of PURL_RULES holds."""
-    p, a = F.lower(purl), F.lower(algorithm)
-    return reduce(lambda x, y: x | y, [p.contains(a)] + [a.contains(i) & p.contains(o) for i, o in PURL_RULES])
+def _grams(text: Column, q: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
-def _cdx_match(name: Column, purl: Column, algorithm: Column) -> Column:
-    n, a = F.lower(name), F.lower(algorithm)
-    has_purl = purl.isNotNull() & (purl != "")
-    return (has_purl & purl_matches(purl, algorithm)) | n.contains(a) | a.contains(n)
+def containing(hay: DataFrame, needles: DataFrame, key: str = "sbom_id") -> DataFrame:
+    """hay(key, hay, …) with needles(key, needle, …): the pairs of one key whose
+    hay contains the needle, case aside.
 
+    An inverted index: a hay stands under each of its runs of one, two and three
+    characters (and the empty one), a needle under its first three (or all it
+    has); they meet in an equi-join, and the pairs that meet are compared."""
+    h = hay.where("hay IS NOT NULL").withColumn("low_hay", F.lower("hay"))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *(_grams(F.col("low_hay"), q) for q in (1, 2, 3))))
+    n = needles.where("needle IS NOT NULL").withColumn("low_needle", F.lower("needle")).withColumn("gram", F.substring("low_needle", 1, 3))
+    return h.withColumn("gram", F.explode(grams)).join(n, [key, "gram"]).where(F.col("low_hay").contains(F.col("low_needle"))).drop("gram", "low_hay", "low_needle")
 
-def _targets(findings: DataFrame, comps: DataFrame, match) -> DataFrame:
-    """(sbom_id, algorithm, first_ord, comp|null) for each distinct algorithm.
 
-    Components are first reduced to their distinct (name, purl), each with its
-    smallest (doc_ord, pos): partial aggregation shrinks an SBOM with many
-    equal components before the theta join; the rest is spread by salts, as
-    many as shuffle partitions, and the catalogue-bounded algorithms are
-    replicated per salt.  The minimum aggregates partially again."""
+def _targets(findings: DataFrame, comps: DataFrame, by_name: bool) -> DataFrame:
+    """(sbom_id, algorithm, first_ord, comp|null) for each distinct algorithm;
+    comp: the first component whose purl holds the algorithm (J16) or, by_name,
+    whose name holds it or is held by it (J14).
+
+    Components are first reduced to their distinct names and purls, each with
+    its smallest (doc_ord, pos); a rule of PURL_RULES has one such component
+    per SBOM.  Substring matches come from an inverted index, and the minimum
+    aggregates partially."""
     algos = (findings.groupBy(F.col("repo").alias("sbom_id"), "algorithm")
              .agg(F.min("ord").alias("first_ord")))
-    salts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c = (comps.groupBy("sbom_id", F.col("name").alias("c_name"), F.col("purl").alias("c_purl"))
-         .agg(F.min(F.struct(*KEY)).alias("comp"))
-         .withColumn("salt", F.pmod(F.xxhash64("c_name", "c_purl"), F.lit(salts))))
-    a = algos.select("sbom_id", "algorithm", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    hit = (a.join(c, ["sbom_id", "salt"]).where(match(F.col("c_name"), F.col("c_purl"), F.col("algorithm")))
-           .groupBy("sbom_id", "algorithm").agg(F.min("comp").alias("comp")))
-    return algos.join(hit, ["sbom_id", "algorithm"], "left")
+    first = F.min(F.struct(*KEY)).alias("comp")
+    names = comps.groupBy("sbom_id", F.col("name").alias("text")).agg(first)
+    purls = comps.where(F.col("purl") != "").groupBy("sbom_id", F.col("purl").alias("text")).agg(first)
+    sought = algos.select("sbom_id", "algorithm")
+    needle = sought.withColumn("needle", F.col("algorithm"))
+    hits = [containing(purls.withColumnRenamed("text", "hay"), needle)]
+    rule = lambda c, part: F.filter(F.array(*(F.when(F.lower(c).contains(r[part]), F.lit(i)) for i, r in enumerate(PURL_RULES))), lambda x: x.isNotNull())
+    per_rule = purls.select("sbom_id", F.explode(rule("text", 1)).alias("rule"), "comp").groupBy("sbom_id", "rule").agg(F.min("comp").alias("comp"))
+    hits.append(sought.withColumn("rule", F.explode(rule("algorithm", 0))).join(per_rule, ["sbom_id", "rule"]))
+    if by_name:
+        hits.append(containing(names.withColumnRenamed("text", "hay"), needle))
+        hits.append(containing(sought.withColumn("hay", F.col("algorithm")), names.withColumnRenamed("text", "needle")))
+    hit = reduce(DataFrame.unionByName, [x.select("sbom_id", "algorithm", "comp") for x in hits])
+    return algos.join(hit.groupBy("sbom_id", "algorithm").agg(F.min("comp").alias("comp")), ["sbom_id", "algorithm"], "left")
 
 
 def _attach(findings: DataFrame, targets: DataFrame) -> DataFrame:
@@ -82,31 +97,39 @@ def _attach(findings: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _leaders(targets: DataFrame) -> DataFrame:
-    """J17 for CycloneDX: greedy leaders over the SBOM's unmatched algorithms
-    in first-appearance order; every unmatched algorithm → its first leader."""
-    un = targets.where(F.col("comp").isNull())
-    per = (un.groupBy("sbom_id")
-           .agg(F.array_sort(F.collect_list(F.struct("first_ord", "algorithm"))).alias("seq")))
-    related = lambda l, x: F.lower(l).contains(F.lower(x)) | F.lower(x).contains(F.lower(l))
-    leaders = F.aggregate(F.transform("seq", lambda s: s["algorithm"]),
-                          F.array().cast("array<string>"),
-                          lambda acc, x: F.when(F.exists(acc, lambda l: related(l, x)), acc)
-                          .otherwise(F.array_append(acc, x)))
-    per = per.select("sbom_id", leaders.alias("leaders"), "seq")
-    return (per.select("sbom_id", "leaders", F.explode("seq").alias("s"))
-            .select("sbom_id", F.col("s.algorithm").alias("algorithm"),
-                    F.array_position(F.col("leaders"), F.try_element_at(
-                        F.filter("leaders", lambda l: related(l, F.col("s.algorithm"))), F.lit(1)))
-                    .alias("leader_idx"),
-                    F.try_element_at(F.filter("leaders", lambda l: related(l, F.col("s.algorithm"))),
-                                     F.lit(1)).alias("leader")))
+    """J17 for CycloneDX: (sbom_id, algorithm, leader_idx) of every unmatched
+    algorithm.  In order of first appearance an algorithm leads unless an
+    earlier leader holds it or is held by it; the others follow the first such
+    leader.
+
+    That is the lexicographically first maximal independent set of the graph
+    of substring pairs.  Each round, algorithms without an earlier open
+    neighbour lead and their later neighbours follow; both leave the graph."""
+    node = ["sbom_id", "algorithm"]
+    open_ = every = materialize(targets.where(F.col("comp").isNull()).select(*node, F.struct("first_ord", "algorithm").alias("o")))
+    pairs = containing(every.withColumnsRenamed({"algorithm": "hay", "o": "o_hay"}), every.withColumnsRenamed({"algorithm": "needle", "o": "o_needle"})).where("hay <> needle")
+    swap = F.col("o_hay") < F.col("o_needle")
+    edges = materialize(pairs.select("sbom_id", F.when(swap, F.col("hay")).otherwise(F.col("needle")).alias("early"), F.when(swap, F.col("needle")).otherwise(F.col("hay")).alias("algorithm")).distinct())
+    leaders, left = [], edges
+    while not open_.isEmpty():
+        lead = materialize(open_.join(left, node, "left_anti"))
+        leaders.append(lead)
+        follow = left.join(lead.select("sbom_id", F.col("algorithm").alias("early")), ["sbom_id", "early"], "left_semi").select(*node)
+        open_ = materialize(open_.join(lead, node, "left_anti").join(follow, node, "left_anti"))
+        still = open_.select(*node)
+        left = materialize(left.join(still, node, "left_semi").join(still.withColumnRenamed("algorithm", "early"), ["sbom_id", "early"], "left_semi"))
+    lead = reduce(DataFrame.unionByName, leaders) if leaders else every
+    placed = running(lead, "sbom_id", ["o"], {"n": F.lit(1)}).select("sbom_id", F.col("algorithm").alias("early"), (F.col("n") + 1).alias("idx"))
+    own = placed.select("sbom_id", F.col("early").alias("algorithm"), "idx")
+    both = own.unionByName(edges.join(placed, ["sbom_id", "early"]).select("sbom_id", "algorithm", "idx"))
+    return both.groupBy(*node).agg(F.min("idx").cast("int").alias("leader_idx"))
 
 
 def assign_cyclonedx(components: DataFrame, findings: DataFrame) -> DataFrame:
     """Each finding with its target component: `is_new` false and (doc_ord,
     pos) of an original component, or `is_new` and (null, leader index)."""
     f = finding_order(findings)
-    t = _targets(f, components.where(F.col("format") == "cyclonedx"), _cdx_match)
+    t = materialize(_targets(f, components.where(F.col("format") == "cyclonedx"), by_name=True))
     t = (t.join(_leaders(t), ["sbom_id", "algorithm"], "left")
          .select("sbom_id", "algorithm", F.col("comp").isNull().alias("is_new"), F.col("comp.doc_ord").alias("doc_ord"),
                  F.coalesce("comp.pos", F.col("leader_idx").cast("long")).alias("pos")))
@@ -192,16 +215,12 @@ def cyclonedx_properties(components: DataFrame, findings: DataFrame) -> DataFram
             .select("sbom_id", "is_new", *KEY, "file", "rule_id", "prop_idx", "p.name", "p.value"))
 
 
-def _spdx_match(name: Column, purl: Column, algorithm: Column) -> Column:
-    return purl.isNotNull() & purl_matches(purl, algorithm)
-
-
 def enrich_spdx(components: DataFrame, findings: DataFrame) -> DataFrame:
     """K7: SPDX packages — originals with the number of annotations added,
     plus one new package per unmatched finding (id from rule and file)."""
     spdx = components.where(F.col("format") == "spdx")
     f = finding_order(findings)
-    a = _attach(f, _targets(f, spdx, _spdx_match))
+    a = _attach(f, _targets(f, spdx, by_name=False))
     per = a.where(F.col("comp").isNotNull()).groupBy("sbom_id", "comp.doc_ord", "comp.pos") \
         .agg(F.count(F.lit(1)).cast("long").alias("n_annotations"))
     orig = (spdx.join(per, ["sbom_id"] + KEY, "left")
@@ -227,7 +246,7 @@ def spdx_annotations(components: DataFrame, findings: DataFrame) -> DataFrame:
     """A18 for SPDX as rows: one annotation line per matched finding."""
     spdx = components.where(F.col("format") == "spdx")
     f = finding_order(findings)
-    a = _attach(f, _targets(f, spdx, _spdx_match).where(F.col("comp").isNotNull()))
+    a = _attach(f, _targets(f, spdx, by_name=False).where(F.col("comp").isNotNull()))
     text = F.concat(F.lit(C.ANNOTATION_TAG), F.col("severity"), F.lit(": "), F.col("algorithm"),
                     F.lit(" — "), F.col("description"), F.lit(". Replace with: "),
                     F.coalesce("replacement", F.lit("N/A")))
