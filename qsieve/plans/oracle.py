@@ -911,3 +911,18 @@ def violations_ordered_sql() -> str:
                                              "SELECT f.* EXCLUDE (description), f.description AS description, p.id AS policy_id, coalesce(p.description, p.id) AS policy_description, p.action", 1)
     rows = rows.replace("f.rule_id, f.severity,\n       f.category, f.algorithm, f.file, f.line, f.confidence, p.policy_ord", "p.policy_ord", 1)
     return f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY position, policy_ord) AS place FROM ({rows})"
+
+
+def sbom_component_members_sql(findings: str, comps: str) -> str:
+    """The members of the enriched components, from the findings and the planted documents."""
+    first = ", ".join(f"arg_min({c}, frank) AS c_{c}" for c in ("algorithm", "category", "description", "file", "line", "snippet"))
+    return f"""
+WITH {_cdx_assign(findings, comps)},
+per AS (SELECT repo AS sbom_id, target AS comp_ord, count(*) AS n, arg_max(algorithm, frank) AS last_algorithm, {first} FROM fa GROUP BY repo, target)
+SELECT c.sbom_id, c.comp_ord AS doc_ord, CAST(0 AS BIGINT) AS pos, 'original' AS origin, c.type, c.name, c.version, c.purl, CASE WHEN p.n IS NOT NULL THEN 'algorithm' END AS asset_type,
+       p.last_algorithm AS variant, NULL AS description, NULL AS location, NULL AS line, NULL AS context
+FROM cdx c LEFT JOIN per p ON c.sbom_id = p.sbom_id AND c.comp_ord = p.comp_ord
+UNION ALL
+SELECT sbom_id, NULL, -comp_ord, 'new', 'crypto-asset', c_algorithm, NULL, NULL, CASE WHEN n = 1 AND c_category = 'protocol' THEN 'protocol' ELSE 'algorithm' END,
+       last_algorithm, c_description, c_file, CAST(c_line AS VARCHAR), c_snippet
+FROM per WHERE comp_ord < 0"""

@@ -259,6 +259,16 @@ def q_sbom_cyclonedx(spark, sf_dir):
     return EN.enrich_cyclonedx(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir)).drop("component")
 
 
+@register("sbom_component_members", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_component_members_sql("deduped", "comps") + ")"))
+def q_sbom_component_members(spark, sf_dir):
+    """K6: the members of every enriched component's JSON: the original's own,
+    cryptoProperties, and a new component's evidence."""
+    comp = EN.enrich_cyclonedx(sbom_components(spark, sf_dir), shared_findings(spark, sf_dir))
+    member = {"type": "$.type", "name": "$.name", "version": "$.version", "purl": "$.purl", "asset_type": "$.cryptoProperties.assetType", "variant": "$.cryptoProperties.algorithmProperties.variant",
+              "description": "$.description", "location": "$.evidence.occurrences[0].location", "line": "$.evidence.occurrences[0].line", "context": "$.evidence.occurrences[0].additionalContext"}
+    return comp.select("sbom_id", *EN.KEY, "origin", *(F.get_json_object("component", path).alias(c) for c, path in member.items()))
+
+
 @register("sbom_spdx", O.with_ctes(_CODE_FOUND + [_COMPS], "SELECT * FROM (" + O.sbom_spdx_sql("deduped", "comps") + ")"))
 def q_sbom_spdx(spark, sf_dir):
     """J15/J16 + A18 + K7: annotated SPDX packages plus one new package per
