@@ -51,7 +51,7 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def _same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether a and b hold the same bytes, for runs of the given sizes."""
     out = np.ones(len(size), bool)
-    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) >> 22)) + 1):
+    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) >> 18)) + 1):
         g, p = spread(size[part])
         g = part[g]
         out[g[a[a_start[g] + p] != b[b_start[g] + p]]] = False
