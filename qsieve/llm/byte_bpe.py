@@ -49,12 +49,15 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, BATCH)
 
 
-def _encode(path: str, pattern: str, column: str):
+def _encode(path: str, pattern: str, column: str, decoded: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path, pattern).encode_ordinary
+        code, raw = coder(path, pattern).encode_ordinary, coder(path, pattern).decode_bytes
         for batch in _portions(batches):
-            ids = pa.array([code(t) if t else [] for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, column])
+            ids = [code(t) if t else [] for t in batch["text"].to_pylist()]
+            new = {column: pa.array(ids, pa.list_(pa.int32()))}
+            if decoded:
+                new[decoded] = pa.array([raw(x) if x else b"" for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], [*batch.schema.names, *new])
 
     return run
 
@@ -99,18 +102,22 @@ def stitched(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
             .select("row", "no", "base", F.expr("substring(text, base + 1, coalesce(till, length(text)) - base)").alias("piece")))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with the token ids of `text` as array<int> `column`."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> DataFrame:
+    """docs with the token ids of `text` as array<int> `column`; if named, the
+    bytes that these ids decode to follow as binary `decoded`, for texts of up
+    to `chunk` characters from the worker that encoded them."""
+    fields = [*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, T.StructField(decoded, T.BinaryType())] if decoded else fields)
     long_text = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = docs.filter(~long_text).mapInArrow(_encode(path, pattern, column), schema)
+    short = docs.filter(~long_text).mapInArrow(_encode(path, pattern, column, decoded), schema)
     row = fresh("row", docs)
     rows = kept(docs.filter(long_text).withColumn(row, F.monotonically_increasing_id()))
     pieces = stitched(rows.select(F.col(row).alias("row"), "text"), pattern, chunk, overlap)
     ids = (pieces.repartition("row", "no").select("row", "no", F.col("piece").alias("text"))
            .mapInArrow(_encode(path, pattern, "ids"), "row long, no int, text string, ids array<int>"))
     whole = ids.groupBy(F.col("row").alias(row)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias(column))
-    return short.unionByName(rows.join(whole, row).select(*docs.columns, column))
+    joined = rows.join(whole, row).select(*docs.columns, column)
+    return short.unionByName(decode(joined, path, pattern, column, decoded) if decoded else joined)
 
 
 def _decode(path: str, pattern: str, ids: str, column: str):

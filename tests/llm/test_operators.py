@@ -85,6 +85,9 @@ def test_byte_bpe(spark, chunk, overlap):
     docs = frame(spark, rows).withColumnRenamed("ids", "given")
     coded = byte_bpe.decode(byte_bpe.encode(docs, PATH, PATTERN, "ids", chunk, overlap), PATH, PATTERN)
     same([(r.doc_id, r.ids, bytes(r.decoded)) for r in coded.collect()], [(d, coder.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows])
+    both = byte_bpe.encode(docs, PATH, PATTERN, "ids", chunk, overlap, "decoded")
+    assert both.schema == coded.schema
+    same([(r.doc_id, r.ids, bytes(r.decoded)) for r in both.collect()], [(r.doc_id, r.ids, bytes(r.decoded)) for r in coded.collect()])
     assert byte_bpe.encode(frame(spark, [], empty=True), PATH, PATTERN, "out").count() == 0
 
 
