@@ -50,7 +50,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids (`ids`), their number, and the text they decode to (`decoded`)."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids, raw = fresh("ids", docs), fresh("decoded", docs)
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern, ids), path, pattern, ids, raw)
+    coded = byte_bpe.encode(docs, path, pattern, ids, decoded=raw)
     return coded.select(*docs.columns, F.size(ids).cast("long").alias(fresh("n_tokens", docs)), ids, F.decode(raw, "UTF-8").alias(raw))
 
 
