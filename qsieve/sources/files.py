@@ -7,11 +7,16 @@ filters reach the parquet scan when `repo`/`path` are plain columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.scalars import file_extension, is_binary, language
+from ..session import materialize
+
+FILES_A_TASK = 8192  # files that one task of read_tree opens
 
 
 def _alt(items: list[str]) -> str:
@@ -102,20 +107,38 @@ def write_files_table(files: DataFrame, path: str, mode: str = "overwrite") -> N
     files.withColumn("lang_part", lang).write.mode(mode).partitionBy("lang_part").parquet(path)
 
 
-def _walker(root: str):
-    """A `mapInArrow` function: top-level entries (rel) → all files below them."""
-    def walk(batches):
+def _lister(root: str, most_rows: int = 1 << 16):
+    """A `mapInArrow` function: folders (rel) → their direct entries (rel,
+    is_folder), in batches of bounded size."""
+    def entries(batches):
         import pyarrow as pa
         from pyarrow import fs as pfs
         files, base = pfs.FileSystem.from_uri(root)
         base = base.rstrip("/")
         for batch in batches:
-            for entry in batch.column(0).to_pylist():
-                info = files.get_file_info(f"{base}/{entry}")
-                found = [info] if info.is_file else files.get_file_info(pfs.FileSelector(info.path, recursive=True))
-                rels = [f.path[len(base) + 1:] for f in found if f.is_file]
-                yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string())], ["rel"])
-    return walk
+            for folder in batch.column(0).to_pylist():
+                found = files.get_file_info(pfs.FileSelector(f"{base}/{folder}".rstrip("/") or "/"))
+                for i in range(0, len(found), most_rows):
+                    some = [f for f in found[i:i + most_rows] if f.is_file or f.type == pfs.FileType.Directory]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path[len(base) + 1:] for f in some], pa.string()),
+                                                      pa.array([not f.is_file for f in some], pa.bool_())], ["rel", "is_folder"])
+    return entries
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The paths (rel) of all files below `root`, level by level: the folders
+    of each level are dealt out by hash to all tasks again, however the tree
+    branches, so one top-level folder with most of the tree is listed by many
+    tasks.  Each level is checkpointed; the driver learns only whether folders
+    are left.  A job per level; the direct entries of one folder are one
+    listing call of one task.  A folder that cannot be listed fails the job."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    folders, levels = spark.createDataFrame([("",)], "rel string"), []
+    while not levels or not folders.isEmpty():
+        level = materialize(folders.repartition(tasks, "rel").mapInArrow(_lister(root), "rel string, is_folder boolean"))
+        levels.append(level.where("not is_folder").select("rel"))
+        folders = level.where("is_folder").select("rel")
+    return reduce(DataFrame.unionAll, levels)
 
 
 def _reader(root: str, most_bytes: int = 32 << 20):
@@ -158,15 +181,12 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
 
     Spark's file sources skip names that start with `_` or `.`, which are
     ordinary in source trees (`__init__.py`, `_app.tsx`, `.ssh/config`), so
-    tasks list the trees below the first level, and the paths, hashed so that
-    a repository with a large share of all files is spread, are read by tasks."""
-    from pyarrow import fs as pfs
-    files, base = pfs.FileSystem.from_uri(root)
-    top = [(f.base_name,) for f in files.get_file_info(pfs.FileSelector(base))]
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    listed = (spark.createDataFrame(top, "rel string").repartition(max(1, min(len(top), tasks)))
-              .mapInArrow(_walker(root), "rel string"))
-    raw = listed.repartition(F.col("rel")).mapInArrow(_reader(root), "rel string, content string")
+    tasks list the tree (`list_tree`, when this is called), and the paths,
+    hashed so that a repository with a large share of all files is spread, are
+    read by tasks of at most about FILES_A_TASK files."""
+    listed = list_tree(spark, root)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-listed.count() // FILES_A_TASK))
+    raw = listed.repartition(tasks, "rel").mapInArrow(_reader(root), "rel string, content string")
     if repo is None:
         return raw.select(F.substring_index("rel", "/", 1).alias("repo"),
                           F.expr("substring(rel, length(substring_index(rel, '/', 1)) + 2)").alias("path"),
@@ -174,5 +194,5 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
     return raw.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "content")
 
 
-__all__ = ["ensure_parallelism", "write_files_table", "discover", "with_file_meta", "readable", "read_tree", "default_include",
+__all__ = ["ensure_parallelism", "write_files_table", "discover", "with_file_meta", "readable", "list_tree", "read_tree", "default_include",
            "default_exclude", "file_extension", "language", "is_binary"]

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from qsieve.sources.files import read_tree
+from qsieve.sources.files import list_tree, read_tree, readable
 from qsieve.sources.policies import invalid_policies, policy_rows
 from qsieve.sources.rules import rule_rows, rules_frame, validate_rules
 
@@ -25,6 +25,34 @@ def test_read_tree(spark, tmp_path, form):
     assert one == set(names)
 
 
+def test_list_tree_deals_out_each_level(spark, tmp_path):
+    """One top-level folder: its subfolders are listed by several tasks; an
+    empty folder has no rows, a deep path is found, and so are odd names."""
+    want = {f"one/d{i}/f{j}.c" for i in range(40) for j in range(3)} | {"one/" + "x/" * 9 + "deep.py", "top.c", "one/d0/ü [a] 'b'.c"}
+    for name in want:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "one" / "empty").mkdir()
+    listed = list_tree(spark, str(tmp_path))
+    assert sorted(r.rel for r in listed.collect()) == sorted(want)
+    by = listed.where("rel LIKE 'one/d%'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(by) > 4 and max(r["count"] for r in by) < len(want) / 2
+    assert {r.path: r.content for r in read_tree(spark, str(tmp_path), repo="r").collect()} == {n: n for n in want}
+    (tmp_path / "none").mkdir()
+    assert list_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_read_tree_unreadable(spark, tmp_path):
+    """A listed file that cannot be opened has a null content and yields no findings."""
+    for name in ("r/a.ts", "r/b.ts"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    files = read_tree(spark, str(tmp_path))
+    (tmp_path / "r/b.ts").unlink()
+    assert {r.path: r.content for r in files.collect()} == {"a.ts": "x", "b.ts": None}
+    assert [r.path for r in readable(files).collect()] == ["a.ts"]
+
+
 def test_rule_validation(spark):
     with pytest.raises(ValueError):
         rule_rows([dict(id="X", patterns=[])])
