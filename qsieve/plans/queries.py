@@ -28,8 +28,9 @@ from ..operators import documents as DOC
 from ..operators import order as OR
 from ..operators import reports as RP
 from ..operators.lines import regex_findings_join
-from ..session import materialize
-from ..sources.files import discover, readable, with_file_meta
+from ..session import materialize, shared_folder
+from ..sinks.tree import write_tree
+from ..sources.files import discover, read_tree, readable, with_file_meta
 from . import corpus as CP
 from . import oracle as O
 
@@ -87,6 +88,20 @@ def q_file_inventory(spark, sf_dir):
     return with_file_meta(discover(files)).select("repo", "path", "language", "is_binary", "n_chars")
 
 
+# a source may be null or no folder name: the tree's folders are its bytes in hex
+@register("tree_inventory", O.with_ctes([("files", f"{O.files_sql()} UNION ALL {O.inventory_files_sql()}"), _DISC], """
+SELECT 'r' || hex(coalesce(repo, '')) AS repo, path, language, is_binary, n_chars, sha256(content) AS content_sha256
+FROM discovered WHERE content IS NOT NULL"""))
+def q_tree_inventory(spark, sf_dir):
+    """The files of `file_inventory` written as a tree in the shared
+    folder, which is listed level by level and read back by tasks."""
+    files = CP.corpus_files(spark, sf_dir).unionByName(CP.inventory_files(spark, sf_dir))
+    root = shared_folder(spark, "tree")
+    write_tree(files.withColumn("repo", F.concat(F.lit("r"), F.hex(F.coalesce("repo", F.lit(""))))), root)
+    return with_file_meta(discover(read_tree(spark, root))).select(
+        "repo", "path", "language", "is_binary", "n_chars", F.sha2("content", 256).alias("content_sha256"))
+
+
 @register("regex_hits", O.with_ctes([_FILES, _DISC, _READ, _RAW_REGEX],
                                     _finding_out_sql("raw_regex")))
 def q_regex_hits(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI or path below the shared checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[len("file:"):]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage for a result that several outputs reuse: a reliable
     checkpoint into the shared checkpoint directory (survives executor loss)."""

@@ -53,6 +53,17 @@ def test_read_tree_unreadable(spark, tmp_path):
     assert [r.path for r in readable(files).collect()] == ["a.ts"]
 
 
+def test_write_tree_round_trip(spark, tmp_path):
+    from qsieve.sinks.tree import write_tree
+    rows = [("a", "x/é.ts", "one\r\n\u2028"), ("a", ".h/_y", ""), ("b", "z", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    assert write_tree(files, str(tmp_path)) == 2
+    assert sorted(tuple(r) for r in read_tree(spark, str(tmp_path)).collect()) == sorted(rows[:2])
+    assert write_tree(files.limit(0), str(tmp_path)) == 0
+    with pytest.raises(Exception, match="not a path below"):
+        write_tree(spark.createDataFrame([("a", "../up", "x")], files.schema), str(tmp_path))
+
+
 def test_rule_validation(spark):
     with pytest.raises(ValueError):
         rule_rows([dict(id="X", patterns=[])])
