@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .. import catalog as C
 from ..sources.rules import rule_rows
-from .lines import FINDING_COLS, snippet
+from .lines import FINDING_COLS, JS_TRIM, snippet
 
 USAGE_LANGUAGES = ["javascript", "typescript"]
 
@@ -43,10 +43,12 @@ OPTION_CALLS = sorted({(o, m) for o, m, *_ in C.OPTION_PATTERNS})
 # JVM test for files that can hold a site at all.
 HEAD_ANY = r"\b(?:import|require|" + "|".join(CALL_METHODS + sorted({o for o, _ in OPTION_CALLS})) + r")\b"
 
-JS_TRIM = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # what JS trims
 NAMES = sorted(set(CALL_METHODS) | {m for _, m in OPTION_CALLS} | {"require"})
 # an import's clause has at most eight elements: type, name, comma, *, as, name or {…}, from, source
 CLAUSE = 12
+# Of a stretch of plain words the tokens kept at its beginning and the words
+# kept at its end: no site rule looks over as many.
+KEPT_TOKENS, KEPT_WORDS = 40, 12
 
 TOKEN_SCHEMA = ("repo string, path string, tok array<string>, lit array<string>, quoted array<boolean>, noted array<boolean>, mate array<int>, up array<int>, "
                 "head array<int>, called array<boolean>, line array<int>, col array<int>, lines array<string>")
@@ -61,9 +63,17 @@ def _tokens():
     tok: a mark's or word's text, else empty; lit: what a closed string or
     template holds; quoted: the token is a string; noted: a comment stands just
     before; mate, up, head: token numbers or -1; called: the chain holds a call;
-    line, col: from 1, col in UTF-16 units; lines: trimmed for the snippet."""
-    names = frozenset(NAMES)
+    line, col: from 1, col in UTF-16 units; lines: trimmed for the snippet.
+
+    In a long stretch without brackets, quotes, slashes and known names, the
+    tokens between its beginning and its end are left out: no site stands
+    there, none reaches over it, and its elements and pairs hold no string.  It
+    is cut between two words on either side, so no member chain crosses."""
+    names, kept_tokens, kept_words = frozenset(NAMES), KEPT_TOKENS, KEPT_WORDS
     n_snippet, trim, most = C.SNIPPET_CHARS, JS_TRIM, 100_000
+    plain = re.compile(r"[^\"'`/()\[\]{}]*+")
+    known = re.compile("|".join(["import", *NAMES]))
+    gap = re.compile(r"[A-Za-z]\s+(?=[A-Za-z])")
     lexeme = re.compile(
         r"(?P<blank>\s++)"
         r"|(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
@@ -81,6 +91,8 @@ def _tokens():
     def read(src):
         kind, tok, start, end, mate, noted = [], [], [], [], [], []
         stack, depth, pos, n, comment = [], {"(": 0, "[": 0, "{": 0}, 0, len(src), False
+        # where a plain stretch ends at the latest; the tokens before the present stretch; how far it was looked at
+        stops, before, looked = [n, *(m.start() for m in reversed([*known.finditer(src)]))], 0, 0
 
         def operand(i):
             """Whether an expression can end with token i."""
@@ -116,19 +128,28 @@ def _tokens():
                 else:  # the file ends here
                     break
                 continue
+            if pos >= looked and len(kind) - before > kept_tokens and kind[-1] == "w" and gap.match(src, pos - 1):
+                while stops[-1] < pos:
+                    stops.pop()
+                looked = min(plain.match(src, pos).end(), stops[-1])
+                words = [w.end() for w in gap.finditer(src, max(pos, looked - 40 * kept_words), looked)]
+                if len(words) > kept_words:
+                    pos = words[-kept_words]
             m = lexeme.match(src, pos)
             k, at = m.lastgroup[0], pos
             pos = m.end()
             if k == "b":
                 continue
             if m.lastgroup == "comment":
-                comment = True
+                comment, before = True, len(kind)
                 continue
             c = src[at] if k == "m" else ""
             r = regex.match(src, at) if c == "/" and not divides(len(kind) - 1) else None
             if r:
                 k, pos = "r", r.end()
             put(k, at, pos)
+            if k in "sr" or c and c in "()[]{}`/" or k == "w" and (tok[-1] in names or tok[-1] == "import"):
+                before = len(kind)
             if k == "w" and tok[-1] in names and (t := type_args.match(src, pos)):
                 pos = t.end()
             if k == "m" and c in "([{`":
