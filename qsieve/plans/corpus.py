@@ -245,8 +245,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text-heavy table whose per-row work (regex over every line) dwarfs
-    its bytes: spread it over the cores when the scan yields too few splits."""
+    """A table whose per-row work (regex over every line, a repository's
+    manifests, an SBOM's JSON) dwarfs its bytes: spread it over the cores when
+    the scan yields too few splits."""
     return ensure_parallelism(read_table(spark, sf_dir, name), key)
 
 
@@ -457,7 +458,7 @@ DOC_BASE = 2_000_000  # document ordinals of a large SBOM table
 def sbom_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part → one small SBOM document per part (CycloneDX, or SPDX for every
     third part), owned by repository src<p_partkey % 20>."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    part = read_text_table(spark, sf_dir, "part", "p_partkey").select("p_partkey", "p_name", "p_size")
     var = dimension(spark, "component_variants", lambda: spark.createDataFrame(
         [(i,) + v for i, v in enumerate(COMPONENT_VARIANTS)],
         "k long, v_name string, v_version string, v_purl string"))
