@@ -357,7 +357,7 @@ MANIFEST_VARIANTS = {
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier → one repository per supplier with the eight root manifests."""
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    sup = read_text_table(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", "s_name")
     rows = [(name, i, body) for name, vs in MANIFEST_VARIANTS.items() for i, body in enumerate(vs)]
     var = dimension(spark, "manifest_variants",
                     lambda: spark.createDataFrame(rows, "path string, k long, body string"))
@@ -391,7 +391,7 @@ N_NET_REPOS = 4
 
 def endpoint_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events → endpoint_obs: one observation per event; host from user_id."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev = read_text_table(spark, sf_dir, "events", "event_id").select("event_id", "user_id")
     var = dimension(spark, "obs_variants", lambda: spark.createDataFrame(
         [(i,) + v for i, v in enumerate(OBS_VARIANTS)],
         "k long, protocol string, tls_version string, cipher string, "
@@ -411,7 +411,7 @@ SPEC_FORMS = ["ssh://host{u}", "tls://host{u}:8443", "host{u}:22", "host{u}", "t
 
 def endpoint_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events → endpoint spec strings (S20 input), form by event_id % len."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev = read_text_table(spark, sf_dir, "events", "event_id").select("event_id", "user_id")
     forms = dimension(spark, "spec_forms", lambda: spark.createDataFrame(
         [(i, f.split("{u}")[0], f.split("{u}")[1]) for i, f in enumerate(SPEC_FORMS)],
         "k long, pre string, post string"))

@@ -8,7 +8,7 @@ from qsieve.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("read", [CP.sbom_documents])
+@pytest.mark.parametrize("read", [CP.manifest_files, CP.endpoint_observations, CP.endpoint_specs, CP.sbom_documents])
 def test_inputs_are_spread(spark, read):
     assert read(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
