@@ -1,8 +1,8 @@
 """Code-usage extraction for JavaScript/TypeScript files.
 
-Spark selects the files (language, and a test for any known name, both in the
-JVM).  A small tokeniser is the only Python: it turns a content into arrays
-with one entry per token, in one linear pass.  All that is found in them is
+Spark selects the files by language.  A small tokeniser is the only Python: it
+leaves out files without any known name (Arrow's linear search) and turns a
+content into arrays with one entry per token, in one linear pass.  All that is found in them is
 found by column expressions over these arrays, in the row, without a shuffle:
 
 * U1, W3 — comments, strings, templates and regex literals are tokens; code
@@ -27,6 +27,8 @@ tags is read as code.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate, chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,47 +42,51 @@ USAGE_LANGUAGES = ["javascript", "typescript"]
 
 CALL_METHODS = sorted({m for m, *_ in C.CALL_PATTERNS})
 OPTION_CALLS = sorted({(o, m) for o, m, *_ in C.OPTION_PATTERNS})
-# JVM test for files that can hold a site at all.
+# Test (RE2, ASCII boundaries) for files that can hold a site at all.
 HEAD_ANY = r"\b(?:import|require|" + "|".join(CALL_METHODS + sorted({o for o, _ in OPTION_CALLS})) + r")\b"
 
 NAMES = sorted(set(CALL_METHODS) | {m for _, m in OPTION_CALLS} | {"require"})
 # an import's clause has at most eight elements: type, name, comma, *, as, name or {…}, from, source
 CLAUSE = 12
 # Of a stretch of plain words the tokens kept at its beginning and the words
-# kept at its end: no site rule looks over as many.
-KEPT_TOKENS, KEPT_WORDS = 40, 12
+# kept at its end: no site rule looks over as many (an import's clause looks
+# CLAUSE elements ahead, a call three tokens back).  Before a file's first mark
+# or name nothing looks ahead, so one token is kept there.
+KEPT_FIRST, KEPT_TOKENS, KEPT_WORDS = 1, 16, 4
 
-TOKEN_SCHEMA = ("repo string, path string, tok array<string>, lit array<string>, quoted array<boolean>, noted array<boolean>, mate array<int>, up array<int>, "
+TOKEN_SCHEMA = ("repo string, path string, known array<int>, tok array<string>, lit array<string>, quoted array<boolean>, noted array<boolean>, mate array<int>, up array<int>, "
                 "head array<int>, called array<boolean>, line array<int>, col array<int>, lines array<string>")
 
 
 # --------------------------------------------------------------- tokeniser
 
 def _tokens():
-    """A `mapInArrow` function: (repo, path, content) → TOKEN_SCHEMA rows.  All
-    it needs is nested here, so executors need not import this package.
+    """A `mapInArrow` function: (repo, path, content) → TOKEN_SCHEMA rows of the
+    files that hold a known name.  All it needs is nested here, so executors need
+    not import this package.
 
-    tok: a mark's or word's text, else empty; lit: what a closed string or
+    known: the numbers of the tokens that are known names; tok: a mark's or word's text, else empty; lit: what a closed string or
     template holds; quoted: the token is a string; noted: a comment stands just
     before; mate, up, head: token numbers or -1; called: the chain holds a call;
-    line, col: from 1, col in UTF-16 units; lines: trimmed for the snippet.
+    line, col: from 1, col in UTF-16 units; lines: trimmed for the snippet, empty
+    where no site can begin.
 
     In a long stretch without brackets, quotes, slashes and known names, the
     tokens between its beginning and its end are left out: no site stands
     there, none reaches over it, and its elements and pairs hold no string.  It
-    is cut between two words on either side, so no member chain crosses."""
-    names, kept_tokens, kept_words = frozenset(NAMES), KEPT_TOKENS, KEPT_WORDS
-    n_snippet, trim, most = C.SNIPPET_CHARS, JS_TRIM, 100_000
+    is cut after a word or number, and goes on with a word after a blank and no dot,
+    so no member chain crosses."""
+    names, kept_first, kept_tokens, kept_words = frozenset(NAMES), KEPT_FIRST, KEPT_TOKENS, KEPT_WORDS
+    n_snippet, trim, most, head_any = C.SNIPPET_CHARS, JS_TRIM, 100_000, HEAD_ANY
+    known_names = names | {"import"}
     plain = re.compile(r"[^\"'`/()\[\]{}]*+")
-    known = re.compile("|".join(["import", *NAMES]))
-    gap = re.compile(r"[A-Za-z]\s+(?=[A-Za-z])")
+    gap = re.compile(r"[^\s.]\s++(?=[A-Za-z_$\u0080-\U0010ffff])")
     lexeme = re.compile(
-        r"(?P<blank>\s++)"
-        r"|(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
+        r"\s*+(?:(?P<comment>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
         r'|(?P<string>"(?:[^"\\\n]|\\[\s\S])*+"?|\'(?:[^\'\\\n]|\\[\s\S])*+\'?)'
         r"|(?P<word>[A-Za-z_$\u0080-\U0010ffff][\w$]*+)"
         r"|(?P<number>\d[\w.]*+)"
-        r"|(?P<mark>\?\.(?!\d)|=>|\+\+|--|[\s\S])")
+        r"|(?P<mark>\?\.(?!\d)|=>|\+\+|--|\S))")
     regex = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[A-Za-z]*+")
     chunk = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+")
     type_args = re.compile(r"\s*<[\w$\s,.\[\]|&<>{}:?\"']*>(?=\s*\()")
@@ -88,11 +94,21 @@ def _tokens():
     starters = frozenset("return typeof case in of do else void delete throw new instanceof yield await default extends".split())
     opener = {")": "(", "]": "[", "}": "{"}
 
+    def places(src):
+        """Where known names stand, in a longer word too."""
+        for name in known_names:
+            at = src.find(name)
+            while at >= 0:
+                yield at
+                at = src.find(name, at + 1)
+
     def read(src):
-        kind, tok, start, end, mate, noted = [], [], [], [], [], []
+        kind, tok, start, end, mate, noted = [], [], [], [], [], set()
         stack, depth, pos, n, comment = [], {"(": 0, "[": 0, "{": 0}, 0, len(src), False
-        # where a plain stretch ends at the latest; the tokens before the present stretch; how far it was looked at
-        stops, before, looked = [n, *(m.start() for m in reversed([*known.finditer(src)]))], 0, 0
+        # where a plain stretch ends at the latest; the tokens before the present stretch and how many of it stay; how far it was looked at
+        stops, before, kept, looked = sorted([n, *places(src)], reverse=True), 0, kept_first, 0
+        add_kind, add_tok, add_start, add_end, add_mate = kind.append, tok.append, start.append, end.append, mate.append
+        read_one = lexeme.match
 
         def operand(i):
             """Whether an expression can end with token i."""
@@ -104,128 +120,166 @@ def _tokens():
                 return mate[i] > 1 and tok[mate[i] - 2] in (".", "?.")
             return operand(i)
 
-        def put(k, a, b):
+        def put(k, t, a, b):
             nonlocal comment
-            kind.append(k), tok.append(src[a:b] if k in "mw" else ""), start.append(a), end.append(b), mate.append(-1), noted.append(comment)
-            comment = False
+            if comment:
+                noted.add(len(kind))
+                comment = False
+            add_kind(k), add_tok(t), add_start(a), add_end(b), add_mate(-1)
 
         def close_last():
             o = stack.pop()
             mate[o], mate[-1] = len(kind) - 1, o
 
+        k = ""
         while pos < n:
             if stack and tok[stack[-1]] == "`":
                 pos = chunk.match(src, pos).end()
                 if src.startswith("`", pos):
-                    put("t", pos, pos + 1)
+                    put("t", "", pos, pos + 1)
                     close_last()
                     pos += 1
                 elif src.startswith("${", pos):
-                    put("m", pos, pos + 2)
+                    put("m", "${", pos, pos + 2)
                     stack.append(len(kind) - 1)
                     depth["{"] += 1
                     pos += 2
                 else:  # the file ends here
                     break
+                k = ""
                 continue
-            if pos >= looked and len(kind) - before > kept_tokens and kind[-1] == "w" and gap.match(src, pos - 1):
+            if (k == "w" or k == "n") and pos >= looked and len(kind) - before >= kept:
                 while stops[-1] < pos:
                     stops.pop()
                 looked = min(plain.match(src, pos).end(), stops[-1])
                 words = [w.end() for w in gap.finditer(src, max(pos, looked - 40 * kept_words), looked)]
                 if len(words) > kept_words:
                     pos = words[-kept_words]
-            m = lexeme.match(src, pos)
-            k, at = m.lastgroup[0], pos
-            pos = m.end()
-            if k == "b":
+            m = read_one(src, pos)
+            if m is None:  # blanks at the end
+                break
+            group = m.lastgroup
+            at, pos = m.start(group), m.end()
+            if group == "comment":
+                comment, before, kept, k = True, len(kind), kept_tokens, ""
+                continue
+            k = group[0]
+            if k == "w":
+                word = src[at:pos]
+                put(k, word, at, pos)
+                if word in known_names:
+                    before, kept = len(kind), kept_tokens
+                    if word != "import" and (t := type_args.match(src, pos)):
+                        pos = t.end()
                 continue
-            if m.lastgroup == "comment":
-                comment, before = True, len(kind)
+            if k != "m":
+                put(k, "", at, pos)
+                if k == "s":
+                    before, kept = len(kind), kept_tokens
                 continue
-            c = src[at] if k == "m" else ""
+            c = src[at]
             r = regex.match(src, at) if c == "/" and not divides(len(kind) - 1) else None
             if r:
                 k, pos = "r", r.end()
-            put(k, at, pos)
-            if k in "sr" or c and c in "()[]{}`/" or k == "w" and (tok[-1] in names or tok[-1] == "import"):
-                before = len(kind)
-            if k == "w" and tok[-1] in names and (t := type_args.match(src, pos)):
-                pos = t.end()
-            if k == "m" and c in "([{`":
-                stack.append(len(kind) - 1)
-                if c != "`":
-                    depth[c] += 1
-            elif c in opener and depth[opener[c]]:
-                while stack:
-                    t = tok[stack[-1]][-1]
-                    if t != "`":
-                        depth[t] -= 1
-                    if t == opener[c]:
-                        close_last()
-                        break
-                    stack.pop()
+                put(k, "", at, pos)
+            else:
+                put(k, src[at:pos], at, pos)
+            if c in "()[]{}`/":
+                before, kept = len(kind), kept_tokens
+                if k == "m" and c in "([{`":
+                    stack.append(len(kind) - 1)
+                    if c != "`":
+                        depth[c] += 1
+                elif c in opener and depth[opener[c]]:
+                    while stack:
+                        t = tok[stack[-1]][-1]
+                        if t != "`":
+                            depth[t] -= 1
+                        if t == opener[c]:
+                            close_last()
+                            break
+                        stack.pop()
         return kind, tok, start, end, mate, noted, operand
 
     def chains(kind, tok, mate, operand):
         """For each token, where the member chain that ends there begins, and
         whether it holds a call."""
-        head, called = [], []
-        for e in range(len(kind)):
+        head, called, last = [], [], ""
+        for e, (k, text) in enumerate(zip(kind, tok)):
             i = e
-            while i > 0 and tok[i] == "!":
-                i -= 1
-            if (tok[i] in (")", "]", "}") or kind[i] == "t") and mate[i] >= 0:
-                i, closing = mate[i], tok[i]
-                before = i - 1 - (i > 0 and tok[i - 1] == "?.")
-                if closing != "}" and (operand(before) and tok[before] not in ("++", "--") and kind[before] not in "nr"):
-                    head.append(head[before]), called.append(called[before] or closing == ")")
-                    continue
-            if i > 1 and tok[i - 1] in (".", "?."):
+            if k != "w":
+                while i > 0 and tok[i] == "!":
+                    i -= 1
+                if (tok[i] in (")", "]", "}") or kind[i] == "t") and mate[i] >= 0:
+                    i, closing = mate[i], tok[i]
+                    before = i - 1 - (i > 0 and tok[i - 1] == "?.")
+                    if closing != "}" and (operand(before) and tok[before] not in ("++", "--") and kind[before] not in "nr"):
+                        head.append(head[before]), called.append(called[before] or closing == ")")
+                        last = text
+                        continue
+                last = tok[i - 1] if i else ""
+            if i > 1 and last in (".", "?."):
                 head.append(head[i - 2]), called.append(called[i - 2])
             else:
                 head.append(i), called.append(False)
+            last = text
         return head, called
 
     def row(src):
+        """The columns of a file from `known` on; none, if it holds no known name."""
         kind, tok, start, end, mate, noted, operand = read(src)
+        known = [i for i, t in enumerate(tok) if t in known_names]
+        if not known:
+            return None
         head, called = chains(kind, tok, mate, operand)
-        up, held, line, col, lit = [], [], [], [], []
-        at, no, astral, wide, seen = 0, 1, [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", src)], 0, 0
-        for i, (k, a, z) in enumerate(zip(kind, start, end)):
+        up, held, lit = [], [], [None] * len(tok)
+        for i, m in enumerate(mate):
+            if m < 0:
+                up.append(held[-1] if held else -1)
+                continue
             if held and mate[held[-1]] == i:
                 held.pop()
             up.append(held[-1] if held else -1)
-            if mate[i] > i:
+            if m > i:
                 held.append(i)
-            while (b := src.find("\n", at, a)) >= 0:
-                at, no = b + 1, no + 1
-                while wide < len(astral) and astral[wide] < at:
-                    wide += 1
-                seen = wide
-            while seen < len(astral) and astral[seen] < a:
-                seen += 1
-            line.append(no), col.append(a - at + 1 + seen - wide)
-            whole = k == "s" or tok[i] == "`" and mate[i] > i
-            raw = src[a:end[mate[i]] if k == "m" else z] if whole else ""
-            lit.append(raw[1:-1] if len(raw) > 1 and raw[-1] == raw[0] else None)
-        return tok, lit, [k == "s" for k in kind], noted, mate, up, head, called, line, col, [x.strip(trim)[:n_snippet] for x in src.split("\n")]
+        for i, k in enumerate(kind):
+            if k == "s" or tok[i] == "`" and mate[i] > i:
+                raw = src[start[i]:end[mate[i]] if k == "m" else end[i]]
+                if len(raw) > 1 and raw[-1] == raw[0]:
+                    lit[i] = raw[1:-1]
+        breaks, line, col, no = [-1, *(m.start() for m in re.finditer("\n", src)), len(src)], [], [], 1
+        for a in start:
+            while breaks[no] < a:
+                no += 1
+            line.append(no), col.append(a - breaks[no - 1])
+        astral = [] if src.isascii() else [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", src)]
+        if astral:
+            col = [c + bisect_left(astral, a) - bisect_left(astral, a - c + 1) for a, c in zip(start, col)]
+        begins = {line[j] for i in known for j in ((i, head[i - 2], max(head[i - 2] - 1, 0)) if i > 1 else (i,))}
+        lines = [""] * max(begins)
+        for no in begins:
+            lines[no - 1] = src[breaks[no - 1] + 1:breaks[no]].strip(trim)[:n_snippet]
+        return known, tok, lit, [k == "s" for k in kind], [i in noted for i in range(len(tok))], mate, up, head, called, line, col, lines
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+        columns = ["repo", "path", "known", "tok", "lit", "quoted", "noted", "mate", "up", "head", "called", "line", "col", "lines"]
 
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
-        columns = ["repo", "path", "tok", "lit", "quoted", "noted", "mate", "up", "head", "called", "line", "col", "lines"]
         def packed(files):
-            made = [list(c) for c in zip(*files)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds)], columns)
+            repo, path, *lists = zip(*files)
+            arrays = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), pa.array(list(chain.from_iterable(x)), t)) for x, t in zip(lists, kinds)]
+            return pa.RecordBatch.from_arrays([pa.array(repo, pa.string()), pa.array(path, pa.string()), *arrays], columns)
 
-        kinds = [pa.string(), pa.string(), *map(pa.list_, kinds)]
         for batch in batches:
+            batch = batch.filter(pc.match_substring_regex(batch["content"], head_any))
             held, n = [], 0
             for repo, path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append((repo, path, *row(content)))
-                n += len(held[-1][2])
+                if made := row(content):
+                    held.append((repo, path, *made))
+                    n += len(made[1])
                 if n >= most:  # tokens
                     yield packed(held)
                     held, n = [], 0
@@ -337,14 +391,13 @@ def sites(files: DataFrame) -> DataFrame:
     filtered on its partition column, so only JS/TS partitions are read."""
     if "lang_part" in files.columns:
         files = files.where(F.col("lang_part").isin(USAGE_LANGUAGES))
-    tokens = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").rlike(HEAD_ANY))
+    tokens = (files.where(F.col("language").isin(USAGE_LANGUAGES) & F.col("content").isNotNull())
               .select("repo", "path", "content").mapInArrow(_tokens(), TOKEN_SCHEMA))
-    known = F.filter(F.sequence(F.lit(0), F.size("tok") - 1), lambda i: _at("tok", i).isin(["import", *NAMES]))
-    found = F.flatten(F.transform(F.transform(F.transform(known, _around), _judged), _sites_of))
+    found = F.flatten(F.transform(F.transform(F.transform("known", _around), _judged), _sites_of))
     placed = F.transform(F.filter(found, lambda s: s.isNotNull()), lambda s: F.struct(
         _at("line", s["at"]).alias("line_no"), _at("col", s["at"]).alias("column"), F.get("lines", _at("line", s["at"]) - 1).alias("line"),
         s["kind"].alias("kind"), s["name"].alias("name"), s["argv"].alias("argv"), s["pairs"].alias("pairs")))
-    read = tokens.where(F.size("tok") > 0).select("repo", "path", F.explode(placed).alias("s")).select("repo", "path", "s.*")
+    read = tokens.select("repo", "path", F.explode(placed).alias("s")).select("repo", "path", "s.*")
     name = F.when(F.col("kind") == "import", package_root(F.col("name"))).otherwise(F.col("name"))
     return read.select("repo", "path", "line_no", "column", "line", "kind",
                        F.concat("kind", F.lit(":"), name).alias("site_key"), "argv", "pairs")
