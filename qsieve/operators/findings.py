@@ -35,18 +35,19 @@ def filter_findings(findings: DataFrame, min_confidence: float = C.DEFAULT_MIN_C
 
 
 def order_key() -> F.Column:
-    """Insertion order after the stable severity/file sort (O1)."""
-    return F.struct(severity_rank("severity").alias("sev_rank"), F.col("file"), F.col("phase"),
-                    F.col("rule_ord"), F.col("line"), F.col("column"))
+    """Insertion order, of one file, after the stable severity/file sort (O1)."""
+    return F.struct(severity_rank("severity").alias("sev_rank"), "phase", "rule_ord", "line", "column")
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
     """W1 + A1: per (repo, rule_id, file) keep the highest confidence, ties to
     the earliest in sorted order; `occurrences` = group size when > 1.
-    `first_pos` is the group's first appearance (O3 output order)."""
+    `first_pos` is the group's first appearance (O3 output order).  The key's
+    hash leads the groups: Spark sorts by it (`min_by` of a row is no hash
+    aggregate), and repositories agree in the bytes that its sort looks at first."""
     cols = [c for c in FINDING_COLS]
     best_key = F.struct((-F.col("confidence")).alias("neg_conf"), order_key().alias("k"))
-    agg = (findings.groupBy(*DEDUPE_KEY)
+    agg = (findings.groupBy(F.xxhash64(*DEDUPE_KEY).alias("key"), *DEDUPE_KEY)
            .agg(F.min_by(F.struct(*[c for c in cols if c not in DEDUPE_KEY]), best_key).alias("b"),
                 F.count(F.lit(1)).alias("n"),
                 F.min(F.struct("phase", "rule_ord", "line", "column")).alias("first_pos")))

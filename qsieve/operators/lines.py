@@ -6,8 +6,8 @@ exploded and nulls dropped.  Match column, snippet and confidence are computed
 after the explode, on hits only.  The whole branch is narrow (no shuffle):
 per-file work stays in the task that read the file.  The catalogue's gates are
 read by Arrow's linear string search in the task (`gated_lines`): one pass for
-all tokens over every line, then one per rule over the lines that hold any.  The
-rules' patterns are tested on these lines (`match_gated`).
+all tokens over every line; the lines that hold any are told apart by halves of
+the rules.  The rules' patterns are tested on these lines (`match_gated`).
 
 User rule tables (E1) use the same plan when their size is checked to be
 small enough to compile; beyond that, an inverted index of the literals that
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import literals
-from ..functions.regex import effective_patterns, java_ci, js_word_boundary_java, union
+from ..functions.regex import effective_patterns, java_ci, js_word_boundary_java, to_re2, union
 from ..session import dimension, materialize
 from ..sources.rules import checked_rules, rule_rows, rules_frame
 
@@ -76,29 +76,71 @@ def _gate(lc: Column, literals: list[str] | None) -> Column:
     return cond
 
 
-def _gated(gates: list[tuple[int, list[str]]], most_bytes: int = 8 << 20):
+def _held(patterns: list[str]) -> str | None:
+    """An RE2 pattern that finds a match wherever one of the rule patterns does, or
+    more: its case folding and `.` take in more characters than Java's, `\\s` gets
+    Java's vertical tab.  None where RE2 has no form or a boundary may differ."""
+    try:
+        forms = [to_re2(p) for p in patterns]
+    except ValueError:
+        return None
+    if any(re.search(r"\\[bBdDwWSpPkQ]|\[[^\]]*\\s|\[\^|\\[1-9]|\$$|\$[^)]", p) for p in patterns):
+        return None
+    return union([f.replace(r"\s", r"[\s\x0b]") for f in forms])
+
+
+def _gated(gates: list[tuple], most_bytes: int = 8 << 20):
     """A `mapInArrow` function: (repo, path, language, content) → the lines that
     hold a token of a rule's gate (ASCII case aside), with that rule's ordinal,
-    rule by rule; the contents are split in portions of bounded size."""
-    gates = [(n, "|".join(map(re.escape, tokens))) for n, tokens in gates]
-    any_token = "|".join(dict.fromkeys(p for _, p in gates))
+    rule by rule; the contents are split in portions of bounded size.  A gate is
+    (ordinal, tokens) or (ordinal, tokens, pattern): lines without a match of
+    the pattern (RE2, case aside) are left out too.
+
+    Rules are told apart by halves: a line that holds no token of the first
+    half's rules must hold one of the second's, so a line of one rule is read as
+    often as the rules can be halved, not once a rule."""
+    gates = [(n, "|".join(map(re.escape, tokens)), *more) for n, tokens, *more in gates]
+    tokens_of = lambda some: "|".join(dict.fromkeys(g[1] for g in some))
+    any_token = tokens_of(gates)
 
     def portion(batch):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def holds(lines, pattern):
+            return pc.match_substring_regex(lines, pattern, ignore_case=True).to_numpy(zero_copy_only=False)
+
+        def told(lines, at, some):
+            """The rules of `some` with the lines of their own; each line holds a token of one."""
+            if not len(at):
+                return
+            if len(some) == 1:
+                (n, _, *more), = some
+                if more and more[0] is not None:
+                    own = np.flatnonzero(holds(lines, more[0]))
+                    lines, at = lines.take(pa.array(own)), at[own]
+                if len(at):
+                    yield n, lines, at
+                return
+            one, other = some[:len(some) // 2], some[len(some) // 2:]
+            first = holds(lines, tokens_of(one))
+            second = ~first
+            both = np.flatnonzero(first)
+            yield from told(lines.take(pa.array(both)), at[both], one)
+            second[both] = holds(lines.take(pa.array(both)), tokens_of(other))
+            rest = np.flatnonzero(second)
+            yield from told(lines.take(pa.array(rest)), at[rest], other)
+
         parts = pc.split_pattern(batch["content"], "\n")
         lines, file = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
-        at = np.flatnonzero(pc.match_substring_regex(lines, any_token, ignore_case=True).to_numpy(zero_copy_only=False))
-        lines, of = lines.take(pa.array(at)), file[at]
-        line_no = (at - np.searchsorted(file, of) + 1).astype(np.int32)
-        for n, p in gates:
-            held = np.flatnonzero(pc.match_substring_regex(lines, p, ignore_case=True).to_numpy(zero_copy_only=False))
-            if len(held):
-                files = [batch[c].take(pa.array(of[held])) for c in ("repo", "path", "language")]
-                yield pa.RecordBatch.from_arrays([*files, pa.array(line_no[held]), lines.take(pa.array(held)), pa.array(np.full(len(held), n, np.int32))],
-                                                 ["repo", "path", "language", "line_no", "line", "rule_ord"])
+        at = np.flatnonzero(holds(lines, any_token))
+        line_no = (at - np.searchsorted(file, file[at]) + 1).astype(np.int32)
+        of = file[at]
+        for n, own, i in told(lines.take(pa.array(at)), np.arange(len(at)), gates):
+            files = [batch[c].take(pa.array(of[i])) for c in ("repo", "path", "language")]
+            yield pa.RecordBatch.from_arrays([*files, pa.array(line_no[i]), own, pa.array(np.full(len(i), n, np.int32))],
+                                             ["repo", "path", "language", "line_no", "line", "rule_ord"])
 
     def run(batches):
         import numpy as np
@@ -115,21 +157,38 @@ def _gated(gates: list[tuple[int, list[str]]], most_bytes: int = 8 << 20):
 
 
 def gated_lines(files: DataFrame) -> DataFrame:
-    """The lines of `explode_lines` that pass a catalogue rule's gate, a row per
-    line and rule (`rule_ord`).  Contents are read once, in the task; only these
+    """The lines of `explode_lines` that pass a catalogue rule's gate and hold a
+    match in RE2's reading, a row per line and rule (`rule_ord`).  Contents are read once, in the task; only these
     lines return to the JVM, those of one rule together, so that its pattern is
     compiled once for many."""
-    gates = [(r["rule_ord"], C.TOKEN_GATES[r["rule_id"]]) for r in rule_rows()]
+    gates = [(r["rule_ord"], C.TOKEN_GATES[r["rule_id"]], _held(effective_patterns(r["patterns"]))) for r in rule_rows()]
     return files.select("repo", "path", "language", "content").mapInArrow(
         _gated(gates), "repo string, path string, language string, line_no int, line string, rule_ord int")
 
 
+def _fits() -> Column:
+    """P3 over a `languages` column."""
+    return (F.size("languages") == 0) | F.col("language").isNull() | F.array_contains("languages", F.col("language"))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`value` as a column that filters above it read: as a projection, Catalyst
+    would copy it into each of them and evaluate it once more."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _gated_hits(files: DataFrame) -> DataFrame:
+    """The (line, rule) hits among the gated lines, with the rule's attributes and
+    `upto`, the text up to its match.  The pattern that tells a hit is the match
+    column's too, run once a line; `regexp_extract` keeps it compiled while it
+    stays the same (`rlike` by a column compiles it for every row)."""
+    pairs = gated_lines(files).join(F.broadcast(rule_dimension(files.sparkSession)), "rule_ord").where(_fits())
+    return _once(pairs, "upto", F.expr("regexp_extract(line, rx_first, 0)")).where("upto != ''").drop("languages", "rx_first")
+
+
 def match_gated(files: DataFrame) -> DataFrame:
     """J1 for the catalogue: the (line, rule) hits among the gated lines."""
-    tests = [(r["rule_ord"], r["languages"], java_ci(union(effective_patterns(r["patterns"])))) for r in rule_rows()]
-    dim = dimension(files.sparkSession, "rule_tests", lambda: files.sparkSession.createDataFrame(tests, "rule_ord int, languages array<string>, rx string"))
-    fits = (F.size("languages") == 0) | F.col("language").isNull() | F.array_contains("languages", F.col("language"))
-    return gated_lines(files).join(F.broadcast(dim), "rule_ord").where(fits & F.expr("line rlike rx")).drop("languages", "rx")
+    return _gated_hits(files).select("rule_ord", "repo", "path", "language", "line_no", "line")
 
 
 def match_compiled(lines: DataFrame, rules: list[dict] | None = None,
@@ -160,26 +219,29 @@ def match_column() -> Column:
                   "x -> x > 0), 1)").cast("int")
 
 
-def first_match_column() -> Column:
+def first_match_column(upto: str = "regexp_extract(line, rx_first, 0)") -> Column:
     """`match_column` by one pattern a rule, `rx_first`, which spans what stands
-    before the match: it is compiled once for a rule's lines, and patterns after
-    the first that matches are not tried.  For patterns without back references.
-    Counted in UTF-16 units, as `regexp_instr` does."""
-    return F.expr("octet_length(encode(regexp_extract(line, rx_first, 0), 'UTF-16BE')) div 2 + 1").cast("int")
+    before the match and the match's first character: it is compiled once for a
+    rule's lines, and patterns after the first that matches are not tried.  For
+    patterns without back references and empty matches.  Counted in UTF-16 units,
+    as `regexp_instr` does."""
+    return F.expr(f"if(octet_length({upto}) = char_length({upto}), char_length({upto}), "
+                  f"octet_length(encode(left({upto}, char_length({upto}) - 1), 'UTF-16BE')) div 2 + 1)").cast("int")
 
 
 def _first(patterns: list[str]) -> str:
-    """The text before the leftmost match of the first pattern that matches."""
-    return "|".join(f"^(?s:.*?)(?=(?i:{p}))" for p in patterns)
+    """The text before the leftmost match of the first pattern that matches, and
+    the match's first character."""
+    return "|".join(f"^(?s:.*?)(?=(?i:{p}))(?s:.)" for p in patterns)
 
 
 def rule_dimension(spark, rules: list[dict] | None = None) -> DataFrame:
     """Rule attributes plus what the match column needs (broadcast side): `rx_first`
-    of the catalogue, else `rx_list`."""
+    (and the languages) of the catalogue, else `rx_list`."""
     if rules is None:
-        first = [(r["rule_ord"], _first(effective_patterns(r["patterns"]))) for r in rule_rows()]
-        rx = dimension(spark, "rule_first", lambda: spark.createDataFrame(first, "rule_ord int, rx_first string"))
-        return rules_frame(spark).join(F.broadcast(rx), "rule_ord").drop("patterns", "languages")
+        first = [(r["rule_ord"], r["languages"], _first(effective_patterns(r["patterns"]))) for r in rule_rows()]
+        rx = dimension(spark, "rule_first", lambda: spark.createDataFrame(first, "rule_ord int, languages array<string>, rx_first string"))
+        return rules_frame(spark).drop("patterns", "languages").join(F.broadcast(rx), "rule_ord")
     rows = rule_rows(rules)
     eff = F.create_map(*[x for r in rows for x in (
         F.lit(r["rule_ord"]), F.array(*[F.lit("(?i)" + p) for p in effective_patterns(r["patterns"])]))])
@@ -221,18 +283,19 @@ def regex_findings(files: DataFrame, rules: list[dict] | None = None,
 
     S7: with `max_chars`, longer files are skipped on this branch only (see
     `oversize_files`); lines are exploded, so no limit is needed by default."""
-    spark = files.sparkSession
     text = _within(files, max_chars)
-    hits = match_gated(text) if rules is None and use_gates else match_compiled(explode_lines(text), rules, use_gates)
-    dim = F.broadcast(rule_dimension(spark, rules))
-    out = (hits.join(dim, "rule_ord")
+    if rules is None and use_gates:
+        hits, column = _gated_hits(text), first_match_column("upto")
+    else:
+        hits = match_compiled(explode_lines(text), rules, use_gates)
+        hits = hits.join(F.broadcast(rule_dimension(files.sparkSession, rules).drop("languages")), "rule_ord")
+        column = first_match_column() if rules is None else match_column()
+    out = (_once(hits, "confidence", regex_confidence(F.col("line"), F.col("language"), F.col("severity")))
            .select("repo", "rule_id", "description", "severity", "category", "algorithm",
                    "replacement", "effort", F.col("path").alias("file"),
-                   F.col("line_no").alias("line"), (first_match_column() if rules is None else match_column()).alias("column"),
+                   F.col("line_no").alias("line"), column.alias("column"),
                    snippet(F.col("line")).alias("snippet"),
-                   F.lit("regex").alias("detection_method"),
-                   regex_confidence(F.col("line"), F.col("language"), F.col("severity"))
-                   .alias("confidence"),
+                   F.lit("regex").alias("detection_method"), "confidence",
                    F.lit(C.PHASE_REGEX).alias("phase"), "rule_ord"))
     if rules is not None and len({r["id"] for r in rules}) != len(rules):
         out = _same_line_dedupe(out)

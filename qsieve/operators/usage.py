@@ -92,7 +92,8 @@ def _tokens():
     type_args = re.compile(r"\s*<[\w$\s,.\[\]|&<>{}:?\"']*>(?=\s*\()")
     # after these words an expression starts, so a `/` opens a regex literal
     starters = frozenset("return typeof case in of do else void delete throw new instanceof yield await default extends".split())
-    opener = {")": "(", "]": "[", "}": "{"}
+    opener, dots = {")": "(", "]": "[", "}": "{"}, (".", "?.")
+    chained = frozenset([")", "]", "}", "!", *dots])
 
     def places(src):
         """Where known names stand, in a longer word too."""
@@ -103,12 +104,13 @@ def _tokens():
                 at = src.find(name, at + 1)
 
     def read(src):
-        kind, tok, start, end, mate, noted = [], [], [], [], [], set()
-        stack, depth, pos, n, comment = [], {"(": 0, "[": 0, "{": 0}, 0, len(src), False
+        """Kind, text and beginning of each token; the partners of brackets, what
+        strings hold, the tokens after a comment, known names and templates' ends."""
+        kind, tok, start, mate, lit, noted, known, ends = [], [], [], {}, {}, [], [], []
+        stack, depth, pos, n = [], {"(": 0, "[": 0, "{": 0}, 0, len(src)
         # where a plain stretch ends at the latest; the tokens before the present stretch and how many of it stay; how far it was looked at
         stops, before, kept, looked = sorted([n, *places(src)], reverse=True), 0, kept_first, 0
-        add_kind, add_tok, add_start, add_end, add_mate = kind.append, tok.append, start.append, end.append, mate.append
-        read_one = lexeme.match
+        add_kind, add_tok, add_start, read_one = kind.append, tok.append, start.append, lexeme.match
 
         def operand(i):
             """Whether an expression can end with token i."""
@@ -116,32 +118,28 @@ def _tokens():
 
         def divides(i):
             """Whether a `/` after token i is a division."""
-            if i >= 0 and tok[i] == ")" and mate[i] > 0 and tok[mate[i] - 1] in ("if", "while", "for", "with"):
-                return mate[i] > 1 and tok[mate[i] - 2] in (".", "?.")
+            if i >= 0 and tok[i] == ")" and (o := mate.get(i, -1)) > 0 and tok[o - 1] in ("if", "while", "for", "with"):
+                return o > 1 and tok[o - 2] in (".", "?.")
             return operand(i)
 
-        def put(k, t, a, b):
-            nonlocal comment
-            if comment:
-                noted.add(len(kind))
-                comment = False
-            add_kind(k), add_tok(t), add_start(a), add_end(b), add_mate(-1)
-
         def close_last():
-            o = stack.pop()
-            mate[o], mate[-1] = len(kind) - 1, o
+            o, c = stack.pop(), len(kind) - 1
+            mate[o], mate[c] = c, o
+            if tok[o] == "`":
+                lit[o] = src[start[o] + 1:start[c]]
 
         k = ""
         while pos < n:
             if stack and tok[stack[-1]] == "`":
                 pos = chunk.match(src, pos).end()
                 if src.startswith("`", pos):
-                    put("t", "", pos, pos + 1)
+                    ends.append(len(kind))
+                    add_kind("t"), add_tok(""), add_start(pos)
                     close_last()
                     pos += 1
                 elif src.startswith("${", pos):
-                    put("m", "${", pos, pos + 2)
-                    stack.append(len(kind) - 1)
+                    stack.append(len(kind))
+                    add_kind("m"), add_tok("${"), add_start(pos)
                     depth["{"] += 1
                     pos += 2
                 else:  # the file ends here
@@ -158,32 +156,41 @@ def _tokens():
             m = read_one(src, pos)
             if m is None:  # blanks at the end
                 break
-            group = m.lastgroup
-            at, pos = m.start(group), m.end()
-            if group == "comment":
-                comment, before, kept, k = True, len(kind), kept_tokens, ""
-                continue
-            k = group[0]
-            if k == "w":
-                word = src[at:pos]
-                put(k, word, at, pos)
+            group = m.lastindex
+            at, pos = m.span(group)
+            if group == 3:  # word
+                k, word = "w", src[at:pos]
                 if word in known_names:
+                    known.append(len(kind))
+                    add_kind(k), add_tok(word), add_start(at)
                     before, kept = len(kind), kept_tokens
                     if word != "import" and (t := type_args.match(src, pos)):
                         pos = t.end()
+                    continue
+                add_kind(k), add_tok(word), add_start(at)
                 continue
-            if k != "m":
-                put(k, "", at, pos)
-                if k == "s":
+            if group == 1:  # comment
+                before, kept, k = len(kind), kept_tokens, ""
+                noted.append(len(kind))
+                continue
+            if group != 5:  # string or number
+                if group == 2:
+                    k = "s"
+                    if pos - at > 1 and src[pos - 1] == src[at]:
+                        lit[len(kind)] = src[at + 1:pos - 1]
+                    add_kind(k), add_tok(""), add_start(at)
                     before, kept = len(kind), kept_tokens
+                else:
+                    k = "n"
+                    add_kind(k), add_tok(""), add_start(at)
                 continue
-            c = src[at]
+            k, c = "m", src[at]
             r = regex.match(src, at) if c == "/" and not divides(len(kind) - 1) else None
             if r:
                 k, pos = "r", r.end()
-                put(k, "", at, pos)
+                add_kind(k), add_tok(""), add_start(at)
             else:
-                put(k, src[at:pos], at, pos)
+                add_kind(k), add_tok(src[at:pos]), add_start(at)
             if c in "()[]{}`/":
                 before, kept = len(kind), kept_tokens
                 if k == "m" and c in "([{`":
@@ -199,78 +206,102 @@ def _tokens():
                             close_last()
                             break
                         stack.pop()
-        return kind, tok, start, end, mate, noted, operand
+        if noted and noted[-1] == len(kind):  # a comment that ends the file
+            noted = [i for i in noted if i < len(kind)]
+        return kind, tok, start, mate, lit, noted, known, ends, operand
 
-    def chains(kind, tok, mate, operand):
+    def chains(kind, tok, mate, ends, operand):
         """For each token, where the member chain that ends there begins, and
-        whether it holds a call."""
-        head, called, last = [], [], ""
-        for e, (k, text) in enumerate(zip(kind, tok)):
-            i = e
-            if k != "w":
+        the tokens whose chain holds a call."""
+        head, called, n = list(range(len(tok))), set(), len(tok)
+        asked = {i + (t in dots) for i, t in enumerate(tok) if t in chained}
+        for e in sorted(asked.union(ends, [i + 1 for i in asked if i < n and tok[i] in dots])):
+            if e == n:
+                break
+            i, last = e, tok[e - 1] if e else ""
+            if kind[e] != "w":
                 while i > 0 and tok[i] == "!":
                     i -= 1
-                if (tok[i] in (")", "]", "}") or kind[i] == "t") and mate[i] >= 0:
+                if (tok[i] in (")", "]", "}") or kind[i] == "t") and i in mate:
                     i, closing = mate[i], tok[i]
                     before = i - 1 - (i > 0 and tok[i - 1] == "?.")
                     if closing != "}" and (operand(before) and tok[before] not in ("++", "--") and kind[before] not in "nr"):
-                        head.append(head[before]), called.append(called[before] or closing == ")")
-                        last = text
+                        head[e] = head[before]
+                        if before in called or closing == ")":
+                            called.add(e)
                         continue
                 last = tok[i - 1] if i else ""
-            if i > 1 and last in (".", "?."):
-                head.append(head[i - 2]), called.append(called[i - 2])
+            if i > 1 and last in dots:
+                head[e] = head[i - 2]
+                if i - 2 in called:
+                    called.add(e)
             else:
-                head.append(i), called.append(False)
-            last = text
+                head[e] = i
         return head, called
 
     def row(src):
-        """The columns of a file from `known` on; none, if it holds no known name."""
-        kind, tok, start, end, mate, noted, operand = read(src)
-        known = [i for i, t in enumerate(tok) if t in known_names]
+        """What is known of a file; nothing, if it holds no known name."""
+        kind, tok, start, mate, lit, noted, known, ends, operand = read(src)
         if not known:
             return None
-        head, called = chains(kind, tok, mate, operand)
-        up, held, lit = [], [], [None] * len(tok)
-        for i, m in enumerate(mate):
-            if m < 0:
-                up.append(held[-1] if held else -1)
-                continue
-            if held and mate[held[-1]] == i:
+        head, called = chains(kind, tok, mate, ends, operand)
+        up, held, top, done = [], [], -1, 0
+        for i in sorted(mate):
+            up.extend([top] * (i - done))
+            if held and mate[top] == i:
                 held.pop()
-            up.append(held[-1] if held else -1)
-            if m > i:
+                top = held[-1] if held else -1
+            up.append(top)
+            if mate[i] > i:
                 held.append(i)
-        for i, k in enumerate(kind):
-            if k == "s" or tok[i] == "`" and mate[i] > i:
-                raw = src[start[i]:end[mate[i]] if k == "m" else end[i]]
-                if len(raw) > 1 and raw[-1] == raw[0]:
-                    lit[i] = raw[1:-1]
-        breaks, line, col, no = [-1, *(m.start() for m in re.finditer("\n", src)), len(src)], [], [], 1
-        for a in start:
-            while breaks[no] < a:
-                no += 1
-            line.append(no), col.append(a - breaks[no - 1])
+                top = i
+            done = i + 1
+        up.extend([top] * (len(tok) - done))
+        breaks = [-1, *(m.start() for m in re.finditer("\n", src)), len(src)]
         astral = [] if src.isascii() else [m.start() for m in re.finditer("[\U00010000-\U0010ffff]", src)]
-        if astral:
-            col = [c + bisect_left(astral, a) - bisect_left(astral, a - c + 1) for a, c in zip(start, col)]
-        begins = {line[j] for i in known for j in ((i, head[i - 2], max(head[i - 2] - 1, 0)) if i > 1 else (i,))}
+        begins = {bisect_left(breaks, start[j], 1) for i in known for j in ((i, head[i - 2], max(head[i - 2] - 1, 0)) if i > 1 else (i,))}
         lines = [""] * max(begins)
         for no in begins:
             lines[no - 1] = src[breaks[no - 1] + 1:breaks[no]].strip(trim)[:n_snippet]
-        return known, tok, lit, [k == "s" for k in kind], [i in noted for i in range(len(tok))], mate, up, head, called, line, col, lines
+        return known, tok, lines, up, head, "".join(kind), lit, mate, noted, called, start, breaks, astral
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
         columns = ["repo", "path", "known", "tok", "lit", "quoted", "noted", "mate", "up", "head", "called", "line", "col", "lines"]
 
         def packed(files):
-            repo, path, *lists = zip(*files)
-            arrays = [pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, x))], pa.int32()), pa.array(list(chain.from_iterable(x)), t)) for x, t in zip(lists, kinds)]
+            repo, path, known, tok, lines, up, head, kind, lit, mate, noted, called, start, breaks, astral = zip(*files)
+            flat = chain.from_iterable
+            offsets = lambda lists: np.array([0, *accumulate(map(len, lists))], np.int32)
+            at, n = offsets(tok), sum(map(len, tok))
+            listed = lambda values, of=None: pa.ListArray.from_arrays(pa.array(at if of is None else offsets(of)), values)
+            placed = lambda sets: [a + x for a, s in zip(at.tolist(), sets) for x in s]
+            lits, mates, marks = [None] * n, np.full(n, -1, np.int32), np.zeros((2, n), bool)
+            for a, s in zip(at.tolist(), lit):
+                for i, x in s.items():
+                    lits[a + i] = x
+            mates[placed(mate)] = list(flat(m.values() for m in mate))
+            marks[0, placed(noted)] = marks[1, placed(called)] = True
+            # all files' places on one axis: a token's line is that of the next break
+            base = np.array([0, *accumulate(b[-1] + 2 for b in breaks)], np.int64)
+            ends, begin = np.fromiter(flat(breaks), np.int64), np.fromiter(flat(start), np.int64, n)
+            first = offsets(breaks)
+            ends += np.repeat(base[:-1], np.diff(first))
+            begin += np.repeat(base[:-1], np.diff(at))
+            line = np.searchsorted(ends, begin)
+            col = begin - ends[line - 1]
+            line -= np.repeat(first[:-1], np.diff(at))
+            for a, b, begins, wide in zip(at, at[1:], start, astral):
+                if wide:
+                    col[a:b] += [bisect_left(wide, x) - bisect_left(wide, x - c + 1) for x, c in zip(begins, col[a:b].tolist())]
+            numbers = lambda x: pa.array(np.fromiter(flat(x), np.int32))
+            arrays = [listed(numbers(known), known), listed(pa.array(list(flat(tok)), pa.string())), listed(pa.array(lits, pa.string())),
+                      listed(pa.array(np.frombuffer("".join(kind).encode(), np.uint8) == ord("s"))), listed(pa.array(marks[0])), listed(pa.array(mates)),
+                      listed(numbers(up)), listed(numbers(head)), listed(pa.array(marks[1])), listed(pa.array(line.astype(np.int32))),
+                      listed(pa.array(col.astype(np.int32))), listed(pa.array(list(flat(lines)), pa.string()), lines)]
             return pa.RecordBatch.from_arrays([pa.array(repo, pa.string()), pa.array(path, pa.string()), *arrays], columns)
 
         for batch in batches:
